@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from noticeflow.llm.common import read
 
 
@@ -11,6 +13,35 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; the folder can be set by the variable NOTICEFLOW_TOKENIZERS."""
+    return os.path.join(os.environ.get("NOTICEFLOW_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def op2_bpe(spark, sf_dir):
+    from noticeflow.llm.bpe import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    from noticeflow.llm.secrets import secret_scan
+
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark, sf_dir):
+    from noticeflow.llm.langid import language_id
+
+    return language_id(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_quality(spark, sf_dir):
+    from noticeflow.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark, sf_dir):
     from noticeflow.llm.decontam import decontaminate
 
@@ -23,7 +54,7 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_decontamination, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_secret_scan, op6_decontamination, op7_line_dedup, op9_language_id, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
