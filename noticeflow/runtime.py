@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,19 @@ def small_enough(df: DataFrame, limit_bytes: int) -> bool:
 def maybe_broadcast(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its size is within the limit, else as it is."""
     return F.broadcast(df) if small_enough(df, limit_bytes) else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package from where the driver has it.
+    On a cluster without a shared file system, submit it with --py-files instead."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` on workers that can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
