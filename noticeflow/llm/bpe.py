@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.runtime import map_arrow
+
 #: The split pattern of the vocabulary file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE, CHUNK_CHARS, WIDE = 400_000, 2_000_000, 64
@@ -274,7 +276,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", decoded: bool = Fal
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *new])
 
-    return keep.mapInArrow(run, schema)
+    return map_arrow(keep, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import documents
 from noticeflow.llm.quality import crc_of
+from noticeflow.runtime import map_arrow
 
 UNKNOWN = "und"
 PER_LANGUAGE, STEPS, CACHE = 1_500, 3, 300_000
@@ -228,7 +229,7 @@ def predict(docs: DataFrame, model: Model, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 500), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     base = documents(docs)
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(base, run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.runtime import maybe_broadcast
+from noticeflow.runtime import map_arrow, maybe_broadcast
 
 FEATURES = ["log_chars", "log_words", "mean_word", "letters", "upper", "digits", "white", "sentence", "symbols", "distinct_words", "top_word", "repeats", "distinct_lines", "words_line", "odd_ends", "longest"]
 SAMPLE, BINS, PAIR_BINS, ROUNDS, RATE, PAIRS = 20_000, 32, 8, 60, 0.15, 6
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(run, "y int, x array<double>").collect()
+    got = map_arrow(rows, run, "y int, x array<double>").collect()
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, np.array([r["y"] for r in got])))
     return fit(x[order], np.array([r["y"] for r in got], float)[order])
@@ -186,7 +186,7 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.array([features(t or "") for t in part.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, "score"])
 
-    return keep.mapInArrow(run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(keep, run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import documents
-from noticeflow.runtime import staged
+from noticeflow.runtime import map_arrow, staged
 
 RULES_VERSION = 1
 #: The base rules. Group and least length of what a match must have there.
@@ -67,7 +67,7 @@ def scan(unseen: DataFrame, version: int = RULES_VERSION) -> DataFrame:
             spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * batch.num_rows, pa.int32()), spans], names=["blob", "rules", "spans"])
 
-    return unseen.mapInArrow(run, FINDINGS)
+    return map_arrow(unseen, run, FINDINGS)
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULES_VERSION) -> DataFrame:
