@@ -30,6 +30,12 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark, sf_dir):
+    from noticeflow.llm.near_dup import near_dedup
+
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     from noticeflow.llm.langid import language_id
 
@@ -54,7 +60,7 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_secret_scan, op6_decontamination, op7_line_dedup, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_secret_scan, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
