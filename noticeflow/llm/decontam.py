@@ -159,3 +159,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return h.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` in which no window of the benchmark occurs, as they are."""
+    bad = hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    bad = maybe_broadcast(staged(bad, "contaminated"))
+    d = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left_anti").drop("_text_hash")

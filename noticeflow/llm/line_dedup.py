@@ -90,3 +90,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     """
     out = apply_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with the lines found in ``min_docs`` documents taken out of text; n_chars, if it is there, follows. Null texts stay null."""
+    done = apply_bitmaps(docs.drop("n_lines", "n_dropped", "kept_text"), keep_bitmaps(docs, min_docs, min_chars))
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    return done.select(*(text.alias(c) if c == "text" else F.coalesce(F.char_length(text).cast(docs.schema[c].dataType), c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c in done.columns))

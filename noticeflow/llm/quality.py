@@ -174,9 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x[order], np.array([r["y"] for r in got], float)[order])
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column score, which replaces one of that name."""
-    keep = docs.drop("score")
+def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with the score in a column that replaces one of that name."""
+    keep = docs.drop(column)
     names = keep.columns
 
     def run(batches):
@@ -184,9 +184,9 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 x = np.array([features(t or "") for t in part.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, column])
 
-    return map_arrow(keep, run, T.StructType([*keep.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(keep, run, T.StructType([*keep.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,3 +199,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     out = with_score(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", (crc_of(F.col("doc_id")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that the classifier does not reject, as they are."""
+    return with_score(docs, train(docs, labels), "_quality").filter(F.col("_quality") >= THRESHOLD).drop("_quality")

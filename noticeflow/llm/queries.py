@@ -24,6 +24,12 @@ def op2_bpe(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_lm_score(spark, sf_dir):
+    from noticeflow.llm.lm import score
+
+    return score(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark, sf_dir):
     from noticeflow.llm.secrets import secret_scan
 
@@ -48,6 +54,12 @@ def op10_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_warc_derivatives(spark, sf_dir):
+    from noticeflow.llm.warc import derivatives
+
+    return derivatives(read(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark, sf_dir):
     from noticeflow.llm.decontam import decontaminate
 
@@ -60,7 +72,7 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_secret_scan, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_lm_score, op4_secret_scan, op5_warc_derivatives, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
