@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import glossary as G
 from noticeflow.functions import patterns as P
 from noticeflow.functions import rules, slots
-from noticeflow.functions.easy import easy_korean
+from noticeflow.functions.easy import polite_ending, protect, replace_words, restore
 from noticeflow.functions.i18n import format_amount, format_date, format_time
 from noticeflow.functions.text import for_compare, join_broken_lines, let, sentences, strip, strip_markers
 
@@ -48,55 +48,44 @@ def when_text(text: Column, lang: Column) -> Column:
     return F.nullif(F.concat_ws(" ", F.when(d.isNotNull(), format_date(d, lang)), F.when(t.isNotNull(), format_time(t, lang))), F.lit(""))
 
 
-def todo_card(text: Column, confidence: Column, lang: Column, glossary: Column, translated: Column | None = None) -> Column:
-    """Card of a to-do. ``translated`` is what a translator made of the value; without one the value stays."""
-    def of(x: Column) -> Column:
-        head, val, cat = x["head"], x["val"], x["cat"]
-        shown = F.coalesce(F.nullif(translated, F.lit("")), val) if translated is not None else val
-        return F.struct(
-            head.alias("header_ko"), G.term(head, glossary, lang).alias("header_translated"), val.alias("value_ko"), easy_korean(val).alias("value_easy_ko"),
-            shown.alias("value_translated"), F.when(cat != P.OTHER, cat).alias("chip"), confidence.alias("importance"),
-        ).cast(CARD)
-    def split(t: Column) -> Column:
-        return let(value(t), lambda v: F.struct(F.coalesce(header(t), F.lit(P.OTHER)).alias("head"), v.alias("val"), rules.category(v).alias("cat")))
-    return let(let(text, split), of)
-
-
-def _one(f):
-    """``f`` as a function of one argument, whatever defaults it binds."""
-    return lambda x: f(x)
-
-
-def slot_cards(entries: Column, headers: Column, lang: Column, glossary: Column) -> Column:
-    """One card for each slot that has values and that no to-do header covers, at importance 0.7."""
-    out = []
-    for slot, head in P.SLOT_HEADERS:
-        own = entries[slot]
-        def joined(field: str, own=own) -> Column:
-            return F.array_join(F.filter(F.transform(own, lambda e: e[field]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
-        def card(ko: Column, head=head, shown=joined("translated")) -> Column:
-            return F.struct(
-                F.lit(head).alias("header_ko"), G.term(F.lit(head), glossary, lang).alias("header_translated"), ko.alias("value_ko"), easy_korean(ko).alias("value_easy_ko"),
-                F.coalesce(F.nullif(shown, F.lit("")), ko).alias("value_translated"), F.lit(None).cast("string").alias("chip"), F.lit(0.7).alias("importance"),
-            ).cast(CARD)
-        covered = F.arrays_overlap(headers, F.array(*map(F.lit, P.SLOT_COVERED_BY[slot])))
-        shown = F.when(covered, F.array().cast("array<string>")).otherwise(F.filter(F.array(joined("ko")), lambda v: v != ""))
-        out.append(F.transform(shown, _one(card)))
-    return F.concat(*out)
+def with_easy(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the easy form of a column, in steps: as columns they are computed once each."""
+    df = df.withColumn("_p", protect(F.col(source), P.EASY_KEPT)).withColumn("_e", polite_ending(replace_words(F.col("_p.text"))))
+    return df.withColumn(name, F.when(F.col(source) == "", F.col(source)).otherwise(restore(F.col("_e"), F.col("_p.kept")))).drop("_p", "_e")
+
+
+def todo_cards(todo: DataFrame, id_col: str, lang: str, glossary: Column, translated: str | None = None) -> DataFrame:
+    """Adds to to-do rows (text, confidence) the fields of a card. ``translated`` names a column with what a
+    translator made of the value; without one the value stays."""
+    d = todo.withColumn("_h", header(F.col("text"))).withColumn("value_ko", value(F.col("text"))).withColumn("header_ko", F.coalesce("_h", F.lit(P.OTHER))).withColumn("_c", rules.category(F.col("value_ko")))
+    shown = F.coalesce(F.nullif(F.col(translated), F.lit("")), "value_ko") if translated else F.col("value_ko")
+    d = with_easy(d, "value_ko", "value_easy_ko")
+    d = d.withColumns({"header_translated": G.term(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": shown, "chip": F.when(F.col("_c") != P.OTHER, F.col("_c")), "importance": F.col("confidence")})
+    return d.drop("_h", "_c")
+
+
+def slot_cards(slots_of: DataFrame, id_col: str, headers: str, lang: str, glossary: Column) -> DataFrame:
+    """One card row for each slot that has values and that no to-do header (an array column) covers, at importance 0.7."""
+    def joined(slot: str, field: str) -> Column:
+        return F.array_join(F.filter(F.transform(F.col(f"slots.{slot}"), lambda e: e[field]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
+    rows = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(head).alias("header_ko"), joined(slot, "ko").alias("value_ko"), joined(slot, "translated").alias("_t"), F.array(*map(F.lit, P.SLOT_COVERED_BY[slot])).alias("_by")) for i, (slot, head) in enumerate(P.SLOT_HEADERS)))
+    d = slots_of.select(id_col, headers, F.inline(rows)).filter((F.col("value_ko") != "") & ~F.arrays_overlap(headers, "_by"))
+    d = with_easy(d, "value_ko", "value_easy_ko")
+    return d.withColumns({"header_translated": G.term(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": F.coalesce(F.nullif("_t", F.lit("")), "value_ko"), "chip": F.lit(None).cast("string"), "importance": F.lit(0.7)}).drop("_t", "_by", headers)
 
 
 def dedup(cards: Column) -> Column:
     """Per header, values that are part of a longer kept value go; the rest by header's first
     appearance, then the longest value first. A kept card keeps its own importance."""
-    heads = F.array_distinct(F.transform(cards, lambda c: c["header_ko"]))
-    numbered = F.transform(cards, lambda c, i: F.struct(F.array_position(heads, c["header_ko"]).alias("h"), (-F.char_length(c["value_ko"])).alias("n"), i.alias("i"), for_compare(c["value_ko"]).alias("norm"), c.alias("card")))
+    def numbers(cards: Column, heads: Column) -> Column:
+        return F.transform(cards, lambda c, i: F.struct(F.array_position(heads, c["header_ko"]).alias("h"), (-F.char_length(c["value_ko"])).alias("n"), i.alias("i"), for_compare(c["value_ko"]).alias("norm"), c.alias("card")))
+    numbered = let(cards, lambda cs: let(F.array_distinct(F.transform(cs, lambda c: c["header_ko"])), lambda heads: numbers(cs, heads)))
     kind = "struct<h:bigint,n:int,i:int,norm:string,card:%s>" % CARD
     ordered = F.array_sort(numbered, lambda a, b: _order(a, b)).cast(f"array<{kind}>")
     def step(kept, x):
         inside = F.exists(kept, lambda k: (k["h"] == x["h"]) & k["norm"].contains(x["norm"]))
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
-    kept = F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step)
-    return F.transform(kept, lambda k: k["card"])
+    return F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step, lambda kept: F.transform(kept, lambda k: k["card"]))
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -141,31 +130,41 @@ def top_per_group(df: DataFrame, group: str, order: list, n: int = MAX_CARDS) ->
     return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
+def _with_items(t: DataFrame, lang: str) -> DataFrame:
+    """Adds to to-do rows the deprecated item form of a to-do."""
+    d = t.withColumn("_cat", rules.category(F.col("text")))
+    what = F.when(F.col("_cat") == "준비물", slots.supplies(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    item = F.struct(
+        F.col("_cat").alias("category"), "action_hint", F.col("text").alias("title_ko"), when_text(F.col("text"), F.lit(lang)).alias("when"), what.alias("what"),
+        F.concat(F.format_number("amount", 0), F.lit("원")).alias("amount"), F.col("due_date").alias("deadline"), F.col("confidence").alias("importance"),
+    )
+    return d.withColumn("item", item).drop("_cat")
+
+
 def analyze(notices: DataFrame, lang: str, glossary: list[tuple[str, str]] = (), id_col: str = "notice_id", as_of_year: int = 2026) -> DataFrame:
-    """One row per notice: cards (eight at most), summary, items and both speech texts.
+    """One row per notice (ids are unique): cards (eight at most), items, summary and both speech texts.
 
-    To-dos of a notice are gathered by its id only: a bounded number of
-    sentences of one text. Notices without to-dos get cards from their slots.
+    To-dos and cards are rows while they are made and meet by the notice's id
+    only: a bounded number of sentences of one text. Notices without to-dos
+    get cards from their slots.
     """
-    g, to = G.literal(list(glossary)), F.lit(lang)
-    t = todos(notices, id_col, as_of_year=as_of_year)
-    item = F.struct("confidence", "pos", "text", "due_date", "amount", "action_hint")
-    gathered = t.groupBy(id_col).agg(F.collect_list(item).alias("todos"))
-    kind = "array<struct<confidence:double,pos:int,text:string,due_date:string,amount:bigint,action_hint:string>>"
-    df = notices.join(gathered, id_col, "left").withColumn("todos", F.array_sort(F.coalesce("todos", F.array().cast(kind)), lambda a, b: a["pos"] - b["pos"]))
-    df = df.withColumn("slots", slot_entries(F.coalesce("text", F.lit("")), to))
-    best = F.array_sort("todos", lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(a["pos"] - b["pos"]))
-    df = df.withColumn("top", F.transform(F.slice(best, 1, MAX_CARDS), lambda x: todo_card(x["text"], x["confidence"], to, g)))
-    df = df.withColumn("more", slot_cards(F.col("slots"), F.transform("top", lambda c: c["header_ko"]), to, g))
-    df = df.withColumn("cards", ranked(dedup(F.concat("top", "more"))))
-    def tokens(x) -> Column:
-        return F.when(rules.category(x["text"]) == "준비물", slots.supplies(x["text"])).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("items", F.transform("todos", lambda x: F.struct(
-        rules.category(x["text"]).alias("category"), x["action_hint"].alias("action_hint"), x["text"].alias("title_ko"), when_text(x["text"], to).alias("when"),
-        tokens(x).alias("what"), F.concat(F.format_number(x["amount"], 0), F.lit("원")).alias("amount"), x["due_date"].alias("deadline"), x["confidence"].alias("importance"),
-    )))
+    g = G.literal(list(glossary))
+    base = notices.select(id_col, F.coalesce("text", F.lit("")).alias("text")).withColumn("slots", slot_entries(F.col("text"), F.lit(lang)))
+    t = _with_items(todos(notices, id_col, as_of_year=as_of_year), lang)
+    t = t.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.col("confidence").desc(), "pos")))
+    t = todo_cards(t, id_col, lang, g)
+    fields = [x.split(":")[0] for x in CARD[len("struct<") : -1].split(",")]
+    card = F.when(F.col("rank") <= MAX_CARDS, F.struct("rank", F.struct(*fields).alias("card")))
+    by_pos = lambda c, f: F.transform(F.array_sort(c), lambda x: x[f])
+    gathered = t.groupBy(id_col).agg(by_pos(F.collect_list(card), "card").alias("top"), by_pos(F.collect_list(F.struct("pos", "item")), "item").alias("items"))
+    df = base.join(gathered, id_col, "left")
+    no_items = F.from_json(F.lit("[]"), t.select(F.array("item").alias("x")).schema["x"].dataType)
+    df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.transform("top", lambda c: c["header_ko"]))
+    more = slot_cards(df.select(id_col, "slots", "heads"), id_col, "heads", lang, g).groupBy(id_col).agg(by_pos(F.collect_list(F.struct("pos", F.struct(*fields).alias("card"))), "card").alias("more"))
+    df = df.join(more, id_col, "left")
+    df = df.withColumn("cards", ranked(dedup(F.concat(F.col("top"), F.coalesce("more", F.array().cast(f"array<{CARD}>"))))))
     def entry(source: str):
-        return lambda v: F.struct(v.alias("ko"), G.term(v, g, to).alias("translated"), F.lit(source).alias("source"))
+        return lambda v: F.struct(v.alias("ko"), G.term(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
     supplies = F.array_distinct(F.flatten(F.transform("items", lambda i: i["what"])))
     deadlines = F.array_distinct(F.filter(F.transform("items", lambda i: i["deadline"]), lambda d: F.coalesce(d, F.lit("")) != ""))
     df = df.withColumn("summary", F.struct("slots.*", F.transform(supplies, entry("model")).alias("supplies"), F.transform(deadlines, entry("model+regex")).alias("deadlines")))

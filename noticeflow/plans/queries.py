@@ -47,6 +47,12 @@ def notices(spark, sf_dir: str):
     return spark.sql(N_SPARK)
 
 
+def spread_notices(spark, sf_dir: str):
+    """Notices by id over all cores: their analysis takes far longer than moving them, and it groups and
+    joins by the id, so that this is its one shuffle."""
+    return notices(spark, sf_dir).repartition(max(8, spark.sparkContext.defaultParallelism), "notice_id")
+
+
 GLOSSARY = [("참가비", "phí tham gia"), ("도시락", "cơm hộp"), ("돗자리", "chiếu"), ("비용", "chi phí"), ("연락처", "liên hệ"), ("시간", "giờ"), ("일시", "ngày giờ"), ("참가", "tham gia"), ("물통", "")]
 TERMS = [("the", "le"), ("and", "et"), ("that", "que"), ("tion", "ción"), ("ung", "ing"), ("zzz", "none"), ("heit", "")]
 _TERMS_DUCK = "terms(pos, korean, preferred) as (values " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(TERMS)) + ")"
@@ -181,19 +187,19 @@ def label_imbalance(spark, sf_dir):
 @query()
 def notice_cards(spark, sf_dir):
     """Cards of every notice in Vietnamese form: at most eight each."""
-    out = cards.analyze(notices(spark, sf_dir), "vi", GLOSSARY)
+    out = cards.analyze(spread_notices(spark, sf_dir), "vi", GLOSSARY)
     return out.select("notice_id", F.posexplode("cards").alias("pos", "c")).select("notice_id", "pos", "c.*")
 
 
 @query()
 def notice_analysis(spark, sf_dir):
-    out = cards.analyze(notices(spark, sf_dir), "en", [])
+    out = cards.analyze(spread_notices(spark, sf_dir), "en", [])
     return out.select("notice_id", F.to_json("items").alias("items"), F.to_json("summary").alias("summary"), "tts_text", "tts_text_easy_ko")
 
 
 @query()
 def notice_todos(spark, sf_dir):
-    return cards.todos(notices(spark, sf_dir), "notice_id")
+    return cards.todos(spread_notices(spark, sf_dir), "notice_id")
 
 
 @query(f"""with {N_DUCK} select notice_id, case when notice_id % 2 = 0 then '준비물' end as header, case when notice_id % 2 = 0 then substr(text, 6) else text end as value from n""")

@@ -92,7 +92,7 @@ def uploads(files: DataFrame, extract: Callable[[DataFrame], DataFrame] | None =
     go through ``extract`` (name, content -> name, text, error), where there is one.
     """
     f = files.withColumn("_route", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, "text").otherwise(route(F.col("name"))))
-    text = f.filter("_route = 'text'").select("name", normalize(F.decode(F.coalesce("content", F.lit(b"")), "UTF-8")).alias("text"))
+    text = f.filter("_route = 'text'").select("name", normalize(F.make_valid_utf8(F.coalesce(F.col("content").cast("string"), F.lit("")))).alias("text"))
     bad = f.filter("_route = 'skip'").select("name", F.concat(F.lit("unsupported file type: ."), suffix(F.col("name"))).alias("error"))
     rest = f.filter("_route in ('pdf', 'convert')")
     if extract is None:
