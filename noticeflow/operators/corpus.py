@@ -190,3 +190,12 @@ def select_sentences(parts: Column, terms: Column, most: int = 5) -> Column:
     return F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
 
 
+
+
+def fill_blank(df: DataFrame, suggestions: DataFrame, key: str, column: str) -> DataFrame:
+    """Blank cells of a column from a table of suggestions (key, suggestion); filled cells stay."""
+    from noticeflow.functions.text import strip
+
+    s = suggestions.select(F.col(key).alias("_k"), F.col("suggestion").alias("_s")).dropDuplicates(["_k"])
+    own = F.when(strip(F.coalesce(F.col(column), F.lit(""))) == "", F.coalesce("_s", F.lit(""))).otherwise(F.col(column))
+    return df.join(s, F.col(key) == F.col("_k"), "left").withColumn(column, own).drop("_k", "_s")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import easy, glossary, i18n, rules, slots, text
 from noticeflow.functions import patterns as P
 from noticeflow.operators import cards, corpus, evals
-from noticeflow.plans import graph
+from noticeflow.plans import graph, offline
 from noticeflow.sources import files
 from noticeflow.streaming import inbox
 
@@ -572,3 +572,22 @@ def file_routes(spark, sf_dir):
 def components(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u"), (-(F.col("o_orderkey") % 500) - 1).alias("v"))
     return graph.components(o.distinct())
+
+
+@query()
+def offline_pipeline(spark, sf_dir):
+    rows = notices(spark, sf_dir).select(F.col("notice_id").cast("string").alias("id"), F.col("text").alias("original_text"), F.when(F.col("notice_id") % 5 == 0, "비용").otherwise("").alias("category"))
+    out = offline.run(rows, GLOSSARY)
+    return out.select("id", "category", "easy_text", F.size("chunks").alias("n_chunks"), F.to_json("checks").alias("checks"), "quality_label", "note")
+
+
+@query()
+def legacy_todos(spark, sf_dir):
+    return offline.legacy_todos(notices(spark, sf_dir), "notice_id")
+
+
+@query("select p_partkey, case when p_size % 3 = 0 then 'filled' || (p_partkey % 2)::varchar else p_brand end as shown from part where p_partkey % 2 = 0 union all select p_partkey, case when p_size % 3 = 0 then '' else p_brand end from part where p_partkey % 2 = 1")
+def blank_cells(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_brand")).alias("shown"))
+    s = p.filter("p_partkey % 2 = 0").select("p_partkey", F.concat(F.lit("filled"), (F.col("p_partkey") % 2).cast("string")).alias("suggestion"))
+    return corpus.fill_blank(p, s, "p_partkey", "shown")

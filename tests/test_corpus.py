@@ -119,3 +119,22 @@ def test_stream(spark, tmp_path):
 def test_staged(spark):
     df = staged(spark.range(3), "t")
     assert df.count() == 3 and df._staged_path.startswith(checkpoint_root(spark))
+
+
+def test_offline(spark):
+    from noticeflow.plans import offline
+
+    rows = spark.createDataFrame([("1", "급식비를 납부해 주시기 바랍니다. 둘. 셋. 넷. 다섯. 여섯 도시락.", "", "a|b"), ("2", " ", "비용", ""), ("3", "안내", "비용", None)], "id string, original_text string, category string, keywords string")
+    got = {r.id: r for r in offline.run(rows, [("도시락", "cơm hộp")]).collect()}
+    assert got["1"].easy_text.split("\n") == ["급식비를 내 주세요.", "둘.", "셋.", "넷.", "여섯 도시락."]
+    assert (got["1"].quality_label, got["1"].note, got["1"].keywords) == ("review_needed", "도시락->cơm hộp", ["a", "b"])
+    assert (got["2"].quality_label, got["2"].category, len(got["2"].errors)) == ("error", "비용", 1)
+    assert (got["3"].quality_label, got["3"].category) == ("unchecked", "비용")
+
+
+def test_legacy_todos(spark):
+    from noticeflow.plans import offline
+
+    n = spark.createDataFrame([(1, "안녕하십니까 학부모님.\n급식비 5,000원을 5월 3일까지 내 주세요. 신고 요령을 익혀 주세요.")], "id int, text string")
+    got = [tuple(r) for r in offline.legacy_todos(n, "id").orderBy("pos").collect()]
+    assert [(r[3], r[4], r[5]) for r in got] == [("비용", 0.8, "2026-05-03"), ("건강·안전", 0.85, None)]
