@@ -34,7 +34,7 @@ from noticeflow.llm.common import ascii_lower, documents
 from noticeflow.llm.quality import crc_of
 from noticeflow.runtime import map_arrow, staged
 
-CHUNK, SHARD, HOT_PARTS = 4_000_000, 2_000_000, 8
+CHUNK, SHARD, HOT_PARTS = 1_500_000, 1_000_000, 8
 ALPHA = 0.1
 END, START = np.uint64(0x0A0A0A0A0A0A0A0A), np.uint64(0x0D0D0D0D0D0D0D0D)
 SUCCESSOR_BITS = 40
@@ -361,6 +361,18 @@ def pair_answers(table: DataFrame, hot: np.ndarray, n_shards: int) -> DataFrame:
     return _requests(table, make).groupBy("shard").applyInArrow(answer, ANSWER)
 
 
+def _unpacked(answers: DataFrame) -> DataFrame:
+    """h, k: what the shards say of hot words, a row each."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                h, k = np.frombuffer(x, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k)], names=["h", "k"])
+
+    return map_arrow(answers.select("hot").filter("hot is not null"), run, "h long, k long")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
@@ -378,16 +390,12 @@ def score(docs: DataFrame) -> DataFrame:
     stats = by_word.agg(F.sum("total"), F.sum("different")).first()
     n, v = stats[0] or 0, stats[1] or 0
     least = max(1, n // (HOT_PARTS * n_shards))
-    tops = [np.frombuffer(r[0], "<u8").reshape(2, -1) for r in by_word.select("hot").filter("hot is not null").collect()]  # a few words of each shard
-    tops = np.concatenate(tops, 1) if tops else np.zeros((2, 0), np.uint64)
-    hot = np.append(tops[0][tops[1] >= least], START)
+    frequent = [r["h"] for r in _unpacked(by_word).filter(F.col("k") >= least).collect()]  # HOT_PARTS * n_shards words at most
+    hot = np.append(np.array(frequent, np.int64).view(np.uint64), START)
     by_pair = staged(pair_answers(table, hot, n_shards), "pairs")
-    sums: dict[int, int] = {}
-    for r in by_pair.select("hot").filter("hot is not null").toLocalIterator():  # hot contexts of each shard: a bounded number
-        for h, k in np.frombuffer(r[0], "<u8").reshape(2, -1).T.tolist():
-            sums[h] = sums.get(h, 0) + k
-    hot_words = np.array(sorted(sums), np.uint64)
-    hot_sizes = np.array([sums[h] for h in sorted(sums)], float)
+    sums = sorted((r["h"] % (1 << 64), r["k"]) for r in _unpacked(by_pair).groupBy("h").agg(F.sum("k").alias("k")).collect())  # a row for each hot word
+    hot_words = np.array([h for h, _ in sums], np.uint64)
+    hot_sizes = np.array([k for _, k in sums], float)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
