@@ -87,5 +87,6 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, keyer=hash_pair) -> DataFra
     """
     rows, ident = identities(docs, block, keyer)
     found = staged(rows.join(ident, "rid"), "identity")
-    groups = found.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # staged, so that both sides of the join are plain exchanges and a name with very many rows can be split
+    groups = staged(found.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
