@@ -58,7 +58,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     """
     lines = staged(line_occurrences(docs, min_chars), "lines")
     first = first_occurrences(lines)
-    common = first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "first_pos")).alias("first")).filter(F.col("n_docs") >= min_docs)
+    # staged, so that both sides of the join are plain exchanges and a line with very many occurrences can be split
+    common = staged(first.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "first_pos")).alias("first")).filter(F.col("n_docs") >= min_docs), "common")
     if keep_first:
         gone = lines.join(common, ["a", "b"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.first_pos"))))
     else:
