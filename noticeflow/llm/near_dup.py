@@ -4,9 +4,10 @@ A text is a weighted set of five-word shingles; a weight is the shingle's
 count times its inverse document frequency. Consistent samples of the weighted
 set, in bands, bring similar texts into one bucket. In a bucket the most
 central texts (those whose buckets are the fullest) are compared with the
-others, so that a bucket costs in proportion to its size; every comparison is
-the true weighted Jaccard similarity. Classes are the connected components of
-the links.
+others first, which joins most classes at a cost in proportion to the bucket's
+size; then all pairs of a bucket that are still apart are compared, block by
+block. Every comparison is a weighted Jaccard similarity over all shingles.
+Classes are the connected components of the links.
 
 Document frequencies are counted over all documents in a table of a fixed
 number of cells, chosen by hash: its size does not grow with the input, and a
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.decontam import words
 from noticeflow.plans.graph import components
-from noticeflow.runtime import map_arrow, maybe_broadcast, release, staged
+from noticeflow.runtime import map_arrow, maybe_broadcast, release, ship, staged
 
 SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
@@ -32,6 +33,7 @@ PART = 1 << 14
 BANDS, ROWS = 16, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
+BLOCK, BLOCK_BYTES = 1000, 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,18 +188,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(nodes(picked).select("node", "wh"), run, "node binary, hashes binary, counts binary").dropDuplicates(["node"])
 
 
+def _weights(h: bytes, c: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(h, "<u8")
+    return hashes, np.frombuffer(c, "<u2") * idf[_cell(hashes)].astype(np.float64)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
     """u, v, similarity of the pairs (u, v)."""
 
-    def weights(h: bytes, c: bytes):
-        hashes = np.frombuffer(h, "<u8")
-        return hashes, np.frombuffer(c, "<u2") * idf[_cell(hashes)].astype(np.float64)
-
     def run(batches):
         for b in batches:
             out = []
             for ha, ca, hb, cb in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                (x, wx), (y, wy) = weights(ha, ca), weights(hb, cb)
+                (x, wx), (y, wy) = _weights(ha, ca, idf), _weights(hb, cb, idf)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = y[at] == x
                 least = np.minimum(wx[both], wy[at[both]]).sum()
@@ -211,7 +214,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def links(docs: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """u, v, similarity: links between distinct texts that are similar; enough of them to join every class."""
+    """u, v, similarity: links between distinct texts that are similar; enough of them to join every class of
+    similar texts that share a bucket."""
     each = staged(sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket")), "buckets")
     full = staged(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "full")
     members = staged(each.join(full, "bucket"), "members")
@@ -237,8 +241,75 @@ def links(docs: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
     later = later.join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
     later = staged(later.join(pairs, ["u", "v"], "left_anti"), "pairs")
     more = staged(_verified(later, sets, idf).filter(F.col("similarity") >= SIMILAR), "links")
+    found = found.unionByName(more)
+    rest = staged(_rest(members, components(found), sets, idf), "links")
     release(sets, members, central, top, later, wanted, pairs)
-    return found.unionByName(more)
+    return found.unionByName(rest)
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """u, v, similarity: links between texts of one bucket that ``labels`` has in different components.
+
+    All such pairs are compared, each in the least of the buckets that it shares. A bucket is dealt into
+    blocks by hash, a task has two blocks of a bucket, and tasks whose texts are all joined are left out.
+    Of the links that a task finds, those that join the same components are left out. Buckets of
+    CENTRES + 1 texts have no pair without a centre.
+    """
+    m = members.filter(F.col("size") > CENTRES + 1).join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
+    m = m.join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    apart = staged(m.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).filter("lo != hi").select("bucket", "blocks"), "apart")
+    dealt = m.join(apart, "bucket").select("bucket", "node", "label", F.pmod(F.xxhash64("node", "bucket"), "blocks").alias("part"))
+    dealt = staged(dealt, "dealt")
+    each = staged(dealt.groupBy("bucket", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    a, c = (each.select("bucket", F.col("part").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ij")
+    tasks = a.join(c, "bucket").filter((F.col("i") <= F.col("j")) & (F.least("lo_i", "lo_j") != F.greatest("hi_i", "hi_j")))
+    tasks = staged(tasks.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part")), "tasks")
+    own = dealt.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket, i, j = (k.as_py() for k in key)
+        nodes_, part = table.column("node").to_pylist(), table.column("part").to_numpy()
+        left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+        xs = [_weights(h, k, idf) for h, k in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        total = np.array([w.sum() for _, w in xs])
+        names: dict = {}
+        comp = np.array([names.setdefault(x, len(names)) for x in table.column("label").to_pylist()])
+        # the shared buckets below this one, padded with this one
+        less = [[x for x in b if x < bucket] for b in table.column("buckets").to_pylist()]
+        lower = np.full((len(xs), max(map(len, less)) + 1), bucket)
+        for k, b in enumerate(less):
+            lower[k, : len(b)] = b
+        h, w = np.concatenate([xs[k][0] for k in right]), np.concatenate([xs[k][1] for k in right])
+        owner = np.repeat(np.arange(len(right)), [len(xs[k][0]) for k in right])
+        order = np.argsort(h, kind="stable")
+        h, w, owner = h[order], w[order], owner[order]
+        u, v, similarity = [], [], []
+        for k in left:
+            other = comp[right] != comp[k]
+            if i == j:
+                other &= right > k
+            if less[k]:
+                other &= ~np.isin(lower[right], less[k]).any(axis=1)
+            if not other.any():
+                continue
+            x, wx = xs[k]
+            start = np.searchsorted(h, x, "left")
+            n = np.searchsorted(h, x, "right") - start
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            least = np.bincount(owner[at], np.minimum(np.repeat(wx, n), w[at]), minlength=len(right))
+            alike = least / (total[k] + total[right] - least)
+            for r in np.nonzero(other & (alike >= SIMILAR))[0]:
+                if comp[right[r]] != comp[k]:
+                    comp[comp == comp[right[r]]] = comp[k]
+                    u.append(nodes_[k])
+                    v.append(nodes_[right[r]])
+                    similarity.append(float(alike[r]))
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "similarity": pa.array(similarity, pa.float64())})
+
+    rows = dealt.join(tasks, ["bucket", "part"]).join(own, "node").join(sets, "node").select("bucket", "i", "j", "part", "node", "label", "buckets", "hashes", "counts")
+    ship(rows.sparkSession)
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u binary, v binary, similarity double")
 
 
 def _tops(ranked: DataFrame) -> DataFrame:

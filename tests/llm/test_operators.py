@@ -378,6 +378,61 @@ def test_near_dedup_recall(spark):
                 assert cls[a] == cls[b]
 
 
+def alike(texts: list[str]) -> dict:
+    """Weighted Jaccard similarity of all pairs (a, b), a < b, that share a shingle; documents are counted exactly."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    df = Counter(s for x in sets for s in x)
+    n = len(texts)
+    idf = {s: 1 + max(0.0, math.log((n + 1) / (k + 1))) / math.log(n + 2) for s, k in df.items()}
+    total = [sum(c * idf[s] for s, c in x.items()) for x in sets]
+    found: dict = {}
+    least: Counter = Counter()
+    for b, x in enumerate(sets):
+        for s, c in x.items():
+            for a, k in found.get(s, ()):
+                least[a, b] += min(c, k) * idf[s]
+            found.setdefault(s, []).append((b, c))
+    return {(a, b): v / (total[a] + total[b] - v) for (a, b), v in least.items()}
+
+
+@pytest.mark.parametrize("block", [1000, 60])
+def test_near_dedup_of_a_group_without_its_original(spark, monkeypatch, block):
+    """Every link of a large group of drifted copies, also where neither of its texts is central."""
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    r = random.Random(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(400):
+        w = list(base)
+        for at in r.sample(range(5, 115), 2):
+            w[at] = f"new{r.randrange(10**9)}"
+        twin = list(w)
+        twin[r.randrange(5, 115)] = f"new{r.randrange(10**9)}"
+        texts += [" ".join(w), " ".join(twin)]
+    got = near_dup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    cls = {x.doc_id: x.class_id for x in got}
+    similar = alike(texts)
+    assert sum(v >= 0.82 for v in similar.values()) >= 300
+    missed = [p for p, v in similar.items() if v >= 0.82 and cls[p[0]] != cls[p[1]]]
+    assert not missed
+    parent = list(range(len(texts)))
+    for (a, b), v in similar.items():
+        if v >= 0.79:
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+    for d, c in cls.items():
+        while parent[d] != d:
+            d = parent[d]
+        while parent[c] != c:
+            c = parent[c]
+        assert c == d
+
+
 def test_samples_are_consistent():
     """The share of equal samples is the weighted Jaccard similarity."""
     r = np.random.RandomState(0)
