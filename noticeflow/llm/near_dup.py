@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for part, row, h, count in _pieces(batches, "wh"):
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             hs = [h[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            cs = [np.minimum(count[a:b], 65535).astype("<u2").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            cs = [count[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hs, pa.binary()), pa.array(cs, pa.binary())], names=["node", "hashes", "counts"])
 
     picked = docs.select("doc_id", "text").withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).join(maybe_broadcast(wanted), "th", "left_semi")
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _weights(h: bytes, c: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.frombuffer(h, "<u8")
-    return hashes, np.frombuffer(c, "<u2") * idf[_cell(hashes)].astype(np.float64)
+    return hashes, np.frombuffer(c, "<u4") * idf[_cell(hashes)].astype(np.float64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:

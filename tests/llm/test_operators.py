@@ -433,6 +433,13 @@ def test_near_dedup_of_a_group_without_its_original(spark, monkeypatch, block):
         assert c == d
 
 
+def test_near_dedup_of_very_frequent_shingles(spark):
+    """One shingle 70,000 and 140,000 times: half alike, however often it is."""
+    rows = [(2 * k + n, f"{w} " * (70_000 * (n + 1) + 4)) for k, w in enumerate("la na go ho da ta".split()) for n in (0, 1)]
+    got = near_dup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(x.class_id == x.doc_id for x in got) and len(got) == len(rows)
+
+
 def test_samples_are_consistent():
     """The share of equal samples is the weighted Jaccard similarity."""
     r = np.random.RandomState(0)
