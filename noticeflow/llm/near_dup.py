@@ -9,9 +9,10 @@ size; then all pairs of a bucket that are still apart are compared, block by
 block. Every comparison is a weighted Jaccard similarity over all shingles.
 Classes are the connected components of the links.
 
-Document frequencies are counted over all documents in a table of a fixed
-number of cells, chosen by hash: its size does not grow with the input, and a
-cell's excess over a single shingle only flattens the weights.
+Document frequencies are counted over all documents, by shingle. Samples are
+drawn by a table of a fixed number of cells, chosen by hash, whose size does
+not grow with the input; comparisons take each shingle's own frequency, which
+is looked up for the texts that are compared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from noticeflow.runtime import map_arrow, maybe_broadcast, release, ship, staged
 
 SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
-PART = 1 << 14
+PARTS, FLUSH, CHUNK = 1 << 12, 1 << 21, 32 << 20
 BANDS, ROWS = 16, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
@@ -84,32 +85,67 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def idf_table(base: DataFrame) -> np.ndarray:
-    """Weight of each cell, between 1 and 2, from counts over all rows."""
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    """Weight, between 1 and 2, of what df of n rows hold."""
+    return 1.0 + np.maximum(0.0, np.log((n + 1.0) / (df + 1.0))) / np.log(n + 2.0)
+
+
+def _summed(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the sums of their counts."""
+    order = np.argsort(h)
+    h, count = h[order], count[order]
+    at = np.nonzero(np.append(True, h[1:] != h[:-1]))[0] if len(h) else np.zeros(0, np.int64)
+    return h[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _parts(h: np.ndarray) -> np.ndarray:
+    """Bounds of the PARTS ranges of sorted hashes."""
+    return np.searchsorted((h >> np.uint64(52)).astype(np.int64), np.arange(PARTS + 1))
+
+
+def _blobs(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def frequencies(base: DataFrame) -> DataFrame:
+    """part, hashes, dfs, cells: the frequency over all rows of each shingle, and of the cells, by ranges of hashes."""
 
     def count(batches):
-        total, n = np.zeros(CELLS, np.int64), 0
+        held, size = [], 0
         for b in batches:
             for a in range(0, b.num_rows, 2000):
-                part = b.column(0).slice(a, 2000)
-                row, h, _ = shingles(part)
-                cells = np.unique(row * np.int64(CELLS) + _cell(h)) & np.int64(CELLS - 1)
-                total += np.bincount(cells, minlength=CELLS)
-                n += len(part)
-        for k in range(0, CELLS, PART):
-            yield pa.RecordBatch.from_arrays([pa.array([k // PART], pa.int32()), pa.array([n if k == 0 else 0], pa.int64()), pa.array([total[k : k + PART].astype("<i8").tobytes()], pa.binary())], names=["part", "n", "counts"])
+                _, h, _ = shingles(b.column(0).slice(a, 2000))
+                held.append(h)
+                size += len(h)
+                if size >= FLUSH:
+                    yield dealt(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield dealt(np.concatenate(held))
+
+    def dealt(h):
+        h, df = _summed(h, np.ones(len(h), np.int64))
+        ends = _parts(h)
+        some = np.nonzero(np.diff(ends))[0]
+        hs, ds = ([x[ends[k] : ends[k + 1]].astype(t).tobytes() for k in some] for x, t in ((h, "<u8"), (df, "<u4")))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(hs, pa.binary()), pa.array(ds, pa.binary())], names=["part", "hashes", "dfs"])
 
     def add(table: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        h, df = _summed(_blobs(table.column("hashes"), "<u8"), _blobs(table.column("dfs"), "<u4").astype(np.int64))
+        width = CELLS // PARTS
+        cells = np.bincount(_cell(h) & (width - 1), df, minlength=width)
+        return pa.table({"part": table.column("part").slice(0, 1), "hashes": pa.array([h.astype("<u8").tobytes()], pa.binary()), "dfs": pa.array([df.astype("<i8").tobytes()], pa.binary()), "cells": pa.array([cells.astype("<i8").tobytes()], pa.binary())})
 
-    schema = "part int, n long, counts binary"
-    parts = map_arrow(base.select("wh"), count, schema)
-    got = sorted(map(tuple, parts.groupBy("part").applyInArrow(add, schema).collect()))
-    if not got:
-        return np.ones(CELLS, np.float32)
-    n, df = sum(r[1] for r in got), np.concatenate([np.frombuffer(r[2], "<i8") for r in got])
-    return (1.0 + np.maximum(0.0, np.log((n + 1.0) / (df + 1.0))) / np.log(n + 2.0)).astype(np.float32)
+    found = map_arrow(base.select("wh"), count, "part int, hashes binary, dfs binary")
+    return found.groupBy("part").applyInArrow(add, "part int, hashes binary, dfs binary, cells binary")
+
+
+def idf_table(freq: DataFrame, n: int) -> np.ndarray:
+    """Weight of each cell; a row counts once for each of its shingles in the cell."""
+    df = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    for r in freq.select("part", "cells").collect():
+        df[r.part] = np.frombuffer(r.cells, "<i8")
+    return _idf(n, df.ravel()).astype(np.float32)
 
 
 @lru_cache(1)
@@ -188,32 +224,67 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(nodes(picked).select("node", "wh"), run, "node binary, hashes binary, counts binary").dropDuplicates(["node"])
 
 
-def _weights(h: bytes, c: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.frombuffer(h, "<u8")
-    return hashes, np.frombuffer(c, "<u4") * idf[_cell(hashes)].astype(np.float64)
+def _weighted(sets: DataFrame, freq: DataFrame, n: int) -> DataFrame:
+    """node, hashes, weights of the sets: count times the idf of the shingle's own frequency.
+
+    Sets are dealt into chunks of about CHUNK bytes of hashes; a chunk asks each part of ``freq`` once.
+    """
+    chunks = max(1, -(-(sets.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // CHUNK))
+    s = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        h = np.unique(_blobs(table.column("hashes"), "<u8"))
+        ends = _parts(h)
+        some = np.nonzero(np.diff(ends))[0]
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "hashes": pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h, df = _blobs(known.column("hashes"), "<u8"), _blobs(known.column("dfs"), "<i8")
+        got = [df[np.searchsorted(h, np.frombuffer(x, "<u8"))].tobytes() for x in asked.column("hashes").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "hashes": asked.column("hashes"), "dfs": pa.array(got, pa.binary())})
+
+    def weigh(sets_: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        h, df = _blobs(answers.column("hashes"), "<u8"), _blobs(answers.column("dfs"), "<i8")
+        weights = []
+        for x, c in zip(sets_.column("hashes").to_pylist(), sets_.column("counts").to_pylist(), strict=True):
+            weights.append((np.frombuffer(c, "<u4") * _idf(n, df[np.searchsorted(h, np.frombuffer(x, "<u8"))])).astype("<f8").tobytes())
+        return pa.table({"node": sets_.column("node"), "hashes": sets_.column("hashes"), "weights": pa.array(weights, pa.binary())})
+
+    ship(sets.sparkSession)
+    asked = s.groupBy("chunk").applyInArrow(ask, "chunk long, part int, hashes binary")
+    known = freq.select("part", "hashes", "dfs")
+    answers = staged(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(lambda a, k: answer(a, k), "chunk long, part int, hashes binary, dfs binary"), "answers")
+    out = staged(s.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, a: weigh(x, a), "node binary, hashes binary, weights binary"), "sets")
+    release(answers)
+    return out
+
+
+def _weights(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(h, "<u8"), np.frombuffer(w, "<f8")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, similarity of the pairs (u, v)."""
 
     def run(batches):
         for b in batches:
             out = []
             for ha, ca, hb, cb in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                (x, wx), (y, wy) = _weights(ha, ca, idf), _weights(hb, cb, idf)
+                (x, wx), (y, wy) = _weights(ha, ca), _weights(hb, cb)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = y[at] == x
                 least = np.minimum(wx[both], wy[at[both]]).sum()
                 out.append(float(least / (wx.sum() + wy.sum() - least)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["u", "v", "similarity"])
 
-    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu"), F.col("counts").alias("cu"))
-    c = sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv"), F.col("counts").alias("cv"))
+    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu"), F.col("weights").alias("cu"))
+    c = sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv"), F.col("weights").alias("cv"))
     joined = pairs.join(a, "u").join(c, "v").select("u", "v", "hu", "cu", "hv", "cv")
     return map_arrow(joined, run, "u binary, v binary, similarity double")
 
 
-def links(docs: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int) -> DataFrame:
     """u, v, similarity: links between distinct texts that are similar; enough of them to join every class of
     similar texts that share a bucket."""
     each = staged(sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket")), "buckets")
@@ -230,8 +301,10 @@ def links(docs: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
     met = placed.select("node").union(placed.select(F.explode("best.node"))).distinct()
     texts = sigs.groupBy("node").agg(F.min("th").alias("th"))
     wanted = staged(texts.join(met, "node", "left_semi").select("th").distinct(), "wanted")
-    sets = staged(_sets(docs, wanted), "sets")
-    found = staged(_verified(pairs, sets, idf).filter(F.col("similarity") >= SIMILAR), "links")
+    counted = staged(_sets(docs, wanted), "sets")
+    sets = _weighted(counted, freq, n)
+    release(counted)
+    found = staged(_verified(pairs, sets).filter(F.col("similarity") >= SIMILAR), "links")
     labels = components(found)
 
     own = placed.select("node", F.slice("best", 2, CENTRES - 1).alias("best"), F.col("central").alias("c"))
@@ -240,14 +313,14 @@ def links(docs: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
     lu, lv = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
     later = later.join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
     later = staged(later.join(pairs, ["u", "v"], "left_anti"), "pairs")
-    more = staged(_verified(later, sets, idf).filter(F.col("similarity") >= SIMILAR), "links")
+    more = staged(_verified(later, sets).filter(F.col("similarity") >= SIMILAR), "links")
     found = found.unionByName(more)
-    rest = staged(_rest(members, components(found), sets, idf), "links")
+    rest = staged(_rest(members, components(found), sets), "links")
     release(sets, members, central, top, later, wanted, pairs)
     return found.unionByName(rest)
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, similarity: links between texts of one bucket that ``labels`` has in different components.
 
     All such pairs are compared, each in the least of the buckets that it shares. A bucket is dealt into
@@ -271,7 +344,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, idf: np.ndarra
         bucket, i, j = (k.as_py() for k in key)
         nodes_, part = table.column("node").to_pylist(), table.column("part").to_numpy()
         left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
-        xs = [_weights(h, k, idf) for h, k in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        xs = [_weights(h, k) for h, k in zip(table.column("hashes").to_pylist(), table.column("weights").to_pylist(), strict=True)]
         total = np.array([w.sum() for _, w in xs])
         names: dict = {}
         comp = np.array([names.setdefault(x, len(names)) for x in table.column("label").to_pylist()])
@@ -307,7 +380,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, idf: np.ndarra
                     similarity.append(float(alike[r]))
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "similarity": pa.array(similarity, pa.float64())})
 
-    rows = dealt.join(tasks, ["bucket", "part"]).join(own, "node").join(sets, "node").select("bucket", "i", "j", "part", "node", "label", "buckets", "hashes", "counts")
+    rows = dealt.join(tasks, ["bucket", "part"]).join(own, "node").join(sets, "node").select("bucket", "i", "j", "part", "node", "label", "buckets", "hashes", "weights")
     ship(rows.sparkSession)
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u binary, v binary, similarity double")
 
@@ -331,9 +404,10 @@ def _tops(ranked: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """rid, doc_id, node, class_id, class_size, kept for each row of ``docs`` (rid numbers the rows, kept is true once in each class)."""
     base = nodes(docs)
-    idf = idf_table(base)
-    sigs = staged(signatures(base, idf), "signatures")
-    found = links(docs, sigs, idf)
+    freq, n = staged(frequencies(base), "frequencies"), docs.count()
+    sigs = staged(signatures(base, idf_table(freq, n)), "signatures")
+    found = links(docs, sigs, freq, n)
+    release(freq)
     labels = components(found)
     labelled = sigs.select("rid", "doc_id", "node").join(labels, "node", "left").select("rid", "doc_id", "node", F.coalesce("label", "node").alias("label"))
     labelled = staged(labelled, "classes")

@@ -440,6 +440,20 @@ def test_near_dedup_of_very_frequent_shingles(spark):
     assert all(x.class_id == x.doc_id for x in got) and len(got) == len(rows)
 
 
+def test_near_dedup_weights_are_exact(spark):
+    """Shingles that share a cell keep their own document frequency."""
+    rows = [(i, f"w{i}") for i in range(4000)] + [(4000 + i, f"w{i} " * 7) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    base = near_dup.nodes(df)
+    sets = near_dup._sets(df, base.select("th"))
+    got = near_dup._weighted(sets, near_dup.frequencies(base), len(rows)).collect()
+    hashes = np.concatenate([np.frombuffer(r.hashes, "<u8") for r in got])
+    assert len(np.unique(near_dup._cell(hashes))) < len(hashes) == len(rows)
+    one = 1 + math.log((len(rows) + 1) / 2) / math.log(len(rows) + 2)
+    want = [one] * 4000 + [3 * one] * 20
+    assert sorted(float(np.frombuffer(r.weights, "<f8")[0]) for r in got) == pytest.approx(want)
+
+
 def test_samples_are_consistent():
     """The share of equal samples is the weighted Jaccard similarity."""
     r = np.random.RandomState(0)
