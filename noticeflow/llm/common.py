@@ -27,5 +27,15 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *(F.col(c) for c in more))
 
 
+def packed(df: DataFrame, *more: str) -> DataFrame:
+    """row (all columns of ``df``), doc_id, text and the named columns: helper columns that are added can clash with none of the user's."""
+    return df.select(F.struct("*").alias("row"), "doc_id", "text", *more)
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows that ``packed`` put away, as they were."""
+    return df.select("row.*")
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

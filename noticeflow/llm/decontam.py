@@ -3,9 +3,11 @@
 The fingerprints of a text are the least hashes of its 5-word grams in each
 run of six grams, so any 10 consecutive words that a document shares with an
 item leave a fingerprint in both. Documents whose fingerprints meet those of
-the benchmark are read again; each place of such a gram is extended to both
-sides word by word, and runs of 10 words or more are hits. Items of fewer than
-10 words are one gram of their own length.
+the benchmark are read again: their windows of 10 words are looked up among
+the distinct windows of the items by a 128-bit hash of the words, and
+overlapping hits extend to spans. Items of fewer than 10 words are one window
+of their own length. An item's repeated windows are one row and a document
+asks once for each place, so texts of repeated words cost no more than others.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import ascii_lower, documents
-from noticeflow.runtime import maybe_broadcast, staged
+from noticeflow.llm.common import ascii_lower, documents, hash_pair, packed, unpacked
+from noticeflow.runtime import maybe_broadcast, release, staged
 
 GRAM, WINDOW = 5, 10
+WINDOW_ARRAY = "array<struct<at:int,k:int,a:bigint,b:bigint>>"
 
 
 def words(text: Column) -> Column:
@@ -65,30 +68,12 @@ def _grams(df: DataFrame, short: list[int]) -> DataFrame:
     return df.drop(*(f"g{k}" for k in short if k != GRAM))
 
 
-def _kind_places(name: str, k: int, known: str | None) -> Column:
-    at = _upto(F.size(name))
-    if known:
-        at = F.filter(at, lambda i: F.array_contains(known, F.get(name, i)))
-    return F.transform(at, lambda i: F.struct(F.get(name, i).alias("fp"), i.alias("at"), F.lit(k).alias("k"), F.lit(name[0] == "g").alias("wide")))
-
-
-def _places(df: DataFrame, short: list[int], known: str | None) -> DataFrame:
-    """A row for each place of a gram (of those in the array ``known``, if named) with five words on either side."""
-    kinds = [(f"g{GRAM}", GRAM), *((f"s{k}", k) for k in short)]
-    each = [_kind_places(name, k, known) for name, k in kinds]
-    side = WINDOW - GRAM
-    out = df.withColumn("_p", F.explode(F.concat(*each))).select("*", "_p.*")
-    return out.withColumns({
-        "gram": F.slice("words", F.col("at") + 1, F.col("k")),
-        "before": F.reverse(F.slice("words", F.greatest(F.col("at") - side, F.lit(0)) + 1, F.least(F.col("at"), F.lit(side)))),
-        "after": F.slice("words", F.col("at") + F.col("k") + 1, F.lit(side)),
-    }).drop("_p", *(name for name, _ in kinds))
-
-
-def _common_prefix(a: str, b: str) -> Column:
-    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
-    first = F.array_position(same, False)
-    return F.when(first == 0, F.size(a)).otherwise(first.cast("int") - 1)
+def _window_structs(k: int) -> Column:
+    """(at, k, a, b) of each window of k words: its place and a 128-bit hash of its words."""
+    def window(i: Column) -> Column:
+        a, b = hash_pair(F.array_join(F.slice("words", i + 1, k), " "))
+        return F.struct(i.alias("at"), F.lit(k).alias("k"), a.alias("a"), b.alias("b"))
+    return F.transform(_upto(F.size("words") - (k - 1)), window)
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -97,24 +82,31 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.filter(F.size("words") > 0)
 
 
-def _split_items(items: DataFrame, short: list[int]) -> DataFrame:
-    """Places of items: those of 10 words or more by 5-word grams, the others as one gram."""
-    p = _places(_grams(items, short), short, None)
+def item_windows(items: DataFrame, short: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(windows, sets): k, a, b, set of each distinct window of the items, and the items of each set.
+
+    Windows that occur in the same items share a set, so a passage that many
+    items hold costs a document one set, not one row per window and item.
+    """
     n = F.size("words")
-    return p.filter(F.when(F.col("wide"), n >= WINDOW).otherwise(n == F.col("k"))).drop("words")
+    each = F.concat(F.when(n >= WINDOW, _window_structs(WINDOW)).otherwise(F.array().cast(WINDOW_ARRAY)), *(F.when(n == k, _window_structs(k)).otherwise(F.array().cast(WINDOW_ARRAY)) for k in short))
+    rows = items.select("item", F.explode(F.array_distinct(F.transform(each, lambda w: F.struct(w["k"], w["a"], w["b"])))).alias("w")).select("item", "w.*").distinct()
+    grouped = staged(rows.groupBy("k", "a", "b").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("set", F.sha2(F.to_json("items"), 256)), "windows")
+    sets = staged(grouped.select("set", "items").dropDuplicates(["set"]), "item_sets")
+    return grouped.select("k", "a", "b", "set"), sets
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, th, n_words, spans (word places [start, end) that occur in the
-    benchmark, by start), items (ids as text, sorted); a row for each row of ``docs``."""
+    """doc_id, th, n_words, spans (word places [start, end) that occur in the benchmark, by start and apart from
+    each other), items (ids as text, sorted); a row for each row of ``docs``, with null spans and items where there are none."""
     items = staged(benchmark_items(benchmark), "items")
     short = sorted(r[0] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # nine numbers at most
-    places = staged(_split_items(items, short), "places")
-    wanted = F.size("words")
+    windows, sets = item_windows(items, short)
+    n = F.size("words")
     item_fps = _grams(items, short).select(
         F.explode(F.concat(
-            F.when(wanted >= WINDOW, _winnowed(f"g{GRAM}", WINDOW - GRAM + 1)).otherwise(F.array().cast("array<bigint>")),
-            *(F.when(wanted == k, F.col(f"s{k}")).otherwise(F.array().cast("array<bigint>")) for k in short),
+            F.when(n >= WINDOW, _winnowed(f"g{GRAM}", WINDOW - GRAM + 1)).otherwise(F.array().cast("array<bigint>")),
+            *(F.when(n == k, F.col(f"s{k}")).otherwise(F.array().cast("array<bigint>")) for k in short),
         )).alias("fp"))
     item_fps = staged(item_fps.distinct(), "item_fps")
 
@@ -122,29 +114,37 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = _grams(base.withColumn("words", words(F.col("text"))), short)
     prints = staged(first.select("doc_id", "th", F.size("words").cast("long").alias("n_words"), fingerprints(short).alias("fps")), "prints")
     met = prints.select("doc_id", "th", F.explode("fps").alias("fp")).join(maybe_broadcast(item_fps), "fp", "left_semi")
-    met = staged(met.groupBy("doc_id", "th").agg(F.collect_set("fp").alias("known")), "met")
-
-    m = met.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "known")
-    again = base.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    again = again.select("doc_id", "th", "known", words(F.col("text")).alias("words"))
-    at = _places(_grams(again, short), short, "known").select("doc_id", "th", "fp", "at", "k", "wide", "gram", "before", "after")
-    i = places.select("fp", "item", F.col("gram").alias("i_gram"), F.col("before").alias("i_before"), F.col("after").alias("i_after"))
-    both = at.join(maybe_broadcast(i), "fp").filter(F.col("gram") == F.col("i_gram"))
-    left, right = _common_prefix("before", "i_before"), _common_prefix("after", "i_after")
-    both = both.withColumns({"l": F.when(F.col("wide"), left).otherwise(F.lit(0)), "r": F.when(F.col("wide"), right).otherwise(F.lit(0))})
-    both = both.filter(~F.col("wide") | (F.col("l") + F.col("r") + F.col("k") >= WINDOW))
-    span = F.struct((F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("k") + F.col("r")).alias("end"))
-    found = both.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    out = prints.drop("fps").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return out.drop("_id", "_th")
+    met = staged(met.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "met")
+
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    again = base.join(maybe_broadcast(met), same, "left_semi").select("doc_id", "th", words(F.col("text")).alias("words"))
+    at = again.select("doc_id", "th", F.explode(F.concat(*map(_window_structs, [WINDOW, *short]))).alias("w")).select("doc_id", "th", "w.*")
+    found = at.join(maybe_broadcast(windows), ["k", "a", "b"])
+    found = staged(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("k")).alias("end"))).alias("places"), F.collect_set("set").alias("sets")), "found")
+    named = found.select("doc_id", "th", F.explode("sets").alias("set")).join(maybe_broadcast(sets), "set").select("doc_id", "th", F.explode("items").alias("item"))
+    named = named.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = found.join(named, same).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), merged(F.array_sort("places")).alias("spans"), "items")
+    spans = staged(spans, "spans")
+    out = prints.drop("fps").join(maybe_broadcast(spans), same, "left").drop("_id", "_th")
+    release(items, item_fps, met, sets, found)
+    return out
+
+
+def merged(places: Column) -> Column:
+    """Spans from places (at, end) sorted by start: those that overlap or touch are one."""
+    kind = "struct<done:array<struct<start:int,end:int>>,start:int,end:int>"
+    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")).cast(kind)
+    def close(acc):
+        return F.when(acc["end"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
+    def step(acc, p):
+        on = p["at"] <= acc["end"]
+        return F.struct(F.when(on, acc["done"]).otherwise(close(acc)).alias("done"), F.when(on, acc["start"]).otherwise(p["at"]).alias("start"), F.when(on, F.greatest(acc["end"], p["end"])).otherwise(p["end"]).alias("end")).cast(kind)
+    return F.aggregate(places, start, step, close)
 
 
 def covered(spans: Column) -> Column:
-    """Number of places within any of the spans, which are sorted by start."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
-    def step(acc, s):
-        return F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["upto"]))).cast("long").alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto"))
-    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+    """Number of places within spans that are apart from each other."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts have no words. Items that share an item_id are one item, those
     without an id too. Rows that repeat a doc_id have a result each. An empty
     benchmark hits nothing; an empty table gives an empty result. Extra
-    columns are ignored.
+    columns are ignored. Items without an item_id are named 'null'.
     """
     h = hits(docs, benchmark)
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
@@ -162,8 +162,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in which no window of the benchmark occurs, as they are."""
-    bad = hits(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    bad = maybe_broadcast(staged(bad, "contaminated"))
-    d = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left_anti").drop("_text_hash")
+    """Rows of ``docs`` in which no window of the benchmark occurs, with all their columns as they are, whatever their names.
+
+    Null and empty texts stay; of rows that repeat a doc_id each goes by its
+    own text. An empty table or benchmark drops nothing.
+    """
+    bad = hits(docs, benchmark).filter(F.size("spans") > 0).select("doc_id", "th").distinct()
+    bad = maybe_broadcast(staged(bad, "contaminated").withColumnsRenamed({"doc_id": "_id", "th": "_th"}))
+    d = packed(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return unpacked(d.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti"))
