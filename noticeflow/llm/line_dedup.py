@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import ascii_lower, documents, hash_pair
-from noticeflow.runtime import staged
+from noticeflow.llm.common import ascii_lower, documents, hash_pair, packed, unpacked
+from noticeflow.runtime import maybe_broadcast, release, staged
 
 WHITE = "\t\n\x0b\x0c\r "
 
@@ -66,19 +66,22 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
         gone = lines.join(common.select("a", "b"), ["a", "b"])
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = gone.groupBy("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("drop_bits"))
-    return words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop_bits").alias("bits")))).alias("keep"))
+    keep = staged(words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop_bits").alias("bits")))).alias("keep")), "bitmaps")
+    release(lines, common)
+    return keep
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with kept_text, n_lines and n_dropped."""
-    d = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_th", F.xxhash64("_text"))
-    m = bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_mth"), F.col("keep").alias("_keep"))
-    j = d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_mth")), "left")
-    bits = lambda i: F.coalesce(F.element_at("_keep", F.expr("0") + F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
-    kept = F.filter(_lines(F.col("_text")), lambda line, i: F.getbit(bits(i), i % 64) == 1)
-    j = j.withColumn("_kept", F.when(F.col("_keep").isNull(), _lines(F.col("_text"))).otherwise(kept))
-    j = j.withColumns({"n_lines": F.size(_lines(F.col("_text"))).cast("long"), "kept_text": F.array_join("_kept", "\n"), "n_dropped": (F.size(_lines(F.col("_text"))) - F.size("_kept")).cast("long")})
-    return j.drop("_text", "_th", "_id", "_mth", "_keep", "_kept")
+    """row (the columns of ``docs``), doc_id, text, kept_text, n_lines, n_dropped. Where the bitmaps are
+    small they are broadcast and no text is moved; else texts and bitmaps meet by document."""
+    d = packed(docs).withColumn("whole", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("whole"))
+    m = maybe_broadcast(bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_mth"), "keep"))
+    j = d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_mth")), "left")
+    bits = lambda i: F.coalesce(F.element_at("keep", F.expr("0") + F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    kept = F.filter(_lines(F.col("whole")), lambda line, i: F.getbit(bits(i), i % 64) == 1)
+    j = j.withColumn("kept", F.when(F.col("keep").isNull(), _lines(F.col("whole"))).otherwise(kept))
+    n = F.size(_lines(F.col("whole")))
+    return j.select("row", "doc_id", "text", F.array_join("kept", "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -86,15 +89,25 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
 
     Null and empty texts are one empty line, whose key is too short to go.
     Rows that repeat a doc_id count as one document when lines are counted and
-    get a row each in the result; so do rows without a doc_id. An empty table
-    gives an empty result.
+    get a row each in the result; so do rows without a doc_id, which are one
+    document among those counted. An empty table gives an empty result; extra
+    columns are ignored.
     """
     out = apply_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with the lines found in ``min_docs`` documents taken out of text; n_chars, if it is there, follows. Null texts stay null."""
-    done = apply_bitmaps(docs.drop("n_lines", "n_dropped", "kept_text"), keep_bitmaps(docs, min_docs, min_chars))
+    """``docs`` with the lines found in ``min_docs`` documents taken out of text.
+
+    All other columns stay as they are, whatever their names; n_chars, if it is
+    there, follows the text. Null texts stay null, empty ones empty. Rows that
+    repeat a doc_id count as one document and each lose their own lines. An
+    empty table gives an empty result.
+    """
+    done = apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return done.select(*(text.alias(c) if c == "text" else F.coalesce(F.char_length(text).cast(docs.schema[c].dataType), c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c in done.columns))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.coalesce(F.char_length(text).cast(docs.schema["n_chars"].dataType), F.col("row.n_chars")))
+    return unpacked(done.withColumn("row", row))
