@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.llm.common import packed, unpacked
 from noticeflow.llm.decontam import words
 from noticeflow.plans.graph import components
 from noticeflow.runtime import map_arrow, maybe_broadcast, release, ship, staged
 
 SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
-PARTS, FLUSH, CHUNK = 1 << 12, 1 << 21, 32 << 20
+PART, FLUSH, CHUNK = 1 << 20, 1 << 21, 32 << 20
 BANDS, ROWS = 16, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
@@ -98,17 +99,26 @@ def _summed(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(count, at) if len(at) else count
 
 
-def _parts(h: np.ndarray) -> np.ndarray:
-    """Bounds of the PARTS ranges of sorted hashes."""
-    return np.searchsorted((h >> np.uint64(52)).astype(np.int64), np.arange(PARTS + 1))
+def part_bits(chars: int) -> int:
+    """Leading bits of a hash that name its part, so that a part has about PART of a corpus of so many
+    characters; 4 at least and 20 at most (10^13 shingles), as many as cells have."""
+    return min(20, max(4, (chars // 6 // PART).bit_length()))
+
+
+def _parts(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, bounds) of the parts that sorted hashes have, bounds with one more at the end."""
+    part = (h >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.nonzero(np.append(True, part[1:] != part[:-1]))[0] if len(h) else np.zeros(0, np.int64)
+    return part[at], np.append(at, len(h))
 
 
 def _blobs(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def frequencies(base: DataFrame) -> DataFrame:
-    """part, hashes, dfs, cells: the frequency over all rows of each shingle, and of the cells, by ranges of hashes."""
+def frequencies(base: DataFrame, bits: int) -> DataFrame:
+    """part, hashes, dfs, cells: by ranges of hashes the frequency over all rows of each shingle that more
+    than one row has (all others have 1), and of the cells."""
 
     def count(batches):
         held, size = [], 0
@@ -125,24 +135,24 @@ def frequencies(base: DataFrame) -> DataFrame:
 
     def dealt(h):
         h, df = _summed(h, np.ones(len(h), np.int64))
-        ends = _parts(h)
-        some = np.nonzero(np.diff(ends))[0]
-        hs, ds = ([x[ends[k] : ends[k + 1]].astype(t).tobytes() for k in some] for x, t in ((h, "<u8"), (df, "<u4")))
+        some, ends = _parts(h, bits)
+        hs, ds = ([x[a:b].astype(t).tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x, t in ((h, "<u8"), (df, "<u4")))
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(hs, pa.binary()), pa.array(ds, pa.binary())], names=["part", "hashes", "dfs"])
 
     def add(table: pa.Table) -> pa.Table:
         h, df = _summed(_blobs(table.column("hashes"), "<u8"), _blobs(table.column("dfs"), "<u4").astype(np.int64))
-        width = CELLS // PARTS
+        width = CELLS >> bits
         cells = np.bincount(_cell(h) & (width - 1), df, minlength=width)
+        h, df = h[df > 1], df[df > 1]
         return pa.table({"part": table.column("part").slice(0, 1), "hashes": pa.array([h.astype("<u8").tobytes()], pa.binary()), "dfs": pa.array([df.astype("<i8").tobytes()], pa.binary()), "cells": pa.array([cells.astype("<i8").tobytes()], pa.binary())})
 
     found = map_arrow(base.select("wh"), count, "part int, hashes binary, dfs binary")
     return found.groupBy("part").applyInArrow(add, "part int, hashes binary, dfs binary, cells binary")
 
 
-def idf_table(freq: DataFrame, n: int) -> np.ndarray:
-    """Weight of each cell; a row counts once for each of its shingles in the cell."""
-    df = np.zeros((PARTS, CELLS // PARTS), np.int64)
+def idf_table(freq: DataFrame, n: int, bits: int) -> np.ndarray:
+    """Weight of each cell; a row counts once for each of its shingles in the cell. The cells come to the driver: 8 MB, whatever the input."""
+    df = np.zeros((1 << bits, CELLS >> bits), np.int64)
     for r in freq.select("part", "cells").collect():
         df[r.part] = np.frombuffer(r.cells, "<i8")
     return _idf(n, df.ravel()).astype(np.float32)
@@ -224,7 +234,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(nodes(picked).select("node", "wh"), run, "node binary, hashes binary, counts binary").dropDuplicates(["node"])
 
 
-def _weighted(sets: DataFrame, freq: DataFrame, n: int) -> DataFrame:
+def _frequency(h: np.ndarray, known: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Frequencies of h by the sorted known hashes; 1 where it is not among them."""
+    if not len(known):
+        return np.ones(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, df[at], 1)
+
+
+def _weighted(sets: DataFrame, freq: DataFrame, n: int, bits: int) -> DataFrame:
     """node, hashes, weights of the sets: count times the idf of the shingle's own frequency.
 
     Sets are dealt into chunks of about CHUNK bytes of hashes; a chunk asks each part of ``freq`` once.
@@ -234,21 +252,26 @@ def _weighted(sets: DataFrame, freq: DataFrame, n: int) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         h = np.unique(_blobs(table.column("hashes"), "<u8"))
-        ends = _parts(h)
-        some = np.nonzero(np.diff(ends))[0]
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "hashes": pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())})
+        some, ends = _parts(h, bits)
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()), "part": pa.array(some, pa.int32()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Of what a chunk asked for the hashes that more than one row has, and their frequencies."""
         h, df = _blobs(known.column("hashes"), "<u8"), _blobs(known.column("dfs"), "<i8")
-        got = [df[np.searchsorted(h, np.frombuffer(x, "<u8"))].tobytes() for x in asked.column("hashes").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "hashes": asked.column("hashes"), "dfs": pa.array(got, pa.binary())})
+        hs, got = [], []
+        for x in asked.column("hashes").to_pylist():
+            x = np.frombuffer(x, "<u8")
+            f = _frequency(x, h, df)
+            hs.append(x[f > 1].tobytes())
+            got.append(f[f > 1].tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "hashes": pa.array(hs, pa.binary()), "dfs": pa.array(got, pa.binary())})
 
     def weigh(sets_: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
         h, df = _blobs(answers.column("hashes"), "<u8"), _blobs(answers.column("dfs"), "<i8")
         weights = []
         for x, c in zip(sets_.column("hashes").to_pylist(), sets_.column("counts").to_pylist(), strict=True):
-            weights.append((np.frombuffer(c, "<u4") * _idf(n, df[np.searchsorted(h, np.frombuffer(x, "<u8"))])).astype("<f8").tobytes())
+            weights.append((np.frombuffer(c, "<u4") * _idf(n, _frequency(np.frombuffer(x, "<u8"), h, df))).astype("<f8").tobytes())
         return pa.table({"node": sets_.column("node"), "hashes": sets_.column("hashes"), "weights": pa.array(weights, pa.binary())})
 
     ship(sets.sparkSession)
@@ -284,7 +307,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "u binary, v binary, similarity double")
 
 
-def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int) -> DataFrame:
+def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int, bits: int) -> DataFrame:
     """u, v, similarity: links between distinct texts that are similar; enough of them to join every class of
     similar texts that share a bucket."""
     each = staged(sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket")), "buckets")
@@ -302,7 +325,7 @@ def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int) -> DataFram
     texts = sigs.groupBy("node").agg(F.min("th").alias("th"))
     wanted = staged(texts.join(met, "node", "left_semi").select("th").distinct(), "wanted")
     counted = staged(_sets(docs, wanted), "sets")
-    sets = _weighted(counted, freq, n)
+    sets = _weighted(counted, freq, n, bits)
     release(counted)
     found = staged(_verified(pairs, sets).filter(F.col("similarity") >= SIMILAR), "links")
     labels = components(found)
@@ -402,18 +425,20 @@ def _tops(ranked: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, node, class_id, class_size, kept for each row of ``docs`` (rid numbers the rows, kept is true once in each class)."""
+    """rid, doc_id, th, node, class_id, class_size, kept for each row of ``docs`` (rid numbers the rows, kept is true once in each class)."""
     base = nodes(docs)
-    freq, n = staged(frequencies(base), "frequencies"), docs.count()
-    sigs = staged(signatures(base, idf_table(freq, n)), "signatures")
-    found = links(docs, sigs, freq, n)
+    n, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    bits = part_bits(chars)
+    freq = staged(frequencies(base, bits), "frequencies")
+    sigs = staged(signatures(base, idf_table(freq, n, bits)), "signatures")
+    found = links(docs, sigs, freq, n, bits)
     release(freq)
     labels = components(found)
-    labelled = sigs.select("rid", "doc_id", "node").join(labels, "node", "left").select("rid", "doc_id", "node", F.coalesce("label", "node").alias("label"))
+    labelled = sigs.select("rid", "doc_id", "th", "node").join(labels, "node", "left").select("rid", "doc_id", "th", "node", F.coalesce("label", "node").alias("label"))
     labelled = staged(labelled, "classes")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid")))
     groups = staged(labelled.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size")), "groups")
-    return labelled.join(groups, "label").select("rid", "doc_id", "node", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("best.rid")).alias("kept"))
+    return labelled.join(groups, "label").select("rid", "doc_id", "th", "node", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -426,12 +451,24 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     repeat a doc_id are classed each; class_id is null where no row of a class
     has an id. An empty table gives an empty result.
     """
-    return classes(docs).drop("rid", "node")
+    return classes(docs).drop("rid", "th", "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, as it is."""
-    kept = staged(classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")), "kept")
-    d = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", words(F.col("_text"))).withColumn("_node", _node(F.col("_text"), F.col("_words"))).drop("_text", "_words")
-    d = d.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept")), "left_semi")
-    return d.dropDuplicates(["doc_id", "_node"]).drop("_node")
+    """One row of each class, with all its columns as they are, whatever their names.
+
+    The row that stays is the one with the least doc_id, as in ``near_dedup``;
+    of rows that share doc_id and text any one. Null texts count as empty. An
+    empty table gives an empty result.
+    """
+    each = staged(classes(docs).select("doc_id", "th", "node", "kept"), "kept")
+    kept = each.groupBy("doc_id", "th", "node").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
+    kept = staged(kept.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("node").alias("_node"), "n"), "kept")
+    text = F.coalesce("text", F.lit(""))
+    d = packed(docs).withColumns({"th": F.xxhash64(text), "node": _node(text, words(text))})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("node") == F.col("_node"))
+    once = unpacked(d.join(maybe_broadcast(kept.filter("n = 1")), same, "left_semi"))
+    if kept.filter("n > 1").isEmpty():
+        return once
+    repeated = d.join(maybe_broadcast(kept.filter("n > 1")), same, "left_semi").dropDuplicates(["doc_id", "th", "node"])
+    return once.unionByName(unpacked(repeated))
