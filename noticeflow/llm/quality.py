@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.llm.common import packed, unpacked
 from noticeflow.runtime import map_arrow, maybe_broadcast
 
 FEATURES = ["log_chars", "log_words", "mean_word", "letters", "upper", "digits", "white", "sentence", "symbols", "distinct_words", "top_word", "repeats", "distinct_lines", "words_line", "odd_ends", "longest"]
@@ -31,7 +32,8 @@ _CLASS[ord("0") : ord("9") + 1] = 3
 _CLASS[[9, 10, 11, 12, 13, 32]] = 4
 _CLASS[[ord(c) for c in ".,;:?'\"-()"]] = 5
 _CLASS[128:] = 1
-_ODD = re.compile(r"[^\w\s.,;:?!'\")-]+(?=\s|$)")
+#: Runs of other marks before a blank or the end; only the start of a run is tried, so that long runs cost no more than others.
+_ODD = re.compile(r"(?<![^\w\s.,;:?!'\")-])[^\w\s.,;:?!'\")-]++(?=\s|$)")
 
 
 def features(text: str) -> list[float]:
@@ -174,19 +176,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x[order], np.array([r["y"] for r in got], float)[order])
 
 
-def with_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the score in a column that replaces one of that name."""
-    keep = docs.drop(column)
-    names = keep.columns
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs``, which has a column text, and quality_score in a column of its own; ``docs`` has no such column."""
+    names = docs.columns
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 x = np.array([features(t or "") for t in part.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, "quality_score"])
 
-    return map_arrow(keep, run, T.StructType([*keep.schema.fields, T.StructField(column, T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,9 +199,14 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rejects nothing. Extra columns are ignored.
     """
     out = with_score(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", (crc_of(F.col("doc_id")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (crc_of(F.col("doc_id")) % 4 == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject, as they are."""
-    return with_score(docs, train(docs, labels), "_quality").filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    """Rows of ``docs`` that the classifier does not reject, with all their columns as they are, whatever their names.
+
+    Null texts are scored as empty ones; rows that repeat a doc_id each by
+    their own text. Without labels all rows stay; an empty table gives an
+    empty result.
+    """
+    return unpacked(with_score(packed(docs), train(docs, labels)).filter(F.col("quality_score") >= THRESHOLD))
