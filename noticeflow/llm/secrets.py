@@ -30,7 +30,7 @@ _HINT = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}")
 #: Rules beyond the base.
 MORE = {
     "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), "-----BEGIN "),
-    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), "eyJ"),
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), "eyJ"),
     "login": (re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,128}@"), "://"),
 }
 KINDS = [*BASE, *MORE]
@@ -76,7 +76,41 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: int
     if ledger is None:
         return staged(scan(unseen, version), "ledger")
     seen = ledger.filter(F.col("rules") == version).select("blob").distinct()
-    return staged(ledger.select("blob", "rules", "spans").unionByName(scan(unseen.join(seen, "blob", "left_anti"), version)), "ledger")
+    return ledger.select("blob", "rules", "spans").unionByName(staged(scan(unseen.join(seen, "blob", "left_anti"), version), "ledger"))
+
+
+def append_ledger(docs: DataFrame, path: str, version: int = RULES_VERSION) -> DataFrame:
+    """The ledger stored at ``path``, with rows for all blobs of ``docs`` appended to it.
+
+    Only blobs that it does not have under this rule version are scanned; what
+    is there is never rewritten. A run that broke off left nothing or whole
+    rows, and the next one goes on from there. One writer at a time.
+    """
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    unseen = blobs(docs)
+    if there:
+        seen = spark.read.schema(FINDINGS).parquet(path).filter(F.col("rules") == version).select("blob").distinct()
+        unseen = unseen.join(seen, "blob", "left_anti")
+    scan(unseen, version).write.mode("append").parquet(path)
+    return spark.read.schema(FINDINGS).parquet(path)
+
+
+def path_findings(history: DataFrame, ledger: DataFrame, version: int = RULES_VERSION) -> DataFrame:
+    """path, version, blob, spans: the findings of every version of every path that has any.
+
+    ``history`` has path, version and text; each blob was scanned once, in
+    however many paths and versions it stands. Null texts count as empty.
+    """
+    known = ledger.filter((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    rows = history.select("path", "version", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    return rows.join(known, "blob").select("path", "version", "blob", "spans")
+
+
+def scan_history(history: DataFrame, path: str, version: int = RULES_VERSION) -> DataFrame:
+    """``path_findings`` of a history (path, version, text) after its unseen blobs went into the ledger at ``path``."""
+    return path_findings(history, append_ledger(history.select(F.lit(0).alias("doc_id"), "text"), path, version), version)
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULES_VERSION) -> DataFrame:
