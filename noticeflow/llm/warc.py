@@ -23,20 +23,20 @@ from pyspark.sql import functions as F
 from noticeflow.runtime import map_arrow
 
 DATE = "1970-01-01T00:00:00Z"
-_GONE = re.compile(r"<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![^>]*>", re.I | re.S)
-_RAW = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_META = re.compile(r"<meta\b[^>]*>", re.I)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
-_LINK = re.compile(r"""<(a|area|img|link|iframe|frame|form|source)\b([^>]*)>""", re.I)
-_LINK_ATTR = {"a": "href", "area": "href", "link": "href", "form": "action"}
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SKIPPED = {"script", "style", "noscript", "template", "head"}
+_RAW = {"script", "style"}
+_BLOCK = set(
+    "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section "
+    "table tbody td tfoot th thead title tr ul".split()
+)
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)""")
+_LINK_ATTR = {"a": "href", "area": "href", "link": "href", "form": "action", "img": "src", "iframe": "src", "frame": "src", "source": "src"}
 _BLANKS = re.compile(r"[^\S\n]+")
+_LONG_REF = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 SCHEMA = (
     "page_id {id}, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
-    "source_headers string, source_block_digest string, source_payload_digest string, block_digest string, content_length long, block string"
+    "source_headers string, source_block_digest string, source_payload_digest string, block_digest string, content_length long, block string, synthetic string"
 )
 
 
@@ -48,46 +48,117 @@ def record_id(*parts: str) -> str:
     return uuid.UUID(bytes=hashlib.sha256("\x00".join(parts).encode("utf-8", "replace")).digest()[:16], version=5).urn
 
 
+def unescape(text: str) -> str:
+    """Character references resolved; numbers of eight digits and more, which name no character, are U+FFFD."""
+    return html.unescape(_LONG_REF.sub("\ufffd", text)) if "&" in text else text
+
+
+class _Page:
+    """One pass over a page's tags. What is not closed after some place is remembered, so no part is searched twice in vain."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+        self.end_tags: dict[str, re.Pattern] = {}
+
+    def _after(self, mark: str, at: int) -> int:
+        """End of the next ``mark``, or -1."""
+        if mark in self.missing:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.missing.add(mark)
+            return -1
+        return found + len(mark)
+
+    def end_tag(self, name: str, at: int) -> tuple[int, int]:
+        """Place of the next end tag of that name, or (-1, -1)."""
+        if name in self.missing:
+            return -1, -1
+        rule = self.end_tags.setdefault(name, re.compile(rf"</{name}\s*+>", re.I))
+        m = rule.search(self.page, at)
+        if not m:
+            self.missing.add(name)
+            return -1, -1
+        return m.span()
+
+    def parts(self, skipped: set[str]):
+        """(text before, tag name with / for end tags, attributes, end of the tag); last (rest, '', '', end). The
+        contents of closed ``skipped`` elements, comments and declarations are left out. A tag ends at the next '>'."""
+        page, at, text = self.page, 0, 0
+        while True:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            if page.startswith("<!", lt):
+                end = self._after("-->", lt + 4) if page.startswith("<!--", lt) else -1
+                end = end if end >= 0 else self._after(">", lt)
+                if end < 0:
+                    break
+                yield page[text:lt], "!", "", end
+                at = text = end
+                continue
+            m = _NAME.match(page, lt + 1)
+            if not m:
+                at = lt + 1
+                continue
+            end = self._after(">", m.end())
+            if end < 0:
+                break
+            name = m[0].lower()
+            stop = -1
+            if name in skipped and (close := self.end_tag(name, end))[1] >= 0:
+                stop = close[1]
+            yield page[text:lt], name if stop < 0 else "!", page[m.end() : end - 1], end
+            at = text = end if stop < 0 else stop
+        yield page[text:], "", "", len(page)
+
+
 def plain_text(page: str) -> str:
     """Text between the tags of a whole page: a line for each block, blanks within it as one, empty lines left out."""
-    body = _TAG.sub("", _BLOCK.sub("\n", _GONE.sub("", page)))
-    if "&" in body:
-        body = html.unescape(body)
-    lines = (x.strip() for x in _BLANKS.sub(" ", body).split("\n"))
+    out = []
+    for text, name, _, _ in _Page(page).parts(_SKIPPED):
+        out.append(text)
+        if name.lstrip("/") in _BLOCK:
+            out.append("\n")
+    lines = (x.strip() for x in _BLANKS.sub(" ", unescape("".join(out))).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def _value(raw: str) -> str:
-    raw = raw[1:-1] if raw[:1] in "\"'" else raw
-    return html.unescape(raw).strip() if "&" in raw else raw.strip()
+    return unescape(raw[1:-1] if raw[:1] in "\"'" else raw).strip()
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Of equal names the first."""
+    out: dict[str, str] = {}
+    for k, v in _ATTR.findall(raw):
+        out.setdefault(k.lower(), _value(v))
+    return out
 
 
 def metadata(page: str, url: str) -> str:
-    """warc-fields of a page: title, language, meta elements and outlinks (target, tag/@attribute), in order."""
-    page = _RAW.sub("", page)
-    out = []
-    if m := _TITLE.search(page):
-        out.append("title: " + " ".join(html.unescape(m[1]).split()))
-    if m := _LANG.search(page):
-        out.append("language: " + m[1])
-    for m in _META.finditer(page):
-        a = {k.lower(): _value(v) for k, v in _ATTR.findall(m[0])}
-        if "charset" in a:
-            out.append("charset: " + a["charset"])
-        elif (name := a.get("name") or a.get("property") or a.get("http-equiv")) and "content" in a:
-            out.append(f"meta-{name.lower()}: " + " ".join(a["content"].split()))
-    for m in _LINK.finditer(page):
-        tag = m[1].lower()
-        want = _LINK_ATTR.get(tag, "src")
-        for k, v in _ATTR.findall(m[2]):
-            if k.lower() == want and (to := _value(v)):
-                try:
-                    full = urljoin(url, to)
-                except ValueError:
-                    full = to
-                out.append(f"outlink: {' '.join(full.split())} {tag}/@{want}")
-                break
-    return "".join(x + "\r\n" for x in out)
+    """warc-fields of a page: title, language, meta elements and outlinks (target, tag/@attribute), each kind in order."""
+    title, language, metas, links = None, None, [], []
+    p = _Page(page)
+    for _, name, raw, end in p.parts(_RAW):
+        if name == "title" and title is None and (close := p.end_tag("title", end))[0] >= 0:
+            title = " ".join(unescape(page[end : close[0]]).split())
+        elif name == "html" and language is None:
+            language = _attributes(raw).get("lang") or None
+        elif name == "meta":
+            a = _attributes(raw)
+            if "charset" in a:
+                metas.append("charset: " + " ".join(a["charset"].split()))
+            elif (key := a.get("name") or a.get("property") or a.get("http-equiv")) and "content" in a:
+                metas.append(f"meta-{' '.join(key.lower().split())}: {' '.join(a['content'].split())}")
+        elif name in _LINK_ATTR and (to := _attributes(raw).get(_LINK_ATTR[name])):
+            try:
+                full = urljoin(url, to)
+            except ValueError:
+                full = to
+            links.append(f"outlink: {' '.join(full.split())} {name}/@{_LINK_ATTR[name]}")
+    out = ([f"title: {title}"] if title is not None else []) + ([f"language: {' '.join(language.split())}"] if language else [])
+    return "".join(x + "\r\n" for x in out + metas + links)
 
 
 def response_headers(payload: bytes) -> str:
@@ -98,13 +169,14 @@ def response_headers(payload: bytes) -> str:
 def derive(page_id, url: str, page: str, headers: str | None, date: str | None) -> list[tuple]:
     """The two records of a response, without its page_id."""
     payload = page.encode("utf-8", "replace")
+    made = ",".join(name for name, known in (("headers", headers), ("date", date)) if known is None)
     headers = headers if headers is not None else response_headers(payload)
     whole, body = digest(headers.encode("utf-8", "replace") + payload), digest(payload)
     source = record_id("response", str(page_id), url, whole)
     out = []
     for kind, content_type, block in (("metadata", "application/warc-fields", metadata(page, url)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
         raw = block.encode("utf-8", "replace")
-        out.append((kind, record_id(kind, source), source, url, date or DATE, content_type, headers, whole, body, digest(raw), len(raw), raw.decode()))
+        out.append((kind, record_id(kind, source), source, url, date or DATE, content_type, headers, whole, body, digest(raw), len(raw), raw.decode(), made))
     return out
 
 
@@ -112,8 +184,9 @@ def derivatives(pages: DataFrame) -> DataFrame:
     """Two rows for each row of ``pages`` (page_id, url, html; also http_headers and warc_date, if they are there).
 
     Null pages count as empty: their conversion is empty. Null urls count as
-    empty, against which links stay as they are. Rows that repeat each other
-    give the same ids. An empty table gives an empty result; other columns
+    empty, against which links stay as they are. ``synthetic`` names what the
+    table does not have and had to be made up (headers, date), so that nobody
+    takes it for the source's. Rows that repeat each other give the same ids. An empty table gives an empty result; other columns
     are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -135,11 +208,21 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """page_id, record_type, record: each derivative as the bytes of a WARC 1.1 record."""
+    """page_id, record_type, record: each derivative as the bytes of a WARC 1.1 record.
+
+    Beside the fields of the standard, the source's digests and each line of
+    its HTTP headers go along in fields of their own (WARC-Source-...), except
+    where they were made up; a made-up date is marked.
+    """
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
+    known = lambda what, c: F.when(F.array_contains(F.split("synthetic", ","), what), F.lit("")).otherwise(c)
+    lines = F.filter(F.split("source_headers", "\r\n|\r|\n", -1), lambda x: x != "")
+    source = F.array_join(F.transform(lines, lambda x: line("WARC-Source-HTTP-Header", x)), "")
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to", F.lit(">"))), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("warc_date")),
+        F.when(F.array_contains(F.split("synthetic", ","), "date"), F.lit("WARC-Source-Date-Unknown: true\r\n")).otherwise(""),
+        known("headers", line("WARC-Source-Block-Digest", F.col("source_block_digest"))), line("WARC-Source-Payload-Digest", F.col("source_payload_digest")), known("headers", source),
         line("WARC-Block-Digest", F.col("block_digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
     )
     return records.select("page_id", "record_type", F.encode(F.concat(head, "block", F.lit("\r\n\r\n")), "UTF-8").alias("record"))
