@@ -69,7 +69,9 @@ def identities(docs: DataFrame, block: int = BLOCK, keyer: Callable[[Column], tu
         done.append(now.filter(F.size("names") == 1).select("rid", "n_blocks", F.col("names")[0].alias("name")))
         pairs = F.transform(F.sequence(F.lit(0), F.expr("cast((size(names) - 1) / 2 as int)")), lambda i: F.struct(F.get("names", i * 2).alias("l"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("r")))
         open_ = now.filter(F.size("names") > 1).select("rid", "n_blocks", F.posexplode(pairs).alias("pos", "p")).select("rid", "n_blocks", "pos", "p.l", "p.r")
-        level = _regroup(open_.join(_named(open_.select("l", "r").distinct(), "l", "r"), ["l", "r"]))
+        # staged, so that both sides of the join are plain exchanges and a pair with very many rows can be split
+        pair_names = staged(_named(open_.select("l", "r").distinct(), "l", "r"), f"pairs{r}")
+        level = _regroup(open_.join(pair_names, ["l", "r"]))
     done.append(level.select("rid", "n_blocks", F.col("names")[0].alias("name")))
     ident = done[0]
     for d in done[1:]:
