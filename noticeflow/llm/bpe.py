@@ -35,12 +35,21 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _check_form(spec: dict) -> None:
+    """Raises where a file asks for a form of BPE that this module does not have."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    ok = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not ok or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        raise ValueError("only byte-level BPE without normaliser, prefix space, dropout or word marks is supported")
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check_form(spec)
         vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         symbols = byte_symbols()

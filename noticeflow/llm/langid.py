@@ -23,7 +23,9 @@ from noticeflow.runtime import map_arrow
 
 UNKNOWN = "und"
 PER_LANGUAGE, STEPS, CACHE = 1_500, 3, 300_000
-LONG = 48  # letters; longer words go one by one, in scaled form
+LONG = 48  # letters; longer words are learned in parts of so many and scored whole, in scaled form
+VERY_LONG = 1000  # letters; longer words are scored one by one
+WORDS = 400_000  # different (language, word) pairs that are learned from, the most frequent first
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = regex.compile(r"\p{L}+").findall
 SCALE = 24.0  # keeps products of piece probabilities near 1
@@ -100,6 +102,10 @@ class Model:
         out = np.zeros((len(words), len(self.langs)))
         for at, codes in grouped(words):
             n = codes.shape[1]
+            if n > VERY_LONG:
+                for i, one in zip(at, codes, strict=True):
+                    out[i] = self.very_long(pieces, one)
+                continue
             alpha = np.zeros((n + 1, len(at), len(self.langs)))
             alpha[0] = 1.0
             shift = np.zeros(len(at))
@@ -115,11 +121,48 @@ class Model:
         return out
 
 
+    def very_long(self, pieces: Pieces, codes: np.ndarray) -> np.ndarray:
+        """The same forward sum for one word: pieces are looked up for a block of places at once, and the
+        last few sums are brought back to a middle size every few letters."""
+        n, back = len(codes), pieces.longest
+        h, value = np.zeros(n + 1, np.uint64), 0
+        mul, mask = int(_MUL), (1 << 64) - 1
+        for i, c in enumerate(codes.tolist(), 1):
+            value = (value * mul + c + 1) & mask
+            h[i] = value
+        alpha, shift = np.zeros((n + 1, len(self.langs))), 0.0
+        alpha[0] = 1.0
+        scale = SCALE ** np.arange(back + 1.0)
+        for a in range(1, n + 1, 20_000):
+            b = min(n + 1, a + 20_000)
+            ends, starts, ids = [], [], []
+            for d in range(1, back + 1):
+                e = np.arange(max(a, d), b)
+                got = pieces.find(h[e] - h[e - d] * pieces.powers[d])
+                keep = np.ones(len(e), bool) if d == 1 else got >= 0
+                ends.append(e[keep])
+                starts.append(e[keep] - d)
+                ids.append(got[keep])
+            e, s, k = (np.concatenate(x) for x in (ends, starts, ids))
+            order = np.argsort(e, kind="stable")
+            e, s, k = e[order], s[order], k[order]
+            p = self.prob[k] * scale[e - s][:, None]
+            bounds = np.searchsorted(e, np.arange(a, b + 1)).tolist()
+            for i in range(a, b):
+                x, y = bounds[i - a], bounds[i - a + 1]
+                alpha[i] = (alpha[s[x:y]] * p[x:y]).sum(0)
+                if i % 8 == 0:
+                    top = alpha[i].max() or 1.0
+                    alpha[max(0, i - back) : i + 1] /= top
+                    shift += np.log(top)
+        return np.log(np.maximum(alpha[n], 1e-300)) + shift - n * np.log(SCALE)
+
+
 def fit(pieces: Pieces, counts: list[tuple[str, str, int]], steps: int = STEPS) -> Model:
-    """Of (language, word, count) rows."""
+    """Of (language, word, count) rows, whose words have LONG letters at most."""
     langs = sorted({r[0] for r in counts})
     code = {x: i for i, x in enumerate(langs)}
-    rows = sorted((w, code[x], c) for x, w, c in counts if len(w) <= LONG)
+    rows = sorted((w, code[x], c) for x, w, c in counts)
     words, lang, count = [r[0] for r in rows], np.array([r[1] for r in rows], int), np.array([r[2] for r in rows], float)
     size = len(pieces.names) + 1
     prob = np.full((size, len(langs)), 1.0 / size)
@@ -160,15 +203,17 @@ def pieces_of(path: str) -> Pieces:
 
 def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` documents of each language at most, taken by a hash
-    of the id, of those whose crc32 mod 3 is not 1. Their words are counted on the executors."""
+    of the id, of those whose crc32 mod 3 is not 1. Their words are counted on the executors; longer runs
+    of letters in parts of LONG. The WORDS most frequent ones come to the driver: with ``per_language``
+    the bounds of the fit, whatever the size of the input."""
     own = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_of(F.col("doc_id")) % 3 != 1)
     sizes = own.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((0, 0)))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 20)))))
     chosen = own.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1 << 20)) < share[F.col("lang")])
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    rows = words.groupBy("lang", "word").count().collect()
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,%d})" % LONG), F.lit(1))).alias("word"))
+    rows = words.groupBy("lang", "word").count().orderBy(F.col("count").desc(), "lang", "word").limit(WORDS).collect()
     return fit(pieces_of(path), [(r["lang"], r["word"], r["count"]) for r in rows])
 
 

@@ -14,8 +14,13 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def tokenizer_file(name: str) -> str:
-    """Place of a public vocabulary file; the folder can be set by the variable NOTICEFLOW_TOKENIZERS."""
-    return os.path.join(os.environ.get("NOTICEFLOW_TOKENIZERS", "/opt/tokenizers"), name)
+    """Place of a public vocabulary file: in the folder that NOTICEFLOW_TOKENIZERS names, if it is set, else where public_tokenizers has it."""
+    folder = os.environ.get("NOTICEFLOW_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_bpe(spark, sf_dir):

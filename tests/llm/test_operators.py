@@ -446,7 +446,7 @@ def test_near_dedup_weights_are_exact(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     base = near_dup.nodes(df)
     sets = near_dup._sets(df, base.select("th"))
-    got = near_dup._weighted(sets, near_dup.frequencies(base), len(rows)).collect()
+    got = near_dup._weighted(sets, near_dup.frequencies(base, 4), len(rows), 4).collect()
     hashes = np.concatenate([np.frombuffer(r.hashes, "<u8") for r in got])
     assert len(np.unique(near_dup._cell(hashes))) < len(hashes) == len(rows)
     one = 1 + math.log((len(rows) + 1) / 2) / math.log(len(rows) + 2)
