@@ -1,26 +1,32 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with Witten-Bell smoothing over additive unigrams:
-p(w | v) = (c(v, w) + T(v) p(w)) / (c(v) + T(v)), T(v) being the number of
-different words after v. It is trained on the training documents and kept as
-a trie in shards. A shard holds, as memory-mapped levels, its contexts, the
-monotone pointers to their successors, and the successors with their quantised
-probabilities (counts over the corpus size, by a code book of one byte);
-a look-up finds the context, then the successor within that context's range.
-
-Texts become chunks: the words' hashes once per chunk, and small numbers for
-the tokens. A chunk asks each shard once for each different word and pair that
-it has, so what is shuffled are sorted, packed requests, each with the chunk's
-own training counts; the shard adds up the counts, builds its trie and answers
-from it. Contexts that hold much of the corpus are dealt out by the pair's
-hash instead of the context's, so that no shard has all of one.
+The model is of order three, smoothed by hierarchical Dirichlet priors over
+additive unigrams: p(w | h) = (c(h, w) + M p(w | h')) / (c(h) + M), h' being h
+without its first word. A text's first word follows START. Counts are those of
+all training documents.
+
+The trie is kept in shards. A shard of a level holds its contexts, the
+monotone pointers to their successors (both Elias-Fano coded), the successors
+in as few bytes as they need, and a code of two bytes for each successor's
+smoothed probability. A context of level three is the node of level two that
+it continues. A look-up finds the context, then the successor within that
+context's range; it reads the compact arrays where they lie (a buffer or a
+memory-mapped file) and unpacks none of them.
+
+Texts become chunks of tokens. For each level a chunk asks each shard once for
+all different n-grams that it has there, with its own training counts and the
+lower order's codes; the shard adds up the counts, makes its part of the level
+and answers from it. Contexts that are frequent, which every chunk can tell
+from their counts, are dealt out by the n-gram's hash instead of the
+context's, so that no shard has all of one. Nothing but two sums comes to the
+driver.
+
+Words are told apart by 128 bits of hash, and get exact numbers from then on.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,347 +36,457 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import ascii_lower, documents
+from noticeflow.llm.common import ascii_lower, documents, hash_pair
 from noticeflow.llm.quality import crc_of
-from noticeflow.runtime import map_arrow, staged
+from noticeflow.runtime import map_arrow, release, ship, staged
 
-CHUNK, SHARD, HOT_PARTS = 1_500_000, 1_000_000, 8
-ALPHA = 0.1
-END, START = np.uint64(0x0A0A0A0A0A0A0A0A), np.uint64(0x0D0D0D0D0D0D0D0D)
-SUCCESSOR_BITS = 40
-EXACT = 64
-#: Counts that a code stands for: 0 to 63 as they are, then in steps of a twelfth of a power of two.
-BOOK = np.concatenate([np.arange(EXACT), EXACT * 2.0 ** (np.arange(256 - EXACT) / 6.0)])
+#: Tokens of a chunk; n-grams that a shard is asked for, all chunks together; training count from which a context is dealt out.
+CHUNK, SHARD, HOT = 1_500_000, 4_000_000, 500_000
+ALPHA, PRIOR = 0.1, 2.0
+END = (0x0A0A0A0A0A0A0A0A, 0x0D0D0D0D0D0D0D0D)
+START = 0  # as a context; words are numbered from 1
+STEP, EXACT, COUNT_STEP = 4096.0, 4096, 1024.0
+LEAST_SHARDS, BATCH = 12, 1 << 16
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    c = np.maximum(counts, 1).astype(float)
-    far = np.minimum(EXACT + np.rint(6.0 * np.log2(c / EXACT)), 255)
-    return np.where(counts < EXACT, counts, far).astype(np.uint8)
+# codes
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def code_of(p: np.ndarray) -> np.ndarray:
+    """Two bytes for a probability, in steps of 1/4096 of its logarithm to base 10; 0 stands for 'not there'."""
+    return np.clip(np.rint(-np.log10(p) * STEP), 0, 65534).astype(np.uint16) + np.uint16(1)
+
+
+def log_of(code: np.ndarray) -> np.ndarray:
+    return (code.astype(float) - 1) / -STEP
+
+
+def count_code(c: np.ndarray) -> np.ndarray:
+    """Two bytes for a count: exact below 4096, then within 0.04 percent."""
+    far = EXACT + np.rint(COUNT_STEP * np.log2(np.maximum(c, EXACT) / EXACT))
+    return np.where(c < EXACT, c, np.minimum(far, 65535)).astype(np.uint16)
+
+
+def count_of(code: np.ndarray) -> np.ndarray:
+    c = code.astype(float)
+    return np.where(c < EXACT, c, EXACT * 2.0 ** ((c - EXACT) / COUNT_STEP))
+
+
+def smoothed(count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return (count + PRIOR * lower) / (context + PRIOR)
+
+
+# packed arrays
+
+
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, each at a multiple of eight bytes."""
+    head, body = [struct.pack("<q", len(arrays))], []
+    for a in arrays:
+        raw = a.tobytes()
+        head.append(struct.pack("<4sqq", a.dtype.str[1:].encode().ljust(4), len(a), len(raw)))
+        body.append(raw + b"\0" * (-len(raw) % 8))
+    head_ = b"".join(head)
+    return head_ + b"\0" * (-len(head_) % 8) + b"".join(body)
+
+
+def unbundle(buffer) -> list[np.ndarray]:
+    """Views of the arrays in a bytes-like object or a memory-mapped file; nothing is copied."""
+    view = memoryview(buffer)
+    (n,) = struct.unpack_from("<q", view)
+    at, out = 8 + 20 * n + (-(8 + 20 * n)) % 8, []
+    for k in range(n):
+        kind, length, size = struct.unpack_from("<4sqq", view, 8 + 20 * k)
+        out.append(np.frombuffer(view, "<" + kind.decode().strip(), length, at))
+        at += size + (-size) % 8
+    return out
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays with their bytes sorted by place in the number, compressed."""
+    planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.ravel() for a in arrays]
+    head = struct.pack(f"<q{'4sq' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.dtype.str[1:].encode().ljust(4), len(a))))
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(p.tobytes() for p in planes))
+
+
+def unsqueezed(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<q", raw)
+    at, out = 8 + 12 * n, []
+    for k in range(n):
+        kind, length = struct.unpack_from("<4sq", raw, 8 + 12 * k)
+        t = np.dtype("<" + kind.decode().strip())
+        planes = np.frombuffer(raw, np.uint8, length * t.itemsize, at).reshape(t.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
+        at += length * t.itemsize
+    return out
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
+
+
+# the trie
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers: low parts in whole bytes,
-    high parts in unary. ``levels`` are the arrays as stored."""
+    """A non-decreasing sequence of unsigned integers over the arrays as stored: low parts in whole bytes,
+    high parts in unary in words of 64 bits, and the zeros before each word. Nothing else is built from them."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, n: int, width: int):
-        self.low, self.high, self.n, self.width = low, high, n, width
-        zeros = np.flatnonzero(np.unpackbits(high) == 0)
-        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
+    def __init__(self, low: np.ndarray, words: np.ndarray, zeros: np.ndarray, n: int):
+        self.words, self.zeros, self.n = words, zeros, n
+        self.width = len(low) // n if n else 0
+        self.low = low.reshape(n, self.width)
+        self.top = int(zeros[-1]) - 1  # the last high part
 
     @staticmethod
-    def pack(values: np.ndarray) -> tuple[bytes, bytes, int, int]:
+    def pack(values: np.ndarray) -> list[np.ndarray]:
         n = len(values)
-        top = int(values[-1]) if n else 0
-        width = min(7, max(0, (max(1, top // max(1, n))).bit_length() // 8))
-        raw = values.astype("<u8").view(np.uint8).reshape(n, 8)
+        last = int(values[-1]) if n else 0
+        width = min(7, max(0, (max(1, last // max(1, n))).bit_length() // 8))
+        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].ravel()
         high = (values >> np.uint64(8 * width)).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+        top = int(high[-1]) if n else 0
+        bits = np.zeros(-(-(top + n + 1) // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
-        return raw[:, :width].tobytes(), np.packbits(bits).tobytes(), n, width
+        bits[top + n + 1 :] = 1  # after the end no zeros
+        words = np.packbits(bits, bitorder="little").view("<u8")
+        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))]).astype("<u4" if len(bits) < 1 << 32 else "<u8")
+        return [low, words, zeros]
+
+    def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the k-th zero, or one."""
+        out = np.empty(len(k), np.int64)
+        before = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros if ones else self.zeros
+        for a in range(0, len(k), BATCH):
+            want = k[a : a + BATCH]
+            word = np.searchsorted(before, want, "right") - 1
+            bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            seen = np.cumsum(bits if ones else 1 - bits, axis=1, dtype=np.uint8)
+            out[a : a + BATCH] = word * 64 + np.argmax(seen == (want - before[word] + 1).astype(np.uint8)[:, None], axis=1)
+        return out
 
-    def lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for k in range(self.width):
-            out |= self.low[at, k].astype(np.uint64) << np.uint64(8 * k)
+    def _start(self, bucket: np.ndarray) -> np.ndarray:
+        """Number of values whose high part is below the bucket."""
+        inside = (bucket > 0) & (bucket <= self.top)
+        out = np.where(bucket > 0, self.n, 0)
+        b = bucket[inside] - 1
+        out[inside] = self._select(b, False) - b
         return out
 
-    def values(self) -> np.ndarray:
-        bits = np.unpackbits(self.high)
-        ones = np.flatnonzero(bits)[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(8 * self.width)) | self.lows(np.arange(self.n))
+    def get(self, at: np.ndarray) -> np.ndarray:
+        high = (self._select(at, True) - at).astype(np.uint64)
+        return (high << np.uint64(8 * self.width)) | packed_ids(self.low, at)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of the first value that is not less than x; n if there is none."""
-        bucket = np.minimum((x >> np.uint64(8 * self.width)), np.uint64(len(self.starts) - 1)).astype(np.int64)
-        lo = self.starts[bucket].copy()
-        hi = self.starts[np.minimum(bucket + 1, len(self.starts) - 1)].copy()
-        hi = np.where(bucket + 1 >= len(self.starts), self.n, hi)
-        hi = np.minimum(hi, self.n)
-        lo = np.minimum(lo, hi)
-        mask = np.uint64((1 << (8 * self.width)) - 1)
-        want = x & mask
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-
-
-class Trie:
-    """Contexts, pointers, successors and codes of one shard, over a memory-mapped file."""
-
-    def __init__(self, path: str):
-        self.map = np.memmap(path, np.uint8, "r")
-        at = 8
-        (count,) = struct.unpack_from("<q", self.map[:8].tobytes())
-        parts = []
-        for _ in range(count):
-            size, n, width = struct.unpack_from("<qqq", self.map[at : at + 24].tobytes())
-            parts.append((self.map[at + 24 : at + 24 + size], n, width))
-            at += 24 + size
-        def level(i: int) -> EliasFano:
-            low, n, width = parts[i]
-            return EliasFano(low.reshape(n, width), parts[i + 1][0], n, width)
-        self.contexts, self.pointers, self.successors, self.codes = level(0), level(2), level(4), parts[6][0]
-        self.offsets = self.pointers.values().astype(np.int64)
+        bucket = np.minimum(x >> np.uint64(8 * self.width), np.uint64(self.top + 1)).astype(np.int64)
+        lo, hi = self._start(bucket), self._start(bucket + 1)
+        return lower_bound(self.low, lo, hi, x & np.uint64((1 << (8 * self.width)) - 1))
+
+
+def packed_ids(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    for k in range(raw.shape[1]):
+        out |= raw[at, k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def lower_bound(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """First place in [lo, hi) whose number is not less than wanted, hi if there is none; numbers rise within each range."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        less = packed_ids(raw, mid) < want[open_]
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
+class Level:
+    """One shard of a level over its stored form, a bytes-like object or a memory-mapped file."""
+
+    def __init__(self, buffer):
+        a = unbundle(buffer)
+        n, m = a[0].tolist()
+        self.contexts, self.pointers = EliasFano(*a[1:4], n), EliasFano(*a[4:7], n + 1)
+        self.successors = a[7].reshape(m, -1) if m else a[7].reshape(0, 1)
+        self.codes, self.counts = a[8], a[9]
 
     @staticmethod
-    def pack(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> bytes:
-        """Of sorted (context, successor) pairs and their counts."""
-        new = np.append(True, first[1:] != first[:-1]) if len(first) else np.zeros(0, bool)
-        contexts, offsets = first[new], np.append(np.flatnonzero(new), len(first)).astype(np.uint64)
-        place = (np.cumsum(new) - 1).astype(np.uint64)
-        out, blobs = [], []
-        for values in (contexts, offsets, (place << np.uint64(SUCCESSOR_BITS)) | second):
-            low, high, n, width = EliasFano.pack(values)
-            blobs += [(low, n, width), (high, n, width)]
-        blobs.append((quantise(counts).tobytes(), len(counts), 1))
-        for blob, n, width in blobs:
-            out += [struct.pack("<qqq", len(blob), n, width), blob]
-        return struct.pack("<q", len(blobs)) + b"".join(out)
-
-    def look_up(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each pair, 0 if it is not there; number of successors of each context)."""
-        n = self.contexts.n
-        if not n:
-            return np.zeros(len(first), np.uint8), np.zeros(len(first), np.int64)
-        c = self.contexts.find(first)
-        known = (c < n) & (self._context(np.minimum(c, n - 1)) == first)
-        c = np.minimum(c, n - 1)
-        size = np.where(known, self.offsets[c + 1] - self.offsets[c], 0)
-        value = (c.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | second
-        s = np.minimum(self.successors.find(value), self.successors.n - 1)
-        hit = known & (self._values[s] == value)
-        return np.where(hit, np.asarray(self.codes)[s], 0).astype(np.uint8), size
-
-    def _context(self, at: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_all"):
-            self._all, self._values = self.contexts.values(), self.successors.values()
-        return self._all[at]
+    def pack(context: np.ndarray, word: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
+        """Of n-grams sorted by context and word: their probabilities' and counts' codes."""
+        new = np.append(True, context[1:] != context[:-1]) if len(context) else np.zeros(0, bool)
+        pointers = np.append(np.flatnonzero(new), len(context)).astype(np.uint64)
+        width = max(1, (int(word.max()).bit_length() + 7) // 8) if len(word) else 1
+        ids = word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+        sizes = np.array([int(new.sum()), len(word)], "<i8")
+        return bundle(sizes, *EliasFano.pack(context[new]), *EliasFano.pack(pointers), ids, codes, counts)
+
+    def look_up(self, contexts: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the n-grams of ``contexts``, each with so many of ``word``; -1 for those that are not there."""
+        if not len(self.successors):
+            return np.full(len(word), -1, np.int64)
+        c = np.minimum(self.contexts.find(contexts), self.contexts.n - 1)
+        known = self.contexts.get(c) == contexts
+        lo, hi = self.pointers.get(c).astype(np.int64), self.pointers.get(c + 1).astype(np.int64)
+        lo, hi = np.repeat(np.where(known, lo, 0), sizes), np.repeat(np.where(known, hi, 0), sizes)
+        s = lower_bound(self.successors, lo, hi, word)
+        hit = s < hi
+        at = np.minimum(s, len(self.successors) - 1)
+        return np.where(hit & (packed_ids(self.successors, at) == word), s, -1)
+
+
+# chunks
+
+
+def _unique128(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of the different pairs in order, and the number of each pair among them."""
+    u, first, inverse = np.unique(a, return_index=True, return_inverse=True)
+    if (b[first][inverse] == b).all():
+        return u, b[first], inverse
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return x[new], y[new], inverse
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, held_out, words (different hashes, the most frequent first), ends, tokens."""
+    """chunk, doc_ids, held_out, words (both hashes of the different words), tokens (of each text its size, then the words' numbers)."""
     base = documents(docs)
     kind = base.schema["doc_id"].dataType.simpleString()
     tokens = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = base.select("doc_id", (crc_of(F.col("doc_id")) % 10 == 0).alias("held_out"), tokens.alias("w")).select("doc_id", "held_out", F.transform("w", lambda w: F.xxhash64(w)).alias("wh"))
+    rows = base.select("doc_id", (crc_of(F.col("doc_id")) % 10 == 0).alias("held_out"), tokens.alias("w"))
+    rows = rows.select("doc_id", "held_out", F.transform("w", lambda w: hash_pair(w)[0]).alias("a"), F.transform("w", lambda w: hash_pair(w)[1]).alias("b"))
 
-    def close(ids, held, parts, number):
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        words, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
+    def close(ids, held, parts, number, id_type):
+        a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        u, v, inverse = _unique128(a, b)
+        order = np.argsort(-np.bincount(inverse), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        pack = zstandard.ZstdCompressor(3).compress
-        ends = np.cumsum([len(p) for p in parts])
-        return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([ids], pa.list_(ids_type[0])), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(ends.astype("<i8").tobytes())], pa.binary()), pa.array([pack(rank[inverse].astype("<u4").tobytes())], pa.binary()),
-        ], names=["chunk", "doc_ids", "held_out", "words", "ends", "tokens"])
-
-    ids_type: list = [None]
+        body = squeezed(np.array([len(p[0]) for p in parts], "<u4"), rank[inverse].astype("<u4"))
+        words = np.stack([u[order], v[order]]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([words], pa.binary()), pa.array([body], pa.binary())], names=["chunk", "doc_ids", "held_out", "words", "tokens"])
 
     def run(batches):
         ids, held, parts, size = [], [], [], 0
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            ids_type[0] = b.column(0).type
-            col = b.column(2)
-            offsets = col.offsets.to_numpy()
-            flat = col.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (d, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            flat = []
+            for k in (2, 3):
+                column = batch.column(k)
+                flat.append((column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            for i, (d, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids.append(d)
                 held.append(h)
-                parts.append(np.append(flat[offsets[i] : offsets[i + 1]], END))
-                size += len(parts[-1])
+                parts.append([np.append(f[o[i] : o[i + 1]], np.uint64(e)) for (o, f), e in zip(flat, END, strict=True)])
+                size += len(parts[-1][0])
                 if size >= CHUNK:
-                    yield close(ids, held, parts, number)
+                    yield close(ids, held, parts, number, id_type)
                     ids, held, parts, size, number = [], [], [], 0, number + 1
         if ids:
-            yield close(ids, held, parts, number)
+            yield close(ids, held, parts, number, id_type)
 
-    return map_arrow(rows, run, f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, words binary, ends binary, tokens binary")
+    return map_arrow(rows, run, f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, words binary, tokens binary")
 
 
-class Chunk:
-    """A row of chunks, unpacked: words sorted by hash; tokens and training marks."""
-
-    def __init__(self, words: bytes, ends: bytes, tokens: bytes, held: list[bool]):
-        raw = np.frombuffer(words, np.uint64)
-        order = np.argsort(raw)
-        rank = np.empty(len(raw), np.int64)
-        rank[order] = np.arange(len(raw))
-        self.words = raw[order]
-        unpack = zstandard.ZstdDecompressor().decompress
-        self.ends = np.frombuffer(unpack(ends), "<i8")
-        self.tokens = rank[np.frombuffer(unpack(tokens), "<u4")]
-        self.sizes = np.diff(np.concatenate([[0], self.ends]))
-        self.train = np.repeat(~np.array(held, bool), self.sizes)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.words))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(context, successor hash) of the different pairs, training count, and each token's pair. A text's first context is START."""
-        before = np.concatenate([[len(self.words)], self.tokens[:-1]])
-        before[self.ends[:-1]] = len(self.words)
-        key, inverse = np.unique(before * (len(self.words) + 1) + self.tokens, return_inverse=True)
-        hashes = np.append(self.words, START)
-        first, second = np.divmod(key, len(self.words) + 1)
-        return hashes[first], self.words[second], np.bincount(inverse[self.train], minlength=len(key)), inverse
-
-
-def _parts(shard: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, places) for each shard, the places sorted by the keys, the first of them foremost."""
-    order = np.lexsort((*reversed(keys), shard))
-    cut = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])) if len(order) else []
-    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-        yield int(shard[order[a]]), order[a:b]
-
-
-def _word_parts(c: Chunk, n_shards: int):
-    return _parts((_mix(c.words) % np.uint64(n_shards)).astype(np.int64), c.words)
-
-
-def _pair_parts(first: np.ndarray, second: np.ndarray, hot: np.ndarray, n_shards: int):
-    is_hot = np.isin(first, hot)
-    shard = (_mix(np.where(is_hot, _mix(first) ^ second, first)) % np.uint64(n_shards)).astype(np.int64)
-    return _parts(shard, first, second)
-
-
-def _successor(second: np.ndarray) -> np.ndarray:
-    return _mix(second) >> np.uint64(64 - SUCCESSOR_BITS)
-
-
-def _each_chunk(batches):
-    for b in batches:
-        for r in b.to_pylist():
-            yield r["chunk"], Chunk(r["words"], r["ends"], r["tokens"], r["held_out"])
-
-
-def _requests(table: DataFrame, make) -> DataFrame:
-    def run(batches):
-        for number, c in _each_chunk(batches):
-            for shard, keys, counts in make(c):
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([keys], pa.binary()), pa.array([zstandard.ZstdCompressor(1).compress(counts.astype("<u4").tobytes())], pa.binary())], names=["shard", "chunk", "keys", "counts"])
-
-    return map_arrow(table.select("chunk", "held_out", "words", "ends", "tokens"), run, "shard int, chunk long, keys binary, counts binary")
-
-
-def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").astype(np.int64)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-ANSWER = "shard int, chunk long, answer binary, hot binary, total long, different long"
+def _cuts(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(shard, range) for each run of equal numbers."""
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+    for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
+        yield int(shard[a]), slice(a, b)
+
+
+def _word_shards(a: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(a) % np.uint64(n)).astype(np.int64)
+
+
+class Grams:
+    """The different n-grams of a chunk that have a known context, in the order in which they are asked for."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, have: np.ndarray, train: np.ndarray, context_count: np.ndarray, n_shards: int):
+        """Per token: context, word, whether it asks, whether it trains, and its context's count; ``word`` numbers are below 2^40."""
+        self.tokens = np.flatnonzero(have)
+        c, w = context[self.tokens], word[self.tokens]
+        order = np.lexsort((w, c))
+        c, w = c[order], w[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])) if len(c) else np.zeros(0, bool)
+        place = np.empty(len(c), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = self.tokens[order][new]
+        self.context, self.word, self.context_count = c[new], w[new], context_count[first]
+        counts = np.bincount(place[train[self.tokens]], minlength=len(first))
+        key = np.where(self.context_count >= HOT, self.context ^ _mix(self.word), self.context)
+        shard = (_mix(key) % np.uint64(n_shards)).astype(np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        back = np.empty(len(by_shard), np.int64)
+        back[by_shard] = np.arange(len(by_shard))
+        self.place = back[place]
+        self.first, self.counts, self.shard = first[by_shard], counts[by_shard], shard[by_shard]
+        self.context, self.word, self.context_count = self.context[by_shard], self.word[by_shard], self.context_count[by_shard]
+
+    def requests(self, lower: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, packed request) with the codes of the lower order's probabilities, given by token."""
+        code = code_of(lower[self.first])
+        for shard, at in _cuts(self.shard):
+            c = self.context[at]
+            new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            sizes = np.diff(np.append(new, len(c)))
+            yield shard, squeezed(_steps(c[new]), sizes.astype("<u4"), self.word[at], self.counts[at].astype("<u4"), code[at], self.context_count[at][new].astype("<u8"))
+
+    def answers(self, got: dict[int, bytes]) -> list[np.ndarray]:
+        """Arrays of the answers, by n-gram."""
+        parts = [unsqueezed(got[shard]) for shard, _ in _cuts(self.shard)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _answers(shard: int, chunk: list[int], answer: list[bytes], hot: bytes, total: int, different: int) -> pa.Table:
-    """One row per chunk that asked; what concerns the shard is in the first."""
-    rest = len(chunk) - 1
-    return pa.table({"shard": pa.array([shard] * len(chunk), pa.int32()), "chunk": pa.array(chunk, pa.int64()), "answer": pa.array(answer, pa.binary()), "hot": pa.array([hot, *[None] * rest], pa.binary()), "total": pa.array([total, *[0] * rest], pa.int64()), "different": pa.array([different, *[0] * rest], pa.int64())})
+class Chunk:
+    """A row of chunks with what the shards have answered so far."""
+
+    def __init__(self, row: dict, answers: dict[int, dict[int, bytes]], stats: tuple[int, int], shards: tuple[int, int, int]):
+        self.sizes, self.tokens = unsqueezed(row["tokens"])
+        self.ends = np.cumsum(self.sizes.astype(np.int64))
+        self.tokens = self.tokens.astype(np.int64)
+        self.train = np.repeat(~np.array(row["held_out"], bool), self.sizes)
+        self.words = np.frombuffer(row["words"], np.uint64).reshape(2, -1)
+        self.shards = shards
+        order = np.argsort(self.words[0], kind="stable")
+        by_shard = order[np.argsort(_word_shards(self.words[0][order], shards[0]), kind="stable")]
+        self.word_order, self.word_shard = by_shard, _word_shards(self.words[0][by_shard], shards[0])
+        if 1 in answers:
+            self._unigrams(answers[1], *stats)
+        if 2 in answers:
+            self._bigrams(answers[2])
+        if 3 in answers:
+            codes = self.trigrams.answers(answers[3])[0] if len(self.trigrams.word) else np.zeros(0, np.uint16)
+            self._lower_or(codes, self.trigrams, self.pair_count)
+
+    def word_requests(self) -> Iterator[tuple[int, bytes]]:
+        counts = np.bincount(self.tokens[self.train], minlength=self.words.shape[1])
+        for shard, at in _cuts(self.word_shard):
+            own = self.word_order[at]
+            yield shard, squeezed(_steps(self.words[0][own]), self.words[1][own], counts[own].astype("<u4"))
+
+    def _unigrams(self, got: dict[int, bytes], n: int, v: int) -> None:
+        count, number = np.zeros(self.words.shape[1], np.int64), np.zeros(self.words.shape[1], np.uint64)
+        for shard, at in _cuts(self.word_shard):
+            c, rank = unsqueezed(got[shard])
+            count[self.word_order[at]] = c.astype(np.int64)
+            number[self.word_order[at]] = np.cumsum(rank.astype(np.uint64)) * np.uint64(self.shards[0]) + np.uint64(shard + 1)
+        self.count = count[self.tokens]
+        self.base = np.log10((self.count + ALPHA) / (n + ALPHA * (v + 1)))
+        self.score = self.base.copy()
+        w = number[self.tokens]
+        first = np.concatenate([[0], self.ends[:-1]])
+        before, before_count = np.roll(w, 1), np.roll(self.count, 1)
+        ends = self.count[self.ends - 1][0] if len(self.ends) else 0  # as many texts start as end
+        before[first], before_count[first] = START, ends
+        self.word, self.first, self.before = w, first, before
+        self.bigrams = Grams(before, w, before_count > 0, self.train, before_count, self.shards[1])
+        self.bigram_context_count = before_count
+
+    def _lower_or(self, codes: np.ndarray, grams: Grams, context_count: np.ndarray) -> None:
+        """Raises the order of the scores: what the trie has, else the backed-off probability."""
+        backed = np.log10(smoothed(0.0, context_count, 10.0**self.score))
+        if len(grams.tokens):
+            code = codes[grams.place]
+            backed[grams.tokens] = np.where(code > 0, log_of(code), backed[grams.tokens])
+        self.score = np.where(context_count > 0, backed, self.score)
+
+    def _bigrams(self, got: dict[int, bytes]) -> None:
+        g = self.bigrams
+        codes, counts, places = g.answers(got) if len(g.word) else (np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        self._lower_or(codes, g, self.bigram_context_count)
+        node = np.zeros(len(self.word), np.uint64)
+        count = np.zeros(len(self.word))
+        if len(g.tokens):
+            own = (places.astype(np.uint64) * np.uint64(self.shards[1]) + g.shard.astype(np.uint64))[g.place]
+            there = codes[g.place] > 0
+            node[g.tokens[there]] = own[there]
+            count[g.tokens[there]] = count_of(counts[g.place])[there]
+        # the bigram that ends at the token before is the context of this one
+        node, count = np.roll(node, 1), np.roll(count, 1)
+        count[self.first] = 0
+        self.pair_count = count
+        self.trigrams = Grams(node, self.word, count > 0, self.train, count, self.shards[2])
+
+
+SCHEMA = "shard int, chunk long, body binary"
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def word_answers(table: DataFrame, n_shards: int) -> DataFrame:
-    """Training counts of the words that a chunk asked for; per shard its tokens, different words and its most frequent ones."""
+    """shard, chunk, body, total, different: training counts and numbers of the words that a chunk asked for, and on a shard's first row its sums."""
 
-    def make(c: Chunk):
-        counts = c.word_counts()
-        for shard, at in _word_parts(c, n_shards):
-            yield shard, c.words[at].tobytes(), counts[at]
+    def ask(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                for shard, body in Chunk(r, {}, (0, 0), (n_shards, 1, 1)).word_requests():
+                    yield _batch([(shard, r["chunk"], body)]).to_batches()[0]
 
     def answer(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_counts(r["counts"]) for r in rows]), len(words)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        own = np.split(total[inverse], ends[:-1])
-        pack = zstandard.ZstdCompressor(3).compress
-        frequent = np.argsort(-total, kind="stable")[: HOT_PARTS * 2]
-        hot = np.stack([words[frequent], total[frequent].astype(np.uint64)]).astype("<u8").tobytes()
-        return _answers(rows[0]["shard"], [r["chunk"] for r in rows], [pack(x.astype("<u4").tobytes()) for x in own], hot, int(total.sum()), int((total > 0).sum()))
-
-    return _requests(table, make).groupBy("shard").applyInArrow(answer, ANSWER)
-
-
-def _pack_pairs(first: np.ndarray, second: np.ndarray) -> bytes:
-    """Sorted pairs: each context once, the number of its successors, and the successors in five bytes."""
-    new = np.append(True, first[1:] != first[:-1])
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(first))).astype("<u4")
-    body = second.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]
-    sizes = zstandard.ZstdCompressor(1).compress(n.tobytes())
-    return struct.pack("<qq", len(at), len(sizes)) + first[at].tobytes() + sizes + body.tobytes()
-
-
-def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, size = struct.unpack_from("<qq", blob)
-    contexts = np.frombuffer(blob, np.uint64, n, 16)
-    sizes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 + 8 * n : 16 + 8 * n + size]), "<u4")
-    raw = np.frombuffer(blob, np.uint8, -1, 16 + 8 * n + size).reshape(-1, SUCCESSOR_BITS // 8)
-    second = np.zeros((len(raw), 8), np.uint8)
-    second[:, : SUCCESSOR_BITS // 8] = raw
-    return np.repeat(contexts, sizes), second.view("<u8").ravel()
-
-
-def pair_answers(table: DataFrame, hot: np.ndarray, n_shards: int) -> DataFrame:
-    """Codes of the pairs that a chunk asked for, then the number of successors of each of its contexts there; per shard the successors of hot contexts."""
-
-    def make(c: Chunk):
-        first, second, counts, _ = c.pairs()
-        code = _successor(second)
-        for shard, at in _pair_parts(first, code, hot, n_shards):
-            yield shard, _pack_pairs(first[at], code[at]), counts[at]
+        asked = [unsqueezed(x) for x in t.column("body").to_pylist()]
+        a, b, inverse = _unique128(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), np.concatenate([x[1] for x in asked]))
+        total = np.bincount(inverse, np.concatenate([x[2] for x in asked]), len(a)).astype(np.int64)
+        own = np.split(inverse, np.cumsum([len(x[0]) for x in asked])[:-1])
+        out = _batch([(t.column("shard")[0].as_py(), c, squeezed(total[i].astype("<u8"), _steps(i))) for c, i in zip(t.column("chunk").to_pylist(), own, strict=True)])
+        rest = [0] * (len(own) - 1)
+        return out.append_column("total", pa.array([int(total.sum()), *rest], pa.int64())).append_column("different", pa.array([int((total > 0).sum()), *rest], pa.int64()))
+
+    asked = map_arrow(table.select("chunk", "held_out", "words", "tokens"), ask, SCHEMA)
+    return asked.groupBy("shard").applyInArrow(answer, SCHEMA + ", total long, different long")
+
+
+def gram_level(asked: list[list[np.ndarray]]) -> bytes:
+    """A shard of a level of all chunks' requests: n-grams that any of them has in training."""
+    contexts = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
+    context = np.concatenate([np.repeat(c, x[1]) for c, x in zip(contexts, asked, strict=True)])
+    word, counts, code = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
+    held = np.concatenate([np.repeat(x[5], x[1]) for x in asked])
+    some = np.flatnonzero(counts)
+    order = some[np.lexsort((word[some], context[some]))]
+    context, word = context[order], word[order]
+    at = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(order) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    p = smoothed(total, held[order][at].astype(float), 10.0 ** log_of(code[order][at]))
+    return Level.pack(context[at], word[at], code_of(np.minimum(p, 1.0)), count_code(total))
+
+
+def gram_answers(requests: DataFrame, order: int) -> DataFrame:
+    """shard, chunk, body: codes of the n-grams that a chunk asked for; of order 2 also their counts and places."""
 
     def answer(t: pa.Table) -> pa.Table:
-        rows = t.select(["shard", "chunk", "keys", "counts"]).to_pylist()
-        asked = [_unpack_pairs(r["keys"]) for r in rows]
-        first, second = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
-        counts = np.concatenate([_counts(r["counts"]) for r in rows])
-        keep = np.flatnonzero(counts)
-        order = keep[np.lexsort((second[keep], first[keep]))]
-        f, s, c = first[order], second[order], counts[order]
-        new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1])) if len(f) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        f, s = f[at], s[at]
-        c = np.add.reduceat(c, at) if len(at) else c
-        with tempfile.TemporaryDirectory() as d:
-            path = os.path.join(d, "trie")
-            with open(path, "wb") as out:
-                out.write(Trie.pack(f, s, c))
-            trie = Trie(path)
-            answers = []
-            for a, b in asked:
-                codes, size = trie.look_up(a, b)
-                answers.append(zstandard.ZstdCompressor(3).compress(codes.tobytes() + quantise(size[np.append(True, a[1:] != a[:-1])]).tobytes()))
-            del trie
-        contexts, sizes = np.unique(f[np.isin(f, hot)], return_counts=True)
-        return _answers(rows[0]["shard"], [r["chunk"] for r in rows], answers, np.stack([contexts, sizes.astype(np.uint64)]).astype("<u8").tobytes(), len(f), len(c))
-
-    return _requests(table, make).groupBy("shard").applyInArrow(answer, ANSWER)
-
-
-def _unpacked(answers: DataFrame) -> DataFrame:
-    """h, k: what the shards say of hot words, a row each."""
-
-    def run(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                h, k = np.frombuffer(x, "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k)], names=["h", "k"])
-
-    return map_arrow(answers.select("hot").filter("hot is not null"), run, "h long, k long")
+        asked = [unsqueezed(x) for x in t.column("body").to_pylist()]
+        level = Level(gram_level(asked))
+        out = []
+        for chunk, x in zip(t.column("chunk").to_pylist(), asked, strict=True):
+            at = level.look_up(np.cumsum(x[0], dtype=np.uint64), x[1], x[2])
+            there, at = at >= 0, np.maximum(at, 0)
+            codes = np.where(there, level.codes[at], 0).astype("<u2") if len(level.codes) else np.zeros(len(at), "<u2")
+            if order == 2:
+                counts = np.where(there, level.counts[at], 0).astype("<u2") if len(level.counts) else codes
+                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes, counts, at.astype("<i8"))))
+            else:
+                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes)))
+        return _batch(out)
+
+    return requests.groupBy("shard").applyInArrow(answer, SCHEMA)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -383,60 +499,52 @@ def score(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = staged(chunks(docs), "chunks")
-    size = table.agg(F.sum(F.length("words")), F.sum(F.size("doc_ids"))).first()
-    # different words of all chunks, in eights: a measure of the tokens that needs no unpacking
-    n_shards = max(12, (size[0] or 0) // 8 * 6 // SHARD)
-    by_word = staged(word_answers(table, n_shards), "words")
-    stats = by_word.agg(F.sum("total"), F.sum("different")).first()
-    n, v = stats[0] or 0, stats[1] or 0
-    least = max(1, n // (HOT_PARTS * n_shards))
-    frequent = [r["h"] for r in _unpacked(by_word).filter(F.col("k") >= least).collect()]  # HOT_PARTS * n_shards words at most
-    hot = np.append(np.array(frequent, np.int64).view(np.uint64), START)
-    by_pair = staged(pair_answers(table, hot, n_shards), "pairs")
-    sums = sorted((r["h"] % (1 << 64), r["k"]) for r in _unpacked(by_pair).groupBy("h").agg(F.sum("k").alias("k")).collect())  # a row for each hot word
-    hot_words = np.array([h for h, _ in sums], np.uint64)
-    hot_sizes = np.array([k for _, k in sums], float)
+    words = table.agg(F.sum(F.length("words"))).first()[0] or 0
+    # different words of all chunks, in sixteens: a measure of the n-grams that needs no unpacking
+    n_words, n_grams = max(LEAST_SHARDS, words // 16 // SHARD), max(LEAST_SHARDS, words // 16 * 5 // SHARD)
+    shards = (n_words, n_grams, n_grams)
+    by_word = staged(word_answers(table, n_words), "words")
+    sums = by_word.agg(F.sum("total"), F.sum("different")).first()
+    stats = (sums[0] or 0, sums[1] or 0)
+    n = stats[0]
+
+    def opened(left: pa.Table, right: pa.Table, levels: int) -> Chunk:
+        """A chunk with the answers of so many levels; one without any n-gram of this chunk has none."""
+        answers: dict[int, dict[int, bytes]] = {level: {} for level in range(1, levels + 1)}
+        for level, shard, body in zip(*(right.column(c).to_pylist() for c in ("level", "shard", "body")), strict=True):
+            answers[level][shard] = body
+        return Chunk(left.select(["held_out", "words", "tokens"]).to_pylist()[0], answers, stats, shards)
+
+    def requests(level: int, answers: DataFrame) -> DataFrame:
+        def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _batch([])
+            c = opened(left, right, level - 1)
+            grams = c.bigrams if level == 2 else c.trigrams
+            number = left.column("chunk")[0].as_py()
+            return _batch([(shard, number, body) for shard, body in grams.requests(10.0**c.score)])
+
+        own = table.select("chunk", "held_out", "words", "tokens")
+        return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, SCHEMA)
+
+    ship(docs.sparkSession)
+    answers = by_word.select("chunk", F.lit(1).alias("level"), "shard", "body")
+    for level in (2, 3):
+        got = staged(gram_answers(requests(level, answers), level), f"level{level}")
+        answers = answers.unionByName(got.select("chunk", F.lit(level).alias("level"), "shard", "body"))
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        if not rows:
-            return empty(left)
-        r = rows[0]
-        c = Chunk(r["words"], r["ends"], r["tokens"], r["held_out"])
-        got = {(x["kind"], x["shard"]): zstandard.ZstdDecompressor().decompress(x["answer"]) for x in right.to_pylist()}
-        count = np.zeros(len(c.words))
-        for shard, at in _word_parts(c, n_shards):
-            count[at] = np.frombuffer(got["word", shard], "<u4")
-        first, second, _, pair = c.pairs()
-        together, after = np.zeros(len(first)), np.zeros(len(first))
-        code = _successor(second)
-        for shard, at in _pair_parts(first, code, hot, n_shards):
-            answer = np.frombuffer(got["pair", shard], np.uint8)
-            together[at] = BOOK[answer[: len(at)]]
-            own = first[at]
-            new = np.append(True, own[1:] != own[:-1])
-            after[at] = BOOK[answer[len(at) :]][np.cumsum(new) - 1]
-        if len(hot_words):
-            h = np.minimum(np.searchsorted(hot_words, first), len(hot_words) - 1)
-            after = np.where(hot_words[h] == first, hot_sizes[h], after)
-        p1 = (count + ALPHA) / (n + ALPHA * (v + 1))
-        end = np.searchsorted(c.words, END)
-        context = np.append(count, count[end])  # as many texts start as end
-        before = np.where(first == START, len(c.words), np.minimum(np.searchsorted(c.words, first), len(c.words) - 1))
-        last = np.searchsorted(c.words, second)
-        p = np.where(context[before] > 0, (together + after * p1[last]) / np.maximum(context[before] + after, 1), p1[last])
-        cuts = np.concatenate([[0], c.ends[:-1]])
+        if not left.num_rows:
+            kinds = {"doc_id": left.schema.field("doc_ids").type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        c = opened(left, right, 3)
+        def each(x):
+            return np.add.reduceat(x, c.first)
         return pa.table({
-            "doc_id": left.column("doc_ids").combine_chunks().flatten(), "held_out": pa.array(r["held_out"], pa.bool_()), "n_tokens": pa.array(c.sizes, pa.int64()),
-            "n_known": pa.array(np.add.reduceat((count > 0)[c.tokens].astype(np.int64), cuts)), "train_tokens": pa.array([n] * len(c.sizes), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(np.log10(p1)[c.tokens], cuts)), "score": pa.array(np.add.reduceat(np.log10(p)[pair], cuts)),
+            "doc_id": left.column("doc_ids").combine_chunks().flatten(), "held_out": left.column("held_out").combine_chunks().flatten(), "n_tokens": pa.array(c.sizes.astype(np.int64)),
+            "n_known": pa.array(each((c.count > 0).astype(np.int64))), "train_tokens": pa.array([n] * len(c.sizes), pa.int64()), "base_score": pa.array(each(c.base)), "score": pa.array(each(c.score)),
         })
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def empty(left: pa.Table) -> pa.Table:
-        kinds = {"doc_id": left.schema.field("doc_ids").type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-
-    answers = by_word.select("chunk", F.lit("word").alias("kind"), "shard", "answer").unionByName(by_pair.select("chunk", F.lit("pair").alias("kind"), "shard", "answer"))
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
