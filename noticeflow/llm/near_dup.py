@@ -31,7 +31,8 @@ from noticeflow.runtime import map_arrow, maybe_broadcast, release, ship, staged
 
 SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
-PART, FLUSH, CHUNK = 1 << 20, 1 << 21, 32 << 20
+PART, FLUSH, CHUNK = 1 << 20, 1 << 20, 8 << 20
+PIECE = 1 << 18  # words of texts that are worked on at once, but for longer texts
 BANDS, ROWS = 16, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
@@ -123,8 +124,8 @@ def frequencies(base: DataFrame, bits: int) -> DataFrame:
     def count(batches):
         held, size = [], 0
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                _, h, _ = shingles(b.column(0).slice(a, 2000))
+            for part in _slices(b.column(0)):
+                _, h, _ = shingles(part)
                 held.append(h)
                 size += len(h)
                 if size >= FLUSH:
@@ -197,11 +198,29 @@ def bands(sampled: np.ndarray) -> np.ndarray:
     return h
 
 
+def _cuts(column: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows of about PIECE words, and of 1000 rows at most."""
+    ends = column.offsets.to_numpy()[1:].astype(np.int64)
+    start, out = 0, []
+    base = int(column.offsets[0].as_py()) if len(column) else 0
+    while start < len(ends):
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + PIECE, "right"))), start + 1000)
+        out.append((start, stop))
+        start, base = stop, int(ends[stop - 1])
+    return out
+
+
+def _slices(column: pa.Array):
+    for a, b in _cuts(column):
+        yield column.slice(a, b - a)
+
+
 def _pieces(batches, column: str):
-    for b in batches:
-        for a in range(0, b.num_rows, 1000):
-            part = b.slice(a, 1000)
-            yield part, *shingles(part.column(part.schema.names.index(column)))
+    for batch in batches:
+        k = batch.schema.names.index(column)
+        for a, b in _cuts(batch.column(k)):
+            part = batch.slice(a, b - a)
+            yield part, *shingles(part.column(k))
 
 
 def signatures(base: DataFrame, idf: np.ndarray) -> DataFrame:
