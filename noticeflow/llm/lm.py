@@ -2,8 +2,9 @@
 
 The model is of order three, smoothed by hierarchical Dirichlet priors over
 additive unigrams: p(w | h) = (c(h, w) + M p(w | h')) / (c(h) + M), h' being h
-without its first word. A text's first word follows START. Counts are those of
-all training documents.
+without its first word; contexts h that occur once in training are left to the
+lower order, p(w | h) = p(w | h'). A text's first word follows START. Counts
+are those of all training documents.
 
 The trie is kept in shards. A shard of a level holds its contexts, the
 monotone pointers to their successors (both Elias-Fano coded), the successors
@@ -41,10 +42,12 @@ from noticeflow.llm.quality import crc_of
 from noticeflow.runtime import map_arrow, release, ship, staged
 
 #: Tokens of a chunk; n-grams that a shard is asked for, all chunks together; training count from which a context is dealt out.
-CHUNK, SHARD, HOT = 1_500_000, 4_000_000, 500_000
-ALPHA, PRIOR = 0.1, 2.0
+CHUNK, SHARD, HOT = 1_000_000, 2_000_000, 250_000
+ALPHA, PRIOR, LEAST_CONTEXT = 0.1, 2.0, 2
 END = (0x0A0A0A0A0A0A0A0A, 0x0D0D0D0D0D0D0D0D)
 START = 0  # as a context; words are numbered from 1
+#: Different bigrams and trigrams that a chunk asks for, for each different word: a measure of the shards that are needed.
+ASKED = (4, 2.5)
 STEP, EXACT, COUNT_STEP = 4096.0, 4096, 1024.0
 LEAST_SHARDS, BATCH = 12, 1 << 16
 
@@ -305,7 +308,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(shard, range) for each run of equal numbers."""
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+    if not len(shard):
+        return
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
         yield int(shard[a]), slice(a, b)
 
@@ -315,28 +320,22 @@ def _word_shards(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class Grams:
-    """The different n-grams of a chunk that have a known context, in the order in which they are asked for."""
+    """The different n-grams of a chunk whose context is known, in the order in which they are asked for: by shard, context and word."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, have: np.ndarray, train: np.ndarray, context_count: np.ndarray, n_shards: int):
-        """Per token: context, word, whether it asks, whether it trains, and its context's count; ``word`` numbers are below 2^40."""
+    def __init__(self, have: np.ndarray, context: np.ndarray, word: np.ndarray, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, train: np.ndarray, n_shards: int):
+        """Per token: whether it asks, and the ranks of its context and word; then the numbers of contexts and words and
+        the contexts' counts, by rank, in which numbers rise; and which tokens train."""
         self.tokens = np.flatnonzero(have)
-        c, w = context[self.tokens], word[self.tokens]
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])) if len(c) else np.zeros(0, bool)
-        place = np.empty(len(c), np.int64)
-        place[order] = np.cumsum(new) - 1
-        first = self.tokens[order][new]
-        self.context, self.word, self.context_count = c[new], w[new], context_count[first]
-        counts = np.bincount(place[train[self.tokens]], minlength=len(first))
-        key = np.where(self.context_count >= HOT, self.context ^ _mix(self.word), self.context)
-        shard = (_mix(key) % np.uint64(n_shards)).astype(np.int64)
-        by_shard = np.argsort(shard, kind="stable")
-        back = np.empty(len(by_shard), np.int64)
-        back[by_shard] = np.arange(len(by_shard))
-        self.place = back[place]
-        self.first, self.counts, self.shard = first[by_shard], counts[by_shard], shard[by_shard]
-        self.context, self.word, self.context_count = self.context[by_shard], self.word[by_shard], self.context_count[by_shard]
+        key, first, place = np.unique(context[self.tokens] * len(words) + word[self.tokens], return_index=True, return_inverse=True)
+        c, w = np.divmod(key, max(1, len(words)))
+        context_number, word_number, context_count = contexts[c], words[w], counts[c]
+        trained = np.bincount(place[train[self.tokens]], minlength=len(key))
+        shard = (_mix(np.where(context_count >= HOT, context_number ^ _mix(word_number), context_number)) % np.uint64(n_shards)).astype(np.uint16 if n_shards <= 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.place, self.first, self.shard = back[place], self.tokens[first][order], shard[order]
+        self.context, self.word, self.context_count, self.counts = context_number[order], word_number[order], context_count[order], trained[order]
 
     def requests(self, lower: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(shard, packed request) with the codes of the lower order's probabilities, given by token."""
@@ -371,8 +370,7 @@ class Chunk:
         if 2 in answers:
             self._bigrams(answers[2])
         if 3 in answers:
-            codes = self.trigrams.answers(answers[3])[0] if len(self.trigrams.word) else np.zeros(0, np.uint16)
-            self._lower_or(codes, self.trigrams, self.pair_count)
+            self._raise(self.trigrams.answers(answers[3])[0] if len(self.trigrams.word) else np.zeros(0, np.uint16), self.trigrams)
 
     def word_requests(self) -> Iterator[tuple[int, bytes]]:
         counts = np.bincount(self.tokens[self.train], minlength=self.words.shape[1])
@@ -386,42 +384,46 @@ class Chunk:
             c, rank = unsqueezed(got[shard])
             count[self.word_order[at]] = c.astype(np.int64)
             number[self.word_order[at]] = np.cumsum(rank.astype(np.uint64)) * np.uint64(self.shards[0]) + np.uint64(shard + 1)
-        self.count = count[self.tokens]
-        self.base = np.log10((self.count + ALPHA) / (n + ALPHA * (v + 1)))
+        self.known = (count > 0)[self.tokens]
+        self.base = np.log10((count + ALPHA) / (n + ALPHA * (v + 1)))[self.tokens]
         self.score = self.base.copy()
-        w = number[self.tokens]
-        first = np.concatenate([[0], self.ends[:-1]])
-        before, before_count = np.roll(w, 1), np.roll(self.count, 1)
-        ends = self.count[self.ends - 1][0] if len(self.ends) else 0  # as many texts start as end
-        before[first], before_count[first] = START, ends
-        self.word, self.first, self.before = w, first, before
-        self.bigrams = Grams(before, w, before_count > 0, self.train, before_count, self.shards[1])
-        self.bigram_context_count = before_count
-
-    def _lower_or(self, codes: np.ndarray, grams: Grams, context_count: np.ndarray) -> None:
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        starts = count[self.tokens[self.ends[0] - 1]]  # as many texts start as end
+        self.numbers, contexts = np.concatenate([[np.uint64(START)], number[order]]), np.concatenate([[starts], count[order]])
+        self.word = rank[self.tokens]
+        self.first = np.concatenate([[0], self.ends[:-1]])
+        before = np.roll(self.word, 1)
+        before[self.first] = 0
+        self.context_count = contexts[before]
+        self.bigrams = Grams(self.context_count >= LEAST_CONTEXT, before, self.word, self.numbers, self.numbers, contexts, self.train, self.shards[1])
+
+    def _raise(self, codes: np.ndarray, grams: Grams) -> None:
         """Raises the order of the scores: what the trie has, else the backed-off probability."""
-        backed = np.log10(smoothed(0.0, context_count, 10.0**self.score))
-        if len(grams.tokens):
-            code = codes[grams.place]
-            backed[grams.tokens] = np.where(code > 0, log_of(code), backed[grams.tokens])
-        self.score = np.where(context_count > 0, backed, self.score)
+        if not len(grams.tokens):
+            return
+        t = grams.tokens
+        code = codes[grams.place]
+        backed = self.score[t] + np.log10(PRIOR / (self.context_count[t] + PRIOR))
+        self.score[t] = np.where(code > 0, log_of(code), backed)
 
     def _bigrams(self, got: dict[int, bytes]) -> None:
         g = self.bigrams
         codes, counts, places = g.answers(got) if len(g.word) else (np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int64))
-        self._lower_or(codes, g, self.bigram_context_count)
-        node = np.zeros(len(self.word), np.uint64)
-        count = np.zeros(len(self.word))
-        if len(g.tokens):
-            own = (places.astype(np.uint64) * np.uint64(self.shards[1]) + g.shard.astype(np.uint64))[g.place]
-            there = codes[g.place] > 0
-            node[g.tokens[there]] = own[there]
-            count[g.tokens[there]] = count_of(counts[g.place])[there]
+        self._raise(codes, g)
+        count = np.where(codes > 0, np.rint(count_of(counts)), 0).astype(np.int64)
+        node = places.astype(np.uint64) * np.uint64(self.shards[1]) + g.shard.astype(np.uint64)
+        order = np.argsort(node)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         # the bigram that ends at the token before is the context of this one
-        node, count = np.roll(node, 1), np.roll(count, 1)
-        count[self.first] = 0
-        self.pair_count = count
-        self.trigrams = Grams(node, self.word, count > 0, self.train, count, self.shards[2])
+        context, seen = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), np.int64)
+        context[g.tokens], seen[g.tokens] = rank[g.place], count[g.place]
+        context, seen = np.roll(context, 1), np.roll(seen, 1)
+        seen[self.first] = 0
+        self.context_count = seen
+        self.trigrams = Grams(seen >= LEAST_CONTEXT, context, self.word, node[order], self.numbers, count[order], self.train, self.shards[2])
 
 
 SCHEMA = "shard int, chunk long, body binary"
@@ -501,9 +503,8 @@ def score(docs: DataFrame) -> DataFrame:
     table = staged(chunks(docs), "chunks")
     words = table.agg(F.sum(F.length("words"))).first()[0] or 0
     # different words of all chunks, in sixteens: a measure of the n-grams that needs no unpacking
-    n_words, n_grams = max(LEAST_SHARDS, words // 16 // SHARD), max(LEAST_SHARDS, words // 16 * 5 // SHARD)
-    shards = (n_words, n_grams, n_grams)
-    by_word = staged(word_answers(table, n_words), "words")
+    shards = tuple(max(LEAST_SHARDS, int(words // 16 * k // SHARD)) for k in (1, *ASKED))
+    by_word = staged(word_answers(table, shards[0]), "words")
     sums = by_word.agg(F.sum("total"), F.sum("different")).first()
     stats = (sums[0] or 0, sums[1] or 0)
     n = stats[0]
@@ -544,7 +545,7 @@ def score(docs: DataFrame) -> DataFrame:
             return np.add.reduceat(x, c.first)
         return pa.table({
             "doc_id": left.column("doc_ids").combine_chunks().flatten(), "held_out": left.column("held_out").combine_chunks().flatten(), "n_tokens": pa.array(c.sizes.astype(np.int64)),
-            "n_known": pa.array(each((c.count > 0).astype(np.int64))), "train_tokens": pa.array([n] * len(c.sizes), pa.int64()), "base_score": pa.array(each(c.base)), "score": pa.array(each(c.score)),
+            "n_known": pa.array(each(c.known.astype(np.int64))), "train_tokens": pa.array([n] * len(c.sizes), pa.int64()), "base_score": pa.array(each(c.base)), "score": pa.array(each(c.score)),
         })
 
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)

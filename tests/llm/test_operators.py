@@ -121,8 +121,10 @@ def lm_brute(rows):
     for (d, t), h in zip(rows, held, strict=True):
         ws, score = [None, *tokens(t)], 0.0
         for i in range(1, len(ws)):
-            p = (two[ws[i - 1], ws[i]] + m * p1(ws[i])) / ((c[ws[i - 1]] if i > 1 else start) + m)
-            if i > 1:
+            p, before = p1(ws[i]), c[ws[i - 1]] if i > 1 else start
+            if before >= 2:  # contexts that occur once are left to the lower order
+                p = (two[ws[i - 1], ws[i]] + m * p) / (before + m)
+            if i > 1 and two[ws[i - 2], ws[i - 1]] >= 2:
                 p = (three[ws[i - 2], ws[i - 1], ws[i]] + m * p) / (two[ws[i - 2], ws[i - 1]] + m)
             score += math.log10(p)
         yield d, h, len(ws) - 1, sum(w in c for w in ws[1:]), n, sum(math.log10(p1(w)) for w in ws[1:]), score
