@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import patterns as P
 from noticeflow.functions.text import let, matches, strip
 
-EASY_MARK = "__EASY_KO_PROTECTED_%d__"
+EASY_MARK = "\ue000%d\ue001"  # private-use characters, which no letter rule touches
 
 
 def woven(rest: Column, pieces: Column) -> Column:
@@ -38,8 +38,10 @@ def restore(c: Column, kept: Column, mark: str = EASY_MARK) -> Column:
 
 
 def replace_words(c: Column) -> Column:
+    """Words that stand alone; next to a mark they do not."""
+    near = P.EASY_LETTER[:-1] + "\ue000\ue001]"
     for word, easy in P.EASY_WORDS:
-        c = F.regexp_replace(c, f"(?<!{P.EASY_LETTER}){word}(?!{P.EASY_LETTER})", easy)
+        c = F.regexp_replace(c, f"(?<!{near}){word}(?!{near})", easy)
     return c
 
 

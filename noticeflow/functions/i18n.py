@@ -64,9 +64,10 @@ def format_amount(value: Column, lang: Column) -> Column:
     return F.concat(with_commas(value), F.coalesce(_lookup(P.WON_SUFFIX, lang), F.lit(" won")))
 
 
-def amount_ko(n: Column) -> Column:
-    return F.concat(with_commas(n), F.lit("원"))
-
-
 def nllb_code(lang: Column) -> Column:
     return F.coalesce(_lookup(P.NLLB_CODES, lang), F.lit(P.NLLB_CODES["vi"]))
+
+
+def voice(lang: Column) -> Column:
+    """The name of a language's voice, '' for others."""
+    return F.coalesce(_lookup(P.VOICES, lang), F.lit(""))

@@ -53,6 +53,26 @@ NOT_TODO = [
     r"청소년상담",
 ]
 
+NOT_TODO_LEGACY = [
+    r"^학부모님\s*안녕하십니까",
+    r"^안녕하십니까",
+    r"^학부모님께\s*안내드립니다",
+    r"^학부모님께\s*드립니다",
+    r"안내드립니다\s*\.?\s*\z",
+    r"드립니다\s*\.?\s*\z",
+    r"^[^.,!?]{1,30}\s*안내\s*\z",
+    r"교장\z",
+    r"^\d{4}\.\s*\d{1,2}\.\s*\d{1,2}\.?\s*\z",
+    r"담당\s*[:：]",
+    r"^\(.\s*\d{4}-\d{4}",
+    r"^08\d{3}\s*서울특별시",
+    r"공익제보센터",
+    r"자살예방상담",
+    r"청소년상담",
+]
+NOISE_LINE_ANYWHERE = U + r"https?://|^www\.|☎\s*\d|^\d{1,2}:\d{2}\s*[~\-–]\s*\d{1,2}:\d{2}|^[→←↑↓]+\s*\z"
+TODO_LABELS = {"노이즈": 0, "할 일": 1, "LABEL_0": 0, "LABEL_1": 1}
+
 # rule categories and importance
 MONEY = AMOUNT_WON
 DATE_ANY = U + r"(?:(\d{1,2})\s*월\s*(\d{1,2})\s*일)|(?<![\d.])(\d{1,2})[./](\d{1,2})(?!\d)"
@@ -95,6 +115,20 @@ ENDINGS = [("신청", "신청해야 합니다"), ("제출(내기)", "제출해
 # languages
 LANGUAGES = ["vi", "en", "zh", "ja", "th", "ms", "mn", "ru", "ko_easy"]
 NLLB_CODES = {"vi": "vie_Latn", "en": "eng_Latn", "ru": "rus_Cyrl", "ms": "zsm_Latn", "mn": "khk_Cyrl", "zh": "zho_Hans", "th": "tha_Thai", "ja": "jpn_Jpan"}
+VOICES = {
+    "vi": "vi-VN-HoaiMyNeural", "en": "en-US-JennyNeural", "ru": "ru-RU-SvetlanaNeural", "ms": "ms-MY-YasminNeural", "mn": "mn-MN-YesuiNeural",
+    "zh": "zh-CN-XiaoxiaoNeural", "th": "th-TH-PremwadeeNeural", "ja": "ja-JP-NanamiNeural", "ko_easy": "ko-KR-SunHiNeural",
+}
+RESPONSE_COLUMNS = {
+    "en": ["en_text", "english", "translation_en"],
+    "ru": ["ru_text", "russian", "translation_ru"],
+    "ms": ["ms_text", "malay", "translation_ms"],
+    "mn": ["mn_text", "mongolian", "translation_mn"],
+    "vi": ["corrected_vi_text", "corrected_translation", "vi_corrected_translation", "final_vi_text", "vi_text", "vietnamese", "translation_vi"],
+    "zh": ["zh_text", "chinese", "translation_zh"],
+    "th": ["th_text", "thai", "translation_th"],
+    "ja": ["ja_text", "japanese", "translation_ja"],
+}
 WEEKDAYS = {
     "vi": {"월": "Thứ Hai", "화": "Thứ Ba", "수": "Thứ Tư", "목": "Thứ Năm", "금": "Thứ Sáu", "토": "Thứ Bảy", "일": "Chủ Nhật"},
     "en": {"월": "Mon", "화": "Tue", "수": "Wed", "목": "Thu", "금": "Fri", "토": "Sat", "일": "Sun"},

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import patterns as P
-from noticeflow.functions.text import contains_any
+from noticeflow.functions.text import contains_any, strip
 
 
 def has_money(c: Column) -> Column:
@@ -19,9 +19,34 @@ def has_date(c: Column) -> Column:
     return c.rlike(P.DATE_ANY)
 
 
-def rejected(c: Column, least: int = 7) -> Column:
-    """Greetings, signatures and titles, and texts under ``least`` characters."""
-    return (F.char_length(c) < least) | c.rlike(P.U + "|".join(f"(?:{p})" for p in P.NOT_TODO))
+def rejected(c: Column, least: int = 7, legacy: bool = False) -> Column:
+    """Greetings, signatures and titles, and texts under ``least`` characters. ``legacy``: by the shorter list of the first form."""
+    return (F.char_length(c) < least) | c.rlike(P.U + "|".join(f"(?:{p})" for p in (P.NOT_TODO_LEGACY if legacy else P.NOT_TODO)))
+
+
+def is_todo(probability: Column, threshold: float = 0.5) -> Column:
+    """Whether a model takes a sentence for a to-do; not where it gave nothing."""
+    return F.coalesce(probability >= threshold, F.lit(False))
+
+
+def long_enough(c: Column, least: int = 7) -> Column:
+    """Whether a sentence is long enough to be judged, outer blanks left out."""
+    return F.char_length(strip(F.coalesce(c, F.lit("")))) >= least
+
+
+def todo_label_id(label: Column) -> Column:
+    """0 or 1 of a model's label: by its name, else by the number at its end; null for others."""
+    names = F.create_map(*(F.lit(x) for kv in P.TODO_LABELS.items() for x in kv))
+    return F.coalesce(F.element_at(names, label), F.nullif(F.element_at(F.split(label, "_"), -1), F.lit("")).try_cast("int"))
+
+
+def category_id(label: Column) -> Column:
+    return F.nullif(F.array_position(F.array(*map(F.lit, P.CATEGORIES)), label), F.lit(0)).cast("int") - 1
+
+
+def category_of_id(i: Column) -> Column:
+    """The category of a number, the last one for numbers that name none."""
+    return F.coalesce(F.get(F.array(*map(F.lit, P.CATEGORIES)), i.cast("int")), F.lit(P.OTHER))
 
 
 def is_meal_plan(c: Column) -> Column:

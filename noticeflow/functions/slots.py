@@ -114,14 +114,6 @@ def supplies(text: Column) -> Column:
     return F.filter(parts, lambda s: (F.char_length(s) > 1) & (F.char_length(s) < 30))
 
 
-def first_amount(text: Column) -> Column:
-    return F.get(amounts(text), F.lit(0))["ko"]
-
-
-def first_deadline(text: Column) -> Column:
-    return F.get(deadline_phrases(text), F.lit(0))
-
-
 def due_date(text: Column, year: Column | int) -> Column:
     """Month and day as ``year``-MM-DD (not checked), else a relative day, else a phrase of under 20 characters before 'until'."""
     m = F.regexp_extract(text, P.DUE_ABSOLUTE, 0)
@@ -142,7 +134,3 @@ def action(text: Column) -> Column:
     for pattern, hint in reversed(P.ACTIONS):
         out = F.when(text.rlike(pattern), hint).otherwise(out)
     return out
-
-
-def spoken(text: Column) -> Column:
-    return strip_markers(text)

@@ -18,11 +18,6 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
-def nonblank(c: Column) -> Column:
-    """Null where ``c`` is null or blank."""
-    return F.when(strip(c) != "", c)
-
-
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
@@ -75,12 +70,14 @@ def _lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]", -1), strip), lambda s: s != "")
 
 
-def sentences(c: Column, plain: bool = False, drop_lines: bool = True) -> Column:
+def sentences(c: Column, plain: bool = False, drop_lines: bool = True, noise_anywhere: bool = False) -> Column:
     """Sentences of a notice, longer than three characters. ``plain``: without cuts at list marks and labels.
-    ``drop_lines``: headings and lines of a link, phone or time only are left out first."""
+    ``drop_lines``: headings and lines of a link, phone or time only are left out first; with ``noise_anywhere``
+    also lines that have a link or phone somewhere."""
     lines = _lines(c)
     if drop_lines:
-        lines = F.filter(lines, lambda s: ~(s.rlike(P.HEADING_LINE) | s.rlike(P.NOISE_LINE)))
+        noise = P.NOISE_LINE_ANYWHERE if noise_anywhere else P.NOISE_LINE
+        lines = F.filter(lines, lambda s: ~(s.rlike(P.HEADING_LINE) | s.rlike(noise)))
     return _long_enough(F.flatten(F.transform(lines, lambda s: F.split(s, P.SENTENCE_CUT_PLAIN if plain else P.SENTENCE_CUT, -1))), 3)
 
 

@@ -50,13 +50,27 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, group: str, *order: Column, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Adds split: the first rows of each group train, the next val, the rest test; at least one row
-    each of train and val. Sizes round half to even. The group sizes and the places come from one shuffle."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    n = F.count(F.lit(1)).over(W.partitionBy(group))
-    df = df.withColumns({"_i": place, "_n": n})
+    each of train and val. Sizes round half to even.
+
+    Rows are range-partitioned by group and order, so a group of any size
+    spreads over many tasks; a row's place in its group is its place in its
+    partition plus what the partitions before it hold of the group.
+    """
+    from noticeflow.runtime import staged
+
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    d = df.select(F.struct("*").alias("row"), F.col(group).alias("_g"), *(c.alias(k) for k, c in keys.items()))
+    ranged = staged(d.repartitionByRange("_g", *keys).sortWithinPartitions("_g", *keys).select("row", "_g", F.monotonically_increasing_id().alias("_id")), "split")
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(F.col("_g").alias("_h"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
+    by = W.partitionBy("_h")
+    before = F.coalesce(F.sum("_c").over(by.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = counts.select("_h", "_part", "_first", before.alias("_before"), F.sum("_c").over(by).alias("_n"))
+    j = ranged.withColumn("_p", part).join(F.broadcast(sizes), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_part")))
+    place = F.col("_before") + F.col("_id") - F.col("_first") + 1
     a = F.greatest(F.lit(1), F.bround(F.col("_n") * train).cast("long"))
     b = F.greatest(F.lit(1), F.bround(F.col("_n") * val).cast("long"))
-    return df.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "val").otherwise("test")).drop("_i", "_n")
+    return j.select("row.*", F.when(place <= a, "train").when(place <= a + b, "val").otherwise("test").alias("split"))
 
 
 def distribution(df: DataFrame, key: str) -> DataFrame:
@@ -88,11 +102,11 @@ def contingency(df: DataFrame, row: str, column: str, values: list) -> DataFrame
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Adds weight n / (k * n_c), from the class counts, which are broadcast: a row per class."""
+    """Adds weight n / (k * n_c), from the class counts: a row per class, broadcast."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.crossJoin(F.broadcast(total)).select(F.col(label).alias("_l"), (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
-    return df.join(w, F.col(label) == F.col("_l")).drop("_l")
+    return df.join(F.broadcast(w), F.col(label) == F.col("_l")).drop("_l")
 
 
 def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id") -> DataFrame:
@@ -146,6 +160,18 @@ def fill_originals(originals: DataFrame, sentences: DataFrame) -> DataFrame:
     return j.select("id", "original_text", F.when(own, F.col("_c")).otherwise(c).alias("category"), F.when(own, F.col("_k")).otherwise(k).alias("keywords"), F.when(own, F.col("_i")).otherwise(i).alias("importance"), F.when(own, "labelled").when(F.col("_o").isNotNull(), "fallback").otherwise("rule").alias("origin"))
 
 
+def filled_from(df: DataFrame, labels: DataFrame, key: str, column: str, rule: Column) -> DataFrame:
+    """Adds a column from labels (key, column), else from a rule, and origin: labelled or rule. Of repeated labels of a key the greatest counts."""
+    own = labels.groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_v"))
+    j = df.join(own, F.col(key) == F.col("_k"), "left")
+    return j.withColumns({"origin": F.when(F.col("_v").isNotNull(), "labelled").otherwise("rule"), column: F.coalesce("_v", rule)}).drop("_k", "_v")
+
+
+def last_of_each(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and the value of its last row in an order: a lookup in which later rows win."""
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
 def inbox(notices: DataFrame, parent_id) -> DataFrame:
     return notices.filter(F.col("parent_id") == parent_id)
 

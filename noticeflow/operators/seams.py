@@ -1,53 +1,97 @@
-"""Seams for models that are not part of this package: each takes a function over Arrow batches
-of texts and makes it a column operation. Failures of one text give the seam's default."""
+"""Seams for models that are not part of this package: each takes a function over batches of texts and
+makes it a column operation. A row that fails gets the seam's default and its error in a column."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from noticeflow.runtime import map_arrow
 
 
-def with_model(df: DataFrame, inputs: list[str], output: str, kind: T.DataType, call: Callable[[list[tuple]], list], default=None, load: Callable[[], object] | None = None) -> DataFrame:
-    """``df`` with a column of what ``call(rows)`` (or ``call(model, rows)``) gives for the input columns.
+def with_model(
+    df: DataFrame, inputs: list[str], output: str, kind: T.DataType, call: Callable[[list[tuple]], list], default=None, load: Callable[[], object] | None = None,
+    where: str | None = None, batch: int | None = None, retries: int = 0, wait: float = 0.0,
+) -> DataFrame:
+    """``df`` with ``output``, what ``call(rows)`` (or ``call(model, rows)``) gives for the input columns, and ``<output>_error``.
 
-    ``load`` runs once per task, the calls once per Arrow batch. Filter before
-    this: every row that comes in is scored.
+    ``load`` runs once per task. Calls get ``batch`` rows at most (a whole Arrow
+    batch without it). A call that fails is tried again ``retries`` times, after
+    waits that double; then row by row. Rows that still fail, and rows for which
+    the boolean column ``where`` is not true, get the default; only the former
+    have an error. ``kind`` may be an array.
     """
-    keep = df.drop(output)
-    schema = T.StructType([*keep.schema.fields, T.StructField(output, kind)])
-    arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind.simpleString()]
+    error = f"{output}_error"
+    keep = df.drop(output, error)
+    schema = T.StructType([*keep.schema.fields, T.StructField(output, kind), T.StructField(error, T.StringType())])
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         model = load() if load else None
+
+        def tried(rows):
+            for k in range(retries + 1):
+                try:
+                    out = list(call(model, rows) if load else call(rows))
+                    if len(out) != len(rows):
+                        raise ValueError(f"{len(out)} results for {len(rows)} rows")
+                    return out
+                except Exception as e:  # noqa: BLE001, PERF203 - whatever a model raises is the row's error
+                    failure = e
+                    if k < retries and wait:
+                        time.sleep(wait * 2**k)
+            raise failure
+
         for b in batches:
             rows = list(zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in inputs), strict=True))
-            try:
-                out = call(model, rows) if load else call(rows)
-            except Exception:
-                out = []
-                for r in rows:
-                    try:
-                        out += call(model, [r]) if load else call([r])
-                    except Exception:
-                        out.append(default)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=[*b.schema.names, output])
+            out, errors = [default] * len(rows), [None] * len(rows)
+            wanted = range(len(rows)) if where is None else [i for i, x in enumerate(b.column(b.schema.names.index(where)).to_pylist()) if x]
+            size = batch or max(1, len(rows))
+            for a in range(0, len(wanted), size):
+                own = wanted[a : a + size]
+                try:
+                    got = [(x, None) for x in tried([rows[i] for i in own])]
+                except Exception:  # noqa: BLE001
+                    got = []
+                    for i in own:
+                        try:
+                            got.append((tried([rows[i]])[0], None))
+                        except Exception as e:  # noqa: BLE001, PERF203
+                            got.append((default, f"{type(e).__name__}: {e}"))
+                for i, (x, e) in zip(own, got, strict=True):
+                    out[i], errors[i] = x, e
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow), pa.array(errors, pa.string())], names=[*b.schema.names, output, error])
 
     return map_arrow(keep, run, schema)
 
 
+def checked(df: DataFrame, output: str, most: float = 0.1) -> DataFrame:
+    """``df``, a table that is stored, if at most a share ``most`` of its rows failed; else raises."""
+    n, bad = df.agg(F.count(F.lit(1)), F.count(f"{output}_error")).first()
+    if n and bad > most * n:
+        raise RuntimeError(f"{bad} of {n} rows of {output} failed")
+    return df
+
+
 def todo_probability(df: DataFrame, text: str, call, **more) -> DataFrame:
     return with_model(df, [text], "probability", T.DoubleType(), call, **more)
 
 
+def extracted_items(df: DataFrame, text: str, call, **more) -> DataFrame:
+    """Lists of items that a model finds in a text; none where it fails."""
+    return with_model(df, [text], "found", T.ArrayType(T.StringType()), call, default=[], **more)
+
+
 def translate(df: DataFrame, text: str, lang: str, call, **more) -> DataFrame:
     return with_model(df, [text, lang], "translated", T.StringType(), call, default="", **more)
 
 
 def judge(df: DataFrame, prompt: str, call, **more) -> DataFrame:
-    """Raw answers of a judge; see evals.fenced_json and evals.clamp for reading them."""
-    return with_model(df, [prompt], "answer", T.StringType(), call, default="", **more)
+    """Raw answers of a judge, with three retries; see evals.fenced_json and evals.clamp for reading them."""
+    return with_model(df, [prompt], "answer", T.StringType(), call, default="", **{"retries": 3, "wait": 1.0, **more})

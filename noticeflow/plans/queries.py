@@ -1,7 +1,8 @@
 """Registered queries over whole tables, and the SQL that gives the same rows.
 
-The tables hold no Korean text, so notices are made of orders: one sentence
-pattern for odd keys, another for even ones.
+The tables hold no Korean text, so notices are made of orders, of six sentence
+patterns by the order's number. The SQL answers by the rules (patterns, word
+lists), not by the pattern a notice was made of.
 """
 
 from __future__ import annotations
@@ -34,23 +35,27 @@ def table(spark, sf_dir: str, name: str):
 
 
 _ACTION = "case substr(o_orderpriority, 1, 1) when '1' then '납부' when '2' then '제출' when '3' then '신청' when '4' then '준비' else '확인' end"
-_NOTICE = """select o_orderkey as notice_id, o_custkey as parent_id, case when o_orderkey % 2 = 1 then
-  concat(cast(year(o_orderdate) as {s}), '년 ', cast(month(o_orderdate) as {s}), '월 ', cast(day(o_orderdate) as {s}), '일까지 참가비 ', {amount}, '원을 ',
-         {action}, '해 주세요. 문의 02-', lpad(cast(o_custkey % 10000 as {s}), 4, '0'), '-', lpad(cast(o_orderkey % 10000 as {s}), 4, '0'))
-  else concat('준비물: 도시락, 물통과 돗자리 ', {action}, '해 주세요. 오후 ', cast(1 + o_orderkey % 11 as {s}), '시 30분 https://school', cast(o_custkey % 7 as {s}), '.example/form') end as text from orders"""
-N_SPARK = _NOTICE.format(s="string", amount="format_number(cast(floor(o_totalprice) as bigint), 0)", action=_ACTION)
-N_DUCK = "n as (" + _NOTICE.format(s="varchar", amount="format('{:,}', cast(floor(o_totalprice) as bigint))", action=_ACTION) + ")"
+_DAY = "cast(day(o_orderdate) as {s})"
+_MONTH = "cast(month(o_orderdate) as {s})"
+_NOTICE = f"""select o_orderkey as notice_id, o_custkey as parent_id, case o_orderkey % 6
+  when 0 then concat('준비물: 도시락, 물통과 돗자리 ', {{action}}, '해 주세요. 오후 ', cast(1 + o_orderkey % 11 as {{s}}), '시 30분 https://school', cast(o_custkey % 7 as {{s}}), '.example/form')
+  when 1 then concat(cast(year(o_orderdate) as {{s}}), '년 ', {_MONTH}, '월 ', {_DAY}, '일까지 참가비 ', {{amount}}, '원을 ', {{action}}, '해 주세요. 문의 02-', lpad(cast(o_custkey % 10000 as {{s}}), 4, '0'), '-', lpad(cast(o_orderkey % 10000 as {{s}}), 4, '0'))
+  when 2 then concat('안녕하세요. 학부모님께 안내드립니다. ', {_MONTH}, '.', {_DAY}, '.(금) 14:05에 www.school.example/a', cast(o_custkey % 5 as {{s}}), ' 에서 ', {{action}}, '하세요. 회비 ', cast(1 + o_custkey % 9 as {{s}}), '만 원, 교재 2천원입니다. 전화 1588-', lpad(cast(o_custkey % 10000 as {{s}}), 4, '0'))
+  when 3 then concat('다음 주 월요일까지 ', {{action}}, '하시고 내일 오전 9시에 오세요. 총 1억원 중 ', {{amount}}, '원입니다. 031-123-', lpad(cast(o_orderkey % 10000 as {{s}}), 4, '0'))
+  when 4 then concat({_MONTH}, '월 ', {_DAY}, '일(화) 오전 10시 15분에 학교 안내를 확인하세요. 신청 https://s.example/f', cast(o_custkey % 3 as {{s}}), '.html 까지 ', {{action}}, '해 주시기 바랍니다. ', {_MONTH}, '월 ', {_DAY}, '일(화) 9:30 시작')
+  else concat('문의처: 123-', lpad(cast(o_custkey % 10000 as {{s}}), 4, '0'), ' 회비 ', cast(1000 + o_custkey % 9 as {{s}}), '원을 ', {_MONTH}, '/', {_DAY}, '까지 꼭 ', {{action}}, '해 주세요. 색종이와 풀을 챙겨 주세요') end as text from """
+N_SPARK = _NOTICE.format(s="string", amount="format_number(cast(floor(o_totalprice) as bigint), 0)", action=_ACTION) + "{orders}"
+N_DUCK = "n as (" + _NOTICE.format(s="varchar", amount="format('{:,}', cast(floor(o_totalprice) as bigint))", action=_ACTION) + "orders)"
 
 
 def notices(spark, sf_dir: str):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(N_SPARK)
+    return spark.sql(N_SPARK, orders=table(spark, sf_dir, "orders"))
 
 
 def spread_notices(spark, sf_dir: str):
-    """Notices by id over all cores: their analysis takes far longer than moving them, and it groups and
-    joins by the id, so that this is its one shuffle."""
-    return notices(spark, sf_dir).repartition(max(8, spark.sparkContext.defaultParallelism), "notice_id")
+    """Notices dealt out by id: their analysis takes far longer than moving them, and it groups and
+    joins by the id, so that this is its one shuffle. Adaptive execution sets the number of partitions."""
+    return notices(spark, sf_dir).repartition("notice_id")
 
 
 GLOSSARY = [("참가비", "phí tham gia"), ("도시락", "cơm hộp"), ("돗자리", "chiếu"), ("비용", "chi phí"), ("연락처", "liên hệ"), ("시간", "giờ"), ("일시", "ngày giờ"), ("참가", "tham gia"), ("물통", "")]
@@ -61,31 +66,62 @@ _TERMS_DUCK = "terms(pos, korean, preferred) as (values " + ", ".join(f"({i}, '{
 # slots of notices
 
 
-@query(f"""with {N_DUCK} select notice_id, regexp_extract(text, '(\\d{{4}})년', 1)::int as year, regexp_extract(text, '(\\d{{1,2}})월', 1)::int as month,
-  regexp_extract(text, '월 (\\d{{1,2}})일', 1)::int as day, regexp_extract(text, '\\d{{4}}년 \\d{{1,2}}월 \\d{{1,2}}일', 0) as ko from n where notice_id % 2 = 1""")
+# The rules in the regex syntax of the other engine, which has no look-around: what stands around a match is matched too.
+R_FULL = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월화수목금토일])\))?"
+R_MONTH_DAY = r"(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월화수목금토일])\))?"
+R_DOTTED = r"(?:(\d{4})\s*\.\s*)?(\d{1,2})\s*\.\s*(\d{1,2})\s*\.?\s*\(([월화수목금토일])\)"
+R_HALF = r"(오전|오후)\s*(\d{1,2})\s*시(?:\s*(\d{1,2})\s*분)?"
+R_24H = r"(?:^|[^0-9])([0-9]{1,2}:[0-9]{2})(?:[^0-9]|$)"
+R_WON = r"(\d{1,3}(?:,\d{3})+|\d+)\s*원"
+R_UNIT = r"(\d+)\s*(만|천|억)\s*원"
+R_PHONE = r"(?:^|[^0-9-])(\d{2,4}-\d{3,4}-\d{4}|\d{4}-\d{4}|\d{3,4}-\d{4})(?:[^0-9]|$)"
+R_URL = r"""((?:https?://|www\.)[^\s<>"''()]+)"""
+R_SLASH = r"(?:^|[^0-9.원시])(\d{1,2})[./](\d{1,2})(?:[^0-9]|$)"
+R_SEGMENT = r"[^.\n❍❏|※]*까지[^.\n❍❏|※]*"
+
+
+def _each(pattern: str, group: int = 0) -> str:
+    """Rows (notice_id, ko) of the different matches of a pattern."""
+    return f"select distinct notice_id, unnest(regexp_extract_all(text, '{pattern}', {group})) as ko from n"
+
+
+def _part(pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract(ko, '{pattern}', {group}), '')"
+
+
+_DATES_DUCK = f"""rest as (select notice_id, regexp_replace(text, '{R_FULL}', '#', 'g') as text from n), d as (
+  select notice_id, ko, {_part(R_FULL, 1)}::int as year, {_part(R_FULL, 2)}::int as month, {_part(R_FULL, 3)}::int as day, {_part(R_FULL, 4)} as weekday, null as relative from ({_each(R_FULL)})
+  union all select notice_id, ko, null, {_part(R_MONTH_DAY, 1)}::int, {_part(R_MONTH_DAY, 2)}::int, {_part(R_MONTH_DAY, 3)}, null from ({_each(R_MONTH_DAY).replace("from n", "from rest")})
+  union all select notice_id, ko, {_part(R_DOTTED, 1)}::int, {_part(R_DOTTED, 2)}::int, {_part(R_DOTTED, 3)}::int, {_part(R_DOTTED, 4)}, null from ({_each(R_DOTTED)})
+  union all select notice_id, w, null, null, null, null, w from n, (select unnest(['내일', '모레', '오늘', '다음 주', '다음주', '이번 주', '이번주']) as w) where contains(text, w))"""
+_TIMES_DUCK = f"""t as (select notice_id, ko, {_part(R_HALF, 2)}::int as hour, coalesce({_part(R_HALF, 3)}::int, 0) as minute, {_part(R_HALF, 1)} as ampm from ({_each(R_HALF)})
+  union all select notice_id, ko, string_split(ko, ':')[1]::int, string_split(ko, ':')[2]::int, null from ({_each(R_24H, 1)}))"""
+_AMOUNTS_DUCK = f"""a as (select notice_id, ko, replace({_part(R_WON, 1)}, ',', '')::bigint as value from ({_each(R_WON)})
+  union all select notice_id, ko, {_part(R_UNIT, 1)}::bigint * case {_part(R_UNIT, 2)} when '천' then 1000 when '만' then 10000 else 100000000 end from ({_each(R_UNIT)}) where not regexp_full_match(ko, '{R_WON}'))"""
+
+
+@query(f"with {N_DUCK}, {_DATES_DUCK} select * from d")
 def notice_dates(spark, sf_dir):
     n = notices(spark, sf_dir).select("notice_id", F.explode(slots.dates(F.col("text"))).alias("d"))
-    return n.select("notice_id", "d.year", "d.month", "d.day", "d.ko")
+    return n.select("notice_id", "d.ko", "d.year", "d.month", "d.day", "d.weekday", "d.relative")
 
 
-@query(f"""with {N_DUCK} select notice_id, regexp_extract(text, '오후 \\d+시 \\d+분', 0) as ko, regexp_extract(text, '오후 (\\d+)시', 1)::int as hour, 30 as minute,
-  '오후' as ampm from n where notice_id % 2 = 0""")
+@query(f"with {N_DUCK}, {_TIMES_DUCK} select * from t")
 def notice_times(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.inline(slots.times(F.col("text"))))
 
 
-@query(f"""with {N_DUCK} select notice_id, regexp_extract(text, '([0-9,]+)원', 0) as ko, replace(regexp_extract(text, '([0-9,]+)원', 1), ',', '')::bigint as amount
-  from n where notice_id % 2 = 1""")
+@query(f"with {N_DUCK}, {_AMOUNTS_DUCK} select notice_id, ko, value as amount from a")
 def notice_amounts(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.explode(slots.amounts(F.col("text"))).alias("a")).select("notice_id", "a.ko", F.col("a.value").alias("amount"))
 
 
-@query(f"with {N_DUCK} select notice_id, regexp_extract(text, '02-\\d{{4}}-\\d{{4}}', 0) as phone from n where notice_id % 2 = 1")
+@query(f"with {N_DUCK} select notice_id, ko as phone from ({_each(R_PHONE, 1)})")
 def notice_phones(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.explode(slots.phones(F.col("text"))).alias("phone"))
 
 
-@query(f"with {N_DUCK} select notice_id, regexp_extract(text, 'https://[^ ]+', 0) as url from n where notice_id % 2 = 0")
+@query(f"with {N_DUCK} select distinct notice_id, rtrim(ko, '.,)]') as url from ({_each(R_URL, 1)})")
 def notice_urls(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.explode(slots.urls(F.col("text"))).alias("url"))
 
@@ -98,45 +134,69 @@ def notice_action(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", slots.action(F.col("text")).alias("action"))
 
 
-@query(f"""with {N_DUCK} select notice_id, case when notice_id % 2 = 1 then '2026-' || lpad(regexp_extract(text, '(\\d+)월', 1), 2, '0') || '-' || lpad(regexp_extract(text, '월 (\\d+)일', 1), 2, '0') end as due_date from n""")
+_PAIR_DUCK = "'2026-' || lpad(regexp_extract(text, '{p}', 1), 2, '0') || '-' || lpad(regexp_extract(text, '{p}', 2), 2, '0')"
+_DUE_DUCK = (
+    f"case when regexp_matches(text, '{R_MONTH_DAY}') then {_PAIR_DUCK.format(p=R_MONTH_DAY.replace('{', '{').replace('}', '}'))} when regexp_matches(text, '{R_SLASH}') then {_PAIR_DUCK.format(p=R_SLASH)}"
+    r" else coalesce(nullif(regexp_extract(text, '(?:(?:다음|이번)\s*주|매주)\s*[월화수목금토일]요일|오늘|내일|모레'), ''), case when length(u) between 1 and 19 then u end) end"
+)
+
+
+@query(f"with {N_DUCK} select notice_id, {_DUE_DUCK} as due_date from (select *, trim(regexp_extract(text, '([\\p{{L}}\\p{{N}}_\\s]+?)\\s*까지', 1)) as u from n)")
 def due_date_as_of(spark, sf_dir):
+    """A text has dates of one kind only, so that the SQL need not ask which of them comes first."""
     return notices(spark, sf_dir).select("notice_id", slots.due_date(F.col("text"), 2026).alias("due_date"))
 
 
-@query(f"with {N_DUCK} select notice_id, regexp_extract(text, '^[^.]*까지[^.]*', 0) as deadline from n where notice_id % 2 = 1")
+@query(f"""with {N_DUCK}, u as (select notice_id, text, regexp_extract(text, '{R_URL}', 1) as url from n),
+  m as (select notice_id, case when url = '' then text else replace(text, url, '⟦U' || repeat('_', length(url) - 3) || '⟧') end as text from u)
+  select notice_id, trim(unnest(regexp_extract_all(text, '{R_SEGMENT}'))) as deadline from m""")
 def deadline_phrases(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.explode(slots.deadline_phrases(F.col("text"))).alias("deadline"))
 
 
-@query(f"with {N_DUCK} select notice_id, unnest(['도시락', '물통', '돗자리']) as item from n where notice_id % 2 = 0 and contains(text, '준비해')")
+@query(f"""with {N_DUCK}, b as (select notice_id, regexp_replace(regexp_replace(text, '준비물\\s*[:：]?\\s*', '', 'g'), '(을|를)?\\s*(준비해|챙겨|가져)[^\\n]*$', '') as text from n),
+  i as (select notice_id, trim(unnest(regexp_split_to_array(text, '[,，、]\\s*|\\s*(?:과|와|및)\\s+'))) as item from b) select notice_id, item from i where length(item) between 2 and 29""")
 def supply_tokens(spark, sf_dir):
-    n = notices(spark, sf_dir).filter(F.col("text").contains("준비해") & (F.col("notice_id") % 2 == 0))
-    return n.select("notice_id", F.explode(slots.supplies(F.col("text"))).alias("item"))
+    return notices(spark, sf_dir).select("notice_id", F.explode(slots.supplies(F.col("text"))).alias("item"))
 
 
 _LANG = "(select unnest(['vi','en','zh','ja','th','ms','mn','ru','ko_easy']) as lang)"
 _SUFFIX = "case lang when 'ru' then ' вон' when 'mn' then ' вон' when 'th' then ' วอน' when 'zh' then '韩元' when 'ja' then 'ウォン' when 'ko_easy' then '원' else ' won' end"
 
 
-@query(f"""with {N_DUCK} select notice_id, lang, regexp_extract(text, '([0-9,]+)원', 1) || {_SUFFIX} as shown from n, {_LANG} where notice_id % 2 = 1""")
+@query(f"with {N_DUCK}, {_AMOUNTS_DUCK} select notice_id, lang, format('{{:,}}', value) || {_SUFFIX} as shown from a, {_LANG}")
 def amount_i18n(spark, sf_dir):
     n = notices(spark, sf_dir).select("notice_id", F.explode(slots.amounts(F.col("text"))).alias("a")).withColumn("lang", F.explode(F.array(*map(F.lit, P.LANGUAGES))))
     return n.select("notice_id", "lang", i18n.format_amount(F.col("a.value"), F.col("lang")).alias("shown"))
 
 
-@query(f"""with {N_DUCK}, d as (select notice_id, regexp_extract(text, '(\\d{{4}})년', 1) as y, regexp_extract(text, '(\\d+)월', 1) as m, regexp_extract(text, '월 (\\d+)일', 1) as d,
-  regexp_extract(text, '\\d{{4}}년 \\d{{1,2}}월 \\d{{1,2}}일', 0) as ko from n where notice_id % 2 = 1)
-  select notice_id, lang, case lang when 'vi' then 'Ngày ' || d || '/' || m || '/' || y when 'en' then
-    ['January','February','March','April','May','June','July','August','September','October','November','December'][m::int] || ' ' || d || ', ' || y
-    when 'zh' then m || '月' || d || '日' when 'ja' then m || '月' || d || '日' when 'ko_easy' then ko else d || '/' || m || '/' || y end as shown from d, {_LANG}""")
+def _map_duck(table: dict, key: str) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
+
+
+_DAY_MONTH = "day || '/' || month || coalesce('/' || year, '')"
+_WEEKDAY = {k: f"coalesce(' (' || {_map_duck(P.WEEKDAYS[k], 'weekday')} || ')', '')" for k in P.WEEKDAYS}
+
+
+@query(f"""with {N_DUCK}, {_DATES_DUCK} select notice_id, lang, case when relative is not null then
+    case lang when 'vi' then coalesce({_map_duck(P.RELATIVE['vi'], 'relative')}, ko) when 'en' then coalesce({_map_duck(P.RELATIVE['en'], 'relative')}, ko) else ko end
+    else case lang when 'vi' then 'Ngày ' || {_DAY_MONTH} || {_WEEKDAY['vi']}
+    when 'en' then ['January','February','March','April','May','June','July','August','September','October','November','December'][month] || ' ' || day || coalesce(', ' || year, '') || {_WEEKDAY['en']}
+    when 'zh' then month || '月' || day || '日' || coalesce(' (' || weekday || ')', '') when 'ja' then month || '月' || day || '日' || coalesce(' (' || weekday || ')', '')
+    when 'ko_easy' then ko else {_DAY_MONTH} end end as shown from d, {_LANG}""")
 def date_i18n(spark, sf_dir):
     n = notices(spark, sf_dir).select("notice_id", F.explode(slots.dates(F.col("text"))).alias("d")).withColumn("lang", F.explode(F.array(*map(F.lit, P.LANGUAGES))))
     return n.select("notice_id", "lang", i18n.format_date(F.col("d"), F.col("lang")).alias("shown"))
 
 
-@query(f"""with {N_DUCK}, t as (select notice_id, (1 + notice_id % 11)::varchar as h, regexp_extract(text, '오후 \\d+시 \\d+분', 0) as ko from n where notice_id % 2 = 0)
-  select notice_id, lang, case lang when 'vi' then h || ' giờ 30 chiều' when 'en' then h || ':30 PM' when 'zh' then '下午' || h || '时30分' when 'ja' then '午後' || h || '時30分'
-  when 'ko_easy' then ko else h || ':30' end as shown from t, {_LANG}""")
+_HALVES = {"vi": (" sáng", " chiều"), "en": (" AM", " PM"), "zh": ("上午", "下午"), "ja": ("午前", "午後")}
+_HALF = {k: f"case ampm when '오전' then '{a}' when '오후' then '{b}' else '' end" for k, (a, b) in _HALVES.items()}
+_TWO = "lpad(minute::varchar, 2, '0')"
+
+
+@query(f"""with {N_DUCK}, {_TIMES_DUCK} select notice_id, lang, case lang when 'vi' then hour || ' giờ' || case when minute <> 0 then ' ' || minute else '' end || {_HALF['vi']}
+  when 'en' then hour || ':' || {_TWO} || {_HALF['en']} when 'zh' then {_HALF['zh']} || hour || '时' || {_TWO} || '分' when 'ja' then {_HALF['ja']} || hour || '時' || {_TWO} || '分'
+  when 'ko_easy' then ko else hour || ':' || {_TWO} end as shown from t, {_LANG}""")
 def time_i18n(spark, sf_dir):
     n = notices(spark, sf_dir).select("notice_id", F.explode(slots.times(F.col("text"))).alias("t")).withColumn("lang", F.explode(F.array(*map(F.lit, P.LANGUAGES))))
     return n.select("notice_id", "lang", i18n.format_time(F.col("t"), F.col("lang")).alias("shown"))
@@ -202,7 +262,11 @@ def notice_todos(spark, sf_dir):
     return cards.todos(spread_notices(spark, sf_dir), "notice_id")
 
 
-@query(f"""with {N_DUCK} select notice_id, case when notice_id % 2 = 0 then '준비물' end as header, case when notice_id % 2 = 0 then substr(text, 6) else text end as value from n""")
+_HEADED_DUCK = "(?s)^\\s*(" + "|".join(sorted(P.HEADERS, key=lambda h: (-len(h), P.HEADERS.index(h)))) + ")\\s*[|:：]?\\s*(.+)$"
+
+
+@query(f"""with {N_DUCK}, h as (select notice_id, trim(text) as text, nullif(regexp_extract(trim(text), '{_HEADED_DUCK}', 1), '') as header from n)
+  select notice_id, header, case when header is null then text else trim(regexp_extract(text, '{_HEADED_DUCK}', 2)) end as value from h""")
 def header_value(spark, sf_dir):
     t = F.col("text")
     return notices(spark, sf_dir).select("notice_id", cards.header(t).alias("header"), cards.value(t).alias("value"))
@@ -421,8 +485,7 @@ def label_aggregation(spark, sf_dir):
 @query("select d.doc_id, case when quality is not null then 'labelled' else 'rule' end as origin, coalesce(quality, case when n_chars > 1000 then 1 else 0 end) as quality from documents d left join labels l using (doc_id)")
 def left_join_fallback(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = d.join(lab, "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("quality").isNotNull(), "labelled").otherwise("rule").alias("origin"), F.coalesce("quality", F.when(F.col("n_chars") > 1000, 1).otherwise(0)).alias("quality"))
+    return corpus.filled_from(d, lab, "doc_id", "quality", F.when(F.col("n_chars") > 1000, 1).otherwise(0)).select("doc_id", "origin", "quality")
 
 
 @query()
@@ -513,20 +576,20 @@ def ab_verdict(spark, sf_dir):
     return g.select("o_custkey", evals.verdict(F.col("b") - F.col("a")).alias("verdict"))
 
 
-@query("""with e as (select o_orderpriority as grp, sum(cast(floor(o_totalprice) as bigint)) // count(*) as before, sum(cast(floor(o_totalprice * 1.1) as bigint)) // count(*) as after from orders group by 1)
-  select grp, before, after, after - before as delta from e union all select '전체', sum(before) // count(*), sum(after) // count(*), sum(after) // count(*) - sum(before) // count(*) from e""")
+@query("""with e as (select o_orderpriority as grp, round(avg(cast(o_totalprice as decimal(20,4))), 1) as before, round(avg(cast(o_totalprice * 1.25 as decimal(20,4))), 1) as after from orders group by 1),
+  t as (select * from e union all select '전체', round(avg(before), 1), round(avg(after), 1) from e) select grp, before, after, round(after - before, 1) as delta from t""")
 def two_level_mean(spark, sf_dir):
-    """Means cut to whole numbers, so that both engines agree to the last digit."""
-    o = table(spark, sf_dir, "orders")
-    e = o.groupBy(F.col("o_orderpriority").alias("grp")).agg(*(F.expr(f"sum(cast(floor({x}) as bigint)) div count(*)").alias(n) for x, n in (("o_totalprice", "before"), ("o_totalprice * 1.1D", "after"))))
-    all_ = e.agg(F.lit("전체").alias("grp"), F.expr("sum(before) div count(*)").alias("before"), F.expr("sum(after) div count(*)").alias("after"))
-    return e.unionByName(all_).withColumn("delta", F.col("after") - F.col("before"))
+    o = table(spark, sf_dir, "orders").withColumn("after_price", F.col("o_totalprice") * 1.25)
+    out = evals.two_level_mean(o, "o_orderpriority", "o_totalprice", "after_price")
+    return out.select("grp", *(F.col(c).cast("double").alias(c) for c in ("before", "after", "delta")))
 
 
-@query("select event_id, json_valid(props) as valid, json_keys(props)[1] as first_key from events")
+@query("select event_id, json_keys(props)[1] as first_key, json_extract_string(props, '$.' || json_keys(props)[1]) as first_value from events")
 def json_field(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.from_json("props", "map<string,string>").isNotNull().alias("valid"), F.get(F.json_object_keys("props"), F.lit(0)).alias("first_key"))
+    """The fields of an answer in a code fence, made of the event's properties."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n```")).alias("answer"))
+    e = e.select("event_id", evals.fenced_json(F.col("answer"), "map<string,string>").alias("m")).withColumn("k", F.get(F.map_keys("m"), F.lit(0)))
+    return e.select("event_id", F.col("k").alias("first_key"), F.element_at("m", F.col("k")).alias("first_value"))
 
 
 @query("select event_id, greatest(0, least(95, round_even(value, 0)))::int as score from events")
