@@ -42,6 +42,22 @@ def slot_entries(text: Column, lang: Column) -> Column:
     )
 
 
+def slot_rows(notices: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """id, slot (dates, times, amounts, urls, phones), pos, ko: a row for each value found in a text; null texts have none."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    found = {"dates": slots.dates(t), "times": slots.times(t), "amounts": slots.amounts(t)}
+    lists = {**{k: F.transform(v, lambda x: x["ko"]) for k, v in found.items()}, "urls": slots.urls(t), "phones": slots.phones(t)}
+    rows = notices.select(id_col, F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), v.alias("values")) for k, v in lists.items()))).alias("s"))
+    return rows.select(id_col, "s.slot", F.posexplode("s.values").alias("pos", "ko"))
+
+
+def from_first_form(todos: DataFrame) -> DataFrame:
+    """To-dos of the first form (text_ko, due_date, importance) in the present one: the importance is the confidence,
+    0.5 if it is missing, and the amount is read from the text."""
+    text = F.coalesce(F.col("text_ko"), F.lit(""))
+    return todos.withColumns({"text": text, "amount": slots.amount(text), "confidence": F.coalesce(F.col("importance").cast("double"), F.lit(0.5)), "action_hint": F.lit(None).cast("string")}).drop("text_ko", "importance")
+
+
 def when_text(text: Column, lang: Column) -> Column:
     """First date and first time in the reader's language, or null."""
     d, t = F.get(slots.dates(text), F.lit(0)), F.get(slots.times(text), F.lit(0))

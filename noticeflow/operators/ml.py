@@ -30,6 +30,15 @@ def train(df: DataFrame, vocabulary: int = 30_000, regularisation: float = 0.01,
     return Pipeline(stages=stages).fit(rows)
 
 
+def load_or_train(path: str, df: DataFrame, **more) -> PipelineModel:
+    """The model stored at a place; if there is none, one is trained on ``df`` and stored there."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        train(df, **more).write().save(path)
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with predicted and confidence; blank texts get the last category at 0. Labels are not needed."""
     usable = PipelineModel([s for s in model.stages if s.__class__.__name__ != "StringIndexerModel"])

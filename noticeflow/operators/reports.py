@@ -100,7 +100,7 @@ def reflection_report(df: DataFrame, lang: str, preferred: str, reflected: Colum
     each = evals.reflection(df, lang, preferred, reflected)
     all_ = each.agg(F.lit("전체").alias(lang), F.sum("n_terms").alias("n_terms"), F.sum("n_reflected").alias("n_reflected"))
     all_ = all_.withColumn("rate", F.when(F.col("n_terms") > 0, F.col("n_reflected") * 100.0 / F.col("n_terms")))
-    return each.unionByName(all_).withColumn("shown", F.coalesce(F.concat(F.format_number("rate", "0.0"), F.lit("%")), F.lit("—")))
+    return each.unionByName(all_).withColumn("shown", F.when(F.col("rate").isNull(), "—").otherwise(F.format_string("%.1f%%", "rate")))
 
 
 def markdown_report(title: str, parts: dict[str, tuple[DataFrame, str]]) -> str:

@@ -33,7 +33,8 @@ def translate_short(df: DataFrame, text: str, lang: str, glossary: list[tuple[st
     d = d.select("row", F.substring("short", 1, 100).alias("short"), F.col("prepared.text").alias("asked"), F.col("prepared.kept").alias("kept"), nllb_code(F.lit(lang)).alias("code"), (F.col("short") != "").alias("wanted"))
     d = with_model(d, ["asked", "code"], "answer", T.StringType(), call, default="", where="wanted", **more)
     answer = G.currency_fixed(F.col("short"), F.col("answer")) if lang == "vi" else F.col("answer")
-    return d.select("row.*", G.unmasked(answer, F.col("kept")).alias(output), F.col("answer_error").alias(f"{output}_error"))
+    done = d.select("row", F.struct(G.unmasked(answer, F.col("kept")).alias(output), F.col("answer_error").alias(f"{output}_error")).alias("new"))
+    return done.select("row.*", "new.*")
 
 
 def translate_chunks(df: DataFrame, key: str, text: str, lang: str, call: Callable, budget: int = 384, **more) -> DataFrame:
@@ -68,8 +69,9 @@ def translate_and_review(df: DataFrame, text: str, lang: str, glossary: list[tup
     d = d.withColumn("translation", answer).withColumn("checked", G.roll_up(G.checks(F.col("easy"), F.col("translation"), found)))
     blank = F.col("easy") == ""
     label, note = F.col("checked.label"), F.col("checked.note")
-    return d.select(
-        "row.*", F.col("easy").alias("easy_ko_text"), "translation", F.lit(lang).alias("target_language"), (F.col("translation") if lang == "vi" else F.lit("")).alias("vi_text"),
+    new = F.struct(
+        F.col("easy").alias("easy_ko_text"), "translation", F.lit(lang).alias("target_language"), (F.col("translation") if lang == "vi" else F.lit("")).alias("vi_text"),
         F.when(blank, "").when(note != "", note).otherwise(F.concat(F.lit("ok ("), label, F.lit(")"))).alias("quality_note"),
         F.when(blank, "").when(label == "review_needed", note).otherwise("").alias("review_needed"),
     )
+    return d.select("row", new.alias("new")).select("row.*", "new.*")

@@ -89,14 +89,6 @@ def appended_records(files: DataFrame, source_type: str, known: DataFrame) -> Da
     return document_records(files, source_type, last_id(known, "id") + 1)
 
 
-def with_columns(df: DataFrame, required: list[str]) -> DataFrame:
-    """``df``, if it has the columns; else raises and names those that are missing."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns {missing} are missing")
-    return df
-
-
 def send(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sent, refused) of requests (sender_id, teacher_id, parent_id, text): sent has notice_id, teacher_id, parent_id, text
     and char_count; refused has a status and a reason. Only teachers send, in their own name, to a known parent, and some text."""

@@ -33,15 +33,30 @@ def pick(df: DataFrame, key: str, value=None, order: str | None = None) -> DataF
     return row
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank and broken lines go; a path that is not there gives an empty table."""
+def parsed_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken lines as line): JSON lines of a path; blank lines go; a path that is not there gives empty tables."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "line string")
     lines = spark.read.text(path).filter(strip(F.col("value")) != "")
-    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return parsed.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return parsed.filter(good).select("r.*").drop("_bad"), parsed.filter(~good).select(F.col("value").alias("line"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of ``parsed_lines``: the tolerant reading."""
+    return parsed_lines(spark, path, schema)[0]
+
+
+def required_json(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """JSON lines with their own columns; raises where one that is required is missing."""
+    df = spark.read.json(path)
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are missing")
+    return df
 
 
 def last_id(df: DataFrame, order: str, id_col: str = "id") -> int:
@@ -52,7 +67,7 @@ def last_id(df: DataFrame, order: str, id_col: str = "id") -> int:
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """name, text of each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
 def document_records(files: DataFrame, source_type: str, start: int = 1) -> DataFrame:
