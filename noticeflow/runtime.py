@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is staged: shuffle files go when the write ends, and batches of rows for Python stay small, also where rows are long.
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,16 +31,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _conf(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _conf(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -51,7 +54,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    with _conf(spark, SHUFFLE_CLEANUP, "true"):
+    with _conf(spark, STAGING):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
