@@ -58,9 +58,33 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Gives a function ``keep``; tables that are staged within go when it ends, but for those that were kept."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        paths = {df._staged_path for df in kept if hasattr(df, "_staged_path")}
+        release(*(df for df in made if df._staged_path not in paths))
+
+
 def release(*frames: DataFrame) -> None:
     """Delete staged tables that no later read needs."""
     for df in frames:
