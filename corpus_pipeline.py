@@ -10,7 +10,7 @@ from __future__ import annotations
 from noticeflow.llm import bpe, decontam, line_dedup, near_dup, quality
 from noticeflow.llm.common import read
 from noticeflow.llm.queries import tokenizer_file
-from noticeflow.runtime import staged
+from noticeflow.runtime import release, scratch, staged
 
 
 def quality_filter(spark, docs, sf_dir):
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents. Each stage's rows are a staged table, as every stage reads its input more than once."""
+    """All stages over documents. Each stage's rows are a staged table, as every stage reads its input more than once;
+    what a stage staged beside them goes when it ends, and its input too."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            done = keep(staged(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
