@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import documents, hash_pair
-from noticeflow.runtime import release, staged
+from noticeflow.runtime import release, scratch, staged
 
 BLOCK = 8192
 
@@ -87,8 +87,9 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, keyer=hash_pair) -> DataFra
     any other: keep_id is null only where all of a group are. Other columns of
     ``docs`` are ignored. An empty table gives an empty result.
     """
-    rows, ident = identities(docs, block, keyer)
-    found = staged(rows.join(ident, "rid"), "identity")
+    with scratch() as keep:
+        rows, ident = identities(docs, block, keyer)
+        found = keep(staged(rows.join(ident, "rid"), "identity"))
     # staged, so that both sides of the join are plain exchanges and a name with very many rows can be split
     groups = staged(found.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
