@@ -49,7 +49,7 @@ START = 0  # as a context; words are numbered from 1
 #: Different bigrams and trigrams that a chunk asks for, for each different word: a measure of the shards that are needed.
 ASKED = (4, 2.5)
 STEP, EXACT, COUNT_STEP = 4096.0, 4096, 1024.0
-LEAST_SHARDS, BATCH = 12, 1 << 16
+LEAST_SHARDS, BATCH, WORD_BITS = 12, 1 << 16, 40  # words are numbered below 2^40
 
 
 # codes
@@ -259,7 +259,12 @@ def _unique128(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, doc_ids, held_out, words (both hashes of the different words), tokens (of each text its size, then the words' numbers)."""
+    """chunk, doc_ids, held_out, words, tokens.
+
+    Words are both hashes of the different words and their training counts, in
+    the order of the hash that deals them out. Tokens are each text's size, the
+    words by frequency as places in that order, and the tokens as places in those.
+    """
     base = documents(docs)
     kind = base.schema["doc_id"].dataType.simpleString()
     tokens = F.filter(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -269,11 +274,17 @@ def chunks(docs: DataFrame) -> DataFrame:
     def close(ids, held, parts, number, id_type):
         a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         u, v, inverse = _unique128(a, b)
-        order = np.argsort(-np.bincount(inverse), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        body = squeezed(np.array([len(p[0]) for p in parts], "<u4"), rank[inverse].astype("<u4"))
-        words = np.stack([u[order], v[order]]).tobytes()
+        dealt = np.lexsort((v, u, _mix(u)))
+        place = np.empty(len(dealt), np.int64)
+        place[dealt] = np.arange(len(dealt))
+        token = place[inverse]
+        sizes = np.array([len(p[0]) for p in parts], "<u4")
+        trained = np.bincount(token[np.repeat(~np.array(held, bool), sizes)], minlength=len(u))
+        frequent = np.argsort(-np.bincount(token, minlength=len(u)), kind="stable")
+        rank = np.empty(len(frequent), np.int64)
+        rank[frequent] = np.arange(len(frequent))
+        body = squeezed(sizes, frequent.astype("<u4"), rank[token].astype("<u4"))
+        words = bundle(u[dealt], v[dealt], trained.astype("<u4"))
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([words], pa.binary()), pa.array([body], pa.binary())], names=["chunk", "doc_ids", "held_out", "words", "tokens"])
 
     def run(batches):
@@ -316,7 +327,8 @@ def _cuts(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _word_shards(a: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(a) % np.uint64(n)).astype(np.int64)
+    """Shards of words that are sorted by their mixed hash: ranges of it, in order."""
+    return ((_mix(a) >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
 class Grams:
@@ -349,6 +361,11 @@ class Grams:
     def answers(self, got: dict[int, bytes]) -> list[np.ndarray]:
         """Arrays of the answers, by n-gram."""
         parts = [unsqueezed(got[shard]) for shard, _ in _cuts(self.shard)]
+        for x in parts:
+            if len(x) == 3:  # places, of those that are there
+                places = np.zeros(len(x[0]), np.int64)
+                places[x[0] > 0] = np.cumsum(x[2])
+                x[2] = places
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
@@ -356,15 +373,11 @@ class Chunk:
     """A row of chunks with what the shards have answered so far."""
 
     def __init__(self, row: dict, answers: dict[int, dict[int, bytes]], stats: tuple[int, int], shards: tuple[int, int, int]):
-        self.sizes, self.tokens = unsqueezed(row["tokens"])
+        self.sizes, frequent, tokens = unsqueezed(row["tokens"])
         self.ends = np.cumsum(self.sizes.astype(np.int64))
-        self.tokens = self.tokens.astype(np.int64)
+        self.tokens = frequent.astype(np.int64)[tokens]
         self.train = np.repeat(~np.array(row["held_out"], bool), self.sizes)
-        self.words = np.frombuffer(row["words"], np.uint64).reshape(2, -1)
         self.shards = shards
-        order = np.argsort(self.words[0], kind="stable")
-        by_shard = order[np.argsort(_word_shards(self.words[0][order], shards[0]), kind="stable")]
-        self.word_order, self.word_shard = by_shard, _word_shards(self.words[0][by_shard], shards[0])
         if 1 in answers:
             self._unigrams(answers[1], *stats)
         if 2 in answers:
@@ -372,18 +385,13 @@ class Chunk:
         if 3 in answers:
             self._raise(self.trigrams.answers(answers[3])[0] if len(self.trigrams.word) else np.zeros(0, np.uint16), self.trigrams)
 
-    def word_requests(self) -> Iterator[tuple[int, bytes]]:
-        counts = np.bincount(self.tokens[self.train], minlength=self.words.shape[1])
-        for shard, at in _cuts(self.word_shard):
-            own = self.word_order[at]
-            yield shard, squeezed(_steps(self.words[0][own]), self.words[1][own], counts[own].astype("<u4"))
-
     def _unigrams(self, got: dict[int, bytes], n: int, v: int) -> None:
-        count, number = np.zeros(self.words.shape[1], np.int64), np.zeros(self.words.shape[1], np.uint64)
-        for shard, at in _cuts(self.word_shard):
+        counts, numbers = [], []
+        for shard in sorted(got):
             c, rank = unsqueezed(got[shard])
-            count[self.word_order[at]] = c.astype(np.int64)
-            number[self.word_order[at]] = np.cumsum(rank.astype(np.uint64)) * np.uint64(self.shards[0]) + np.uint64(shard + 1)
+            counts.append(c.astype(np.int64))
+            numbers.append(np.cumsum(rank.astype(np.uint64)) * np.uint64(self.shards[0]) + np.uint64(shard + 1))
+        count, number = np.concatenate(counts), np.concatenate(numbers)
         self.known = (count > 0)[self.tokens]
         self.base = np.log10((count + ALPHA) / (n + ALPHA * (v + 1)))[self.tokens]
         self.score = self.base.copy()
@@ -437,37 +445,45 @@ def word_answers(table: DataFrame, n_shards: int) -> DataFrame:
     """shard, chunk, body, total, different: training counts and numbers of the words that a chunk asked for, and on a shard's first row its sums."""
 
     def ask(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                for shard, body in Chunk(r, {}, (0, 0), (n_shards, 1, 1)).word_requests():
-                    yield _batch([(shard, r["chunk"], body)]).to_batches()[0]
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b, trained = unbundle(r["words"])
+                for shard, at in _cuts(_word_shards(a, n_shards)):
+                    yield _batch([(shard, r["chunk"], squeezed(a[at], b[at], trained[at]))]).to_batches()[0]
 
     def answer(t: pa.Table) -> pa.Table:
         asked = [unsqueezed(x) for x in t.column("body").to_pylist()]
-        a, b, inverse = _unique128(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), np.concatenate([x[1] for x in asked]))
+        a, b, inverse = _unique128(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]))
         total = np.bincount(inverse, np.concatenate([x[2] for x in asked]), len(a)).astype(np.int64)
+        # numbers in the order of the mixed hash, in which chunks ask: they rise within an answer
+        order = np.lexsort((b, a, _mix(a)))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
         own = np.split(inverse, np.cumsum([len(x[0]) for x in asked])[:-1])
-        out = _batch([(t.column("shard")[0].as_py(), c, squeezed(total[i].astype("<u8"), _steps(i))) for c, i in zip(t.column("chunk").to_pylist(), own, strict=True)])
+        out = _batch([(t.column("shard")[0].as_py(), c, squeezed(total[i].astype("<u8"), _steps(number[i]))) for c, i in zip(t.column("chunk").to_pylist(), own, strict=True)])
         rest = [0] * (len(own) - 1)
         return out.append_column("total", pa.array([int(total.sum()), *rest], pa.int64())).append_column("different", pa.array([int((total > 0).sum()), *rest], pa.int64()))
 
-    asked = map_arrow(table.select("chunk", "held_out", "words", "tokens"), ask, SCHEMA)
+    asked = map_arrow(table.select("chunk", "words"), ask, SCHEMA)
     return asked.groupBy("shard").applyInArrow(answer, SCHEMA + ", total long, different long")
 
 
 def gram_level(asked: list[list[np.ndarray]]) -> bytes:
     """A shard of a level of all chunks' requests: n-grams that any of them has in training."""
-    contexts = [np.cumsum(x[0], dtype=np.uint64) for x in asked]
-    context = np.concatenate([np.repeat(c, x[1]) for c, x in zip(contexts, asked, strict=True)])
+    context, rank = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+    rank = np.repeat(rank, np.concatenate([x[1] for x in asked]))
     word, counts, code = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
     held = np.concatenate([np.repeat(x[5], x[1]) for x in asked])
+    # each chunk's n-grams are sorted already, which a stable sort makes use of
+    key = (rank.astype(np.uint64) << np.uint64(WORD_BITS)) | word
     some = np.flatnonzero(counts)
-    order = some[np.lexsort((word[some], context[some]))]
-    context, word = context[order], word[order]
-    at = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(order) else np.zeros(0, np.int64)
+    order = some[np.argsort(key[some], kind="stable")]
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(order) else np.zeros(0, np.int64)
     total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    context, word = context[(key[at] >> np.uint64(WORD_BITS)).astype(np.int64)], key[at] & np.uint64((1 << WORD_BITS) - 1)
     p = smoothed(total, held[order][at].astype(float), 10.0 ** log_of(code[order][at]))
-    return Level.pack(context[at], word[at], code_of(np.minimum(p, 1.0)), count_code(total))
+    return Level.pack(context, word, code_of(np.minimum(p, 1.0)), count_code(total))
 
 
 def gram_answers(requests: DataFrame, order: int) -> DataFrame:
@@ -483,7 +499,7 @@ def gram_answers(requests: DataFrame, order: int) -> DataFrame:
             codes = np.where(there, level.codes[at], 0).astype("<u2") if len(level.codes) else np.zeros(len(at), "<u2")
             if order == 2:
                 counts = np.where(there, level.counts[at], 0).astype("<u2") if len(level.counts) else codes
-                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes, counts, at.astype("<i8"))))
+                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes, counts, _steps(at[there]).astype("<i8"))))
             else:
                 out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes)))
         return _batch(out)
@@ -500,11 +516,13 @@ def score(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = staged(chunks(docs), "chunks")
-    words = table.agg(F.sum(F.length("words"))).first()[0] or 0
-    # different words of all chunks, in sixteens: a measure of the n-grams that needs no unpacking
-    shards = tuple(max(LEAST_SHARDS, int(words // 16 * k // SHARD)) for k in (1, *ASKED))
-    by_word = staged(word_answers(table, shards[0]), "words")
+    made = staged(chunks(docs), "chunks")
+    words = made.agg(F.sum(F.length("words"))).first()[0] or 0
+    # different words of all chunks, in twenties of bytes: a measure of the n-grams that needs no unpacking
+    shards = tuple(max(LEAST_SHARDS, int(words // 20 * k // SHARD)) for k in (1, *ASKED))
+    by_word = staged(word_answers(made, shards[0]), "words")
+    table = staged(made.drop("words"), "tokens")
+    release(made)
     sums = by_word.agg(F.sum("total"), F.sum("different")).first()
     stats = (sums[0] or 0, sums[1] or 0)
     n = stats[0]
@@ -514,7 +532,7 @@ def score(docs: DataFrame) -> DataFrame:
         answers: dict[int, dict[int, bytes]] = {level: {} for level in range(1, levels + 1)}
         for level, shard, body in zip(*(right.column(c).to_pylist() for c in ("level", "shard", "body")), strict=True):
             answers[level][shard] = body
-        return Chunk(left.select(["held_out", "words", "tokens"]).to_pylist()[0], answers, stats, shards)
+        return Chunk(left.select(["held_out", "tokens"]).to_pylist()[0], answers, stats, shards)
 
     def requests(level: int, answers: DataFrame) -> DataFrame:
         def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -525,7 +543,7 @@ def score(docs: DataFrame) -> DataFrame:
             number = left.column("chunk")[0].as_py()
             return _batch([(shard, number, body) for shard, body in grams.requests(10.0**c.score)])
 
-        own = table.select("chunk", "held_out", "words", "tokens")
+        own = table.select("chunk", "held_out", "tokens")
         return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, SCHEMA)
 
     ship(docs.sparkSession)
