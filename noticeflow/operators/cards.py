@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import glossary as G
 from noticeflow.functions import patterns as P
 from noticeflow.functions import rules, slots
-from noticeflow.functions.easy import polite_ending, protect, replace_words, restore
+from noticeflow.functions.easy import easy_korean, polite_ending, protect, replace_words, restore
 from noticeflow.functions.i18n import format_amount, format_date, format_time
 from noticeflow.functions.text import for_compare, join_broken_lines, let, sentences, strip, strip_markers
 
@@ -60,8 +60,10 @@ def from_first_form(todos: DataFrame) -> DataFrame:
 
 def when_text(text: Column, lang: Column) -> Column:
     """First date and first time in the reader's language, or null."""
-    d, t = F.get(slots.dates(text), F.lit(0)), F.get(slots.times(text), F.lit(0))
-    return F.nullif(F.concat_ws(" ", F.when(d.isNotNull(), format_date(d, lang)), F.when(t.isNotNull(), format_time(t, lang))), F.lit(""))
+    # each is found once, however often its form asks for its parts
+    day = F.transform(F.slice(slots.dates(text), 1, 1), lambda d: format_date(d, lang))
+    hour = F.transform(F.slice(slots.times(text), 1, 1), lambda t: format_time(t, lang))
+    return F.nullif(F.array_join(F.concat(day, hour), " "), F.lit(""))
 
 
 def with_easy(df: DataFrame, source: str, name: str) -> DataFrame:
@@ -80,14 +82,15 @@ def todo_cards(todo: DataFrame, id_col: str, lang: str, glossary: Column, transl
     return d.drop("_h", "_c")
 
 
-def slot_cards(slots_of: DataFrame, id_col: str, headers: str, lang: str, glossary: Column) -> DataFrame:
-    """One card row for each slot that has values and that no to-do header (an array column) covers, at importance 0.7."""
+def slot_cards(slots_of: Column, headers: Column, lang: str, glossary: Column) -> Column:
+    """Cards, at importance 0.7, of the slots that have values and that no to-do header (an array) covers."""
     def joined(slot: str, field: str) -> Column:
-        return F.array_join(F.filter(F.transform(F.col(f"slots.{slot}"), lambda e: e[field]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
-    rows = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(head).alias("header_ko"), joined(slot, "ko").alias("value_ko"), joined(slot, "translated").alias("_t"), F.array(*map(F.lit, P.SLOT_COVERED_BY[slot])).alias("_by")) for i, (slot, head) in enumerate(P.SLOT_HEADERS)))
-    d = slots_of.select(id_col, headers, F.inline(rows)).filter((F.col("value_ko") != "") & ~F.arrays_overlap(headers, "_by"))
-    d = with_easy(d, "value_ko", "value_easy_ko")
-    return d.withColumns({"header_translated": G.term(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": F.coalesce(F.nullif("_t", F.lit("")), "value_ko"), "chip": F.lit(None).cast("string"), "importance": F.lit(0.7)}).drop("_t", "_by", headers)
+        return F.array_join(F.filter(F.transform(slots_of[slot], lambda e: e[field]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
+    rows = F.array(*(F.struct(F.lit(head).alias("head"), joined(slot, "ko").alias("ko"), joined(slot, "translated").alias("translated"), F.array(*map(F.lit, P.SLOT_COVERED_BY[slot])).alias("by")) for slot, head in P.SLOT_HEADERS))
+    def card(r: Column) -> Column:
+        shown = F.coalesce(F.nullif(r["translated"], F.lit("")), r["ko"])
+        return F.struct(r["head"].alias("header_ko"), G.term(r["head"], glossary, F.lit(lang)).alias("header_translated"), r["ko"].alias("value_ko"), easy_korean(r["ko"]).alias("value_easy_ko"), shown.alias("value_translated"), F.lit(None).cast("string").alias("chip"), F.lit(0.7).alias("importance"))
+    return F.transform(F.filter(rows, lambda r: (r["ko"] != "") & ~F.arrays_overlap(headers, r["by"])), card).cast(f"array<{CARD}>")
 
 
 def dedup(cards: Column) -> Column:
@@ -176,9 +179,7 @@ def analyze(notices: DataFrame, lang: str, glossary: list[tuple[str, str]] = (),
     df = base.join(gathered, id_col, "left")
     no_items = F.from_json(F.lit("[]"), t.select(F.array("item").alias("x")).schema["x"].dataType)
     df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.transform("top", lambda c: c["header_ko"]))
-    more = slot_cards(df.select(id_col, "slots", "heads"), id_col, "heads", lang, g).groupBy(id_col).agg(by_pos(F.collect_list(F.struct("pos", F.struct(*fields).alias("card"))), "card").alias("more"))
-    df = df.join(more, id_col, "left")
-    df = df.withColumn("cards", ranked(dedup(F.concat(F.col("top"), F.coalesce("more", F.array().cast(f"array<{CARD}>"))))))
+    df = df.withColumn("cards", ranked(dedup(F.concat(F.col("top"), slot_cards(F.col("slots"), F.col("heads"), lang, g)))))
     def entry(source: str):
         return lambda v: F.struct(v.alias("ko"), G.term(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
     supplies = F.array_distinct(F.flatten(F.transform("items", lambda i: i["what"])))
