@@ -12,6 +12,11 @@ DATE = "struct<ko:string,year:int,month:int,day:int,weekday:string,relative:stri
 TIME = "struct<ko:string,hour:int,minute:int,ampm:string>"
 
 
+def _where(possible: Column, found: Column, kind: str) -> Column:
+    """What was found in texts that can have any, which a look for a few letters tells; else none."""
+    return F.when(possible, found).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def _int(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("int")
 
@@ -56,11 +61,18 @@ def dates(text: Column) -> Column:
         )
     def with_full(text: Column) -> Column:
         return let(F.array_distinct(matches(text, P.DATE_FULL)), lambda full: let(_new_month_days(text, full), lambda some: all_of(text, full, some)))
-    return let(text, with_full)
+    possible = text.contains("일") | text.contains("(") | F.lit(False)
+    for w in P.RELATIVE_DAYS:
+        possible = possible | text.contains(w)
+    return _where(possible, let(text, with_full), DATE)
 
 
 def times(text: Column) -> Column:
     """Times with the half of the day, then those of 24 hours; each surface once."""
+    return _where(text.contains("시") | text.contains(":"), _times(text), TIME)
+
+
+def _times(text: Column) -> Column:
     half = F.array_distinct(matches(text, P.TIME_HALF_DAY))
     full = F.array_except(F.array_distinct(matches(text, P.TIME_24H)), half)
     return F.concat(
@@ -75,6 +87,10 @@ def _won(m: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """Amounts in won, then those with a unit of thousands and above; each surface once."""
+    return _where(text.contains("원"), _amounts(text), "struct<ko:string,value:bigint,currency:string>")
+
+
+def _amounts(text: Column) -> Column:
     won = F.array_distinct(matches(text, P.AMOUNT_WON))
     unit = F.array_except(F.array_distinct(matches(text, P.AMOUNT_UNIT)), won)
     factors = F.create_map(*(F.lit(x) for kv in P.UNITS.items() for x in kv))
@@ -87,11 +103,11 @@ def amounts(text: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
-    return F.array_distinct(F.transform(matches(text, P.URL), lambda m: F.rtrim(m, F.lit(".,)]"))))
+    return _where(text.contains(":") | text.contains("."), F.array_distinct(F.transform(matches(text, P.URL), lambda m: F.rtrim(m, F.lit(".,)]")))), "string")
 
 
 def phones(text: Column) -> Column:
-    return F.array_distinct(matches(text, P.PHONE))
+    return _where(text.contains("-"), F.array_distinct(matches(text, P.PHONE)), "string")
 
 
 def masked_urls(text: Column) -> Column:

@@ -42,7 +42,7 @@ from noticeflow.llm.quality import crc_of
 from noticeflow.runtime import map_arrow, release, ship, staged
 
 #: Tokens of a chunk; n-grams that a shard is asked for, all chunks together; training count from which a context is dealt out.
-CHUNK, SHARD, HOT = 1_000_000, 2_000_000, 250_000
+CHUNK, SHARD, HOT = 500_000, 1_000_000, 125_000
 ALPHA, PRIOR, LEAST_CONTEXT = 0.1, 2.0, 2
 END = (0x0A0A0A0A0A0A0A0A, 0x0D0D0D0D0D0D0D0D)
 START = 0  # as a context; words are numbered from 1
