@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from noticeflow.runtime import map_arrow
 
 DATE = "1970-01-01T00:00:00Z"
-_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_TAG = re.compile(r"<(!|/?[a-zA-Z][^\s/>]*)([^>]*)>")
 _SKIPPED = {"script", "style", "noscript", "template", "head"}
 _RAW = {"script", "style"}
 _BLOCK = set(
     "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section "
     "table tbody td tfoot th thead title tr ul".split()
 )
+_BREAKS = _BLOCK | {"/" + x for x in _BLOCK}
 _ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)""")
 _LINK_ATTR = {"a": "href", "area": "href", "link": "href", "form": "action", "img": "src", "iframe": "src", "frame": "src", "source": "src"}
+_TELLING = {"title", "html", "meta", *_LINK_ATTR}
 _BLANKS = re.compile(r"[^\S\n]+")
 _LONG_REF = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 SCHEMA = (
@@ -82,43 +84,36 @@ class _Page:
         return m.span()
 
     def parts(self, skipped: set[str]):
-        """(text before, tag name with / for end tags, attributes, end of the tag); last (rest, '', '', end). The
-        contents of closed ``skipped`` elements, comments and declarations are left out. A tag ends at the next '>'."""
+        """(text before, tag name with / for end tags, match of the tag); last (rest, '', None). The contents of closed
+        ``skipped`` elements, comments and declarations are left out. A tag ends at the next '>', so that what
+        follows the last '>' is text."""
         page, at, text = self.page, 0, 0
-        while True:
-            lt = page.find("<", at)
-            if lt < 0:
-                break
-            if page.startswith("<!", lt):
-                end = self._after("-->", lt + 4) if page.startswith("<!--", lt) else -1
-                end = end if end >= 0 else self._after(">", lt)
-                if end < 0:
+        last = page.rfind(">") + 1
+        while at < last:
+            for m in _TAG.finditer(page, at, last):
+                name = m[1].lower()
+                stop = -1
+                if name == "!":
+                    stop = self._after("-->", m.start() + 4) if page.startswith("<!--", m.start()) else -1
+                elif name in skipped:
+                    stop = self.end_tag(name, m.end())[1]
+                    name = name if stop < 0 else "!"
+                yield page[text : m.start()], name, m
+                text = m.end() if stop < 0 else stop
+                if stop >= 0:
+                    at = stop
                     break
-                yield page[text:lt], "!", "", end
-                at = text = end
-                continue
-            m = _NAME.match(page, lt + 1)
-            if not m:
-                at = lt + 1
-                continue
-            end = self._after(">", m.end())
-            if end < 0:
+            else:
                 break
-            name = m[0].lower()
-            stop = -1
-            if name in skipped and (close := self.end_tag(name, end))[1] >= 0:
-                stop = close[1]
-            yield page[text:lt], name if stop < 0 else "!", page[m.end() : end - 1], end
-            at = text = end if stop < 0 else stop
-        yield page[text:], "", "", len(page)
+        yield page[text:], "", None
 
 
 def plain_text(page: str) -> str:
     """Text between the tags of a whole page: a line for each block, blanks within it as one, empty lines left out."""
     out = []
-    for text, name, _, _ in _Page(page).parts(_SKIPPED):
+    for text, name, _ in _Page(page).parts(_SKIPPED):
         out.append(text)
-        if name.lstrip("/") in _BLOCK:
+        if name in _BREAKS:
             out.append("\n")
     lines = (x.strip() for x in _BLANKS.sub(" ", unescape("".join(out))).split("\n"))
     return "\n".join(x for x in lines if x)
@@ -140,18 +135,20 @@ def metadata(page: str, url: str) -> str:
     """warc-fields of a page: title, language, meta elements and outlinks (target, tag/@attribute), each kind in order."""
     title, language, metas, links = None, None, [], []
     p = _Page(page)
-    for _, name, raw, end in p.parts(_RAW):
-        if name == "title" and title is None and (close := p.end_tag("title", end))[0] >= 0:
-            title = " ".join(unescape(page[end : close[0]]).split())
+    for _, name, m in p.parts(_RAW):
+        if name not in _TELLING:
+            continue
+        if name == "title" and title is None and (close := p.end_tag("title", m.end()))[0] >= 0:
+            title = " ".join(unescape(page[m.end() : close[0]]).split())
         elif name == "html" and language is None:
-            language = _attributes(raw).get("lang") or None
+            language = _attributes(m[2]).get("lang") or None
         elif name == "meta":
-            a = _attributes(raw)
+            a = _attributes(m[2])
             if "charset" in a:
                 metas.append("charset: " + " ".join(a["charset"].split()))
             elif (key := a.get("name") or a.get("property") or a.get("http-equiv")) and "content" in a:
                 metas.append(f"meta-{' '.join(key.lower().split())}: {' '.join(a['content'].split())}")
-        elif name in _LINK_ATTR and (to := _attributes(raw).get(_LINK_ATTR[name])):
+        elif name in _LINK_ATTR and (to := _attributes(m[2]).get(_LINK_ATTR[name])):
             try:
                 full = urljoin(url, to)
             except ValueError:
