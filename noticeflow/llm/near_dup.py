@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, similarity of the pairs (u, v)."""
 
     def run(batches):
-        for b in batches:
+        for b in (batch.slice(a, 100) for batch in batches for a in range(0, batch.num_rows, 100)):
             out = []
             for ha, ca, hb, cb in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 (x, wx), (y, wy) = _weights(ha, ca), _weights(hb, cb)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.common import packed, unpacked
+from noticeflow.llm.common import unpacked
 from noticeflow.runtime import map_arrow, maybe_broadcast
 
 FEATURES = ["log_chars", "log_words", "mean_word", "letters", "upper", "digits", "white", "sentence", "symbols", "distinct_words", "top_word", "repeats", "distinct_lines", "words_line", "odd_ends", "longest"]
@@ -176,18 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x[order], np.array([r["y"] for r in got], float)[order])
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs``, which has a column text, and quality_score in a column of its own; ``docs`` has no such column."""
-    names = docs.columns
+def with_score(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows``, whose one column is a struct with a field text, and their quality_score."""
+    kind = rows.schema[0].dataType
+    field = kind.names.index("text")
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
-                x = np.array([features(t or "") for t in part.column(names.index("text")).to_pylist()]).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x))], names=[*names, "quality_score"])
+                x = np.array([features(t or "") for t in part.column(0).field(field).to_pylist()]).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["row", "quality_score"])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return map_arrow(rows, run, T.StructType([T.StructField("row", kind), T.StructField("quality_score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored each. Without labels every score is 1: what was never learned
     rejects nothing. Extra columns are ignored.
     """
-    out = with_score(docs.select("doc_id", "text"), train(docs, labels))
+    out = with_score(docs.select(F.struct("doc_id", "text").alias("row")), train(docs, labels)).select("row.doc_id", "quality_score")
     return out.select("doc_id", (crc_of(F.col("doc_id")) % 4 == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -209,4 +210,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     their own text. Without labels all rows stay; an empty table gives an
     empty result.
     """
-    return unpacked(with_score(packed(docs), train(docs, labels)).filter(F.col("quality_score") >= THRESHOLD))
+    return unpacked(with_score(docs.select(F.struct("*").alias("row")), train(docs, labels)).filter(F.col("quality_score") >= THRESHOLD))
