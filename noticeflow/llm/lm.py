@@ -48,7 +48,7 @@ END = (0x0A0A0A0A0A0A0A0A, 0x0D0D0D0D0D0D0D0D)
 START = 0  # as a context; words are numbered from 1
 #: Different bigrams and trigrams that a chunk asks for, for each different word: a measure of the shards that are needed.
 ASKED = (4, 2.5)
-STEP, EXACT, COUNT_STEP = 4096.0, 4096, 1024.0
+STEP, EXACT, COUNT_STEP = 1024.0, 4096, 1024.0
 LEAST_SHARDS, BATCH, WORD_BITS = 12, 1 << 16, 40  # words are numbered below 2^40
 
 
@@ -56,7 +56,7 @@ LEAST_SHARDS, BATCH, WORD_BITS = 12, 1 << 16, 40  # words are numbered below 2^4
 
 
 def code_of(p: np.ndarray) -> np.ndarray:
-    """Two bytes for a probability, in steps of 1/4096 of its logarithm to base 10; 0 stands for 'not there'."""
+    """Two bytes for a probability, in steps of 1/1024 of its logarithm to base 10; 0 stands for 'not there'."""
     return np.clip(np.rint(-np.log10(p) * STEP), 0, 65534).astype(np.uint16) + np.uint16(1)
 
 
@@ -109,7 +109,7 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays with their bytes sorted by place in the number, compressed."""
     planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.ravel() for a in arrays]
     head = struct.pack(f"<q{'4sq' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.dtype.str[1:].encode().ljust(4), len(a))))
-    return zstandard.ZstdCompressor(1).compress(head + b"".join(p.tobytes() for p in planes))
+    return zstandard.ZstdCompressor(3).compress(head + b"".join(p.tobytes() for p in planes))
 
 
 def unsqueezed(blob: bytes) -> list[np.ndarray]:
@@ -362,9 +362,9 @@ class Grams:
         """Arrays of the answers, by n-gram."""
         parts = [unsqueezed(got[shard]) for shard, _ in _cuts(self.shard)]
         for x in parts:
-            if len(x) == 3:  # places, of those that are there
+            if len(x) == 3:  # places, of those that are contexts of the next level
                 places = np.zeros(len(x[0]), np.int64)
-                places[x[0] > 0] = np.cumsum(x[2])
+                places[x[1] >= LEAST_CONTEXT] = np.cumsum(x[2])
                 x[2] = places
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -390,7 +390,7 @@ class Chunk:
         for shard in sorted(got):
             c, rank = unsqueezed(got[shard])
             counts.append(c.astype(np.int64))
-            numbers.append(np.cumsum(rank.astype(np.uint64)) * np.uint64(self.shards[0]) + np.uint64(shard + 1))
+            numbers.append(rank.astype(np.uint64) * np.uint64(self.shards[0]) + np.uint64(shard + 1))
         count, number = np.concatenate(counts), np.concatenate(numbers)
         self.known = (count > 0)[self.tokens]
         self.base = np.log10((count + ALPHA) / (n + ALPHA * (v + 1)))[self.tokens]
@@ -455,12 +455,12 @@ def word_answers(table: DataFrame, n_shards: int) -> DataFrame:
         asked = [unsqueezed(x) for x in t.column("body").to_pylist()]
         a, b, inverse = _unique128(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]))
         total = np.bincount(inverse, np.concatenate([x[2] for x in asked]), len(a)).astype(np.int64)
-        # numbers in the order of the mixed hash, in which chunks ask: they rise within an answer
-        order = np.lexsort((b, a, _mix(a)))
+        # frequent words have small numbers, which pack well
+        order = np.lexsort((b, a, -total))
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
         own = np.split(inverse, np.cumsum([len(x[0]) for x in asked])[:-1])
-        out = _batch([(t.column("shard")[0].as_py(), c, squeezed(total[i].astype("<u8"), _steps(number[i]))) for c, i in zip(t.column("chunk").to_pylist(), own, strict=True)])
+        out = _batch([(t.column("shard")[0].as_py(), c, squeezed(total[i].astype("<u8"), number[i].astype("<u4"))) for c, i in zip(t.column("chunk").to_pylist(), own, strict=True)])
         rest = [0] * (len(own) - 1)
         return out.append_column("total", pa.array([int(total.sum()), *rest], pa.int64())).append_column("different", pa.array([int((total > 0).sum()), *rest], pa.int64()))
 
@@ -499,7 +499,7 @@ def gram_answers(requests: DataFrame, order: int) -> DataFrame:
             codes = np.where(there, level.codes[at], 0).astype("<u2") if len(level.codes) else np.zeros(len(at), "<u2")
             if order == 2:
                 counts = np.where(there, level.counts[at], 0).astype("<u2") if len(level.counts) else codes
-                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes, counts, _steps(at[there]).astype("<i8"))))
+                out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes, counts, _steps(at[counts >= LEAST_CONTEXT]).astype("<i8"))))
             else:
                 out.append((t.column("shard")[0].as_py(), chunk, squeezed(codes)))
         return _batch(out)
