@@ -117,6 +117,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` on workers that can import this package."""
+    """``mapInArrow`` on workers that can import this package. A worker serves many tasks: at the end of each
+    the memory of its batches is given back."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
