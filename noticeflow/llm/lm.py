@@ -109,7 +109,7 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays with their bytes sorted by place in the number, compressed."""
     planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.ravel() for a in arrays]
     head = struct.pack(f"<q{'4sq' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.dtype.str[1:].encode().ljust(4), len(a))))
-    return zstandard.ZstdCompressor(3).compress(head + b"".join(p.tobytes() for p in planes))
+    return zstandard.ZstdCompressor(5).compress(head + b"".join(p.tobytes() for p in planes))
 
 
 def unsqueezed(blob: bytes) -> list[np.ndarray]:
@@ -438,6 +438,7 @@ SCHEMA = "shard int, chunk long, body binary"
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # what the group before left over: a worker has many of them
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
 

@@ -31,8 +31,8 @@ from noticeflow.runtime import map_arrow, maybe_broadcast, release, ship, staged
 
 SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
-PART, FLUSH, CHUNK = 1 << 20, 1 << 20, 8 << 20
-PIECE = 1 << 18  # words of texts that are worked on at once, but for longer texts
+PART, FLUSH, CHUNK = 1 << 20, 1 << 18, 8 << 20
+PIECE = 1 << 16  # words of texts that are worked on at once, but for longer texts
 BANDS, ROWS = 16, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
@@ -133,7 +133,6 @@ def frequencies(base: DataFrame, bits: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield dealt(np.concatenate(held))
-        pa.default_memory_pool().release_unused()
 
     def dealt(h):
         h, df = _summed(h, np.ones(len(h), np.int64))
@@ -235,7 +234,6 @@ def signatures(base: DataFrame, idf: np.ndarray) -> DataFrame:
             has[row] = True
             values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32()), pa.array(b[has].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*part.select(["rid", "doc_id", "th", "node"]).columns, values], names=["rid", "doc_id", "th", "node", "bands"])
-        pa.default_memory_pool().release_unused()
 
     return map_arrow(base.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "th", "node", "wh"), run, f"rid long, doc_id {kind}, th long, node binary, bands array<bigint>")
 
