@@ -77,7 +77,25 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_lm_score, op4_secret_scan, op5_warc_derivatives, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality)}
+def op11_importance(spark, sf_dir):
+    from noticeflow.llm.importance import importance_resampling
+
+    return importance_resampling(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark, sf_dir):
+    from noticeflow.llm.simhash import simhash
+
+    return simhash(read(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark, sf_dir):
+    from noticeflow.llm.alignment import align
+
+    return align(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_lm_score, op4_secret_scan, op5_warc_derivatives, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality, op11_importance, op12_simhash, op13_alignment)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -110,4 +128,25 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op11_importance": f"""
+        WITH crc AS (
+          SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+        d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+        b AS (SELECT list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+        df AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM d),
+        bf AS (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM b),
+        u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+        h AS (SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda p: CAST('0x' || substr(h, p, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM u, crc),
+        s AS (SELECT bucket, count(*) AS n FROM df JOIN h USING (f) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM bf JOIN h USING (f) GROUP BY bucket),
+        sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+        gain AS (SELECT i AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (sums.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (sums.t + 10000)))) AS BIGINT) AS g
+                 FROM range(10000) r(i) CROSS JOIN sums LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+        w AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM df JOIN h USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+        x AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+              FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+        SELECT x.doc_id, n_features, weight, score, r.rank FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND r.rank <= (SELECT 25 * count(*) // 100 FROM r)""",
 }
