@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from noticeflow.functions import patterns as P
 from noticeflow.functions.easy import protect, restore, woven
 from noticeflow.functions.text import let, matches, strip
-from noticeflow.runtime import small_enough, staged
 
 MARK = "⟦P%d⟧"
 PAIR = "array<struct<korean:string,preferred:string>>"
@@ -29,27 +28,6 @@ def hits(text: Column, glossary: Column) -> Column:
     return F.filter(glossary, lambda g: (strip(F.coalesce(g["preferred"], F.lit(""))) != "") & text.contains(g["korean"]))
 
 
-def hits_join(texts: DataFrame, glossary: DataFrame, text_col: str = "text", limit_bytes: int = 32 << 20) -> DataFrame:
-    """A row per text and term found in it, for glossaries that are tables. Null texts have no terms.
-
-    The glossary is stored first, so that its size is known. A small one is
-    broadcast and each text looked through for each term. A larger one meets
-    the texts by the first letters of its terms, as many as the shortest has:
-    what agrees in them is looked up in the text itself.
-    """
-    g = staged(glossary.filter((strip(F.coalesce("preferred", F.lit(""))) != "") & (F.coalesce("korean", F.lit("")) != "")), "glossary")
-    if small_enough(g, limit_bytes):
-        return texts.join(F.broadcast(g), F.col(text_col).contains(F.col("korean")))
-    n = g.agg(F.min(F.char_length("korean"))).first()[0] or 1
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text_col) - (n - 1)), lambda i: F.substring(F.col(text_col), i, F.lit(n))))
-    key = F.md5(F.col(text_col))
-    asked = texts.filter(F.char_length(text_col) >= n).select(key.alias("_key"), F.explode(heads).alias("_head")).distinct()
-    terms = staged(g.select("korean", F.substring("korean", 1, n).alias("_head")).distinct(), "heads")
-    maybe = asked.join(terms, "_head").select("_key", F.col("korean").alias("_term"))
-    found = texts.withColumn("_key", key).join(maybe, "_key").filter(F.col(text_col).contains(F.col("_term"))).drop("_key")
-    return found.join(g, F.col("_term") == F.col("korean")).drop("_term")
-
-
 def injected(text: Column, found: Column) -> Column:
     """term(preferred) for each hit, the longest first; terms within terms are set again."""
     ordered = F.array_sort(F.transform(found, lambda g, i: F.struct((-F.char_length(g["korean"])).alias("n"), i.alias("i"), g.alias("g"))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import easy, glossary, i18n, rules, slots, text
 from noticeflow.functions import patterns as P
-from noticeflow.operators import cards, corpus, evals
+from noticeflow.operators import cards, corpus, evals, terms
 from noticeflow.plans import graph, offline
 from noticeflow.sources import files
 from noticeflow.streaming import inbox
@@ -389,7 +389,18 @@ def sequential_ids(spark, sf_dir):
 @query(f"with {_TERMS_DUCK} select doc_id, pos, korean, preferred from documents join terms on contains(text, korean) where preferred <> ''")
 def term_hits(spark, sf_dir):
     g = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(TERMS)], "pos int, korean string, preferred string")
-    return glossary.hits_join(table(spark, sf_dir, "documents").select("doc_id", "text"), g).select("doc_id", "pos", "korean", "preferred")
+    return terms.term_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), g).select("doc_id", "pos", "korean", "preferred")
+
+
+_PART_TERMS = """select term as korean, min(p_partkey) as pos, min(p_type) as preferred from (select p_partkey, p_type, case
+  when p_partkey % 100 = 0 then substr(p_name, 1, 1) when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then substr(p_name, length(p_name) - 2, 3) else substr(p_name, 2, 2 + p_partkey % 3) end as term from {part}) group by term"""
+
+
+@query(f"with g as ({_PART_TERMS.format(part='part')}) select doc_id, pos, korean, preferred from documents join g on contains(text, korean)")
+def part_term_hits(spark, sf_dir):
+    """A glossary of names of parts, pieces of them and single letters."""
+    g = spark.sql(_PART_TERMS, part=table(spark, sf_dir, "part"))
+    return terms.term_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), g).select("doc_id", "pos", "korean", "preferred")
 
 
 @query("select p_partkey, case trim(p_brand) when 'Brand#11' then 'một' when 'Brand#22' then 'hai' else p_brand end as shown from part")

@@ -259,14 +259,6 @@ def test_split_of_large_and_small_groups(spark):
     assert got.filter("g = 'b' and split = 'train'").agg(F.min("id")).first()[0] == 1600 and got.columns == [*df.columns, "split"]
 
 
-def test_terms_of_large_glossaries(spark):
-    t = spark.createDataFrame([(1, "the cat sat"), (2, "a catalogue"), (2, "a catalogue"), (3, None), (4, ""), (5, "x")], "id int, text string")
-    g = spark.createDataFrame([(0, "cat", "c"), (1, "catalog", "k"), (2, "sat", "s"), (3, "none", ""), (4, "", "e"), (5, "at", "a"), (6, "cat", "again")], "pos int, korean string, preferred string")
-    small = sorted((r.id, r.pos) for r in glossary.hits_join(t, g).collect())
-    assert small == sorted((r.id, r.pos) for r in glossary.hits_join(t, g, limit_bytes=0).collect())
-    assert small == [(1, 0), (1, 2), (1, 5), (1, 6), *[(2, p) for p in (0, 0, 1, 1, 5, 5, 6, 6)]]
-
-
 def test_scratch_tables_go(spark):
     import os
 
