@@ -63,7 +63,7 @@ def judge_terms(df: DataFrame, call: Callable, **more) -> DataFrame:
 def suggest_terms(terms: DataFrame, lang: str, call: Callable, **more) -> DataFrame:
     """korean, suggestion for each different term: ``call(rows of (term, language))`` gets 150 at most; '' where it fails."""
     asked = terms.select(F.col("korean")).filter(F.col("korean").isNotNull()).distinct().withColumn("lang", F.lit(lang))
-    return with_model(asked, ["korean", "lang"], "suggestion", T.StringType(), call, default="", **{"batch": 150, "retries": 3, "wait": 1.0, **more}).select("korean", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
+    return with_model(asked, ["korean", "lang"], "suggestion", T.StringType(), call, default="", **{"batch": 150, **({} if "limits" in more else {"retries": 3, "wait": 1.0}), **more}).select("korean", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
 
 
 def with_suggestions(missing: DataFrame, suggestions: DataFrame, key: str = "korean_term") -> DataFrame:

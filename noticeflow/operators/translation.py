@@ -13,6 +13,7 @@ from noticeflow.functions.i18n import nllb_code
 from noticeflow.functions.text import sentences_by_mark, strip
 from noticeflow.operators.corpus import greedy_chunks, select_sentences
 from noticeflow.operators.seams import with_model
+from noticeflow.operators.token_budget import token_chunks
 
 EASY = "ko_easy"
 
@@ -37,17 +38,25 @@ def translate_short(df: DataFrame, text: str, lang: str, glossary: list[tuple[st
     return done.select("row.*", "new.*")
 
 
-def translate_chunks(df: DataFrame, key: str, text: str, lang: str, call: Callable, budget: int = 384, **more) -> DataFrame:
-    """key, n_chunks, translated: sentences in chunks within a budget, translated one by one and joined by line ends.
+def translate_chunks(df: DataFrame, key: str, text: str, lang: str, call: Callable, budget: int = 384, tokenizer: str | None = None, seconds: bool = False, **more) -> DataFrame:
+    """key, n_chunks, translated: sentences in chunks within a budget, translated one by one and joined by line ends;
+    with ``seconds`` also the time that the calls for a text's chunks took.
 
-    Chunks are rows, so that long texts spread over the workers. Texts without
-    any sentence have no chunks and ''.
+    The budget is of characters, or of the tokens of a vocabulary file if ``tokenizer`` names one (``words`` for
+    words). Chunks are rows, so that long texts spread over the workers. Texts without any sentence have no chunks and ''.
     """
-    parts = df.select(F.col(key), F.posexplode_outer(greedy_chunks(sentences_by_mark(F.col(text)), budget)).alias("pos", "chunk"))
+    sentences = sentences_by_mark(F.col(text))
+    if tokenizer:
+        cut = token_chunks(df.select(F.col(key), sentences.alias("parts")), "parts", budget, None if tokenizer == "words" else tokenizer)
+        chunks = F.transform("chunks", lambda c: c["text"])
+    else:
+        cut, chunks = df, greedy_chunks(sentences, budget)
+    parts = cut.select(F.col(key), F.posexplode_outer(chunks).alias("pos", "chunk"))
     parts = parts.withColumns({"code": nllb_code(F.lit(lang)), "wanted": F.col("chunk").isNotNull()})
-    done = with_model(parts, ["chunk", "code"], "answer", T.StringType(), call, default="", where="wanted", **more)
+    done = with_model(parts, ["chunk", "code"], "answer", T.StringType(), call, default="", where="wanted", seconds=seconds, **more)
     answers = F.transform(F.array_sort(F.collect_list(F.when(F.col("wanted"), F.struct("pos", "answer")))), lambda x: x["answer"])
-    return done.groupBy(key).agg(F.count("pos").alias("n_chunks"), F.array_join(answers, "\n").alias("translated"))
+    took = [F.sum("answer_seconds").alias("seconds")] if seconds else []
+    return done.groupBy(key).agg(F.count("pos").alias("n_chunks"), F.array_join(answers, "\n").alias("translated"), *took)
 
 
 def translate_and_review(df: DataFrame, text: str, lang: str, glossary: list[tuple[str, str]], call: Callable, **more) -> DataFrame:

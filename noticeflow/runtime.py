@@ -128,3 +128,13 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
+
+
+_HELD: dict = {}
+
+
+def held(key, load):
+    """What ``load()`` gives, made once for a key in this process; a Python worker serves many tasks, which share it."""
+    if key not in _HELD:
+        _HELD[key] = load()
+    return _HELD[key]
