@@ -120,26 +120,24 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = base.join(maybe_broadcast(met), same, "left_semi").select("doc_id", "th", words(F.col("text")).alias("words"))
     at = again.select("doc_id", "th", F.explode(F.concat(*map(_window_structs, [WINDOW, *short]))).alias("w")).select("doc_id", "th", "w.*")
     found = at.join(maybe_broadcast(windows), ["k", "a", "b"])
-    found = staged(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("k")).alias("end"))).alias("places"), F.collect_set("set").alias("sets")), "found")
+    found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "k")).alias("places"), F.collect_set("set").alias("sets"))
+    covers = F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["k"] - 1)))
+    # staged, so that the places stand in an array that lambdas look up and do not compute anew
+    found = staged(found.select("doc_id", "th", "sets", F.array_sort(F.array_distinct(covers)).alias("hit")), "found")
     named = found.select("doc_id", "th", F.explode("sets").alias("set")).join(maybe_broadcast(sets), "set").select("doc_id", "th", F.explode("items").alias("item"))
     named = named.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    spans = found.join(named, same).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), merged(F.array_sort("places")).alias("spans"), "items")
+    spans = found.join(named, same).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), runs("hit").alias("spans"), "items")
     spans = staged(spans, "spans")
     out = prints.drop("fps").join(maybe_broadcast(spans), same, "left").drop("_id", "_th")
     release(items, item_fps, met, sets, found)
     return out
 
 
-def merged(places: Column) -> Column:
-    """Spans from places (at, end) sorted by start: those that overlap or touch are one."""
-    kind = "struct<done:array<struct<start:int,end:int>>,start:int,end:int>"
-    start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")).cast(kind)
-    def close(acc):
-        return F.when(acc["end"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
-    def step(acc, p):
-        on = p["at"] <= acc["end"]
-        return F.struct(F.when(on, acc["done"]).otherwise(close(acc)).alias("done"), F.when(on, acc["start"]).otherwise(p["at"]).alias("start"), F.when(on, F.greatest(acc["end"], p["end"])).otherwise(p["end"]).alias("end")).cast(kind)
-    return F.aggregate(places, start, step, close)
+def runs(places: str) -> Column:
+    """Spans [start, end) of a column's places, in order and each once: places that follow each other are one span."""
+    starts = F.filter(places, lambda p, i: F.coalesce(F.get(places, i - 1) < p - 1, F.lit(True)))
+    ends = F.filter(places, lambda p, i: F.coalesce(F.get(places, i + 1) > p + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
 
 
 def covered(spans: Column) -> Column:

@@ -49,9 +49,9 @@ def first_occurrences(lines: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """doc_id, th, keep: a map from word number to a 64-bit word whose bit p says that line 64 * number + p stays.
+    """doc_id, th, keep: an array of 64-bit words, bit p of word w says that line 64 * w + p stays.
 
-    Words of set bits only, and documents of such words only, are left out.
+    Words after the last that drops a line, and documents that drop none, are left out.
     Lines found in ``min_docs`` documents go everywhere; with ``keep_first``
     they stay in the document with the smallest id, at their first place.
     Documents with one doc_id (null too) count once.
@@ -66,8 +66,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
         gone = lines.join(common.select("a", "b"), ["a", "b"])
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = gone.groupBy("doc_id", "th", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("drop_bits"))
-    keep = staged(words.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop_bits").alias("bits")))).alias("keep")), "bitmaps")
-    release(lines, common)
+    entries = words.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("drop_bits").alias("bits")))).alias("entries"))
+    entries = staged(entries, "entries")  # so that a look at the entry before is one step
+    full = lambda e, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), e["word"] - F.coalesce(F.get("entries", i - 1)["word"], F.lit(-1)) - 1), F.array(e["bits"]))
+    keep = staged(entries.select("doc_id", "th", F.flatten(F.transform("entries", full)).alias("keep")), "bitmaps")
+    release(lines, common, entries)
     return keep
 
 
@@ -77,7 +80,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     d = packed(docs).withColumn("whole", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("whole"))
     m = maybe_broadcast(bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_mth"), "keep"))
     j = d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_mth")), "left")
-    bits = lambda i: F.coalesce(F.element_at("keep", F.expr("0") + F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    bits = lambda i: F.coalesce(F.get("keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
     kept = F.filter(_lines(F.col("whole")), lambda line, i: F.getbit(bits(i), i % 64) == 1)
     j = j.withColumn("kept", F.when(F.col("keep").isNull(), _lines(F.col("whole"))).otherwise(kept))
     n = F.size(_lines(F.col("whole")))
