@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from noticeflow.functions.text import strip
 from noticeflow.operators.evals import clamp, fenced_json, suggestion_status
 from noticeflow.operators.seams import judge, with_model
+from noticeflow.runtime import staged
 
 AB_TEXTS = ["a_back_translation_ko", "b_back_translation_ko", "roundtrip_issues", "a_issues", "b_issues", "verdict"]
 AB_ANSWER = "a_score string, b_score string, " + ", ".join(f"{c} string" for c in AB_TEXTS)
@@ -30,34 +31,50 @@ def ab_prompt(lang_label: str) -> Column:
     )
 
 
-def judge_ab(df: DataFrame, lang_label: str, call: Callable, **more) -> DataFrame:
-    """Rows (notice_id, title, a_input, a_translation, b_input, b_translation) with what a judge says of them: lengths,
-    scores from 0 to 100, back translations, issues and verdict.
+def _judged(asked: DataFrame, answer: str, call: Callable, **more) -> tuple[DataFrame, DataFrame]:
+    """(rows with the parsed answer, rows that failed with what the judge said and the error of the call), from one round of calls."""
+    done = staged(judge(asked, "prompt", call, **more).withColumn("parsed", fenced_json(F.col("answer"), answer)), "judged")
+    return done.filter("parsed is not null"), done.filter("parsed is null").drop("prompt", "parsed")
+
+
+def judged_ab(df: DataFrame, lang_label: str, call: Callable, **more) -> tuple[DataFrame, DataFrame]:
+    """(answers, failures). Answers: rows (notice_id, title, a_input, a_translation, b_input, b_translation) with what a judge
+    says of them: lengths, scores from 0 to 100, back translations, issues and verdict. Failures: the rows whose call
+    failed or whose answer has no JSON object, with answer and answer_error.
 
-    Rows with a missing translation are not asked about and go; so do answers without a JSON object.
+    Rows with a missing translation are not asked about and are in neither.
     """
     asked = df.filter((_text("a_translation") != "") & (_text("b_translation") != "")).withColumn("prompt", ab_prompt(lang_label))
-    done = judge(asked, "prompt", call, **more).withColumn("parsed", fenced_json(F.col("answer"), AB_ANSWER))
-    done = done.filter("parsed is not null")
+    done, failed = _judged(asked, AB_ANSWER, call, **more)
     return done.select(
         "notice_id", _text("title").alias("title"), F.char_length(_text("a_input")).alias("a_chars"), F.char_length(_text("b_input")).alias("b_chars"), clamp(F.col("parsed.a_score"), 100).alias("a_score"), clamp(F.col("parsed.b_score"), 100).alias("b_score"),
         *(F.coalesce(f"parsed.{c}", F.lit("")).alias(c) for c in AB_TEXTS), "a_input", "a_translation", "b_input", "b_translation",
-    )
+    ), failed
 
 
-def judge_terms(df: DataFrame, call: Callable, **more) -> DataFrame:
-    """Rows (lang, korean_term, sentence, nllb_translation, glossary_preferred) with scores before (100 at most) and
-    after (95 at most) the term is set right. Rows without a preferred term are not asked about and go; so do answers without JSON."""
+def judge_ab(df: DataFrame, lang_label: str, call: Callable, **more) -> DataFrame:
+    """The answers of ``judged_ab``."""
+    return judged_ab(df, lang_label, call, **more)[0]
+
+
+def judged_terms(df: DataFrame, call: Callable, **more) -> tuple[DataFrame, DataFrame]:
+    """(answers, failures) for rows (lang, korean_term, sentence, nllb_translation, glossary_preferred): scores before
+    (100 at most) and after (95 at most) the term is set right. Rows without a preferred term are not asked about and are in neither."""
     p = F.concat(
         F.lit("Rate a machine translation of a sentence from 0 to 100, correct only the term in it, and rate the result, 95 at most.\nsentence: "), _text("sentence"), F.lit("\nterm: "), _text("korean_term"), F.lit(" -> "), strip(_text("glossary_preferred")),
         F.lit("\ntranslation: "), _text("nllb_translation"), F.lit(f"\nAnswer with one JSON object of the fields {TERM_ANSWER.replace(' string', '')}."),
     )
     asked = df.filter(strip(_text("glossary_preferred")) != "").withColumn("prompt", p)
-    done = judge(asked, "prompt", call, **more).withColumn("parsed", fenced_json(F.col("answer"), TERM_ANSWER)).filter("parsed is not null")
+    done, failed = _judged(asked, TERM_ANSWER, call, **more)
     return done.select(
         "lang", "korean_term", "sentence", "nllb_translation", strip(F.col("glossary_preferred")).alias("glossary_preferred"), clamp(F.col("parsed.before_score"), 100).alias("before_score"), clamp(F.col("parsed.after_score"), 95).alias("after_score"),
         *(F.coalesce(f"parsed.{c}", F.lit("")).alias(c) for c in ("after_translation", "after_back_translation_ko", "roundtrip_issue", "reason")),
-    )
+    ), failed
+
+
+def judge_terms(df: DataFrame, call: Callable, **more) -> DataFrame:
+    """The answers of ``judged_terms``."""
+    return judged_terms(df, call, **more)[0]
 
 
 def suggest_terms(terms: DataFrame, lang: str, call: Callable, **more) -> DataFrame:

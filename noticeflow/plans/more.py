@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import client, glossary, i18n, rules, slots, text
 from noticeflow.functions import patterns as P
-from noticeflow.operators import cards, corpus, evals, judges, reports, translation
+from noticeflow.operators import cards, corpus, evals, judges, reports, token_budget, translation
 from noticeflow.plans import offline
 from noticeflow.plans.queries import _AMOUNTS_DUCK, _CAT_DUCK, _DATES_DUCK, _IMP_DUCK, _TIMES_DUCK, GLOSSARY, N_DUCK, ORACLES, R_PHONE, R_URL, _each, notices, query, table
 from noticeflow.sources import convert
@@ -72,6 +72,10 @@ def doc_sentence_counts(spark, sf_dir):
 _CHUNK_DUCK = f"""m as (select doc_id, list_transform(list_filter({_MARKS_DUCK}, lambda x: trim(x) <> ''), lambda x: trim(x)) as parts from documents),
   c as (select doc_id, case when len(parts) = 0 then [] else string_split(list_reduce(parts, lambda acc, x: case when length(string_split(acc, chr(1))[-1]) + 1 + length(x) > 384 then acc || chr(1) || x else acc || ' ' || x end), chr(1)) end as chunks from m)"""
 ORACLES["greedy_chunks"] = f"with {_CHUNK_DUCK} select doc_id, (generate_subscripts(chunks, 1) - 1)::int as pos, unnest(chunks) as chunk from c"
+_WORDS = "len(string_split({}, ' '))"
+ORACLES["token_chunks"] = f"""with m as (select doc_id, list_transform(list_filter({_MARKS_DUCK}, lambda x: trim(x) <> ''), lambda x: trim(x)) as parts from documents),
+  c as (select doc_id, case when len(parts) = 0 then [] else string_split(list_reduce(parts, lambda acc, x: case when {_WORDS.format('string_split(acc, chr(1))[-1]')} + {_WORDS.format('x')} > 64 then acc || chr(1) || x else acc || ' ' || x end), chr(1)) end as chunks from m),
+  e as (select doc_id, (generate_subscripts(chunks, 1) - 1)::int as pos, unnest(chunks) as chunk from c) select doc_id, pos, {_WORDS.format('chunk')}::int as n_tokens, sha256(chunk) as chunk_sha256 from e"""
 ORACLES["term_sentences"] = f"""with m as (select doc_id, list_filter(list_transform({_MARKS_DUCK}, lambda x: trim(x)), lambda x: x <> '') as parts from documents),
   e as (select doc_id, unnest(parts) as x, generate_subscripts(parts, 1) as i from m), r as (select *, row_number() over (partition by doc_id order by case when contains(x, 'tion') or contains(x, 'ung') then 0 else 1 end, i) as k from e)
   select d.doc_id, coalesce(string_agg(x, chr(10) order by i), '') as chosen from documents d left join r on d.doc_id = r.doc_id and k <= 5 group by d.doc_id"""
@@ -156,6 +160,14 @@ def short_translations(spark, sf_dir):
     return out.select("notice_id", "translated", F.col("translated_error").isNotNull().alias("failed"))
 
 
+@query(ORACLES["token_chunks"])
+def token_chunks(spark, sf_dir):
+    """Sentences in chunks of at most 64 words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.sentences_by_mark(F.col("text")).alias("parts"))
+    c = token_budget.token_chunks(d, "parts", 64).select("doc_id", F.posexplode("chunks").alias("pos", "c"))
+    return c.select("doc_id", "pos", "c.n_tokens", F.sha2("c.text", 256).alias("chunk_sha256"))
+
+
 @query(f"with {_CHUNK_DUCK} select doc_id, len(chunks) as n_chunks, sha256(array_to_string(list_transform(chunks, lambda x: 'eng_Latn:' || x), chr(10))) as translated_sha256 from c")
 def chunk_translations(spark, sf_dir):
     out = translation.translate_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", "en", lambda rows: [f"{code}:{t}" for t, code in rows])
