@@ -36,7 +36,8 @@ def union(*frames: DataFrame) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an explicit order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.select(F.struct("*").alias("row"), place.alias("place")).filter("place = 1").select("row.*")
 
 
 def labelled(df: DataFrame, domain: list[str] = P.CATEGORIES) -> DataFrame:
@@ -56,7 +57,7 @@ def stratified_split(df: DataFrame, group: str, *order: Column, train: float = 0
     spreads over many tasks; a row's place in its group is its place in its
     partition plus what the partitions before it hold of the group.
     """
-    from noticeflow.runtime import staged
+    from noticeflow.runtime import maybe_broadcast, staged
 
     keys = {f"_o{i}": c for i, c in enumerate(order)}
     d = df.select(F.struct("*").alias("row"), F.col(group).alias("_g"), *(c.alias(k) for k, c in keys.items()))
@@ -66,7 +67,7 @@ def stratified_split(df: DataFrame, group: str, *order: Column, train: float = 0
     by = W.partitionBy("_h")
     before = F.coalesce(F.sum("_c").over(by.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = counts.select("_h", "_part", "_first", before.alias("_before"), F.sum("_c").over(by).alias("_n"))
-    j = ranged.withColumn("_p", part).join(F.broadcast(sizes), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_part")))
+    j = ranged.withColumn("_p", part).join(maybe_broadcast(staged(sizes, "sizes")), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_part")))
     place = F.col("_before") + F.col("_id") - F.col("_first") + 1
     a = F.greatest(F.lit(1), F.bround(F.col("_n") * train).cast("long"))
     b = F.greatest(F.lit(1), F.bround(F.col("_n") * val).cast("long"))
@@ -103,10 +104,11 @@ def contingency(df: DataFrame, row: str, column: str, values: list) -> DataFrame
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds weight n / (k * n_c), from the class counts: a row per class, broadcast."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(total)).select(F.col(label).alias("_l"), (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
-    return df.join(F.broadcast(w), F.col(label) == F.col("_l")).drop("_l")
+    counts = df.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("c"))
+    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+    w = counts.crossJoin(F.broadcast(total)).select("l", (F.col("n") / (F.col("k") * F.col("c"))).alias("weight"))
+    j = df.select(F.struct("*").alias("row"), F.col(label).alias("own")).join(F.broadcast(w), F.col("own") == F.col("l"))
+    return j.select("row.*", "weight")
 
 
 def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id") -> DataFrame:
@@ -116,12 +118,13 @@ def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = No
     """
     from noticeflow.runtime import staged
 
-    ranged = staged(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
-    part, within = F.shiftright("_id", 33), F.expr("_id & 8589934591")
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    out = ranged.withColumn("_p", part).join(F.broadcast(before), F.col("_p") == F.col("_part")).withColumn(name, F.col("_before") + within + F.lit(start))
-    out = out.drop("_id", "_p", "_part", "_before")
+    d = df.select(F.struct("*").alias("row"), F.col(order).alias("by")).repartitionByRange("by").sortWithinPartitions("by")
+    ranged = staged(d.select("row", F.monotonically_increasing_id().alias("at")), "numbered")
+    part, within = F.shiftright("at", 33), F.expr("at & 8589934591")
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per partition
+    j = ranged.withColumn("own", part).join(F.broadcast(before), F.col("own") == F.col("part"))
+    out = j.select(F.col("row").withField(f"`{name}`", F.col("before") + within + F.lit(start)).alias("row")).select("row.*")
     return out.filter(keep) if keep is not None else out
 
 
@@ -162,9 +165,10 @@ def fill_originals(originals: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def filled_from(df: DataFrame, labels: DataFrame, key: str, column: str, rule: Column) -> DataFrame:
     """Adds a column from labels (key, column), else from a rule, and origin: labelled or rule. Of repeated labels of a key the greatest counts."""
-    own = labels.groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_v"))
-    j = df.join(own, F.col(key) == F.col("_k"), "left")
-    return j.withColumns({"origin": F.when(F.col("_v").isNotNull(), "labelled").otherwise("rule"), column: F.coalesce("_v", rule)}).drop("_k", "_v")
+    own = labels.groupBy(F.col(key).alias("k")).agg(F.max(column).alias("v"))
+    j = df.select(F.struct("*").alias("row"), F.col(key).alias("key"), rule.alias("rule")).join(own, F.col("key") == F.col("k"), "left")
+    new = F.col("row").withField(f"`{column}`", F.coalesce("v", "rule")).withField("origin", F.when(F.col("v").isNotNull(), "labelled").otherwise("rule"))
+    return j.select(new.alias("row")).select("row.*")
 
 
 def last_of_each(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -187,8 +191,18 @@ def allowed(notices: DataFrame, users: DataFrame, role: str) -> DataFrame:
     return notices.join(users.filter(F.col("role") == role).select(F.col("user_id").alias("parent_id")), "parent_id", "left_semi")
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    return table.join(changes.select(key), key, "left_anti").unionByName(changes)
+def last_rows(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the last in the order of a column, among equals (or without an order) the greatest row."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    by = row if order is None else F.struct(F.col(order).alias("order"), row.alias("row"))
+    names = [f"k{i}" for i in range(len(keys))]
+    best = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), by.alias("best")).groupBy(*names).agg(F.max("best").alias("best"))
+    return best.select("best.*" if order is None else "best.row.*")
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``table`` whose key has no change, and of the changes the last of each key; see ``last_rows``."""
+    return table.join(changes.select(key), key, "left_anti").unionByName(last_rows(changes, [key], order))
 
 
 def seed(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -219,9 +233,10 @@ def select_sentences(parts: Column, terms: Column, most: int = 5) -> Column:
 
 
 def fill_blank(df: DataFrame, suggestions: DataFrame, key: str, column: str) -> DataFrame:
-    """Blank cells of a column from a table of suggestions (key, suggestion); filled cells stay."""
+    """Blank cells of a column from a table of suggestions (key, suggestion); filled cells stay. Of repeated suggestions the greatest counts."""
     from noticeflow.functions.text import strip
 
-    s = suggestions.select(F.col(key).alias("_k"), F.col("suggestion").alias("_s")).dropDuplicates(["_k"])
-    own = F.when(strip(F.coalesce(F.col(column), F.lit(""))) == "", F.coalesce("_s", F.lit(""))).otherwise(F.col(column))
-    return df.join(s, F.col(key) == F.col("_k"), "left").withColumn(column, own).drop("_k", "_s")
+    s = suggestions.groupBy(F.col(key).alias("k")).agg(F.max("suggestion").alias("s"))
+    j = df.select(F.struct("*").alias("row"), F.col(key).alias("key")).join(s, F.col("key") == F.col("k"), "left")
+    own = F.when(strip(F.coalesce(F.col(f"row.{column}"), F.lit(""))) == "", F.coalesce("s", F.lit(""))).otherwise(F.col(f"row.{column}"))
+    return j.select(F.col("row").withField(f"`{column}`", own).alias("row")).select("row.*")

@@ -81,3 +81,28 @@ def page_tables_bodies(spark, sf_dir):
     """Lines of text outside the tables; a frame of one cell is no table."""
     bodies, _ = page_tables.read_pages(page_chars(spark, sf_dir), page_lines(spark, sf_dir))
     return bodies.select("page", "body")
+
+
+# a durable inbox
+
+
+@query("""with n as (select o_orderkey as notice_id, o_custkey as parent_id, o_totalprice as price from orders),
+  left_ as (select n.* from n join customer on c_custkey = parent_id where c_mktsegment <> 'MACHINERY'),
+  changed as (select notice_id, parent_id, case when notice_id % 5 = 0 then 2.0 else price end as price from left_ where true)
+  select parent_id, count(*) as n, sum(case when notice_id % 5 = 0 then 1 else 0 end)::bigint as n_changed, round(sum(price), 2) as total from changed group by parent_id""")
+def inbox_life(spark, sf_dir):
+    """Notices are sent, receivers of one segment clear their inbox, some notices are changed twice and the last change stays."""
+    import uuid
+
+    from noticeflow.runtime import checkpoint_root
+    from noticeflow.sources.inbox import Inbox
+
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("notice_id"), F.col("o_custkey").alias("parent_id"), F.col("o_totalprice").alias("price"))
+    customer = table(spark, sf_dir, "customer")
+    box = Inbox(spark, f"{checkpoint_root(spark)}/inbox-{uuid.uuid4().hex}", n.schema, boxes=16)
+    box.send(n.join(customer, F.col("c_custkey") == F.col("parent_id"), "left_semi"))
+    box.clear(customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("parent_id")))
+    changes = box.rows().filter("notice_id % 5 = 0")
+    both = changes.withColumn("price", F.lit(3.0)).withColumn("seq", F.lit(1)).unionByName(changes.withColumn("price", F.lit(2.0)).withColumn("seq", F.lit(2)))
+    box.change(both, "seq")
+    return box.rows().groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("notice_id") % 5 == 0).alias("n_changed"), F.round(F.sum("price"), 2).alias("total"))
