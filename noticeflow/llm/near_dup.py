@@ -262,7 +262,7 @@ def _frequency(h: np.ndarray, known: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def _weighted(sets: DataFrame, freq: DataFrame, n: int, bits: int) -> DataFrame:
-    """node, hashes, weights of the sets: count times the idf of the shingle's own frequency.
+    """node, hashes, weights, total of the sets: count times the idf of the shingle's own frequency, and their sum.
 
     Sets are dealt into chunks of about CHUNK bytes of hashes; a chunk asks each part of ``freq`` once.
     """
@@ -291,13 +291,14 @@ def _weighted(sets: DataFrame, freq: DataFrame, n: int, bits: int) -> DataFrame:
         weights = []
         for x, c in zip(sets_.column("hashes").to_pylist(), sets_.column("counts").to_pylist(), strict=True):
             weights.append((np.frombuffer(c, "<u4") * _idf(n, _frequency(np.frombuffer(x, "<u8"), h, df))).astype("<f8").tobytes())
-        return pa.table({"node": sets_.column("node"), "hashes": sets_.column("hashes"), "weights": pa.array(weights, pa.binary())})
+        total = [float(np.frombuffer(w, "<f8").sum()) for w in weights]
+        return pa.table({"node": sets_.column("node"), "hashes": sets_.column("hashes"), "weights": pa.array(weights, pa.binary()), "total": pa.array(total, pa.float64())})
 
     ship(sets.sparkSession)
     asked = s.groupBy("chunk").applyInArrow(ask, "chunk long, part int, hashes binary")
     known = freq.select("part", "hashes", "dfs")
     answers = staged(asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(lambda a, k: answer(a, k), "chunk long, part int, hashes binary, dfs binary"), "answers")
-    out = staged(s.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, a: weigh(x, a), "node binary, hashes binary, weights binary"), "sets")
+    out = staged(s.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, a: weigh(x, a), "node binary, hashes binary, weights binary, total double"), "sets")
     release(answers)
     return out
 
@@ -326,9 +327,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "u binary, v binary, similarity double")
 
 
-def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int, bits: int) -> DataFrame:
-    """u, v, similarity: links between distinct texts that are similar; enough of them to join every class of
-    similar texts that share a bucket."""
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of the components that ``more`` links (u, v) make of those of ``labels``.
+
+    The graph that is searched has the components as its nodes, so that what was found before is not gone through again.
+    """
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    ends = more.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    top = staged(components(ends.filter("u != v").distinct()).select(F.col("node").alias("own"), F.col("label").alias("top")), "classes")
+    raised = labels.join(top, labels["label"] == top["own"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = top.join(labels.select("node"), top["own"] == labels["node"], "left_anti").select(F.col("own").alias("node"), F.col("top").alias("label"))
+    return staged(raised.unionByName(new), "classes")
+
+
+def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, similarity: links between distinct texts that are similar, enough of them to join every class of
+    similar texts that share a bucket; node, label: the classes of those that have links)."""
     each = staged(sigs.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket")), "buckets")
     full = staged(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "full")
     members = staged(each.join(full, "bucket"), "members")
@@ -347,7 +361,7 @@ def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int, bits: int)
     sets = _weighted(counted, freq, n, bits)
     release(counted)
     found = staged(_verified(pairs, sets).filter(F.col("similarity") >= SIMILAR), "links")
-    labels = components(found)
+    labels = staged(components(found), "classes")
 
     own = placed.select("node", F.slice("best", 2, CENTRES - 1).alias("best"), F.col("central").alias("c"))
     later = own.select("node", "c", F.explode("best").alias("b")).filter(F.struct("b.central", "b.node") > F.struct("c", "node"))
@@ -356,29 +370,36 @@ def links(docs: DataFrame, sigs: DataFrame, freq: DataFrame, n: int, bits: int)
     later = later.join(lu, "u", "left").join(lv, "v", "left").filter(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
     later = staged(later.join(pairs, ["u", "v"], "left_anti"), "pairs")
     more = staged(_verified(later, sets).filter(F.col("similarity") >= SIMILAR), "links")
-    found = found.unionByName(more)
-    rest = staged(_rest(members, components(found), sets), "links")
+    labels = joined(labels, more)
+    rest = staged(_rest(members, labels, sets), "links")
+    labels = joined(labels, rest)
     release(sets, members, central, top, later, wanted, pairs)
-    return found.unionByName(rest)
+    return found.unionByName(more).unionByName(rest), labels
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v, similarity: links between texts of one bucket that ``labels`` has in different components.
 
-    All such pairs are compared, each in the least of the buckets that it shares. A bucket is dealt into
-    blocks by hash, a task has two blocks of a bucket, and tasks whose texts are all joined are left out.
-    Of the links that a task finds, those that join the same components are left out. Buckets of
+    All such pairs are compared, each in the least of the buckets that it shares, but for those whose total
+    weights are too far apart: a similarity is at most the less total over the greater one. A bucket is dealt
+    into ranges of total weight, each a factor of 1 / SIMILAR wide, and these into blocks by hash; a task has
+    two blocks of one range or of two that follow each other, and tasks whose texts are all joined are left
+    out. Of the links that a task finds, those that join the same components are left out. Buckets of
     CENTRES + 1 texts have no pair without a centre.
     """
-    m = members.filter(F.col("size") > CENTRES + 1).join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    m = m.join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
-    apart = staged(m.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).filter("lo != hi").select("bucket", "blocks"), "apart")
-    dealt = m.join(apart, "bucket").select("bucket", "node", "label", F.pmod(F.xxhash64("node", "bucket"), "blocks").alias("part"))
-    dealt = staged(dealt, "dealt")
-    each = staged(dealt.groupBy("bucket", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
-    a, c = (each.select("bucket", F.col("part").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ij")
-    tasks = a.join(c, "bucket").filter((F.col("i") <= F.col("j")) & (F.least("lo_i", "lo_j") != F.greatest("hi_i", "hi_j")))
+    m = members.filter(F.col("size") > CENTRES + 1).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    span = F.floor(F.log("total") / -float(np.log(SIMILAR))).cast("long")
+    m = m.join(sets.select("node", F.octet_length("hashes").alias("bytes"), span.alias("span")), "node")
+    apart = staged(m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket"), "apart")
+    m = staged(m.join(apart, "bucket"), "open")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    sizes = staged(m.groupBy("bucket", "span").agg(blocks.alias("blocks")), "spans")
+    part = F.shiftleft("span", 32) + F.pmod(F.xxhash64("node", "bucket"), "blocks")
+    dealt = staged(m.join(sizes, ["bucket", "span"]).select("bucket", "node", "label", "span", part.alias("part")), "dealt")
+    each = staged(dealt.groupBy("bucket", "span", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    a, c = (each.select("bucket", *(F.col(x).alias(f"{x}_{k}") for x in ("span", "part", "lo", "hi"))) for k in "ij")
+    tasks = a.join(c, "bucket").filter("part_i <= part_j AND span_j - span_i <= 1").filter(F.least("lo_i", "lo_j") != F.greatest("hi_i", "hi_j"))
+    tasks = tasks.select("bucket", F.col("part_i").alias("i"), F.col("part_j").alias("j"))
     tasks = staged(tasks.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part")), "tasks")
     own = dealt.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
 
@@ -450,9 +471,8 @@ def classes(docs: DataFrame) -> DataFrame:
     bits = part_bits(chars)
     freq = staged(frequencies(base, bits), "frequencies")
     sigs = staged(signatures(base, idf_table(freq, n, bits)), "signatures")
-    found = links(docs, sigs, freq, n, bits)
+    _, labels = links(docs, sigs, freq, n, bits)
     release(freq)
-    labels = components(found)
     labelled = sigs.select("rid", "doc_id", "th", "node").join(labels, "node", "left").select("rid", "doc_id", "th", "node", F.coalesce("label", "node").alias("label"))
     labelled = staged(labelled, "classes")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid")))
