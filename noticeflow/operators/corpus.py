@@ -86,10 +86,42 @@ def imbalance(df: DataFrame, key: str) -> DataFrame:
     return distribution(df, key).agg(F.max("n").alias("largest"), F.min("n").alias("smallest"), (F.max("n") / F.min("n")).alias("ratio"))
 
 
+def _group(by: tuple[str, ...]) -> Column:
+    return F.struct(*by) if by else F.lit(1)
+
+
+def medians(df: DataFrame, value: Column, *by: str) -> DataFrame:
+    """g (a struct of ``by``; 1 without any) and median of a value in each group, exactly; the mean of the two middle
+    ones of an even number. Nulls do not count.
+
+    Equal values are counted together and the counts range-partitioned by group and value. What a partition holds of
+    a group tells which partition has its middle, and a running sum within the partition which value it is, so
+    no task has a buffer of a group's values.
+    """
+    from noticeflow.runtime import staged
+
+    counts = df.select(_group(by).alias("g"), value.alias("v")).filter("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = staged(counts.repartitionByRange("g", "v").select("g", "v", "c", F.spark_partition_id().alias("part")), "values")
+    w = W.partitionBy("g")
+    held = ranged.groupBy("g", "part").agg(F.sum("c").alias("c"), F.min("v").alias("least"))  # a row per group and partition
+    before = F.coalesce(F.sum("c").over(w.orderBy("least").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select("g", "part", before.alias("before"), F.col("c").alias("held"), F.sum("c").over(w).alias("n"))
+    lo, hi = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    near = held.filter((F.col("before") < hi) & (F.col("before") + F.col("held") >= lo))
+    j = ranged.join(near, ["g", "part"])
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("g", "part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    j = j.withColumn("upto", upto)
+    has = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("c") < k)
+    return j.groupBy("g").agg(((F.max(F.when(has(lo), F.col("v"))) + F.max(F.when(has(hi), F.col("v")))) / 2).alias("median"))
+
+
 def length_stats(df: DataFrame, length: Column, *by: str) -> DataFrame:
     """n, least, most, mean, median (truncated) and stdev (0 for one row)."""
-    agg = [F.count(length).alias("n"), F.min(length).alias("least"), F.max(length).alias("most"), F.avg(length).alias("mean"), F.percentile(length, 0.5).cast("long").alias("median"), F.coalesce(F.stddev_samp(length), F.lit(0.0)).alias("stdev")]
-    return df.groupBy(*by).agg(*agg)
+    v = F.col("v")
+    agg = [F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev")]
+    one = df.select(_group(by).alias("own"), length.alias("v")).groupBy("own").agg(*agg)
+    j = one.join(medians(df, length, *by), F.col("own").eqNullSafe(F.col("g")), "left")
+    return j.select(*(F.col(f"own.`{b}`").alias(b) for b in by), "n", "least", "most", "mean", F.col("median").cast("long").alias("median"), "stdev")
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,20 +143,27 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return j.select("row.*", "weight")
 
 
-def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id") -> DataFrame:
-    """Consecutive ids in the order of a column; rows that ``keep`` drops use up an id too.
+def placed(df: DataFrame, order: list[tuple[Column, bool]], name: str, start: int = 1) -> DataFrame:
+    """``df`` with consecutive numbers in an order of (column, whether from the greatest down), from ``start``.
 
-    Counts per range partition give each partition its first number, so no task holds all rows.
+    Rows are range-partitioned; counts per partition give each its first number, so no task holds all rows.
     """
     from noticeflow.runtime import staged
 
-    d = df.select(F.struct("*").alias("row"), F.col(order).alias("by")).repartitionByRange("by").sortWithinPartitions("by")
-    ranged = staged(d.select("row", F.monotonically_increasing_id().alias("at")), "numbered")
+    names = [f"by{i}" for i in range(len(order))]
+    d = df.select(F.struct("*").alias("row"), *(c.alias(n) for (c, _), n in zip(order, names, strict=True)))
+    by = [F.col(n).desc() if down else F.col(n) for (_, down), n in zip(order, names, strict=True)]
+    ranged = staged(d.repartitionByRange(*by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("at")), "placed")
     part, within = F.shiftright("at", 33), F.expr("at & 8589934591")
     counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per partition
     j = ranged.withColumn("own", part).join(F.broadcast(before), F.col("own") == F.col("part"))
-    out = j.select(F.col("row").withField(f"`{name}`", F.col("before") + within + F.lit(start)).alias("row")).select("row.*")
+    return j.select(F.col("row").withField(f"`{name}`", F.col("before") + within + F.lit(start)).alias("row")).select("row.*")
+
+
+def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id") -> DataFrame:
+    """Consecutive ids in the order of a column; rows that ``keep`` drops use up an id too."""
+    out = placed(df, [(F.col(order), False)], name, start)
     return out.filter(keep) if keep is not None else out
 
 

@@ -1,9 +1,8 @@
-"""Reports over labelled notices, models and translation runs: tables first, Markdown from small tables last."""
+"""Reports over labelled notices, models and translation runs, as tables; see ``markdown`` for their text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeflow.functions.text import strip
@@ -13,13 +12,13 @@ from noticeflow.operators import corpus, evals
 def frequencies(df: DataFrame, key: str, order: str) -> DataFrame:
     """rank, key, n, pct: the values of a column by their number, the most frequent first; equals as they come first in an order.
 
-    Ranks are those of the few different values, which are aggregated first. Null and empty values go.
+    The different values are aggregated first and ranked by ranges. Null and empty values go.
     """
     some = df.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    counts = some.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    ranked = counts.withColumn("rank", F.row_number().over(W.orderBy(F.col("n").desc(), "_first")))
-    return ranked.crossJoin(F.broadcast(total)).select("rank", key, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct"))
+    counts = some.groupBy(F.col(key).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    total = counts.agg(F.sum("n").alias("total"))
+    ranked = corpus.placed(counts, [(F.col("n"), True), (F.col("first"), False)], "rank")
+    return ranked.crossJoin(F.broadcast(total)).select("rank", F.col("value").alias(key), "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
 
 
 def labelled_summary(df: DataFrame) -> DataFrame:
@@ -103,13 +102,6 @@ def reflection_report(df: DataFrame, lang: str, preferred: str, reflected: Colum
     return each.unionByName(all_).withColumn("shown", F.when(F.col("rate").isNull(), "—").otherwise(F.format_string("%.1f%%", "rate")))
 
 
-def markdown_report(title: str, parts: dict[str, tuple[DataFrame, str]]) -> str:
-    """A Markdown text of small aggregated tables, each with the column that orders its rows."""
-    from noticeflow.sources.files import markdown_table
-
-    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown_table(df, order)}" for name, (df, order) in parts.items())]) + "\n"
-
-
 def demo_cases(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """Per glossary term one row of a text that has it, and its first sentence with it: the examples of a demo bundle."""
     from noticeflow.functions.glossary import sentence_with

@@ -161,11 +161,3 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
 
 def write_json(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
-
-
-def markdown_table(df: DataFrame, order: str) -> str:
-    """A report of a small aggregated table, its rows in an order."""
-    rows = [df.columns, ["---"] * len(df.columns), *([str(v) for v in r] for r in df.orderBy(order).collect())]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
-
-

@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from noticeflow.functions import client, glossary, i18n, rules, slots, text
 from noticeflow.functions import patterns as P
-from noticeflow.operators import cards, corpus, evals, judges, ml, reports, seams, translation
+from noticeflow.operators import cards, corpus, evals, judges, markdown, ml, reports, seams, translation
 from noticeflow.plans import ORACLES, QUERIES, more
 from noticeflow.sources import convert, files
 
@@ -110,7 +110,7 @@ def test_reports_and_sinks(spark, tmp_path):
     files.write_json(df, str(tmp_path / "j"))
     files.write_json(df, str(tmp_path / "j"), append=True)
     assert spark.read.json(str(tmp_path / "j")).count() == 4
-    assert reports.markdown_report("T", {"part": (df.select("k", "n"), "k")}) == "# T\n\n## part\n\n| k | n |\n| --- | --- |\n| a | 1 |\n| b | 2 |\n"
+    assert markdown.text_of(markdown.table_report("# T", {"part": (df.select("k", "n"), ["k"])})).first().text == "# T\n\n## part\n\n| k | n |\n|---|---|\n| a | 1 |\n| b | 2 |\n\n"
     assert {r.status: (r.n, r.names) for r in files.tally(df.select(F.col("k").alias("name"), F.lit("ok").alias("status"))).collect()} == {"ok": (2, ["a", "b"])}
     lines = spark.createDataFrame([(0, "text,label"), (1, 'a, b "c",1'), (2, '"d, e",0'), (3, "f,1"), (4, "")], "pos int, value string")
     assert {r.pos: r.value for r in files.repaired_csv(lines).collect()} == {0: "text,label", 1: '"a, b ""c""",1', 2: '"d, e",0', 3: "f,1", 4: ""}
