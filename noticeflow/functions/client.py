@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import patterns as P
-from noticeflow.functions.text import let, strip, strip_markers
+from noticeflow.functions.text import let, running, strip, strip_markers
 
 
 def shown(c: Column) -> Column:
@@ -71,8 +71,9 @@ def chips(cards: Column, most: int = 8) -> Column:
 def places(text: Column, word: Column) -> Column:
     """struct(start, end) of the occurrences of a word, from 0; none of an empty one."""
     def of(rest: Column) -> Column:
-        ends = F.transform(F.sequence(F.lit(1), F.size(rest) - 1), lambda k: F.aggregate(F.slice(rest, 1, k), F.lit(0), lambda n, r: n + F.char_length(r)) + (k - 1) * F.char_length(word))
-        return F.when(F.size(rest) > 1, F.transform(ends, lambda s: F.struct(s.alias("start"), (s + F.char_length(word)).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+        upto = running(F.transform(F.slice(rest, 1, F.size(rest) - 1), lambda r: F.char_length(r)))
+        starts = F.transform(upto, lambda n, k: (n + k * F.char_length(word)).cast("int"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + F.char_length(word)).alias("end")))
     return F.when(word == "", F.array().cast("array<struct<start:int,end:int>>")).otherwise(let(F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1), of))
 
 

@@ -145,6 +145,16 @@ def amount(text: Column) -> Column:
     return _won(F.regexp_extract(text, P.AMOUNT_WON, 0))
 
 
+def first_amount(text: Column) -> Column:
+    """The first of all amounts as it is written; null without one."""
+    return F.get(amounts(text), F.lit(0))["ko"]
+
+
+def first_deadline(text: Column) -> Column:
+    """The first phrase around the word for 'until' as it is written; null without one."""
+    return F.get(deadline_phrases(text), F.lit(0))
+
+
 def action(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, hint in reversed(P.ACTIONS):

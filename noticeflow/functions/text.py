@@ -128,6 +128,39 @@ def _substring(w: Column, n: int):
     return lambda i: F.substring(w, i, F.lit(n))
 
 
+RUN = 1000
+
+
+def running(values: Column) -> Column:
+    """Sums of an array's whole numbers up to each place.
+
+    Sums are made in runs of RUN numbers and the runs' own sums added after that: an array that grows by one number
+    at a time is copied each time, so that a long one in one go would cost the square of its length.
+    """
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        def step(acc, x):
+            new = acc["sum"] + x
+            return F.struct(new.alias("sum"), F.concat(acc["out"], F.array(new)).alias("out"))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+    def of(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / RUN).cast("int") - 1), lambda b: sums(F.slice(v, b * RUN + 1, F.lit(RUN))))
+        def whole(r: Column) -> Column:
+            before = sums(F.transform(r, lambda x: F.element_at(x, -1)))
+            return let(before, lambda t: F.flatten(F.transform(r, lambda x, b: F.transform(x, lambda n: n + F.coalesce(F.get(t, b - 1), F.lit(0))))))
+        return let(runs, whole)
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def sentences_of(c: Column, splitter: str = "notice", whole_lines: bool = False) -> Column:
+    """The sentences that a named splitter finds: ``notice`` (lines and list marks), ``plain`` (closing marks in lines),
+    ``mark`` (closing marks, all blanks as one) or ``simple`` (closing marks, where no other is at hand)."""
+    found = {"notice": lambda: sentences(c, drop_lines=not whole_lines), "plain": lambda: sentences(c, plain=True, drop_lines=not whole_lines), "mark": lambda: sentences_by_mark(c), "simple": lambda: sentences_simple(c)}
+    if splitter not in found:
+        raise ValueError(f"no splitter {splitter}; there are {', '.join(found)}")
+    return found[splitter]()
+
+
 def offsets(c: Column, pattern: str) -> Column:
     """Zero-based [start, end) of all matches of a pattern, in order."""
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))

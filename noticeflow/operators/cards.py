@@ -144,45 +144,13 @@ def todos(notices: DataFrame, id_col: str, text_col: str = "text", as_of_year: i
     return scored.select(id_col, "pos", "text", slots.due_date(t, as_of_year).alias("due_date"), slots.amount(t).alias("amount"), F.round("_p", 4).alias("confidence"), slots.action(t).alias("action_hint"))
 
 
-def top_per_group(df: DataFrame, group: str, order: list, n: int = MAX_CARDS) -> DataFrame:
-    """The first ``n`` rows of each group."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
-
-
-def _with_items(t: DataFrame, lang: str) -> DataFrame:
-    """Adds to to-do rows the deprecated item form of a to-do."""
-    d = t.withColumn("_cat", rules.category(F.col("text")))
-    what = F.when(F.col("_cat") == "준비물", slots.supplies(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    item = F.struct(
-        F.col("_cat").alias("category"), "action_hint", F.col("text").alias("title_ko"), when_text(F.col("text"), F.lit(lang)).alias("when"), what.alias("what"),
-        F.concat(F.format_number("amount", 0), F.lit("원")).alias("amount"), F.col("due_date").alias("deadline"), F.col("confidence").alias("importance"),
-    )
-    return d.withColumn("item", item).drop("_cat")
+def as_json(df: DataFrame, keys: list[str], name: str = "document") -> DataFrame:
+    """``keys`` and all other columns as one JSON object, nulls as null, in the order of the columns."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest)), {"ignoreNullFields": "false"}).alias(name))
 
 
-def analyze(notices: DataFrame, lang: str, glossary: list[tuple[str, str]] = (), id_col: str = "notice_id", as_of_year: int = 2026) -> DataFrame:
-    """One row per notice (ids are unique): cards (eight at most), items, summary and both speech texts.
-
-    To-dos and cards are rows while they are made and meet by the notice's id
-    only: a bounded number of sentences of one text. Notices without to-dos
-    get cards from their slots.
-    """
-    g = G.literal(list(glossary))
-    base = notices.select(id_col, F.coalesce("text", F.lit("")).alias("text")).withColumn("slots", slot_entries(F.col("text"), F.lit(lang)))
-    t = _with_items(todos(notices, id_col, as_of_year=as_of_year), lang)
-    t = t.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.col("confidence").desc(), "pos")))
-    t = todo_cards(t, id_col, lang, g)
-    fields = [x.split(":")[0] for x in CARD[len("struct<") : -1].split(",")]
-    card = F.when(F.col("rank") <= MAX_CARDS, F.struct("rank", F.struct(*fields).alias("card")))
-    by_pos = lambda c, f: F.transform(F.array_sort(c), lambda x: x[f])
-    gathered = t.groupBy(id_col).agg(by_pos(F.collect_list(card), "card").alias("top"), by_pos(F.collect_list(F.struct("pos", "item")), "item").alias("items"))
-    df = base.join(gathered, id_col, "left")
-    no_items = F.from_json(F.lit("[]"), t.select(F.array("item").alias("x")).schema["x"].dataType)
-    df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.transform("top", lambda c: c["header_ko"]))
-    df = df.withColumn("cards", ranked(dedup(F.concat(F.col("top"), slot_cards(F.col("slots"), F.col("heads"), lang, g)))))
-    def entry(source: str):
-        return lambda v: F.struct(v.alias("ko"), G.term(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
-    supplies = F.array_distinct(F.flatten(F.transform("items", lambda i: i["what"])))
-    deadlines = F.array_distinct(F.filter(F.transform("items", lambda i: i["deadline"]), lambda d: F.coalesce(d, F.lit("")) != ""))
-    df = df.withColumn("summary", F.struct("slots.*", F.transform(supplies, entry("model")).alias("supplies"), F.transform(deadlines, entry("model+regex")).alias("deadlines")))
-    return df.select(id_col, F.lit(lang).alias("target_language"), "cards", "items", "summary", speech(F.col("cards"), False).alias("tts_text"), speech(F.col("cards"), True).alias("tts_text_easy_ko"))
+def top_per_group(df: DataFrame, group: str, order: list, n: int = MAX_CARDS) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return df.select(F.struct("*").alias("row"), place.alias("place")).filter(F.col("place") <= n).select("row.*")

@@ -77,6 +77,11 @@ def judge_terms(df: DataFrame, call: Callable, **more) -> DataFrame:
     return judged_terms(df, call, **more)[0]
 
 
+def by_language(df: DataFrame, langs: list[str], lang: str = "lang") -> DataFrame:
+    """Each row once for each of the languages, which are a constant: no join, and the rows stay where they are."""
+    return df.select("*", F.explode(F.array(*map(F.lit, langs))).alias(lang))
+
+
 def suggest_terms(terms: DataFrame, lang: str, call: Callable, **more) -> DataFrame:
     """korean, suggestion for each different term: ``call(rows of (term, language))`` gets 150 at most; '' where it fails."""
     asked = terms.select(F.col("korean")).filter(F.col("korean").isNotNull()).distinct().withColumn("lang", F.lit(lang))

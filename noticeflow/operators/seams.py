@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from noticeflow.functions import rules
 from noticeflow.runtime import held, map_arrow
 
 
@@ -175,6 +176,19 @@ def todo_probability(df: DataFrame, text: str, call, **more) -> DataFrame:
     return with_model(df, [text], "probability", T.DoubleType(), call, **more)
 
 
+def gated_todos(df: DataFrame, text: str, call: Callable, threshold: float = 0.5, batch: int = 32, **more) -> DataFrame:
+    """``df`` with probability (three digits), is_todo and probability_error of its sentences.
+
+    Sentences that the cheap patterns reject are not asked about: they have probability 0 and are no to-dos, and
+    so do those at which the model fails. ``call(rows of (sentence,))`` gives a probability each.
+    """
+    d = df.select(F.struct("*").alias("row"), F.col(text).alias("sentence"), (F.col(text).isNotNull() & ~rules.rejected(F.coalesce(F.col(text), F.lit("")))).alias("wanted"))
+    d = with_model(d, ["sentence"], "probability", T.DoubleType(), call, default=0.0, where="wanted", batch=batch, **more)
+    p = F.round(F.coalesce("probability", F.lit(0.0)), 3)
+    new = F.struct(p.alias("probability"), (F.col("wanted") & (F.coalesce("probability", F.lit(0.0)) >= threshold)).alias("is_todo"), F.col("probability_error"))
+    return d.select("row", new.alias("new")).select("row.*", "new.*")
+
+
 def extracted_items(df: DataFrame, text: str, call, **more) -> DataFrame:
     """Lists of items that a model finds in a text; none where it fails."""
     return with_model(df, [text], "found", T.ArrayType(T.StringType()), call, default=[], **more)

@@ -62,3 +62,14 @@ def legacy_todos(notices: DataFrame, id_col: str, year: int = 2026, category=rul
     d = d.withColumn("_c", F.when(rules.has_money(s), 1.0).otherwise(confidence if confidence is not None else F.lit(0.5)))
     d = d.withColumn("importance", rules.importance_legacy(s, F.col("category"), F.col("due_date")))
     return d.filter((F.col("_c") >= 0.25) & (F.col("importance") >= 0.25)).select(id_col, "pos", shortened(s).alias("text"), "category", "importance", "due_date")
+
+
+def legacy_todo_lists(notices: DataFrame, id_col: str, **more) -> DataFrame:
+    """id and todos of every notice: the rows of ``legacy_todos`` in order as one array of structs
+    (category, text_ko, text_vi: '' until it is translated, importance, due_date); empty without any."""
+    rows = legacy_todos(notices, id_col, **more)
+    item = F.struct("category", F.col("text").alias("text_ko"), F.lit("").alias("text_vi"), "importance", "due_date")
+    lists = rows.groupBy(F.col(id_col).alias("own")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda x: x["item"]).alias("todos"))
+    kind = lists.schema["todos"].dataType
+    ids = notices.select(F.col(id_col).alias("id"))
+    return ids.join(lists, F.col("id").eqNullSafe(F.col("own")), "left").select(F.col("id").alias(id_col), F.coalesce("todos", F.array().cast(kind)).alias("todos"))

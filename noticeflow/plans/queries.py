@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import easy, glossary, i18n, rules, slots, text
 from noticeflow.functions import patterns as P
-from noticeflow.operators import cards, corpus, evals, terms
+from noticeflow.operators import cards, corpus, evals, judges, terms
 from noticeflow.plans import graph, offline
 from noticeflow.sources import files
 from noticeflow.streaming import inbox
@@ -154,6 +154,15 @@ def deadline_phrases(spark, sf_dir):
     return notices(spark, sf_dir).select("notice_id", F.explode(slots.deadline_phrases(F.col("text"))).alias("deadline"))
 
 
+@query(f"""with {N_DUCK}, u as (select notice_id, text, regexp_extract(text, '{R_URL}', 1) as url from n),
+  m as (select notice_id, text, case when url = '' then text else replace(text, url, '⟦U' || repeat('_', length(url) - 3) || '⟧') end as masked from u)
+  select notice_id, coalesce(nullif(regexp_extract(text, '{R_WON}'), ''), nullif(regexp_extract(text, '{R_UNIT}'), '')) as amount, trim(regexp_extract_all(masked, '{R_SEGMENT}')[1]) as deadline from m""")
+def notice_firsts(spark, sf_dir):
+    """The first amount and the first deadline of each notice, as they are written."""
+    t = F.col("text")
+    return notices(spark, sf_dir).select("notice_id", slots.first_amount(t).alias("amount"), slots.first_deadline(t).alias("deadline"))
+
+
 @query(f"""with {N_DUCK}, b as (select notice_id, regexp_replace(regexp_replace(text, '준비물\\s*[:：]?\\s*', '', 'g'), '(을|를)?\\s*(준비해|챙겨|가져)[^\\n]*$', '') as text from n),
   i as (select notice_id, trim(unnest(regexp_split_to_array(text, '[,，、]\\s*|\\s*(?:과|와|및)\\s+'))) as item from b) select notice_id, item from i where length(item) between 2 and 29""")
 def supply_tokens(spark, sf_dir):
@@ -441,8 +450,8 @@ def reflection_rate(spark, sf_dir):
 
 @query("select lang, count(*) as n from (select unnest(['vi', 'en']) as lang) cross join (select distinct source from documents) group by lang")
 def terms_by_language(spark, sf_dir):
-    langs = spark.createDataFrame([("vi",), ("en",)], "lang string")
-    return F.broadcast(langs).crossJoin(table(spark, sf_dir, "documents").select("source").distinct()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    return judges.by_language(sources, ["vi", "en"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions import rules
-from noticeflow.functions.text import clean, flatten, join_broken_lines, normalize, sentences, strip
+from noticeflow.functions.text import clean, flatten, join_broken_lines, normalize, sentences_of, strip
 from noticeflow.operators.corpus import numbered
 
 DOCUMENT = ["source_type", "category", "keywords", "importance", "action_required", "easy_korean", "vietnamese", "tts_target"]
@@ -83,10 +83,10 @@ def one_line_records(files: DataFrame, source_type: str, start: int = 1) -> Data
     return rows.select("id", F.lit(source_type).alias("source_type"), flatten(F.coalesce("text", F.lit(""))).alias("original_text"))
 
 
-def sentence_records(files: DataFrame) -> DataFrame:
-    """text, is_todo (false, to be labelled) for each sentence of files that are no meal plan."""
+def sentence_records(files: DataFrame, splitter: str = "notice") -> DataFrame:
+    """text, is_todo (false, to be labelled) for each sentence, by a named splitter, of files that are no meal plan."""
     usable = files.filter(~rules.is_meal_plan(F.coalesce("text", F.lit(""))))
-    parts = usable.select("name", F.posexplode(sentences(join_broken_lines(clean(F.col("text"))))).alias("pos", "sentence"))
+    parts = usable.select("name", F.posexplode(sentences_of(join_broken_lines(clean(F.col("text"))), splitter)).alias("pos", "sentence"))
     return parts.select("name", "pos", F.col("sentence").alias("text"), F.lit(False).alias("is_todo"))
 
 
