@@ -9,6 +9,7 @@ text's score is the posterior of its best language.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import documents
 from noticeflow.llm.quality import crc_of
-from noticeflow.runtime import map_arrow
+from noticeflow.runtime import map_arrow, release, staged
 
 UNKNOWN = "und"
 PER_LANGUAGE, STEPS, CACHE = 1_500, 3, 300_000
 LONG = 48  # letters; longer words are learned in parts of so many and scored whole, in scaled form
 VERY_LONG = 1000  # letters; longer words are scored one by one
-WORDS = 400_000  # different (language, word) pairs that are learned from, the most frequent first
+GRAIN = 1 << 20  # parts of a count
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = regex.compile(r"\p{L}+").findall
 SCALE = 24.0  # keeps products of piece probabilities near 1
@@ -158,37 +159,100 @@ class Model:
         return np.log(np.maximum(alpha[n], 1e-300)) + shift - n * np.log(SCALE)
 
 
+def even(pieces: Pieces, langs: int) -> np.ndarray:
+    """Where learning starts: a probability for each piece by its length, the same in all languages."""
+    lengths = np.array([*map(len, pieces.names), 1], float)
+    prob = (4.0**-lengths)[:, None] * np.ones((1, langs))
+    return prob / prob.sum(0)
+
+
+def expected(pieces: Pieces, prob: np.ndarray, words: list[str], lang: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words (of LONG letters at most) of a language that occur so many
+    times: over all segmentations of a word, by their probability. The last row is for letters that are no piece."""
+    got = np.zeros(prob.shape)
+    for at, codes in grouped(words):
+        for a in range(0, len(at), 10_000):
+            own, c = at[a : a + 10_000], codes[a : a + 10_000]
+            n, where = c.shape[1], lang[own]
+            alpha, beta = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
+            alpha[0] = beta[n] = 1.0
+            arcs = []
+            for e, s, r, ids in edges(pieces, c):
+                p = prob[ids, where[r]] * SCALE ** (e - s)
+                alpha[e, r] += alpha[s, r] * p
+                arcs.append((e, s, r, ids, p))
+            for e, s, r, ids, p in sorted(arcs, key=lambda x: (-x[0], -x[1])):
+                beta[s, r] += beta[e, r] * p
+            total = np.maximum(alpha[n], 1e-300)
+            for e, s, r, ids, p in arcs:
+                np.add.at(got, (ids, where[r]), alpha[s, r] * p * beta[e, r] / total[r] * count[own][r])
+    return got
+
+
+def shares(got: np.ndarray) -> np.ndarray:
+    """Probabilities from expected counts; pieces that are never expected keep a little."""
+    return (got + 0.01) / (got + 0.01).sum(0)
+
+
 def fit(pieces: Pieces, counts: list[tuple[str, str, int]], steps: int = STEPS) -> Model:
-    """Of (language, word, count) rows, whose words have LONG letters at most."""
+    """Of (language, word, count) rows, whose words have LONG letters at most, in one process."""
     langs = sorted({r[0] for r in counts})
     code = {x: i for i, x in enumerate(langs)}
-    rows = sorted((w, code[x], c) for x, w, c in counts)
-    words, lang, count = [r[0] for r in rows], np.array([r[1] for r in rows], int), np.array([r[2] for r in rows], float)
-    size = len(pieces.names) + 1
-    prob = np.full((size, len(langs)), 1.0 / size)
-    lengths = np.array([*map(len, pieces.names), 1], float)
-    prob = (4.0 ** -lengths)[:, None] * np.ones((1, len(langs)))
-    prob /= prob.sum(0)
+    words, lang, count = [r[1] for r in counts], np.array([code[r[0]] for r in counts], int), np.array([r[2] for r in counts], float)
+    prob = even(pieces, len(langs))
     for _ in range(steps):
-        got = np.zeros((size, len(langs)))
-        for at, codes in grouped(words):
-            for a in range(0, len(at), 20_000):
-                own, c = at[a : a + 20_000], codes[a : a + 20_000]
-                n, where = c.shape[1], lang[own]
-                alpha, beta = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
-                alpha[0] = beta[n] = 1.0
-                arcs = []
-                for e, s, r, ids in edges(pieces, c):
-                    p = prob[ids, where[r]] * SCALE ** (e - s)
-                    alpha[e, r] += alpha[s, r] * p
-                    arcs.append((e, s, r, ids, p))
-                for e, s, r, ids, p in sorted(arcs, key=lambda x: (-x[0], -x[1])):
-                    beta[s, r] += beta[e, r] * p
-                total = np.maximum(alpha[n], 1e-300)
-                for e, s, r, ids, p in arcs:
-                    np.add.at(got, (ids, where[r]), alpha[s, r] * p * beta[e, r] / total[r] * count[own][r])
-        got += 0.01
-        prob = got / got.sum(0)
+        prob = shares(expected(pieces, prob, words, lang, count))
+    return Model(langs, prob)
+
+
+def training_words(text: str) -> list[str]:
+    """Runs of letters of a text as scoring takes them, in parts of LONG."""
+    return [w[i : i + LONG] for w in _LETTERS(text.lower()) for i in range(0, len(w), LONG)]
+
+
+def word_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """lang (its number), word, n over all rows of docs (text, lang)."""
+    code = {x: i for i, x in enumerate(langs)}
+
+    def run(batches):
+        for b in batches:
+            held, size = Counter(), 0
+            texts, own = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, (t, x) in enumerate(zip(texts, own, strict=True)):
+                for w in training_words(t):
+                    held[code[x], w] += 1
+                size += len(t)
+                if held and (size >= 1 << 22 or i == len(texts) - 1):
+                    keys = list(held)
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
+                    held, size = Counter(), 0
+
+    return map_arrow(docs.select("text", "lang"), run, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def learned(counts: DataFrame, path: str, langs: list[str], steps: int = STEPS) -> Model:
+    """The model of a stored table of ``word_counts``, as ``fit`` makes it.
+
+    Expected counts are summed up on the executors, in whole parts of 1 / GRAIN, so that their order does not
+    matter. What comes to the driver in each step is a number for each piece of the vocabulary and language.
+    """
+    prob = even(pieces_of(path), len(langs))
+
+    def step(prob: np.ndarray) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                got = expected(pieces_of(path), prob, b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2).to_numpy().astype(float))
+                whole = np.rint(got * GRAIN).astype(np.int64)
+                piece, lang = np.nonzero(whole)
+                yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(whole[piece, lang])], names=["piece", "lang", "n"])
+
+        return map_arrow(counts, run, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+
+    for _ in range(steps):
+        got = np.zeros(prob.shape)
+        for r in step(prob).collect():
+            got[r.piece, r.lang] = r.n / GRAIN
+        prob = shares(got)
     return Model(langs, prob)
 
 
@@ -202,19 +266,21 @@ def pieces_of(path: str) -> Pieces:
 
 
 def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` documents of each language at most, taken by a hash
-    of the id, of those whose crc32 mod 3 is not 1. Their words are counted on the executors; longer runs
-    of letters in parts of LONG. The WORDS most frequent ones come to the driver: with ``per_language``
-    the bounds of the fit, whatever the size of the input."""
+    """Fit on about ``per_language`` documents of each language at most, taken by a hash of the id, of those
+    whose crc32 mod 3 is not 1: the one bound of the fit. All their words are learned from, whatever language
+    they are of; they stay on the executors."""
     own = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(crc_of(F.col("doc_id")) % 3 != 1)
-    sizes = own.groupBy("lang").count().collect()
+    sizes = own.groupBy("lang").count().collect()  # a row per language
     if not sizes:
         return Model([], np.zeros((0, 0)))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 20)))))
     chosen = own.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1 << 20)) < share[F.col("lang")])
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,%d})" % LONG), F.lit(1))).alias("word"))
-    rows = words.groupBy("lang", "word").count().orderBy(F.col("count").desc(), "lang", "word").limit(WORDS).collect()
-    return fit(pieces_of(path), [(r["lang"], r["word"], r["count"]) for r in rows])
+    langs = sorted(r["lang"] for r in sizes)
+    tasks = max(4, docs.sparkSession.sparkContext.defaultParallelism)
+    counts = staged(word_counts(chosen, langs).repartition(tasks, "lang", "word"), "words")
+    model = learned(counts, path, langs)
+    release(counts)
+    return model
 
 
 class Scorer:
@@ -282,7 +348,8 @@ def language_id(docs: DataFrame, path: str) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or where no
     language could be learned. Ties go to the first language by name. Rows
-    that repeat a doc_id have a result each; extra columns are ignored.
+    that repeat a doc_id have a result each; extra columns are ignored. An
+    empty table gives an empty result.
     """
     out = predict(docs, train(docs, path), path)
     return out.select("doc_id", (crc_of(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
