@@ -11,8 +11,10 @@ and different pair and not for each link.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.bpe import Bpe
+from noticeflow.llm.bpe import CACHE, Bpe
 from noticeflow.runtime import map_arrow, release, ship, staged
 
 CHUNK = 3 << 20  # bytes of texts in a chunk, but for longer texts
@@ -45,18 +47,55 @@ class ByteLevel(Bpe):
 
 
 class Pieces:
-    """A vocabulary of pieces with byte fallback."""
+    """A vocabulary of pieces with byte fallback.
+
+    Where no piece goes on after its letters with a blank, what stands between a blank and the next letters' end is
+    cut for itself, so each different run of blanks and letters is encoded once and remembered.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         piece = self.model.id_to_piece
-        self.bytes = [bytes([int(piece(i)[3:-1], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
+        every = [piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(every)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.cut = re.compile(" +[^ ]*" if all("▁" not in p.lstrip("▁") for p in every) else "(?s).+").findall
+        self.blank = self.model.piece_to_id("▁")
+        self.reset()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends, self.whole = np.zeros(0, np.uint16 if len(self.bytes) <= 1 << 16 else np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def learn(self, runs: list[str]) -> None:
+        """Encode runs not known yet; each begins with the blank that the model adds. Whole: the pieces' bytes are the run."""
+        rows = self.model.encode([r[1:] for r in runs], num_threads=1)
+        rows = [x if len(r) > 1 else [self.blank] for r, x in zip(runs, rows, strict=True)]  # a text's last blank
+        whole = [b"".join(map(self.bytes.__getitem__, x)) == r.encode() for r, x in zip(runs, rows, strict=True)]
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
+        self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(rows)), self.flat.dtype)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in rows])])
+        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, how many each has, and whether its pieces are the bytes of a blank and the text."""
+        each = [self.cut(" " + t) for t in texts]
+        every = list(chain.from_iterable(each))
+        new = list(set(every).difference(self.known))
+        if len(self.known) + len(new) > CACHE and self.known:
+            self.reset()
+            new = list(set(every))
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        starts, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        upto = np.cumsum(n)
+        flat = self.flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - n), n)]
+        last = np.cumsum([len(x) for x in each])
+        whole = np.array([w.all() for w in np.split(self.whole[at], last[:-1])], bool) if len(last) else np.zeros(0, bool)
+        return flat.astype(np.int64), np.diff(np.concatenate([[0], upto])[last], prepend=0) if len(last) else np.zeros(0, np.int64), whole
 
 
 _LOADED: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
@@ -124,14 +163,10 @@ def unsqueezed(size: int, raw: bytes) -> np.ndarray:
 
 def _whole(texts: list[str], a: ByteLevel, b: Pieces):
     """(numbers of the texts that have tokens, ids of a, how many, ids of b, how many)."""
-    some = [i for i, t in enumerate(texts) if t]
-    rows = b.encode([texts[i] for i in some])
-    # the pieces of a text must be its bytes
-    ok = [b"".join(map(b.bytes.__getitem__, r)) == b" " + texts[i].encode() for i, r in zip(some, rows, strict=True)]
-    some, rows = [i for i, x in zip(some, ok, strict=True) if x], [r for r, x in zip(rows, ok, strict=True) if x]
+    some = np.flatnonzero([bool(t) for t in texts])
+    ids_b, n_b, whole = b.ids([texts[i] for i in some])
+    ids_b, n_b, some = ids_b[np.repeat(whole, n_b)], n_b[whole], some[whole]
     ids_a, n_a = a.ids([texts[i] for i in some])
-    n_b = np.array([len(r) for r in rows], np.int64)
-    ids_b = np.fromiter((x for r in rows for x in r), np.int64, int(n_b.sum()))
     return some, ids_a, n_a, ids_b, n_b
 
 
@@ -163,7 +198,7 @@ def chunk_row(ids: list, texts: list[str], a: ByteLevel, b: Pieces, marks: list[
     own = own[new]
     size, steps = squeezed(np.diff(own, prepend=0))  # below twice the number of keys
     _, counts = squeezed(times)
-    place = np.array(some, np.int64)
+    place = some
     per = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
     per["n_a"][place], per["n_b"][place] = n_a, n_b
     per["n_links"][place] = np.bincount(doc, minlength=len(some))
