@@ -24,7 +24,7 @@ from noticeflow.runtime import map_arrow
 
 #: The split pattern of the vocabulary file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, CHUNK_CHARS, WIDE = 400_000, 2_000_000, 64
+CACHE, CHUNK_CHARS, WIDE = 400_000, 500_000, 64
 NONE = np.iinfo(np.int32).max
 
 
@@ -39,8 +39,9 @@ def _check_form(spec: dict) -> None:
     """Raises where a file asks for a form of BPE that this module does not have."""
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     ok = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    ok = ok and not any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word", "normalized"))
     if not ok or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
-        raise ValueError("only byte-level BPE without normaliser, prefix space, dropout or word marks is supported")
+        raise ValueError("only byte-level BPE without normaliser, prefix space, dropout, word marks or added tokens that take in blanks is supported")
 
 
 class Bpe:
@@ -289,6 +290,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", decoded: bool = Fal
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``; an empty table gives an empty result."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``. Null texts count as empty, rows that repeat a
+    doc_id have a result each; an empty table gives an empty result and extra columns are ignored."""
     out = encode(docs.select("doc_id", "text"), path, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
