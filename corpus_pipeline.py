@@ -34,8 +34,8 @@ def decontamination(spark, docs, sf_dir):
 
 
 def encoding(spark, docs, sf_dir):
-    """Adds n_tokens and ids."""
-    return bpe.encode(docs, tokenizer_file("byte_bpe_50k.json"))
+    """Adds n_tokens and ids. Staged, so that texts go to Python in small batches."""
+    return staged(bpe.encode(docs, tokenizer_file("byte_bpe_50k.json")), "encoded")
 
 
 STAGES = [
