@@ -41,6 +41,26 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def secret_ledger(spark, sf_dir):
+    """path, version, n_spans, spans of all versions with findings, after two runs over one ledger: documents first, then
+    the documents again with pages beside them and a second version of every document, of which only the new blobs are scanned."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from noticeflow.llm.secrets import scan_history, spans_text
+    from noticeflow.runtime import checkpoint_root
+
+    place = f"{checkpoint_root(spark)}/secrets-{uuid.uuid4().hex}"
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    first = docs.select(F.concat(F.lit("documents/"), "doc_id").alias("path"), F.lit(1).alias("version"), "text")
+    scan_history(first, place)
+    second = first.withColumns({"version": F.lit(2), "text": F.rtrim("text")})
+    other = pages.select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.lit(2).alias("version"), F.col("html").alias("text"))
+    found = scan_history(first.unionByName(second).unionByName(other), place)
+    return found.select("path", "version", F.size("spans").alias("n_spans"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_near_dedup(spark, sf_dir):
     from noticeflow.llm.near_dup import near_dedup
 
@@ -95,7 +115,7 @@ def op13_alignment(spark, sf_dir):
     return align(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_lm_score, op4_secret_scan, op5_warc_derivatives, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality, op11_importance, op12_simhash, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_lm_score, op4_secret_scan, op5_warc_derivatives, op6_decontamination, op7_line_dedup, op8_near_dedup, op9_language_id, op10_quality, op11_importance, op12_simhash, op13_alignment, secret_ledger)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

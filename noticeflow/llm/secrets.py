@@ -103,7 +103,8 @@ def path_findings(history: DataFrame, ledger: DataFrame, version: int = RULES_VE
     ``history`` has path, version and text; each blob was scanned once, in
     however many paths and versions it stands. Null texts count as empty.
     """
-    known = ledger.filter((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    # staged, so that both sides of the join are plain exchanges and a blob that stands in very many paths can be split
+    known = staged(ledger.filter((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"]), "known")
     rows = history.select("path", "version", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
     return rows.join(known, "blob").select("path", "version", "blob", "spans")
 
@@ -120,7 +121,8 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, version: int = RU
     return rows.join(known, "blob").select("doc_id", "blob", "spans")
 
 
-def _joined(spans: Column) -> Column:
+def spans_text(spans: Column) -> Column:
+    """kind:start:end of all spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -135,4 +137,4 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return f.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return f.select("doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
