@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import ascii_lower, documents, hash_pair
 from noticeflow.llm.quality import crc_of
-from noticeflow.runtime import map_arrow, release, ship, staged
+from noticeflow.runtime import held, map_arrow, release, ship, staged
 
 #: Tokens of a chunk; n-grams that a shard is asked for, all chunks together; training count from which a context is dealt out.
 CHUNK, SHARD, HOT = 500_000, 1_000_000, 125_000
@@ -109,11 +109,11 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays with their bytes sorted by place in the number, compressed."""
     planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.ravel() for a in arrays]
     head = struct.pack(f"<q{'4sq' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.dtype.str[1:].encode().ljust(4), len(a))))
-    return zstandard.ZstdCompressor(5).compress(head + b"".join(p.tobytes() for p in planes))
+    return held("squeeze", lambda: zstandard.ZstdCompressor(5)).compress(head + b"".join(p.tobytes() for p in planes))
 
 
 def unsqueezed(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = held("unsqueeze", zstandard.ZstdDecompressor).decompress(blob)
     (n,) = struct.unpack_from("<q", raw)
     at, out = 8 + 12 * n, []
     for k in range(n):
