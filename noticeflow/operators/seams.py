@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,6 +42,15 @@ class Limits:
 TOO_MANY, UNAVAILABLE, STATED_WAIT = r"429|RESOURCE_EXHAUSTED", r"503|UNAVAILABLE", r"retry in ([\d.]+)\s*s"
 
 
+class Totals:
+    """Rows that were asked about, rows that failed and seconds of calls, added up over all tasks of a seam. Tasks
+    that run again, after a lost executor or for another action, count again."""
+
+    def __init__(self, spark: SparkSession):
+        count = spark.sparkContext.accumulator
+        self.rows, self.failed, self.seconds = count(0), count(0), count(0.0)
+
+
 class QuotaUsedUp(RuntimeError):
     """No more calls are made by this task."""
 
@@ -69,7 +78,7 @@ def limited(call: Callable[[], list], limits: Limits, sleep: Callable[[float], N
 
 def with_model(
     df: DataFrame, inputs: list[str], output: str, kind: T.DataType, call: Callable[[list[tuple]], list], default=None, load: Callable[[], object] | None = None,
-    where: str | None = None, batch: int | None = None, retries: int = 0, wait: float = 0.0, key: str | None = None, seconds: bool = False, limits: Limits | None = None,
+    where: str | None = None, batch: int | None = None, retries: int = 0, wait: float = 0.0, key: str | None = None, seconds: bool = False, limits: Limits | None = None, totals: Totals | None = None,
 ) -> DataFrame:
     """``df`` with ``output``, what ``call(rows)`` (or ``call(model, rows)``) gives for the input columns, and ``<output>_error``.
 
@@ -79,6 +88,7 @@ def with_model(
     Rows that still fail, and rows for which the boolean column ``where`` is not true, get the default; only the
     former have an error. ``kind`` may be an array or a struct. With ``seconds`` there is ``<output>_seconds``
     too: of the time that a call took, with all its attempts, each of its rows has an equal part; 0 without a call.
+    ``totals`` are added to.
     """
     error, took = f"{output}_error", f"{output}_seconds"
     keep = df.drop(output, error, *([took] if seconds else []))
@@ -146,6 +156,10 @@ def with_model(
                 each = (time.perf_counter() - start) / len(own)
                 for i, (x, e) in zip(own, got, strict=True):
                     out[i], errors[i], times[i] = x, e, each
+                if totals:
+                    totals.rows.add(len(own))
+                    totals.failed.add(sum(e is not None for _, e in got))
+                    totals.seconds.add(each * len(own))
             new = [pa.array(out, arrow), pa.array(errors, pa.string()), *([pa.array(times, pa.float64())] if seconds else [])]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, output, error, *([took] if seconds else [])])
 
@@ -159,11 +173,6 @@ def from_file(spark: SparkSession, path: str, load: Callable[[str], object]) ->
     return lambda: load(SparkFiles.get(name))
 
 
-def observed(df: DataFrame, output: str, observation: Observation) -> DataFrame:
-    """``df``, of a seam with seconds, whose totals the observation has after its first action: rows, failed, seconds."""
-    return df.observe(observation, F.count(F.lit(1)).alias("rows"), F.count(f"{output}_error").alias("failed"), F.coalesce(F.sum(f"{output}_seconds"), F.lit(0.0)).alias("seconds"))
-
-
 def checked(df: DataFrame, output: str, most: float = 0.1) -> DataFrame:
     """``df``, a table that is stored, if at most a share ``most`` of its rows failed; else raises."""
     n, bad = df.agg(F.count(F.lit(1)), F.count(f"{output}_error")).first()

@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +76,11 @@ def test_seconds(spark):
         time.sleep(0.01 * len(rows))
         return [t.upper() for t, _ in rows]
 
-    watch = Observation("calls")
+    totals = seams.Totals(spark)
     parts = df.select("id", F.explode(F.split("text", r"\. ")).alias("part"), F.lit("en").alias("code"))
-    timed = seams.observed(seams.with_model(parts, ["part", "code"], "answer", T.StringType(), slow, batch=2, seconds=True), "answer", watch)
-    rows = timed.collect()
-    assert all(r.answer_seconds >= 0.009 for r in rows) and watch.get["rows"] == len(rows) and watch.get["failed"] == 0
-    assert abs(watch.get["seconds"] - sum(r.answer_seconds for r in rows)) < 1e-6
+    rows = seams.with_model(parts, ["part", "code"], "answer", T.StringType(), slow, batch=2, seconds=True, totals=totals).collect()
+    assert all(r.answer_seconds >= 0.009 for r in rows) and totals.rows.value == len(rows) and totals.failed.value == 0
+    assert abs(totals.seconds.value - sum(r.answer_seconds for r in rows)) < 1e-6
     out = {r.id: r for r in translation.translate_chunks(df, "id", "text", "en", slow, budget=12, tokenizer="words", seconds=True).collect()}
     assert out[0].n_chunks == 6 and out[0].seconds >= 0.05 and (out[9].n_chunks, out[9].translated, out[9].seconds) == (0, "", 0.0)
 
