@@ -109,7 +109,7 @@ def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays with their bytes sorted by place in the number, compressed."""
     planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.ravel() for a in arrays]
     head = struct.pack(f"<q{'4sq' * len(arrays)}", len(arrays), *(x for a in arrays for x in (a.dtype.str[1:].encode().ljust(4), len(a))))
-    return held("squeeze", lambda: zstandard.ZstdCompressor(5)).compress(head + b"".join(p.tobytes() for p in planes))
+    return held("squeeze", lambda: zstandard.ZstdCompressor(4)).compress(head + b"".join(p.tobytes() for p in planes))
 
 
 def unsqueezed(blob: bytes) -> list[np.ndarray]:
