@@ -24,7 +24,7 @@ from noticeflow.runtime import map_arrow
 
 #: The split pattern of the vocabulary file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE, CHUNK_CHARS, WIDE = 400_000, 500_000, 64
+CACHE, CHUNK_CHARS, WIDE = 200_000, 500_000, 64
 NONE = np.iinfo(np.int32).max
 
 
