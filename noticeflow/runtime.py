@@ -11,13 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: While a table is staged: shuffle files go when the write ends; batches of rows for Python stay small, also where rows are long (a
-#: batch stands in memory on both sides, twice while it grows, for each task of an executor); and partitions have the advised size,
-#: so that a table has few files.
-STAGING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-}
+#: While a table is staged: shuffle files go when the write ends, and batches of rows for Python stay small, also where rows are long
+#: (a batch stands in memory on both sides, twice while it grows, for each task of an executor).
+STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -78,3 +78,16 @@ def test_running_sums_and_places(spark):
     df = spark.range(1).select(F.repeat(F.lit("ab c "), 100_000).alias("t"))
     got = df.select(client.places(F.col("t"), F.lit("ab")).alias("p")).select(F.size("p"), F.element_at("p", -1)).first()
     assert got[0] == 100_000 and tuple(got[1]) == (499_995, 499_997) and time.time() - start < 20
+
+
+def test_first_per_key(spark, tmp_path):
+    """Batches and streams: one row of each key."""
+    from noticeflow.streaming import inbox
+
+    rows = [("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:05:00", 2.0), ("b", "2024-01-01 00:01:00", 3.0)]
+    df = spark.createDataFrame(rows, "k string, ts string, value double")
+    assert sorted(r.k for r in inbox.first_per_key(df, "k").collect()) == ["a", "b"]
+    df.write.parquet(str(tmp_path / "in"))
+    q = inbox.first_per_key(inbox.stream(spark, str(tmp_path / "in"), df.schema), "k").writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.k for r in spark.table("firsts").collect()) == ["a", "b"]
