@@ -33,7 +33,7 @@ SHINGLE, SIMILAR = 5, 0.8
 CELLS = 1 << 20
 PART, FLUSH, CHUNK = 1 << 20, 1 << 18, 8 << 20
 PIECE = 1 << 16  # words of texts that are worked on at once, but for longer texts
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 4
 DRAWS = 1 << 14
 CENTRES, SHARE = 4, 1000
 BLOCK, BLOCK_BYTES = 1000, 8 << 20
