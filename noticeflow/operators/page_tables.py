@@ -7,18 +7,21 @@ touch are one segment. The segments' crossings are swept along each segment:
 the cell below and right of a crossing ends at the first crossing to the right
 from which a segment goes down, and at the first one below from which a segment
 goes right, if the segments through these two cross. Cells that share a corner
-are one table. All of this is windows over pages and segments and joins on
-segments, so pages spread over the cluster and cost grows with the crossings.
+are one table. All of this is windows over pages and segments, joins on
+segments and a pass over the cells of a page, so pages spread over the cluster
+and cost grows with the crossings. A table of lines or characters is as small
+as a file as it is large in memory, and the planner knows the file only: all
+joins here are merge joins, as what it would broadcast passes the driver.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeflow.plans.graph import components
-from noticeflow.runtime import release, staged
+from noticeflow.runtime import release, ship, staged
 
 TOLERANCE = 3.0
 PAGE = ["name", "page"]
@@ -51,7 +54,7 @@ def crossings(lines: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     h = _segments(lines, True, tolerance).select(*PAGE, F.struct("at", "lo").alias("h"), F.col("at").alias("y"), F.col("lo").alias("x0"), F.col("hi").alias("x1"))
     v = _segments(lines, False, tolerance).select(*PAGE, F.struct("at", "lo").alias("v"), F.col("at").alias("x"), F.col("lo").alias("y0"), F.col("hi").alias("y1"))
     meet = F.col("x").between(F.col("x0") - tolerance, F.col("x1") + tolerance) & F.col("y").between(F.col("y0") - tolerance, F.col("y1") + tolerance)
-    return h.join(v, PAGE).filter(meet).select(*PAGE, "h", "v", "x", "y")
+    return h.join(v.hint("merge"), PAGE).filter(meet).select(*PAGE, "h", "v", "x", "y")
 
 
 def cells(lines: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -65,28 +68,45 @@ def cells(lines: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     ends_down = F.last(F.when(F.col("goes_right"), F.struct("h", "y")), ignorenulls=True).over(passed(up))
     d = d.withColumns({"r": ends_right, "b": ends_down}).filter("goes_right AND goes_down AND r IS NOT NULL AND b IS NOT NULL")
     d = d.select(*PAGE, F.col("x").alias("x0"), F.col("r.x").alias("x1"), F.col("y").alias("top"), F.col("b.y").alias("bottom"), F.col("b.h").alias("h"), F.col("r.v").alias("v"))
-    found = staged(d.join(points.select(*PAGE, "h", "v"), [*PAGE, "h", "v"], "left_semi").drop("h", "v"), "cells")
+    found = staged(d.join(points.select(*PAGE, "h", "v").hint("merge"), [*PAGE, "h", "v"], "left_semi").drop("h", "v"), "cells")
     release(points)
     return found
 
 
+def table_numbers(boxes: list[tuple], least_cells: int) -> list[int]:
+    """For the cells (top, x0, bottom, x1) of a page, in order, the number of the table of each; 0 for cells of frames."""
+    root, at = list(range(len(boxes))), {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, (y0, x0, y1, x1) in enumerate(boxes):
+        for corner in ((x0, y0), (x0, y1), (x1, y0), (x1, y1)):
+            a, b = sorted((top(i), top(at.setdefault(corner, i))))
+            root[b] = a
+    of = [top(i) for i in range(len(boxes))]
+    sizes: dict[int, int] = {}
+    for r in of:
+        sizes[r] = sizes.get(r, 0) + 1
+    names: dict[int, int] = {}
+    return [names.setdefault(r, len(names) + 1) if sizes[r] >= least_cells else 0 for r in of]
+
+
 def table_cells(found: DataFrame, least_cells: int = 2) -> DataFrame:
     """name, page, table, x0, x1, top, bottom: cells (see ``cells``) with the number of their table on the page, from 1,
     in order of the tables' upper left corners. Groups of fewer than ``least_cells`` cells are frames, no tables."""
-    key = F.struct(*PAGE, "top", "x0", "bottom", "x1")
-    d = staged(found.select("*", key.alias("cell")), "cells")
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    corners = d.select("cell", *PAGE, F.explode(F.array(*(corner(x, y) for x in ("x0", "x1") for y in ("top", "bottom")))).alias("corner"))
-    # at most four cells share a corner: each is joined with the first of them
-    first = F.min("cell").over(W.partitionBy(*PAGE, "corner"))
-    edges = corners.select(F.col("cell").alias("u"), first.alias("v")).filter("u != v")
-    labels = components(edges).select(F.col("node").alias("cell"), "label")
-    tabled = d.join(labels, "cell", "left").withColumn("label", F.coalesce("label", "cell"))
-    tabled = tabled.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("label"))).filter(F.col("n") >= least_cells)
-    rank = F.dense_rank().over(W.partitionBy(*PAGE).orderBy("label"))
-    out = staged(tabled.select(*PAGE, rank.alias("table"), "x0", "x1", "top", "bottom"), "tables")
-    release(d)
-    return out
+    ship(found.sparkSession)
+    order = ["top", "x0", "bottom", "x1"]
+
+    def number(page: pa.Table) -> pa.Table:
+        page = page.sort_by([(c, "ascending") for c in order])
+        return page.append_column("table", pa.array(table_numbers(list(zip(*(page[c].to_pylist() for c in order), strict=True)), least_cells), pa.int32()))
+
+    d = found.select(*PAGE, "x0", "x1", "top", "bottom")
+    d = d.groupBy(*PAGE).applyInArrow(number, d.withColumn("table", F.lit(0)).schema)
+    return staged(d.filter(F.col("table") > 0).select(*PAGE, "table", "x0", "x1", "top", "bottom"), "tables")
 
 
 def _words(chars: DataFrame, by: list[str], tolerance: float) -> DataFrame:
@@ -115,7 +135,7 @@ def _inside(boxes: DataFrame, chars: DataFrame, how: str, edge: bool) -> DataFra
     same = (F.col("c.name") == F.col("b.name")) & (F.col("c.page") == F.col("b.page")) & (F.col("c.band") == F.col("b.band"))
     upto = (lambda v, hi: v <= hi) if edge else (lambda v, hi: v < hi)
     within = (x >= F.col("b.x0")) & upto(x, F.col("b.x1")) & (y >= F.col("b.top")) & upto(y, F.col("b.bottom"))
-    return c.join(b, same & within, how)
+    return c.join(b.hint("merge"), same & within, how)
 
 
 def table_boxes(tabled: DataFrame) -> DataFrame:
@@ -129,10 +149,10 @@ def table_rows(tabled: DataFrame, chars: DataFrame, tolerance: float = TOLERANCE
     held = _inside(tabled, chars, "inner", edge=False).select("c.name", "c.page", F.col("b.table").alias("table"), F.col("b.top").alias("row_at"), F.col("b.x0").alias("column_at"), "c.pos", "c.text", "c.x0", "c.x1", "c.top")
     texts = _words(held, [*PAGE, "table", "row_at", "column_at"], tolerance).withColumn("text", F.array_join(F.flatten("rows"), " ")).drop("rows")
     at = tabled.select(*PAGE, "table", F.col("top").alias("row_at"), F.col("x0").alias("column_at"))
-    named = at.join(texts, [*PAGE, "table", "row_at", "column_at"], "left")
+    named = at.join(texts.hint("merge"), [*PAGE, "table", "row_at", "column_at"], "left")
     columns = at.groupBy(*PAGE, "table").agg(F.array_sort(F.collect_set("column_at")).alias("columns"))
     row = named.groupBy(*PAGE, "table", "row_at").agg(F.map_from_entries(F.collect_list(F.struct("column_at", F.coalesce("text", F.lit(""))))).alias("texts"))
-    row = row.join(columns, [*PAGE, "table"]).withColumn("cells", F.transform("columns", lambda x: F.coalesce(F.element_at("texts", x), F.lit(""))))
+    row = row.join(columns.hint("merge"), [*PAGE, "table"]).withColumn("cells", F.transform("columns", lambda x: F.coalesce(F.element_at("texts", x), F.lit(""))))
     return row.groupBy(*PAGE, "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_at", "cells"))), lambda r: r["cells"]).alias("rows"))
 
 

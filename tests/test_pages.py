@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from noticeflow.operators import page_tables as T
+from noticeflow.plans import QUERIES
 from noticeflow.sources import convert
 
 LINES = "name string, page int, x0 double, x1 double, top double, bottom double"
@@ -144,3 +145,19 @@ def test_no_lines(spark):
     assert bodies.first()["body"] == "só text" and tables.count() == 0
     none = T.table_cells(T.cells(spark.createDataFrame([], LINES)))
     assert T.table_rows(none, chars).count() == 0 and T.page_lines(chars.filter(F.lit(False)), T.table_boxes(none)).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_tables_broadcast_nothing(spark):
+    """A file of lines and characters is small and they are not: what the planner would broadcast passes the driver."""
+    assert "Broadcast" not in _plan(QUERIES["page_tables_rows"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in _plan(T.crossings(spark.createDataFrame([], LINES)))
+
+
+def test_numbers_of_tables():
+    """Cells in order of their upper left corners: a frame, a cell that joins two others later, and one apart."""
+    cells = [(0.0, 0.0, 1.0, 1.0), (0.0, 5.0, 1.0, 6.0), (0.0, 7.0, 1.0, 8.0), (1.0, 6.0, 2.0, 7.0), (3.0, 0.0, 4.0, 1.0), (4.0, 1.0, 5.0, 2.0)]
+    assert T.table_numbers(cells, 2) == [0, 1, 1, 1, 2, 2] and T.table_numbers(cells, 1) == [1, 2, 2, 2, 3, 3]
