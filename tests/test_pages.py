@@ -157,6 +157,10 @@ def test_rows_of_tables_broadcast_nothing(spark):
     assert "Broadcast" not in _plan(T.crossings(spark.createDataFrame([], LINES)))
 
 
+def test_bodies_of_pages_broadcast_nothing(spark):
+    assert "Broadcast" not in _plan(QUERIES["page_tables_bodies"](spark, "/root/testdata/sf0.001"))
+
+
 def test_numbers_of_tables():
     """Cells in order of their upper left corners: a frame, a cell that joins two others later, and one apart."""
     cells = [(0.0, 0.0, 1.0, 1.0), (0.0, 5.0, 1.0, 6.0), (0.0, 7.0, 1.0, 8.0), (1.0, 6.0, 2.0, 7.0), (3.0, 0.0, 4.0, 1.0), (4.0, 1.0, 5.0, 2.0)]
