@@ -26,3 +26,15 @@ def test_a_blob_in_many_paths(spark, tmp_path):
     place = str(tmp_path / "ledger")
     assert secrets.scan_history(history, place).count() == 3000
     assert spark.read.parquet(place).count() == 2001
+
+
+def test_a_second_run_moves_unseen_texts_only(spark, tmp_path, monkeypatch):
+    history = spark.createDataFrame([("a", 1, "token=abcdefghijklmnop"), ("b", 1, "none"), ("c", 1, None)], "path string, version int, text string")
+    more = history.unionByName(spark.createDataFrame([("d", 1, "secret=abcdefghijklmnop"), ("e", 1, "secret=abcdefghijklmnop")], history.schema))
+    plans, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda unseen, version: (plans.append(unseen._jdf.queryExecution().executedPlan().toString()), scan(unseen, version))[1])
+    place = str(tmp_path / "ledger")
+    secrets.scan_history(history, place)
+    assert {r.path for r in secrets.scan_history(more, place).collect()} == {"a", "d", "e"} and spark.read.parquet(place).count() == 4
+    # the join is below the only exchange of texts
+    assert plans[1].index("HashAggregate") < plans[1].index("BroadcastHashJoin") and plans[1].count("Exchange hashpartitioning") == 1
