@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import patterns as P
-from noticeflow.functions.text import let, matches, strip
+from noticeflow.functions.text import let, matches, pieces, strip
 
 EASY_MARK = "\ue000%d\ue001"  # private-use characters, which no letter rule touches
 
@@ -23,7 +23,8 @@ def protect(c: Column, pattern: str, mark: str = EASY_MARK, first: Column | int
     def of(c: Column) -> Column:
         found = matches(c, pattern)
         names = F.transform(found, lambda _, i: F.concat(F.lit(before), (i + start).cast("string"), F.lit(after)))
-        return F.struct(woven(F.split(c, pattern, -1), names).alias("text"), found.alias("kept"))
+        some = F.struct(woven(pieces(c, pattern), names).alias("text"), found.alias("kept"))
+        return F.when(c.rlike(pattern), some).otherwise(F.struct(c.alias("text"), F.when(c.isNotNull(), F.array().cast("array<string>")).alias("kept")))
     return let(c, of)
 
 
@@ -33,15 +34,20 @@ def restore(c: Column, kept: Column, mark: str = EASY_MARK) -> Column:
     pattern = rf"\Q{before}\E(\d+)\Q{after}\E"
     def of(c: Column) -> Column:
         known = F.transform(matches(c, pattern), lambda m: F.coalesce(F.get(kept, F.coalesce(F.regexp_extract(m, pattern, 1).try_cast("int"), F.lit(-1))), m))
-        return woven(F.split(c, pattern, -1), known)
+        return F.when(F.size(kept) > 0, woven(pieces(c, pattern), known)).otherwise(c)
     return let(c, of)
 
 
+def _replaced(word: str, pattern: str, easy: str):
+    return lambda c: F.when(c.contains(word), F.regexp_replace(c, pattern, easy)).otherwise(c)
+
+
 def replace_words(c: Column) -> Column:
     """Words that stand alone; next to a mark they do not."""
     near = P.EASY_LETTER[:-1] + "\ue000\ue001]"
     for word, easy in P.EASY_WORDS:
-        c = F.regexp_replace(c, f"(?<!{near}){word}(?!{near})", easy)
+        if easy != word:
+            c = let(c, _replaced(word, f"(?<!{near}){word}(?!{near})", easy))
     return c
 
 

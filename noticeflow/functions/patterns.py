@@ -1,6 +1,8 @@
 """Patterns, word lists and tables that results depend on, in Java regex syntax."""
 
 U = "(?U)"  # Unicode classes, as the texts need for blanks and letters
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s is with Unicode classes
+# A pattern is tried at every character: what the first character must be comes before any look at its neighbours.
 
 # dates, times, amounts, links, phones, deadlines
 DATE_FULL = U + r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월화수목금토일])\))?"
@@ -8,30 +10,32 @@ DATE_MONTH_DAY = U + r"(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월화수목
 DATE_DOTTED = U + r"(?:(\d{4})\s*\.\s*)?(\d{1,2})\s*\.\s*(\d{1,2})\s*\.?\s*\(([월화수목금토일])\)"
 RELATIVE_DAYS = ["내일", "모레", "오늘", "다음 주", "다음주", "이번 주", "이번주"]
 TIME_HALF_DAY = U + r"(오전|오후)\s*(\d{1,2})\s*시(?:\s*(\d{1,2})\s*분)?"
-TIME_24H = U + r"(?<!\d)(\d{1,2}):(\d{2})(?!\d)"
+TIME_24H = U + r"(?=\d)(?<!\d)(\d{1,2}):(\d{2})(?!\d)"
 AMOUNT_WON = U + r"(\d{1,3}(?:,\d{3})+|\d+)\s*원"
 AMOUNT_UNIT = U + r"(\d+)\s*(만|천|억)\s*원"
 UNITS = {"천": 1_000, "만": 10_000, "억": 100_000_000}
-URL = U + r"""(?i)\bhttps?://[^\s<>"'()]+|\bwww\.[^\s<>"'()]+"""
-PHONE = U + r"(?<![\d-])(?:\d{2,4}-\d{3,4}-\d{4}|\d{4}-\d{4}|\d{3,4}-\d{4})(?!\d)"
-DEADLINE = r"([^.\n❍❏|※]*?까지[^.\n❍❏|※]*?)(?=[.\n❍❏|※]|\z)"
+URL = U + r"""(?i)h(?<=\bh)ttps?://[^\s<>"'()]+|w(?<=\bw)ww\.[^\s<>"'()]+"""
+PHONE = U + r"(?=\d)(?<![\d-])(?:\d{2,4}-\d{3,4}-\d{4}|\d{4}-\d{4}|\d{3,4}-\d{4})(?!\d)"
+DEADLINE, DEADLINE_CUT = "까지", "[.\n❍❏|※]"
 MARKERS = U + r"^[\s■▶▸◆●○*\-•]+"
 SUPPLY_LABEL = U + r"준비물\s*[:：]?\s*"
 SUPPLY_TAIL = U + r"(을|를)?\s*(준비해|챙겨|가져)[^\n]*\z"
 SUPPLY_CUT = U + r"[,，、]\s*|\s*(?:과|와|및)\s+"
 
 # to-dos
-DUE_ABSOLUTE = U + r"(?:(\d{1,2})\s*월\s*(\d{1,2})\s*일)|(?<![\d.])(?<!mm)(?<!cm)(?<!원)(?<!시)(\d{1,2})[./](\d{1,2})(?!\d)(?![mc]m)(?!kg)"
+DUE_ABSOLUTE = U + r"(?:(\d{1,2})\s*월\s*(\d{1,2})\s*일)|(?=\d)(?<![\d.])(?<!mm)(?<!cm)(?<!원)(?<!시)(\d{1,2})[./](\d{1,2})(?!\d)(?![mc]m)(?!kg)"
+DUE_PARTS = U + r"\A(\d{1,2})\D+(\d{1,2})"  # of what DUE_ABSOLUTE found
 DUE_RELATIVE = U + r"(다음\s*주\s*[월화수목금토일]요일|이번\s*주\s*[월화수목금토일]요일|매주\s*[월화수목금토일]요일|오늘|내일|모레)"
-DUE_UNTIL = U + r"([\w가-힣\s]+?)\s*까지"
+DUE_UNTIL = U + r"(?<![\w가-힣\s])([\w가-힣\s]+?)\s*까지"  # from where a run of letters and blanks starts, which is where the first one always starts
 ACTIONS = [("납부|입금", "납부"), ("제출", "제출"), ("신청", "신청"), ("참여|참가|출석", "참여"), ("준비|지참|챙겨", "준비"), ("확인|숙지|참고", "확인")]
 HEADING_LINE = U + r"^[^.,!?~]{2,40}(안내|공지|알림|공개수업|상담|학습|행사|일정)\s*\z"
 NOISE_LINE = U + r"^https?://|^www\.|^☎\s*\d|^\d{1,2}:\d{2}\s*[~\-–]\s*\d{1,2}:\d{2}\s*\z|^[→←↑↓]+\s*\z"
-SENTENCE_CUT = (
-    U + r"(?<=[.!?])\s+|(?<=다\.)\s+|(?<=요\.)\s+|(?<=니다\.)\s+|(?<=까\?)\s+|(?<=요\?)\s+|\s+(?=\d+[.)]\s)|\s+(?=[가-힣]\.\s)"
-    r"|\s+(?=[❏○◆●▪◎□■])|\s+(?=운영시간|운영방법|신청방법|신청기간|준비물|제출|기타\s*안내|접수방법|참가방법)"
-)
-SENTENCE_CUT_PLAIN = U + r"(?<=[.!?])\s+|(?<=다\.)\s+|(?<=요\.)\s+|(?<=니다\.)\s+|(?<=까\?)\s+|(?<=요\?)\s+|\s+(?=\d+[.)]\s)|\s+(?=[가-힣]\.\s)"
+_MARKED = r"\d+[.)]\s|[가-힣]\.\s"
+_LABELS = r"[❏○◆●▪◎□■]|운영시간|운영방법|신청방법|신청기간|준비물|제출|기타\s*안내|접수방법|참가방법"
+# blanks after a closing mark, and those before a list mark or a label
+SENTENCE_CUT = U + rf"\s(?:(?<=[.!?]\s)\s*+|\s*+(?={_MARKED}|{_LABELS}))"
+SENTENCE_CUT_PLAIN = U + rf"\s(?:(?<=[.!?]\s)\s*+|\s*+(?={_MARKED}))"
+SENTENCE_CUT_SIMPLE = U + r"\s(?<=[.!?]\s)\s*+"
 NOT_TODO = [
     r"^학부모님\s*안녕하십니까",
     r"^안녕하십니까",
@@ -71,12 +75,15 @@ NOT_TODO_LEGACY = [
     r"청소년상담",
 ]
 NOISE_LINE_ANYWHERE = U + r"https?://|^www\.|☎\s*\d|^\d{1,2}:\d{2}\s*[~\-–]\s*\d{1,2}:\d{2}|^[→←↑↓]+\s*\z"
+# each text that NOT_TODO or NOT_TODO_LEGACY rejects has one of these, or starts as a date or with a bracket
+NOT_TODO_SIGNS = ["안녕하", "드립니다", "안내", "교장", "담당", "서울특별시", "공익제보센터", "자살예방상담", "청소년상담"]
+NOT_TODO_STARTS = U + r"\A(?:\(|\d{4}\.)"
 TODO_LABELS = {"노이즈": 0, "할 일": 1, "LABEL_0": 0, "LABEL_1": 1}
 
 # rule categories and importance
 MONEY = AMOUNT_WON
-DATE_ANY = U + r"(?:(\d{1,2})\s*월\s*(\d{1,2})\s*일)|(?<![\d.])(\d{1,2})[./](\d{1,2})(?!\d)"
-MONTH_ONLY = U + r"(?<!\d)([1-9]|1[012])월(?!\s*\d+\s*일)"
+DATE_ANY = U + r"(?:(\d{1,2})\s*월\s*(\d{1,2})\s*일)|(?=\d)(?<![\d.])(\d{1,2})[./](\d{1,2})(?!\d)"
+MONTH_ONLY = U + r"(?=\d)(?<!\d)([1-9]|1[012])월(?!\s*\d+\s*일)"
 RULE_WORDS = [
     ("제출", ["제출", "내주", "보내주"]),
     ("준비물", ["준비", "가져", "챙겨", "구입", "지참"]),
@@ -157,7 +164,7 @@ PHRASES = [
     ("실시됩니다", "있습니다"), ("참여합니다", "참여합니다"), ("참여해 주시기 바랍니다", "참여해 주세요"), ("준비해 주시기 바랍니다", "준비해 주세요"),
     ("제출해 주시기 바랍니다", "내 주세요"), ("납부해 주시기 바랍니다", "내 주세요"), ("등원해 주세요", "등원해 주세요"),
 ]
-SENTENCE_END = U + r"(?<=[.!?。！？])\s+"
+SENTENCE_END = U + r"\s(?<=[.!?。！？]\s)\s*+"
 NOTE_UNCHECKED = "입력문에서 사전 용어가 감지되지 않아 자동 판단 불가"
 NOTE_OK = "권장 번역어 반영"
 NOTE_MISSING = "권장 번역어 미반영, 사람 검수 필요"

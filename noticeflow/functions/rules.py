@@ -12,16 +12,17 @@ from noticeflow.functions.text import contains_any, strip
 
 
 def has_money(c: Column) -> Column:
-    return c.rlike(P.MONEY)
+    return c.contains("원") & c.rlike(P.MONEY)
 
 
 def has_date(c: Column) -> Column:
-    return c.rlike(P.DATE_ANY)
+    return contains_any(c, ["월", ".", "/"]) & c.rlike(P.DATE_ANY)
 
 
 def rejected(c: Column, least: int = 7, legacy: bool = False) -> Column:
     """Greetings, signatures and titles, and texts under ``least`` characters. ``legacy``: by the shorter list of the first form."""
-    return (F.char_length(c) < least) | c.rlike(P.U + "|".join(f"(?:{p})" for p in (P.NOT_TODO_LEGACY if legacy else P.NOT_TODO)))
+    possible = contains_any(c, P.NOT_TODO_SIGNS) | c.rlike(P.NOT_TODO_STARTS)
+    return (F.char_length(c) < least) | possible & c.rlike(P.U + "|".join(f"(?:{p})" for p in (P.NOT_TODO_LEGACY if legacy else P.NOT_TODO)))
 
 
 def is_todo(probability: Column, threshold: float = 0.5) -> Column:
@@ -62,7 +63,7 @@ def category(c: Column) -> Column:
     out = F.when(has_money(c), "비용")
     for name, words in P.RULE_WORDS:
         out = out.when(contains_any(c, words), name)
-    return out.when(has_date(c) | c.rlike(P.MONTH_ONLY) | contains_any(c, P.SCHEDULE_WORDS), "일정").otherwise(P.OTHER)
+    return out.when(has_date(c) | (c.contains("월") & c.rlike(P.MONTH_ONLY)) | contains_any(c, P.SCHEDULE_WORDS), "일정").otherwise(P.OTHER)
 
 
 def guess_category(c: Column) -> Column:
@@ -94,6 +95,6 @@ def todo_label(c: Column, keywords: Column) -> Column:
 
 def todo_score(c: Column) -> Column:
     """Rule stand-in for a to-do model's probability; null for rejected sentences."""
-    signs = [c.rlike("|".join(p for p, _ in P.ACTIONS)), has_date(c), has_money(c), c.contains("까지"), c.rlike("(?U)(주세요|바랍니다|십시오)")]
+    signs = [contains_any(c, [w for p, _ in P.ACTIONS for w in p.split("|")]), has_date(c), has_money(c), c.contains("까지"), contains_any(c, ["주세요", "바랍니다", "십시오"])]
     hits = reduce(lambda a, b: a + b, (F.when(s, 1).otherwise(0) for s in signs))
     return F.when(~rejected(c), F.least(F.lit(0.25) + hits * 0.18, F.lit(0.99)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import patterns as P
-from noticeflow.functions.text import let, matches, strip, strip_markers
+from noticeflow.functions.text import contains_any, let, matches, pieces, strip, strip_markers
 
 DATE = "struct<ko:string,year:int,month:int,day:int,weekday:string,relative:string>"
 TIME = "struct<ko:string,hour:int,minute:int,ampm:string>"
@@ -51,7 +51,7 @@ def _new_month_days(text: Column, seen: Column) -> Column:
 def dates(text: Column) -> Column:
     """Full dates, then month and day, then dotted dates with a weekday, then relative words; each surface once."""
     def all_of(text: Column, full: Column, some: Column) -> Column:
-        dotted = F.array_except(F.array_distinct(matches(text, P.DATE_DOTTED)), F.concat(full, some))
+        dotted = _where(text.contains("("), F.array_except(F.array_distinct(matches(text, P.DATE_DOTTED)), F.concat(full, some)), "string")
         words = F.filter(F.array(*map(F.lit, P.RELATIVE_DAYS)), lambda w: text.contains(w))
         return F.concat(
             F.transform(full, lambda m: _date(m, P.DATE_FULL, 1, 2, 3, 4)),
@@ -60,7 +60,7 @@ def dates(text: Column) -> Column:
             F.transform(words, lambda w: F.struct(w.alias("ko"), *(F.lit(None).cast("int").alias(x) for x in ("year", "month", "day")), F.lit(None).cast("string").alias("weekday"), w.alias("relative")).cast(DATE)),
         )
     def with_full(text: Column) -> Column:
-        return let(F.array_distinct(matches(text, P.DATE_FULL)), lambda full: let(_new_month_days(text, full), lambda some: all_of(text, full, some)))
+        return let(_where(text.contains("년"), F.array_distinct(matches(text, P.DATE_FULL)), "string"), lambda full: let(_where(text.contains("월"), _new_month_days(text, full), "string"), lambda some: all_of(text, full, some)))
     possible = text.contains("일") | text.contains("(") | F.lit(False)
     for w in P.RELATIVE_DAYS:
         possible = possible | text.contains(w)
@@ -73,8 +73,9 @@ def times(text: Column) -> Column:
 
 
 def _times(text: Column) -> Column:
-    half = F.array_distinct(matches(text, P.TIME_HALF_DAY))
-    full = F.array_except(F.array_distinct(matches(text, P.TIME_24H)), half)
+    half = _where(text.contains("시"), F.array_distinct(matches(text, P.TIME_HALF_DAY)), "string")
+    # no time of one kind is one of the other
+    full = _where(text.contains(":"), F.array_distinct(matches(text, P.TIME_24H)), "string")
     return F.concat(
         F.transform(half, lambda m: F.struct(m.alias("ko"), _int(_group(m, P.TIME_HALF_DAY, 2)).alias("hour"), F.coalesce(_int(_group(m, P.TIME_HALF_DAY, 3)), F.lit(0)).alias("minute"), _group(m, P.TIME_HALF_DAY, 1).alias("ampm")).cast(TIME)),
         F.transform(full, lambda m: F.struct(m.alias("ko"), _int(F.split(m, ":")[0]).alias("hour"), _int(F.split(m, ":")[1]).alias("minute"), F.lit(None).cast("string").alias("ampm")).cast(TIME)),
@@ -92,7 +93,8 @@ def amounts(text: Column) -> Column:
 
 def _amounts(text: Column) -> Column:
     won = F.array_distinct(matches(text, P.AMOUNT_WON))
-    unit = F.array_except(F.array_distinct(matches(text, P.AMOUNT_UNIT)), won)
+    # no amount of one kind is one of the other: a unit stands between digits and won
+    unit = _where(contains_any(text, list(P.UNITS)), F.array_distinct(matches(text, P.AMOUNT_UNIT)), "string")
     factors = F.create_map(*(F.lit(x) for kv in P.UNITS.items() for x in kv))
     def of(m: Column, value: Column) -> Column:
         return F.struct(m.alias("ko"), value.cast("bigint").alias("value"), F.lit("KRW").alias("currency"))
@@ -114,30 +116,34 @@ def masked_urls(text: Column) -> Column:
     """Links as marks of the same length, without any full stop."""
     def of(text: Column) -> Column:
         marks = F.transform(matches(text, P.URL), lambda m: F.concat(F.lit("⟦U"), F.repeat(F.lit("_"), F.char_length(m) - 3), F.lit("⟧")))
-        return F.array_join(F.transform(F.split(text, P.URL, -1), lambda r, i: F.concat(r, F.coalesce(F.get(marks, i), F.lit("")))), "")
+        masked = F.array_join(F.transform(pieces(text, P.URL), lambda r, i: F.concat(r, F.coalesce(F.get(marks, i), F.lit("")))), "")
+        return F.when(text.rlike(P.URL), masked).otherwise(text)
     return let(text, of)
 
 
 def deadline_phrases(text: Column) -> Column:
     """Phrases around the word for 'until', up to a full stop, line end or mark."""
-    return F.transform(matches(masked_urls(text), P.DEADLINE, 1), strip)
+    parts = F.filter(pieces(masked_urls(text), P.DEADLINE_CUT), lambda s: s.contains(P.DEADLINE))
+    return F.when(text.contains(P.DEADLINE), F.transform(parts, strip)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def supplies(text: Column) -> Column:
     """Items of a list of things to bring, of 2 to 29 characters."""
     body = F.regexp_replace(F.regexp_replace(text, P.SUPPLY_LABEL, ""), P.SUPPLY_TAIL, "")
-    parts = F.transform(F.split(body, P.SUPPLY_CUT, -1), strip)
+    parts = F.transform(pieces(body, P.SUPPLY_CUT), strip)
     return F.filter(parts, lambda s: (F.char_length(s) > 1) & (F.char_length(s) < 30))
 
 
 def due_date(text: Column, year: Column | int) -> Column:
     """Month and day as ``year``-MM-DD (not checked), else a relative day, else a phrase of under 20 characters before 'until'."""
-    m = F.regexp_extract(text, P.DUE_ABSOLUTE, 0)
-    part = lambda a, b: _int(F.coalesce(F.nullif(F.regexp_extract(text, P.DUE_ABSOLUTE, a), F.lit("")), F.regexp_extract(text, P.DUE_ABSOLUTE, b)))
-    absolute = F.when(m != "", F.format_string("%d-%02d-%02d", F.lit(year) if isinstance(year, int) else year, part(1, 3), part(2, 4)))
-    relative = F.nullif(strip(F.regexp_extract(text, P.DUE_RELATIVE, 1)), F.lit(""))
-    until = strip(F.regexp_extract(text, P.DUE_UNTIL, 1))
-    return F.coalesce(absolute, relative, F.when((until != "") & (F.char_length(until) < 20), until))
+    part = lambda m, k: _int(F.regexp_extract(m, P.DUE_PARTS, k))
+    absolute = lambda m: F.when(m != "", F.format_string("%d-%02d-%02d", F.lit(year) if isinstance(year, int) else year, part(m, 1), part(m, 2)))
+    short = lambda u: F.when((u != "") & (F.char_length(u) < 20), u)
+    return F.coalesce(
+        F.when(contains_any(text, ["월", ".", "/"]), let(F.regexp_extract(text, P.DUE_ABSOLUTE, 0), absolute)),
+        F.when(contains_any(text, ["주", "오늘", "내일", "모레"]), let(strip(F.regexp_extract(text, P.DUE_RELATIVE, 1)), lambda r: F.nullif(r, F.lit("")))),
+        F.when(text.contains("까지"), let(strip(F.regexp_extract(text, P.DUE_UNTIL, 1)), short)),
+    )
 
 
 def amount(text: Column) -> Column:
@@ -158,5 +164,5 @@ def first_deadline(text: Column) -> Column:
 def action(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, hint in reversed(P.ACTIONS):
-        out = F.when(text.rlike(pattern), hint).otherwise(out)
+        out = F.when(contains_any(text, pattern.split("|")), hint).otherwise(out)
     return out

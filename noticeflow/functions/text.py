@@ -15,13 +15,22 @@ def let(c: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Unicode blanks off both ends (``trim`` takes only U+0020)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(P.BLANKS))
 
 
 def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+CUT = "\ue002"  # of private use; a text that has it is cut by the pattern itself
+
+
+def pieces(c: Column, pattern: str) -> Column:
+    """What lies between the matches of a pattern, none of which is empty. ``split`` compiles its pattern for each text,
+    unless that is one plain character: matches become that first."""
+    return F.when(c.contains(CUT), F.split(c, pattern, -1)).otherwise(F.split(F.regexp_replace(c, pattern, CUT), CUT, -1))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -42,7 +51,8 @@ def normalize(c: Column) -> Column:
 
 def flatten(c: Column) -> Column:
     """All blanks, line ends too, as one space."""
-    return strip(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit(" ")), r"(?U)\s+", " "))
+    # a single space, which most are, is left where it is
+    return strip(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit(" ")), r"(?U) \s++|[^\S ]\s*+", " "))
 
 
 def clean(c: Column, squeeze: bool = False) -> Column:
@@ -57,9 +67,8 @@ def strip_markers(c: Column) -> Column:
 
 def join_broken_lines(c: Column) -> Column:
     """A word cut by a line end is joined; a sentence that goes on in the next line gets a space."""
-    c = F.regexp_replace(c, " ([가-힣])\n([가-힣])", " $1$2")
-    c = F.regexp_replace(c, "([^.!?\n])\n([^\n])", "$1 $2")
-    return strip(F.regexp_replace(c, "[ \t]+", " "))
+    joined = F.regexp_replace(F.regexp_replace(c, " ([가-힣])\n([가-힣])", " $1$2"), "([^.!?\n])\n([^\n])", "$1 $2")
+    return strip(F.regexp_replace(F.when(c.contains("\n"), joined).otherwise(c), " [ \t]++|\t[ \t]*+", " "))
 
 
 def _long_enough(parts: Column, more_than: int) -> Column:
@@ -67,7 +76,8 @@ def _long_enough(parts: Column, more_than: int) -> Column:
 
 
 def _lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]", -1), strip), lambda s: s != "")
+    one = F.regexp_replace(c, "[\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]", "\n")
+    return F.filter(F.transform(F.split(one, "\n", -1), strip), lambda s: s != "")
 
 
 def sentences(c: Column, plain: bool = False, drop_lines: bool = True, noise_anywhere: bool = False) -> Column:
@@ -78,17 +88,17 @@ def sentences(c: Column, plain: bool = False, drop_lines: bool = True, noise_any
     if drop_lines:
         noise = P.NOISE_LINE_ANYWHERE if noise_anywhere else P.NOISE_LINE
         lines = F.filter(lines, lambda s: ~(s.rlike(P.HEADING_LINE) | s.rlike(noise)))
-    return _long_enough(F.flatten(F.transform(lines, lambda s: F.split(s, P.SENTENCE_CUT_PLAIN if plain else P.SENTENCE_CUT, -1))), 3)
+    return _long_enough(F.flatten(F.transform(lines, lambda s: pieces(s, P.SENTENCE_CUT_PLAIN if plain else P.SENTENCE_CUT))), 3)
 
 
 def sentences_by_mark(c: Column) -> Column:
     """Sentences by their closing marks, of the text with all blanks as one."""
     flat = flatten(F.coalesce(c, F.lit("")))
-    return F.filter(F.transform(F.split(flat, P.SENTENCE_END, -1), strip), lambda s: s != "")
+    return F.filter(F.transform(pieces(flat, P.SENTENCE_END), strip), lambda s: s != "")
 
 
 def sentences_simple(c: Column) -> Column:
-    return _long_enough(F.split(c, r"(?U)(?<=[.!?])\s+", -1), 3)
+    return _long_enough(pieces(c, P.SENTENCE_CUT_SIMPLE), 3)
 
 
 def clauses(c: Column, more_than: int = 8) -> Column:
