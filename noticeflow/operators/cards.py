@@ -139,7 +139,8 @@ def todos(notices: DataFrame, id_col: str, text_col: str = "text", as_of_year: i
     threshold drops it. Cheap rejects run before it.
     """
     parts = notices.select(id_col, F.posexplode(sentences(join_broken_lines(F.col(text_col)))).alias("pos", "text"))
-    scored = parts.filter(~rules.rejected(F.col("text"))).withColumn("_p", score(F.col("text"))).filter(F.col("_p") >= threshold)
+    # the score comes as a generated column: a filter on a plain one is pushed below it, and the score made twice
+    scored = parts.filter(~rules.rejected(F.col("text"))).select("*", F.explode(F.array(score(F.col("text")))).alias("_p")).filter(F.col("_p") >= threshold)
     t = F.col("text")
     return scored.select(id_col, "pos", "text", slots.due_date(t, as_of_year).alias("due_date"), slots.amount(t).alias("amount"), F.round("_p", 4).alias("confidence"), slots.action(t).alias("action_hint"))
 
