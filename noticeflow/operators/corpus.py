@@ -161,9 +161,9 @@ def placed(df: DataFrame, order: list[tuple[Column, bool]], name: str, start: in
     return j.select(F.col("row").withField(f"`{name}`", F.col("before") + within + F.lit(start)).alias("row")).select("row.*")
 
 
-def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id") -> DataFrame:
-    """Consecutive ids in the order of a column; rows that ``keep`` drops use up an id too."""
-    out = placed(df, [(F.col(order), False)], name, start)
+def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id", then: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive ids in the order of a column, among equals of the columns ``then``; rows that ``keep`` drops use up an id too."""
+    out = placed(df, [(F.col(c), False) for c in (order, *then)], name, start)
     return out.filter(keep) if keep is not None else out
 
 

@@ -389,7 +389,7 @@ def class_weights(spark, sf_dir):
 
 @query("select page_id, 9 + row_number() over (order by url) as id from pages")
 def sequential_ids(spark, sf_dir):
-    return corpus.numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "url", 10).select("page_id", "id")
+    return corpus.numbered(table(spark, sf_dir, "pages").select("page_id", "url"), "url", 10, then=("page_id",)).select("page_id", "id")
 
 
 # glossary

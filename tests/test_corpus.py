@@ -138,3 +138,8 @@ def test_legacy_todos(spark):
     n = spark.createDataFrame([(1, "안녕하십니까 학부모님.\n급식비 5,000원을 5월 3일까지 내 주세요. 신고 요령을 익혀 주세요.")], "id int, text string")
     got = [tuple(r) for r in offline.legacy_todos(n, "id").orderBy("pos").collect()]
     assert [(r[3], r[4], r[5]) for r in got] == [("비용", 0.8, "2026-05-03"), ("건강·안전", 0.85, None)]
+
+
+def test_ids_among_equals(spark):
+    d = spark.createDataFrame([(i, f"u{i % 2}") for i in range(9, -1, -1)], "page_id int, url string")
+    assert [r.page_id for r in corpus.numbered(d, "url", 10, then=("page_id",)).orderBy("id").collect()] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
