@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions import patterns as P
-from noticeflow.functions.text import let, matches, pieces, strip
+from noticeflow.functions.text import contains_any, let, matches, pieces, strip
 
 EASY_MARK = "\ue000%d\ue001"  # private-use characters, which no letter rule touches
 
@@ -63,7 +65,14 @@ def polite_ending(c: Column) -> Column:
     return let(c, lambda c: let(let(strip(c), parts), lambda x: ended(c, x["body"], x["mark"], x["stem"])))
 
 
+def may_change(c: Column) -> Column:
+    """Whether the easy form of a text can be another one: it has a word that is replaced, ends in need of a polite form, or has a mark.
+    What is protected begins with a digit and ends with a letter or digit, so that no word stands alone for its mark only."""
+    words = [w for w, e in P.EASY_WORDS if e != w]
+    alone = f"(?:{'|'.join(words)})(?!{P.EASY_LETTER[:-1]}\ue000\ue001])(?<!{P.EASY_LETTER[:-1]}\ue000\ue001](?:{'|'.join(words)}))"
+    end = F.btrim(c, F.lit(P.BLANKS + ".!?"))
+    return reduce(lambda out, e: out | F.endswith(end, F.lit(e)), [e for e, _ in P.ENDINGS], contains_any(c, words) & c.rlike(alone)) | c.contains("\ue000")
+
+
 def easy_korean(c: Column) -> Column:
-    def of(c: Column) -> Column:
-        return F.when(c == "", c).otherwise(let(protect(c, P.EASY_KEPT), lambda p: restore(polite_ending(replace_words(p["text"])), p["kept"])))
-    return let(c, of)
+    return F.when(~may_change(c), c).otherwise(let(let(c, lambda c: protect(c, P.EASY_KEPT)), lambda p: restore(polite_ending(replace_words(p["text"])), p["kept"])))

@@ -42,6 +42,12 @@ def term(text: Column, glossary: Column, lang: Column) -> Column:
     return let(text, of)
 
 
+def term_of(text: Column, rows: list[tuple[str, str]], lang: Column) -> Column:
+    """``term`` by the rows of a glossary, of which other texts are not held against each."""
+    names = {k.strip(P.BLANKS) for k, v in rows if k and v and v.strip(P.BLANKS)}
+    return F.when(strip(text).isin(*sorted(names)), term(text, literal(rows), lang)).otherwise(text) if names else text
+
+
 def is_url_or_phone(text: Column) -> Column:
     return strip(text).rlike(rf"\A(?:{P.URL}|{P.PHONE})\z")
 

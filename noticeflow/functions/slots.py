@@ -45,7 +45,10 @@ def _new_month_days(text: Column, seen: Column) -> Column:
         fresh = F.when(inside | F.array_contains(acc["seen"], m), F.array().cast("array<string>")).otherwise(F.array(m))
         return F.struct(end.alias("at"), F.concat(acc["seen"], fresh).alias("seen"), F.concat(acc["out"], fresh).alias("out"))
 
-    return F.aggregate(matches(text, P.DATE_MONTH_DAY), start, step, lambda acc: acc["out"])
+    def of(found: Column) -> Column:
+        one = F.array_distinct(found)
+        return F.when((F.size(one) < 2) & (F.size(seen) == 0), one).otherwise(F.aggregate(found, start, step, lambda acc: acc["out"]))
+    return let(matches(text, P.DATE_MONTH_DAY), of)
 
 
 def dates(text: Column) -> Column:
@@ -67,19 +70,45 @@ def dates(text: Column) -> Column:
     return _where(possible, let(text, with_full), DATE)
 
 
+def _first(text: Column, possible: Column, pattern: str, made) -> Column:
+    """What is made of the first match of a pattern, or null."""
+    return F.when(possible, let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", made(m))))
+
+
+def first_date(text: Column) -> Column:
+    """The first of ``dates``, or null, without a look for the others."""
+    day = text.contains("일")
+    words = [F.when(text.contains(w), F.struct(F.lit(w).alias("ko"), *(F.lit(None).cast("int").alias(x) for x in ("year", "month", "day")), F.lit(None).cast("string").alias("weekday"), F.lit(w).alias("relative")).cast(DATE)) for w in P.RELATIVE_DAYS]
+    return F.coalesce(
+        _first(text, day & text.contains("년"), P.DATE_FULL, lambda m: _date(m, P.DATE_FULL, 1, 2, 3, 4)),
+        _first(text, day & text.contains("월"), P.DATE_MONTH_DAY, lambda m: _date(m, P.DATE_MONTH_DAY, None, 1, 2, 3)),
+        _first(text, text.contains("("), P.DATE_DOTTED, lambda m: _date(m, P.DATE_DOTTED, 1, 2, 3, 4)), *words,
+    )
+
+
+def first_time(text: Column) -> Column:
+    """The first of ``times``, or null."""
+    return F.coalesce(_first(text, text.contains("시"), P.TIME_HALF_DAY, _half), _first(text, text.contains(":"), P.TIME_24H, _clock))
+
+
 def times(text: Column) -> Column:
     """Times with the half of the day, then those of 24 hours; each surface once."""
     return _where(text.contains("시") | text.contains(":"), _times(text), TIME)
 
 
+def _half(m: Column) -> Column:
+    return F.struct(m.alias("ko"), _int(_group(m, P.TIME_HALF_DAY, 2)).alias("hour"), F.coalesce(_int(_group(m, P.TIME_HALF_DAY, 3)), F.lit(0)).alias("minute"), _group(m, P.TIME_HALF_DAY, 1).alias("ampm")).cast(TIME)
+
+
+def _clock(m: Column) -> Column:
+    return F.struct(m.alias("ko"), _int(F.split(m, ":")[0]).alias("hour"), _int(F.split(m, ":")[1]).alias("minute"), F.lit(None).cast("string").alias("ampm")).cast(TIME)
+
+
 def _times(text: Column) -> Column:
     half = _where(text.contains("시"), F.array_distinct(matches(text, P.TIME_HALF_DAY)), "string")
     # no time of one kind is one of the other
     full = _where(text.contains(":"), F.array_distinct(matches(text, P.TIME_24H)), "string")
-    return F.concat(
-        F.transform(half, lambda m: F.struct(m.alias("ko"), _int(_group(m, P.TIME_HALF_DAY, 2)).alias("hour"), F.coalesce(_int(_group(m, P.TIME_HALF_DAY, 3)), F.lit(0)).alias("minute"), _group(m, P.TIME_HALF_DAY, 1).alias("ampm")).cast(TIME)),
-        F.transform(full, lambda m: F.struct(m.alias("ko"), _int(F.split(m, ":")[0]).alias("hour"), _int(F.split(m, ":")[1]).alias("minute"), F.lit(None).cast("string").alias("ampm")).cast(TIME)),
-    )
+    return F.concat(F.transform(half, _half), F.transform(full, _clock))
 
 
 def _won(m: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions import glossary as G
 from noticeflow.functions import patterns as P
 from noticeflow.functions import rules, slots
-from noticeflow.functions.easy import easy_korean, polite_ending, protect, replace_words, restore
+from noticeflow.functions.easy import easy_korean
 from noticeflow.functions.i18n import format_amount, format_date, format_time
 from noticeflow.functions.text import for_compare, join_broken_lines, let, sentences, strip, strip_markers
 
@@ -61,65 +61,56 @@ def from_first_form(todos: DataFrame) -> DataFrame:
 def when_text(text: Column, lang: Column) -> Column:
     """First date and first time in the reader's language, or null."""
     # each is found once, however often its form asks for its parts
-    day = F.transform(F.slice(slots.dates(text), 1, 1), lambda d: format_date(d, lang))
-    hour = F.transform(F.slice(slots.times(text), 1, 1), lambda t: format_time(t, lang))
-    return F.nullif(F.array_join(F.concat(day, hour), " "), F.lit(""))
+    day = let(slots.first_date(text), lambda d: format_date(d, lang))
+    hour = let(slots.first_time(text), lambda t: format_time(t, lang))
+    return F.nullif(F.concat_ws(" ", day, hour), F.lit(""))
 
 
-def with_easy(df: DataFrame, source: str, name: str) -> DataFrame:
-    """Adds the easy form of a column, in steps: as columns they are computed once each."""
-    df = df.withColumn("_p", protect(F.col(source), P.EASY_KEPT)).withColumn("_e", polite_ending(replace_words(F.col("_p.text"))))
-    return df.withColumn(name, F.when(F.col(source) == "", F.col(source)).otherwise(restore(F.col("_e"), F.col("_p.kept")))).drop("_p", "_e")
-
-
-def todo_cards(todo: DataFrame, id_col: str, lang: str, glossary: Column, translated: str | None = None) -> DataFrame:
+def todo_cards(todo: DataFrame, id_col: str, lang: str, glossary: list[tuple[str, str]], translated: str | None = None) -> DataFrame:
     """Adds to to-do rows (text, confidence) the fields of a card. ``translated`` names a column with what a
     translator made of the value; without one the value stays."""
     d = todo.withColumn("_h", header(F.col("text"))).withColumn("value_ko", value(F.col("text"))).withColumn("header_ko", F.coalesce("_h", F.lit(P.OTHER))).withColumn("_c", rules.category(F.col("value_ko")))
     shown = F.coalesce(F.nullif(F.col(translated), F.lit("")), "value_ko") if translated else F.col("value_ko")
-    d = with_easy(d, "value_ko", "value_easy_ko")
-    d = d.withColumns({"header_translated": G.term(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": shown, "chip": F.when(F.col("_c") != P.OTHER, F.col("_c")), "importance": F.col("confidence")})
+    d = d.withColumn("value_easy_ko", easy_korean(F.col("value_ko")))
+    d = d.withColumns({"header_translated": G.term_of(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": shown, "chip": F.when(F.col("_c") != P.OTHER, F.col("_c")), "importance": F.col("confidence")})
     return d.drop("_h", "_c")
 
 
-def slot_cards(slots_of: Column, headers: Column, lang: str, glossary: Column) -> Column:
-    """Cards, at importance 0.7, of the slots that have values and that no to-do header (an array) covers."""
+def with_slot_cards(df: DataFrame, lang: str, glossary: list[tuple[str, str]], name: str) -> DataFrame:
+    """Adds to rows with slots and heads (the headers of their to-do cards, an array) the cards, at importance 0.7, of the
+    slots that have values and that no such header covers. Joined values are columns first: they are computed once each."""
     def joined(slot: str, field: str) -> Column:
-        return F.array_join(F.filter(F.transform(slots_of[slot], lambda e: e[field]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
-    rows = F.array(*(F.struct(F.lit(head).alias("head"), joined(slot, "ko").alias("ko"), joined(slot, "translated").alias("translated"), F.array(*map(F.lit, P.SLOT_COVERED_BY[slot])).alias("by")) for slot, head in P.SLOT_HEADERS))
-    def card(r: Column) -> Column:
-        shown = F.coalesce(F.nullif(r["translated"], F.lit("")), r["ko"])
-        return F.struct(r["head"].alias("header_ko"), G.term(r["head"], glossary, F.lit(lang)).alias("header_translated"), r["ko"].alias("value_ko"), easy_korean(r["ko"]).alias("value_easy_ko"), shown.alias("value_translated"), F.lit(None).cast("string").alias("chip"), F.lit(0.7).alias("importance"))
-    return F.transform(F.filter(rows, lambda r: (r["ko"] != "") & ~F.arrays_overlap(headers, r["by"])), card).cast(f"array<{CARD}>")
+        return F.array_join(F.array_remove(F.col("slots")[slot][field], ""), ", ")
+    df = df.withColumns({f"_{slot}_{field}": joined(slot, field) for slot, _ in P.SLOT_HEADERS for field in ("ko", "translated")})
+    def card(slot: str, head: str) -> Column:
+        ko, head_ko = F.col(f"_{slot}_ko"), F.lit(head)
+        shown = F.coalesce(F.nullif(F.col(f"_{slot}_translated"), F.lit("")), ko)
+        made = F.struct(head_ko.alias("header_ko"), G.term_of(head_ko, glossary, F.lit(lang)).alias("header_translated"), ko.alias("value_ko"), easy_korean(ko).alias("value_easy_ko"), shown.alias("value_translated"), F.lit(None).cast("string").alias("chip"), F.lit(0.7).alias("importance"))
+        return F.when((ko != "") & ~F.arrays_overlap("heads", F.array(*map(F.lit, P.SLOT_COVERED_BY[slot]))), made)
+    cards = F.array_compact(F.array(*(card(slot, head) for slot, head in P.SLOT_HEADERS))).cast(f"array<{CARD}>")
+    return df.withColumn(name, cards).drop(*(f"_{slot}_{field}" for slot, _ in P.SLOT_HEADERS for field in ("ko", "translated")))
 
 
 def dedup(cards: Column) -> Column:
     """Per header, values that are part of a longer kept value go; the rest by header's first
-    appearance, then the longest value first. A kept card keeps its own importance."""
+    appearance, then the longest value first. A kept card keeps its own importance. Cards whose headers
+    all differ are those already."""
     def numbers(cards: Column, heads: Column) -> Column:
         return F.transform(cards, lambda c, i: F.struct(F.array_position(heads, c["header_ko"]).alias("h"), (-F.char_length(c["value_ko"])).alias("n"), i.alias("i"), for_compare(c["value_ko"]).alias("norm"), c.alias("card")))
-    numbered = let(cards, lambda cs: let(F.array_distinct(F.transform(cs, lambda c: c["header_ko"])), lambda heads: numbers(cs, heads)))
+    cards = cards.cast(f"array<{CARD}>")
+    numbered = let(F.array_distinct(cards["header_ko"]), lambda heads: numbers(cards, heads))
     kind = "struct<h:bigint,n:int,i:int,norm:string,card:%s>" % CARD
-    ordered = F.array_sort(numbered, lambda a, b: _order(a, b)).cast(f"array<{kind}>")
+    ordered = F.sort_array(numbered).cast(f"array<{kind}>")
     def step(kept, x):
         inside = F.exists(kept, lambda k: (k["h"] == x["h"]) & k["norm"].contains(x["norm"]))
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
-    return F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step, lambda kept: F.transform(kept, lambda k: k["card"]))
-
-
-def _order(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for k in ("i", "n", "h"):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-    return out
+    some = F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step, lambda kept: kept["card"])
+    return F.when(F.size(F.array_distinct(cards["header_ko"])) == F.size(cards), cards).otherwise(some)
 
 
 def ranked(cards: Column, most: int | None = MAX_CARDS) -> Column:
     """Cards by importance, the highest first; equals as they stand."""
-    numbered = F.transform(cards, lambda c, i: F.struct((-c["importance"]).alias("k"), i.alias("i"), c.alias("card")))
-    def order(a, b):
-        return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
-    out = F.transform(F.array_sort(numbered, order), lambda x: x["card"])
+    out = F.sort_array(F.transform(cards, lambda c, i: F.struct((-c["importance"]).alias("k"), i.alias("i"), c.alias("card"))))["card"]
     return F.slice(out, 1, most) if most else out
 
 
@@ -175,22 +166,23 @@ def analyze(notices: DataFrame, lang: str, glossary: list[tuple[str, str]] = (),
     only: a bounded number of sentences of one text. Notices without to-dos
     get cards from their slots.
     """
-    g = G.literal(list(glossary))
+    g = list(glossary)
     base = notices.select(id_col, F.coalesce("text", F.lit("")).alias("text")).withColumn("slots", slot_entries(F.col("text"), F.lit(lang)))
     t = _with_items(todos(notices, id_col, as_of_year=as_of_year), lang)
     t = t.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.col("confidence").desc(), "pos")))
     t = todo_cards(t, id_col, lang, g)
     fields = [x.split(":")[0] for x in CARD[len("struct<") : -1].split(",")]
     card = F.when(F.col("rank") <= MAX_CARDS, F.struct("rank", F.struct(*fields).alias("card")))
-    by_pos = lambda c, f: F.transform(F.array_sort(c), lambda x: x[f])
+    by_pos = lambda c, f: F.sort_array(c)[f]
     gathered = t.groupBy(id_col).agg(by_pos(F.collect_list(card), "card").alias("top"), by_pos(F.collect_list(F.struct("pos", "item")), "item").alias("items"))
     df = base.join(gathered, id_col, "left")
     no_items = F.from_json(F.lit("[]"), t.select(F.array("item").alias("x")).schema["x"].dataType)
-    df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.transform("top", lambda c: c["header_ko"]))
-    df = df.withColumn("cards", ranked(dedup(F.concat(F.col("top"), slot_cards(F.col("slots"), F.col("heads"), lang, g)))))
+    df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.col("top")["header_ko"])
+    # in steps: as columns they are computed once each
+    df = with_slot_cards(df, lang, g, "own").withColumn("all", F.concat("top", "own")).withColumn("all", dedup(F.col("all"))).withColumn("cards", ranked(F.col("all")))
     def entry(source: str):
-        return lambda v: F.struct(v.alias("ko"), G.term(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
-    supplies = F.array_distinct(F.flatten(F.transform("items", lambda i: i["what"])))
-    deadlines = F.array_distinct(F.filter(F.transform("items", lambda i: i["deadline"]), lambda d: F.coalesce(d, F.lit("")) != ""))
+        return lambda v: F.struct(v.alias("ko"), G.term_of(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
+    supplies = F.array_distinct(F.flatten(F.col("items")["what"]))
+    deadlines = F.array_distinct(F.filter(F.col("items")["deadline"], lambda d: F.coalesce(d, F.lit("")) != ""))
     df = df.withColumn("summary", F.struct("slots.*", F.transform(supplies, entry("model")).alias("supplies"), F.transform(deadlines, entry("model+regex")).alias("deadlines")))
     return df.select(id_col, F.lit(lang).alias("target_language"), "cards", "items", "summary", speech(F.col("cards"), False).alias("tts_text"), speech(F.col("cards"), True).alias("tts_text_easy_ko"))

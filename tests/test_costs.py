@@ -4,8 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from noticeflow.functions import easy, rules, slots, text
 from noticeflow.functions import patterns as P
-from noticeflow.functions import rules, slots, text
 from noticeflow.operators import cards
 
 
@@ -61,3 +61,40 @@ def test_signs_of_rejected_sentences(spark):
 def test_a_score_is_made_once(spark):
     plan = cards.todos(spark.createDataFrame([(1, "내일까지 내 주세요")], "notice_id int, text string"), "notice_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("바랍니다") == 1
+
+
+def _lambdas(column, schema: str, spark) -> int:
+    """Array functions with a lambda that run for a row in any case: those of the column outside its branches."""
+    plan = spark.createDataFrame([], schema).select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    return plan.split("THEN")[0].split("CASE WHEN")[0].count("lambda")
+
+
+def test_easy_form_of_texts_that_stay(spark):
+    """Texts without a word to replace or an ending are told by one look, and no others are left as they are."""
+    full = easy.let(easy.protect(T(), P.EASY_KEPT), lambda p: easy.restore(easy.polite_ending(easy.replace_words(p["text"])), p["kept"]))
+    rows = ["", "3월 5일", "납부", "납부해 주세요", "3월 5일제출", "3월 5일 제출", "서류 제출 . ", "준비", "준비 !", "신청 ..", "5원 참가?", "개인정보", "해당 반", "0 3월 5일", "제출, 납부", "x제출(내기)", "제출5원", None]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    for r in df.select("text", easy.easy_korean(T()).alias("got"), F.when(T() == "", T()).otherwise(full).alias("want")).collect():
+        assert r.got == r.want, r.text
+    assert _lambdas(easy.easy_korean(T()), "text string", spark) == 0
+
+
+def test_first_date_and_time_are_the_first_of_all(spark):
+    rows = ["2024년 3월 5일(월) 3월 6일", "13월 5일 3월 5일", "3. 5.(금) 내일 3월 1일", "이번주 내일 9:30 오후 2시", "2024. 3. 5. (토) 10:15 112:30", "월 일 년 ( 시 :", "내일", "", None]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    first = lambda c: F.get(c, F.lit(0))
+    for r in df.select("text", slots.first_date(T()).alias("d"), first(slots.dates(T())).alias("wd"), slots.first_time(T()).alias("t"), first(slots.times(T())).alias("wt")).collect():
+        assert (r.d, r.t) == (r.wd, r.wt), r.text
+
+
+def test_cards_with_different_headers_are_not_compared(spark):
+    card = lambda h, v: (h, h, v, v, v, None, 0.5)
+    df = spark.createDataFrame([([card("b", "x"), card("a", "x")],), ([card("b", "x"), card("a", "y"), card("b", "x y")],), ([],)], f"cards array<{cards.CARD}>")
+    got = [[(c.header_ko, c.value_ko) for c in r.c] for r in df.select(cards.dedup(F.col("cards")).alias("c")).collect()]
+    assert got == [[("b", "x"), ("a", "x")], [("b", "x y"), ("a", "y")], []]
+    assert _lambdas(cards.dedup(F.col("cards")), f"cards array<{cards.CARD}>", spark) == 0
+
+
+def test_slot_cards_of_all_kinds(spark):
+    df = cards.analyze(spark.createDataFrame([(1, "내일 9:30 https://a.example 02-123-4567 5원")], "notice_id int, text string"), "vi", [("시간", "giờ")])
+    assert [(c.header_ko, c.header_translated, c.value_ko) for c in df.first().cards] == [("일시", "일시", "내일"), ("시간", "giờ", "9:30"), ("신청 URL", "신청 URL", "https://a.example"), ("연락처", "연락처", "02-123-4567"), ("비용", "비용", "5원")]
