@@ -49,7 +49,7 @@ START = 0  # as a context; words are numbered from 1
 #: Different bigrams and trigrams that a chunk asks for, for each different word: a measure of the shards that are needed.
 ASKED = (4, 2.5)
 STEP, EXACT, COUNT_STEP = 1024.0, 4096, 1024.0
-LEAST_SHARDS, BATCH, WORD_BITS = 12, 1 << 16, 40  # words are numbered below 2^40
+LEAST_SHARDS, BATCH = 12, 1 << 16
 
 
 # codes
@@ -79,6 +79,47 @@ def smoothed(count: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.nd
     return (count + PRIOR * lower) / (context + PRIOR)
 
 
+# orders
+
+
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers that are not negative. A number and its place are sorted as one, which takes a fraction
+    of the time; of numbers that leave no room for that as many upper bits as fit, where those tell them apart."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    k, place = key.astype(np.uint64, copy=False), np.uint64(len(key).bit_length())
+    over = max(0, int(k.max()).bit_length() + int(place) - 64)
+    both = ((k >> np.uint64(over)) << place) | np.arange(len(k), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << int(place)) - 1)).astype(np.int64)
+    if over:
+        k = k[order]
+        if (k[1:] < k[:-1]).any():
+            return np.argsort(key, kind="stable")
+    return order
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different numbers in order, the first place of each, and the number of each key among them."""
+    order = ordered(key)
+    k = key[order]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[new], order[new], inverse
+
+
+def bit_places(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th bit that is set, from 0, in each word of 64 bits: by halves."""
+    at, k = np.zeros(len(words), np.uint64), k.astype(np.uint8)
+    for half in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count((words >> at) & np.uint64((1 << half) - 1))
+        above = k >= low
+        k = k - low * above
+        at += above * np.uint64(half)
+    return at.astype(np.int64)
+
+
 # packed arrays
 
 
@@ -164,9 +205,8 @@ class EliasFano:
         for a in range(0, len(k), BATCH):
             want = k[a : a + BATCH]
             word = np.searchsorted(before, want, "right") - 1
-            bits = np.unpackbits(self.words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            seen = np.cumsum(bits if ones else 1 - bits, axis=1, dtype=np.uint8)
-            out[a : a + BATCH] = word * 64 + np.argmax(seen == (want - before[word] + 1).astype(np.uint8)[:, None], axis=1)
+            bits = self.words[word]
+            out[a : a + BATCH] = word * 64 + bit_places(bits if ones else ~bits, want - before[word])
         return out
 
     def _start(self, bucket: np.ndarray) -> np.ndarray:
@@ -247,7 +287,7 @@ class Level:
 
 def _unique128(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b) of the different pairs in order, and the number of each pair among them."""
-    u, first, inverse = np.unique(a, return_index=True, return_inverse=True)
+    u, first, inverse = distinct(a)
     if (b[first][inverse] == b).all():
         return u, b[first], inverse
     order = np.lexsort((b, a))
@@ -338,7 +378,7 @@ class Grams:
         """Per token: whether it asks, and the ranks of its context and word; then the numbers of contexts and words and
         the contexts' counts, by rank, in which numbers rise; and which tokens train."""
         self.tokens = np.flatnonzero(have)
-        key, first, place = np.unique(context[self.tokens] * len(words) + word[self.tokens], return_index=True, return_inverse=True)
+        key, first, place = distinct(context[self.tokens] * len(words) + word[self.tokens])
         c, w = np.divmod(key, max(1, len(words)))
         context_number, word_number, context_count = contexts[c], words[w], counts[c]
         trained = np.bincount(place[train[self.tokens]], minlength=len(key))
@@ -395,7 +435,7 @@ class Chunk:
         self.known = (count > 0)[self.tokens]
         self.base = np.log10((count + ALPHA) / (n + ALPHA * (v + 1)))[self.tokens]
         self.score = self.base.copy()
-        order = np.argsort(number)
+        order = ordered(number)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(1, len(order) + 1)
         starts = count[self.tokens[self.ends[0] - 1]]  # as many texts start as end
@@ -422,7 +462,7 @@ class Chunk:
         self._raise(codes, g)
         count = np.where(codes > 0, np.rint(count_of(counts)), 0).astype(np.int64)
         node = places.astype(np.uint64) * np.uint64(self.shards[1]) + g.shard.astype(np.uint64)
-        order = np.argsort(node)
+        order = ordered(node)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         # the bigram that ends at the token before is the context of this one
@@ -471,18 +511,18 @@ def word_answers(table: DataFrame, n_shards: int) -> DataFrame:
 
 def gram_level(asked: list[list[np.ndarray]]) -> bytes:
     """A shard of a level of all chunks' requests: n-grams that any of them has in training."""
-    context, rank = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+    context, _, rank = distinct(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]))
     rank = np.repeat(rank, np.concatenate([x[1] for x in asked]))
     word, counts, code = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
     held = np.concatenate([np.repeat(x[5], x[1]) for x in asked])
-    # each chunk's n-grams are sorted already, which a stable sort makes use of
-    key = (rank.astype(np.uint64) << np.uint64(WORD_BITS)) | word
+    bits = np.uint64(int(word.max()).bit_length() if len(word) else 0)  # no more than there are: see ordered
+    key = (rank.astype(np.uint64) << bits) | word
     some = np.flatnonzero(counts)
-    order = some[np.argsort(key[some], kind="stable")]
+    order = some[ordered(key[some])]
     key = key[order]
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(order) else np.zeros(0, np.int64)
     total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    context, word = context[(key[at] >> np.uint64(WORD_BITS)).astype(np.int64)], key[at] & np.uint64((1 << WORD_BITS) - 1)
+    context, word = context[(key[at] >> bits).astype(np.int64)], key[at] & np.uint64((1 << int(bits)) - 1)
     p = smoothed(total, held[order][at].astype(float), 10.0 ** log_of(code[order][at]))
     return Level.pack(context, word, code_of(np.minimum(p, 1.0)), count_code(total))
 
@@ -550,7 +590,10 @@ def score(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     answers = by_word.select("chunk", F.lit(1).alias("level"), "shard", "body")
     for level in (2, 3):
-        got = staged(gram_answers(requests(level, answers), level), f"level{level}")
+        # what the third level's requests are made of is shuffled, and gone before they are: the most that lies on disk at a time
+        asked = requests(level, answers) if level == 2 else staged(requests(level, answers), "asked")
+        got = staged(gram_answers(asked, level), f"level{level}")
+        release(asked)
         answers = answers.unionByName(got.select("chunk", F.lit(level).alias("level"), "shard", "body"))
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

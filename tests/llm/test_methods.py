@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from llm.test_operators import alike
-from noticeflow.llm import near_dup, quality
+from noticeflow.llm import lm, near_dup, quality
 
 
 def test_near_dedup_at_the_threshold(spark):
@@ -88,3 +89,23 @@ def test_score_is_a_sum_of_table_entries():
     assert ((m.score(x) > 0.5) == (y == 1)).mean() > 0.9
     one = quality.fit(x, np.ones(400))
     assert (one.score(x) > 0.99).all() and (quality.fit(x, np.zeros(400)).score(x) < 0.01).all()
+
+
+def test_orders_and_bit_places():
+    """Against their plain forms; a look-up of many places unpacks no bits."""
+    rng = np.random.default_rng(3)
+    for key in (rng.integers(0, 50, 3000), rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.repeat(rng.integers(0, 1 << 63, 40), 70), (np.uint64(1) << np.uint64(63)) + rng.integers(0, 9, 3000).astype(np.uint64), np.zeros(0, np.int64), np.array([7])):
+        assert (lm.ordered(key) == np.argsort(key, kind="stable")).all()
+        assert all((x == y).all() for x, y in zip(lm.distinct(key), np.unique(key, return_index=True, return_inverse=True), strict=True))
+    words = np.append(rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64))
+    for w in words:
+        at = np.array([i for i in range(64) if int(w) >> i & 1])
+        assert (lm.bit_places(np.full(len(at), w), np.arange(len(at))) == at).all()
+    values = np.cumsum(rng.integers(0, 900, 200_000)).astype(np.uint64)
+    packed = lm.EliasFano(*lm.EliasFano.pack(values), len(values))
+    places = np.arange(len(values))
+    assert (packed.get(places) == values).all() and (packed.find(values) <= places).all()
+    tracemalloc.start()
+    packed._select(places[: lm.BATCH], True)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
