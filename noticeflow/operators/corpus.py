@@ -162,8 +162,8 @@ def placed(df: DataFrame, order: list[tuple[Column, bool]], name: str, start: in
 
 
 def numbered(df: DataFrame, order: str, start: int = 1, keep: Column | None = None, name: str = "id", then: tuple[str, ...] = ()) -> DataFrame:
-    """Consecutive ids in the order of a column, among equals of the columns ``then``; rows that ``keep`` drops use up an id too."""
-    out = placed(df, [(F.col(c), False) for c in (order, *then)], name, start)
+    """Consecutive ids in the order of a column (nulls last, as in the SQL), among equals of the columns ``then``; rows that ``keep`` drops use up an id too."""
+    out = placed(df, [(by, False) for c in (order, *then) for by in (F.col(c).isNull(), F.col(c))], name, start)
     return out.filter(keep) if keep is not None else out
 
 

@@ -143,3 +143,18 @@ def test_legacy_todos(spark):
 def test_ids_among_equals(spark):
     d = spark.createDataFrame([(i, f"u{i % 2}") for i in range(9, -1, -1)], "page_id int, url string")
     assert [r.page_id for r in corpus.numbered(d, "url", 10, then=("page_id",)).orderBy("id").collect()] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+
+
+def test_ids_are_those_of_the_sql(spark, tmp_path):
+    """Links without a value come last, and each link has the ids that the SQL gives it; which of its pages has which, the SQL leaves open."""
+    import duckdb
+
+    from noticeflow.plans import ORACLES, QUERIES
+
+    pages = [(i, None if i % 5 == 0 else f"u{i % 3}") for i in range(30)]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = [(r.page_id, r.id) for r in QUERIES["sequential_ids"](spark, str(tmp_path)).collect()]
+    by_link = lambda rows: {(pages[p][1], i) for p, i in rows}
+    assert len(got) == 30 and by_link(got) == by_link(con.execute(ORACLES["sequential_ids"]).fetchall())
