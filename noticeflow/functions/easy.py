@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,8 +68,9 @@ def may_change(c: Column) -> Column:
     What is protected begins with a digit and ends with a letter or digit, so that no word stands alone for its mark only."""
     words = [w for w, e in P.EASY_WORDS if e != w]
     alone = f"(?:{'|'.join(words)})(?!{P.EASY_LETTER[:-1]}\ue000\ue001])(?<!{P.EASY_LETTER[:-1]}\ue000\ue001](?:{'|'.join(words)}))"
-    end = F.btrim(c, F.lit(P.BLANKS + ".!?"))
-    return reduce(lambda out, e: out | F.endswith(end, F.lit(e)), [e for e, _ in P.ENDINGS], contains_any(c, words) & c.rlike(alone)) | c.contains("\ue000")
+    ends = [e for e, _ in P.ENDINGS]
+    ending = rf"(?:{'|'.join(rf'\Q{e}\E' for e in ends)})[{P.BLANKS}.!?]*+\z"
+    return contains_any(c, words) & c.rlike(alone) | contains_any(c, ends) & c.rlike(ending) | c.contains("\ue000")
 
 
 def easy_korean(c: Column) -> Column:

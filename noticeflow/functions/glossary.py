@@ -43,9 +43,15 @@ def term(text: Column, glossary: Column, lang: Column) -> Column:
 
 
 def term_of(text: Column, rows: list[tuple[str, str]], lang: Column) -> Column:
-    """``term`` by the rows of a glossary, of which other texts are not held against each."""
-    names = {k.strip(P.BLANKS) for k, v in rows if k and v and v.strip(P.BLANKS)}
-    return F.when(strip(text).isin(*sorted(names)), term(text, literal(rows), lang)).otherwise(text) if names else text
+    """``term`` by the rows of a glossary: one look-up, which the planner makes itself for a constant text."""
+    known: dict[str, str] = {}
+    for k, v in rows:
+        if k and v and k.strip(P.BLANKS) and v.strip(P.BLANKS):
+            known.setdefault(k.strip(P.BLANKS), v.strip(P.BLANKS))
+    if not known:
+        return text
+    found = F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), strip(text))
+    return F.when(strip(text).isin(*known), F.when((lang == "ko_easy") | is_url_or_phone(text), text).otherwise(found)).otherwise(text)
 
 
 def is_url_or_phone(text: Column) -> Column:

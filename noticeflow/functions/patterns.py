@@ -9,6 +9,8 @@ DATE_FULL = U + r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월
 DATE_MONTH_DAY = U + r"(\d{1,2})\s*월\s*(\d{1,2})\s*일(?:\s*\(([월화수목금토일])\))?"
 DATE_DOTTED = U + r"(?:(\d{4})\s*\.\s*)?(\d{1,2})\s*\.\s*(\d{1,2})\s*\.?\s*\(([월화수목금토일])\)"
 RELATIVE_DAYS = ["내일", "모레", "오늘", "다음 주", "다음주", "이번 주", "이번주"]
+RELATIVE_SIGNS = ["내일", "모레", "오늘", "다음", "이번"]  # each of them has one
+NUMBERS, WEEKDAY_END = U + r"\d+", U + r"\(([월화수목금토일])\)\z"  # of a date's surface
 TIME_HALF_DAY = U + r"(오전|오후)\s*(\d{1,2})\s*시(?:\s*(\d{1,2})\s*분)?"
 TIME_24H = U + r"(?=\d)(?<!\d)(\d{1,2}):(\d{2})(?!\d)"
 AMOUNT_WON = U + r"(\d{1,3}(?:,\d{3})+|\d+)\s*원"

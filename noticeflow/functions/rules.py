@@ -95,6 +95,11 @@ def todo_label(c: Column, keywords: Column) -> Column:
 
 def todo_score(c: Column) -> Column:
     """Rule stand-in for a to-do model's probability; null for rejected sentences."""
+    return F.when(~rejected(c), todo_points(c))
+
+
+def todo_points(c: Column) -> Column:
+    """``todo_score`` of sentences that are known not to be rejected."""
     signs = [contains_any(c, [w for p, _ in P.ACTIONS for w in p.split("|")]), has_date(c), has_money(c), c.contains("까지"), contains_any(c, ["주세요", "바랍니다", "십시오"])]
     hits = reduce(lambda a, b: a + b, (F.when(s, 1).otherwise(0) for s in signs))
-    return F.when(~rejected(c), F.least(F.lit(0.25) + hits * 0.18, F.lit(0.99)))
+    return F.least(F.lit(0.25) + hits * 0.18, F.lit(0.99))

@@ -13,6 +13,11 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def each(c: Column, f) -> Column:
+    """f of every element of a column. Lambdas are interpreted; the only element, which most have, is taken without one."""
+    return F.when(F.size(c) == 1, F.array(f(F.get(c, F.lit(0))))).otherwise(F.transform(c, f))
+
+
 def strip(c: Column) -> Column:
     """Unicode blanks off both ends (``trim`` takes only U+0020)."""
     return F.btrim(c, F.lit(P.BLANKS))
@@ -25,6 +30,10 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 CUT = "\ue002"  # of private use; a text that has it is cut by the pattern itself
 
 
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029"  # and \n
+SHORT_PIECES = rf"\A(?:[^{CUT}]{{0,3}}(?:{CUT}|\z))+|{CUT}[^{CUT}]{{0,3}}(?={CUT}|\z)"  # of three characters or fewer, each with a cut beside it
+
+
 def pieces(c: Column, pattern: str) -> Column:
     """What lies between the matches of a pattern, none of which is empty. ``split`` compiles its pattern for each text,
     unless that is one plain character: matches become that first."""
@@ -76,19 +85,25 @@ def _long_enough(parts: Column, more_than: int) -> Column:
 
 
 def _lines(c: Column) -> Column:
-    one = F.regexp_replace(c, "[\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]", "\n")
+    one = F.regexp_replace(c, f"[{LINE_ENDS}]", "\n")
     return F.filter(F.transform(F.split(one, "\n", -1), strip), lambda s: s != "")
 
 
-def sentences(c: Column, plain: bool = False, drop_lines: bool = True, noise_anywhere: bool = False) -> Column:
+def sentences(c: Column, plain: bool = False, drop_lines: bool = True, noise_anywhere: bool = False, stripped: bool = False) -> Column:
     """Sentences of a notice, longer than three characters. ``plain``: without cuts at list marks and labels.
     ``drop_lines``: headings and lines of a link, phone or time only are left out first; with ``noise_anywhere``
-    also lines that have a link or phone somewhere."""
-    lines = _lines(c)
+    also lines that have a link or phone somewhere. ``stripped``: the text has no outer blanks."""
+    cut, noise = P.SENTENCE_CUT_PLAIN if plain else P.SENTENCE_CUT, P.NOISE_LINE_ANYWHERE if noise_anywhere else P.NOISE_LINE
+    dropped = lambda s: s.rlike(P.HEADING_LINE) | s.rlike(noise)
+    lines = F.filter(_lines(c), lambda s: ~dropped(s)) if drop_lines else _lines(c)
+    many = _long_enough(F.flatten(F.transform(lines, lambda s: pieces(s, cut))), 3)
+    # one line goes without a lambda; a cut takes all blanks, so that its pieces need no strip
+    whole = c if stripped else strip(c)
+    kept = F.regexp_replace(F.regexp_replace(whole, cut, CUT), SHORT_PIECES, "")
+    single = F.array_remove(F.split(kept, CUT, -1), "")
     if drop_lines:
-        noise = P.NOISE_LINE_ANYWHERE if noise_anywhere else P.NOISE_LINE
-        lines = F.filter(lines, lambda s: ~(s.rlike(P.HEADING_LINE) | s.rlike(noise)))
-    return _long_enough(F.flatten(F.transform(lines, lambda s: pieces(s, P.SENTENCE_CUT_PLAIN if plain else P.SENTENCE_CUT))), 3)
+        single = F.when(dropped(whole), F.array().cast("array<string>")).otherwise(single)
+    return F.when(c.rlike(f"[{LINE_ENDS}\n{CUT}]"), many).otherwise(single)
 
 
 def sentences_by_mark(c: Column) -> Column:

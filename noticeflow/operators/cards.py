@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,16 +32,13 @@ def value(text: Column) -> Column:
     return F.when(header(text).isNotNull(), strip(found)).otherwise(strip(text))
 
 
-def slot_entries(text: Column, lang: Column) -> Column:
-    """struct of dates, times, amounts, urls, phones: arrays of (ko, translated, source)."""
-    def entries(found: Column, shown) -> Column:
-        return F.transform(found, lambda x: F.struct(x["ko"].alias("ko"), shown(x).alias("translated"), F.lit("regex").alias("source")))
-    def same(found: Column) -> Column:
-        return F.transform(found, lambda x: F.struct(x.alias("ko"), x.alias("translated"), F.lit("regex").alias("source")))
-    return F.struct(
-        entries(slots.dates(text), lambda d: format_date(d, lang)).alias("dates"), entries(slots.times(text), lambda t: format_time(t, lang)).alias("times"),
-        entries(slots.amounts(text), lambda a: format_amount(a["value"], lang)).alias("amounts"), same(slots.urls(text)).alias("urls"), same(slots.phones(text)).alias("phones"),
-    )
+def with_slots(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """Adds dates, times, amounts, urls, phones: arrays of (ko, translated, source) of a text."""
+    entry = lambda ko, shown: F.struct(ko.alias("ko"), shown.alias("translated"), F.lit("regex").alias("source"))
+    same, own = lambda x: entry(x, x), F.lit(lang)
+    shown = {"dates": lambda d: format_date(d, own), "times": lambda t: format_time(t, own), "amounts": lambda a: format_amount(a["value"], own)}
+    made = {k: (lambda f: lambda x: entry(x["ko"], f(x)))(f) for k, f in shown.items()}
+    return slots.with_found(df, text, {**made, "urls": same, "phones": same})
 
 
 def slot_rows(notices: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -69,25 +68,28 @@ def when_text(text: Column, lang: Column) -> Column:
 def todo_cards(todo: DataFrame, id_col: str, lang: str, glossary: list[tuple[str, str]], translated: str | None = None) -> DataFrame:
     """Adds to to-do rows (text, confidence) the fields of a card. ``translated`` names a column with what a
     translator made of the value; without one the value stays."""
-    d = todo.withColumn("_h", header(F.col("text"))).withColumn("value_ko", value(F.col("text"))).withColumn("header_ko", F.coalesce("_h", F.lit(P.OTHER))).withColumn("_c", rules.category(F.col("value_ko")))
+    d = todo.withColumn("_t", strip(F.col("text"))).withColumn("_h", F.nullif(F.regexp_extract("_t", HEADED, 1), F.lit("")))
+    rest = F.when(F.col("_h").isNotNull(), strip(F.regexp_extract("_t", HEADED, 2))).otherwise(F.col("_t"))
+    d = d.withColumns({"value_ko": rest, "header_ko": F.coalesce("_h", F.lit(P.OTHER))}).withColumn("_c", rules.category(F.col("value_ko")))
     shown = F.coalesce(F.nullif(F.col(translated), F.lit("")), "value_ko") if translated else F.col("value_ko")
     d = d.withColumn("value_easy_ko", easy_korean(F.col("value_ko")))
     d = d.withColumns({"header_translated": G.term_of(F.col("header_ko"), glossary, F.lit(lang)), "value_translated": shown, "chip": F.when(F.col("_c") != P.OTHER, F.col("_c")), "importance": F.col("confidence")})
-    return d.drop("_h", "_c")
+    return d.drop("_t", "_h", "_c")
 
 
 def with_slot_cards(df: DataFrame, lang: str, glossary: list[tuple[str, str]], name: str) -> DataFrame:
-    """Adds to rows with slots and heads (the headers of their to-do cards, an array) the cards, at importance 0.7, of the
+    """Adds to rows with the columns of ``with_slots`` and heads (the headers of their to-do cards, an array) the cards, at importance 0.7, of the
     slots that have values and that no such header covers. Joined values are columns first: they are computed once each."""
     def joined(slot: str, field: str) -> Column:
-        return F.array_join(F.array_remove(F.col("slots")[slot][field], ""), ", ")
+        return F.array_join(F.array_remove(F.col(slot)[field], ""), ", ")
     df = df.withColumns({f"_{slot}_{field}": joined(slot, field) for slot, _ in P.SLOT_HEADERS for field in ("ko", "translated")})
     def card(slot: str, head: str) -> Column:
         ko, head_ko = F.col(f"_{slot}_ko"), F.lit(head)
         shown = F.coalesce(F.nullif(F.col(f"_{slot}_translated"), F.lit("")), ko)
         made = F.struct(head_ko.alias("header_ko"), G.term_of(head_ko, glossary, F.lit(lang)).alias("header_translated"), ko.alias("value_ko"), easy_korean(ko).alias("value_easy_ko"), shown.alias("value_translated"), F.lit(None).cast("string").alias("chip"), F.lit(0.7).alias("importance"))
-        return F.when((ko != "") & ~F.arrays_overlap("heads", F.array(*map(F.lit, P.SLOT_COVERED_BY[slot]))), made)
-    cards = F.array_compact(F.array(*(card(slot, head) for slot, head in P.SLOT_HEADERS))).cast(f"array<{CARD}>")
+        covered = reduce(lambda a, h: a | F.array_contains("heads", h), P.SLOT_COVERED_BY[slot], F.lit(False))
+        return F.when((ko != "") & ~covered, F.array(made).cast(f"array<{CARD}>")).otherwise(F.array().cast(f"array<{CARD}>"))
+    cards = F.concat(*(card(slot, head) for slot, head in P.SLOT_HEADERS))
     return df.withColumn(name, cards).drop(*(f"_{slot}_{field}" for slot, _ in P.SLOT_HEADERS for field in ("ko", "translated")))
 
 
@@ -105,12 +107,21 @@ def dedup(cards: Column) -> Column:
         inside = F.exists(kept, lambda k: (k["h"] == x["h"]) & k["norm"].contains(x["norm"]))
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
     some = F.aggregate(ordered, F.array().cast(f"array<{kind}>"), step, lambda kept: kept["card"])
-    return F.when(F.size(F.array_distinct(cards["header_ko"])) == F.size(cards), cards).otherwise(some)
+    # of two cards with the same header the lengths tell which one may be within the other
+    size = lambda i: F.char_length(F.get(cards, F.lit(i))["value_ko"])
+    def of_two(longer: int, shorter: int) -> Column:
+        a, b = F.get(cards, F.lit(longer)), F.get(cards, F.lit(shorter))
+        return F.when(for_compare(a["value_ko"]).contains(for_compare(b["value_ko"])), F.array(a)).otherwise(F.array(a, b))
+    pair = F.when(size(0) < size(1), of_two(1, 0)).otherwise(of_two(0, 1))
+    two = (F.size(cards) == 2) & (size(0) + size(1)).isNotNull()
+    return F.when(F.size(F.array_distinct(cards["header_ko"])) == F.size(cards), cards).when(two, pair).otherwise(some)
 
 
 def ranked(cards: Column, most: int | None = MAX_CARDS) -> Column:
     """Cards by importance, the highest first; equals as they stand."""
-    out = F.sort_array(F.transform(cards, lambda c, i: F.struct((-c["importance"]).alias("k"), i.alias("i"), c.alias("card"))))["card"]
+    # without a lambda: the greatest importance first, then the greatest of -1, -2, ...
+    keyed = F.arrays_zip(cards["importance"].alias("k"), F.sequence(F.lit(-1), -F.size(cards), F.lit(-1)).alias("i"), cards.alias("card"))
+    out = F.when(F.size(cards) < 2, cards).otherwise(F.sort_array(keyed, False)["card"])
     return F.slice(out, 1, most) if most else out
 
 
@@ -129,11 +140,19 @@ def todos(notices: DataFrame, id_col: str, text_col: str = "text", as_of_year: i
     ``score`` makes a confidence column of a sentence column; null or under the
     threshold drops it. Cheap rejects run before it.
     """
-    parts = notices.select(id_col, F.posexplode(sentences(join_broken_lines(F.col(text_col)))).alias("pos", "text"))
-    # the score comes as a generated column: a filter on a plain one is pushed below it, and the score made twice
-    scored = parts.filter(~rules.rejected(F.col("text"))).select("*", F.explode(F.array(score(F.col("text")))).alias("_p")).filter(F.col("_p") >= threshold)
+    joined = notices.select(id_col, join_broken_lines(F.col(text_col)).alias("joined"))
+    # outer: else a filter for texts with sentences is set before it, and they are made twice
+    parts = joined.select(id_col, F.posexplode_outer(sentences(F.col("joined"), stripped=True)).alias("pos", "text")).filter("text IS NOT NULL")
+    return _scored(parts, [id_col, "pos", "text"], as_of_year, threshold, score)
+
+
+def _scored(parts: DataFrame, columns: list[str], as_of_year: int = 2026, threshold: float = 0.5, score=rules.todo_score) -> DataFrame:
+    """To-dos among sentences (text); rows without a text stay."""
     t = F.col("text")
-    return scored.select(id_col, "pos", "text", slots.due_date(t, as_of_year).alias("due_date"), slots.amount(t).alias("amount"), F.round("_p", 4).alias("confidence"), slots.action(t).alias("action_hint"))
+    own = rules.todo_points if score is rules.todo_score else score
+    # the score comes as a generated column: a filter on a plain one is pushed below it, and the score made twice
+    scored = parts.filter(t.isNull() | ~rules.rejected(t)).select("*", F.explode(F.array(own(t))).alias("_p")).filter(t.isNull() | (F.col("_p") >= threshold))
+    return scored.select(*columns, slots.due_date(t, as_of_year).alias("due_date"), slots.amount(t).alias("amount"), F.round("_p", 4).alias("confidence"), slots.action(t).alias("action_hint"))
 
 
 def as_json(df: DataFrame, keys: list[str], name: str = "document") -> DataFrame:
@@ -159,27 +178,35 @@ def _with_items(t: DataFrame, lang: str) -> DataFrame:
     return d.withColumn("item", item).drop("_cat")
 
 
+def exploded(df: DataFrame, id_col: str, name: str = "cards") -> DataFrame:
+    """id, pos, c: a row for each card. Outer, and rows without a card dropped after it: before any other, the planner sets a filter for
+    texts that have cards, for which they would all be made a second time."""
+    return df.select(id_col, F.posexplode_outer(name).alias("pos", "c")).filter("pos IS NOT NULL")
+
+
 def analyze(notices: DataFrame, lang: str, glossary: list[tuple[str, str]] = (), id_col: str = "notice_id", as_of_year: int = 2026) -> DataFrame:
     """One row per notice (ids are unique): cards (eight at most), items, summary and both speech texts.
 
-    To-dos and cards are rows while they are made and meet by the notice's id
+    To-dos and cards are rows while they are made, beside one row of the notice's slots, and meet by the notice's id
     only: a bounded number of sentences of one text. Notices without to-dos
     get cards from their slots.
     """
     g = list(glossary)
-    base = notices.select(id_col, F.coalesce("text", F.lit("")).alias("text")).withColumn("slots", slot_entries(F.col("text"), F.lit(lang)))
-    t = _with_items(todos(notices, id_col, as_of_year=as_of_year), lang)
-    t = t.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.col("confidence").desc(), "pos")))
-    t = todo_cards(t, id_col, lang, g)
+    base = with_slots(notices.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")), "text", lang)
+    kinds = ["dates", "times", "amounts", "urls", "phones"]
+    joined = base.select(id_col, F.struct(*kinds).alias("slots"), join_broken_lines(F.col("text")).alias("joined"))
+    # the row without a sentence has the slots; outer as in ``todos``
+    own = F.concat(F.array(F.lit(None).cast("string")), sentences(F.col("joined"), stripped=True))
+    parts = joined.select(id_col, "slots", F.posexplode_outer(own).alias("pos", "text"))
+    t = _scored(parts.select(id_col, "pos", "text", F.when(F.col("text").isNull(), F.col("slots")).alias("slots")), [id_col, "pos", "text", "slots"], as_of_year)
+    t = todo_cards(_with_items(t, lang), id_col, lang, g)
     fields = [x.split(":")[0] for x in CARD[len("struct<") : -1].split(",")]
-    card = F.when(F.col("rank") <= MAX_CARDS, F.struct("rank", F.struct(*fields).alias("card")))
-    by_pos = lambda c, f: F.sort_array(c)[f]
-    gathered = t.groupBy(id_col).agg(by_pos(F.collect_list(card), "card").alias("top"), by_pos(F.collect_list(F.struct("pos", "item")), "item").alias("items"))
-    df = base.join(gathered, id_col, "left")
-    no_items = F.from_json(F.lit("[]"), t.select(F.array("item").alias("x")).schema["x"].dataType)
-    df = df.withColumns({"top": F.coalesce("top", F.array().cast(f"array<{CARD}>")), "items": F.coalesce("items", no_items)}).withColumn("heads", F.col("top")["header_ko"])
-    # in steps: as columns they are computed once each
-    df = with_slot_cards(df, lang, g, "own").withColumn("all", F.concat("top", "own")).withColumn("all", dedup(F.col("all"))).withColumn("cards", ranked(F.col("all")))
+    todo = F.col("text").isNotNull()
+    card = F.when(todo, F.struct("confidence", (-F.col("pos")).alias("pos"), F.struct(*fields).alias("card")))
+    gathered = t.groupBy(id_col).agg(F.first("slots", True).alias("slots"), F.collect_list(card).alias("top"), F.collect_list(F.when(todo, F.struct("pos", "item"))).alias("items"))
+    df = gathered.withColumns({**{k: F.col("slots")[k] for k in kinds}, "top": F.slice(F.sort_array("top", False)["card"], 1, MAX_CARDS).cast(f"array<{CARD}>"), "items": F.sort_array("items")["item"]}).withColumn("heads", F.col("top")["header_ko"])
+    # in steps: as columns they are computed once each; a slot's card has a header that no card of a to-do has
+    df = with_slot_cards(df, lang, g, "own").withColumn("all", F.concat(dedup(F.col("top")), "own")).withColumn("cards", ranked(F.col("all")))
     def entry(source: str):
         return lambda v: F.struct(v.alias("ko"), G.term_of(v, g, F.lit(lang)).alias("translated"), F.lit(source).alias("source"))
     supplies = F.array_distinct(F.flatten(F.col("items")["what"]))

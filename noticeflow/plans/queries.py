@@ -257,7 +257,7 @@ def label_imbalance(spark, sf_dir):
 def notice_cards(spark, sf_dir):
     """Cards of every notice in Vietnamese form: at most eight each."""
     out = cards.analyze(spread_notices(spark, sf_dir), "vi", GLOSSARY)
-    return out.select("notice_id", F.posexplode("cards").alias("pos", "c")).select("notice_id", "pos", "c.*")
+    return cards.exploded(out, "notice_id").select("notice_id", "pos", "c.*")
 
 
 @query()

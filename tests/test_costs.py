@@ -98,3 +98,42 @@ def test_cards_with_different_headers_are_not_compared(spark):
 def test_slot_cards_of_all_kinds(spark):
     df = cards.analyze(spark.createDataFrame([(1, "내일 9:30 https://a.example 02-123-4567 5원")], "notice_id int, text string"), "vi", [("시간", "giờ")])
     assert [(c.header_ko, c.header_translated, c.value_ko) for c in df.first().cards] == [("일시", "일시", "내일"), ("시간", "giờ", "9:30"), ("신청 URL", "신청 URL", "https://a.example"), ("연락처", "연락처", "02-123-4567"), ("비용", "비용", "5원")]
+
+
+def test_cards_are_made_once(spark):
+    """A filter for notices with cards, which the planner set before their rows, made all cards of a notice a second time."""
+    from noticeflow.plans import QUERIES
+
+    plan = QUERIES["notice_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 2 and plan.count("공익제보센터") == 2 and plan.count("방역지침") < 40
+
+
+def test_sentences_of_one_line_are_those_of_lines(spark):
+    """The way without lambdas against the one for texts of several lines, which an empty line more does not change."""
+    rows = ["", " ", "가", "가나다", "가나다라", "가. 나. 다라마바사. 아", "가나다라. 마. 바. 사아자차카", "가. 나", "　가나다라!  1) 마바사 2) 아　제출 안내 끝입니다. ", "행사 안내", "https://a.kr 가나다", "가나😀. 가나다😀. 가😀나다라", "a" + text.CUT + "bcde. fghij", None]
+    for plain in (False, True):
+        for drop in (False, True):
+            df = spark.createDataFrame([(x,) for x in rows], "text string")
+            get = lambda c, **k: text.sentences(c, plain=plain, drop_lines=drop, **k)
+            for r in df.select("text", get(T()).alias("g"), get(F.concat(T(), F.lit("\n"))).alias("w"), get(text.strip(T()), stripped=True).alias("s")).collect():
+                assert r.g == r.w == r.s, repr(r.text)
+
+
+def test_slots_in_steps_are_those_at_once(spark):
+    rows = ["2024년 3월 5일(월) 3월 6일", "2024년 3월 5일", "2024년 3월 5일 2024년 3월 5일", "3월 5일 13월 5일", "13월 5일 2024년 3월 5일", "3월 5일(화)3월 5일(화)", "2024. 3. 5.(금) 내일 다음주", "3. 5. (토)", "0월 0일", "٣월 ٥일", "99999999999원 5만원 5 만 원 5천원 1,000원 1,000원", "오후 2시 9:30 9:30 오전 10시 5분", "http://a.kr/x. http://a.kr/x, www.b.c) 02-123-4567 02-123-4567", "이번 주 모레", "", None]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    want = df.select("text", *(c.alias(k) for k, c in {"dates": slots.dates(T()), "times": slots.times(T()), "amounts": slots.amounts(T()), "urls": slots.urls(T()), "phones": slots.phones(T())}.items()))
+    got = slots.with_found(df.fillna(""), "text", {})
+    key = lambda r: r.text or ""
+    for g, w in zip(sorted(got.collect(), key=key), sorted(want.filter("text IS NOT NULL").unionByName(want.filter("text IS NULL").fillna("", ["text"])).collect(), key=key), strict=True):
+        assert g == w, g.text
+
+
+def test_terms_of_a_glossary(spark):
+    from noticeflow.functions import glossary as G
+
+    rows = [(" 체험 ", " trải "), ("체험", "other"), ("없음", ""), ("", "x"), ("https://a.kr", "link"), (None, "y")]
+    df = spark.createDataFrame([(x,) for x in [" 체험", "체험", "없음", "", "https://a.kr", "모름", None]], "text string")
+    for lang in ("vi", "ko_easy"):
+        for r in df.select("text", G.term_of(T(), rows, F.lit(lang)).alias("g"), G.term(T(), G.literal(rows), F.lit(lang)).alias("w")).collect():
+            assert r.g == r.w, (lang, r.text)
